@@ -90,3 +90,225 @@ def char_prompt_split(spark, sf):
     c = clean_conversations(spark, sf)
     return c.select("row_id", tx.char_prompt("text", 0.5).alias("prompt"),
                     tx.char_reference("text", 0.5).alias("reference"))
+
+
+# ---------------------------------------------------------------- 2.3 tokens / vocabulary
+from lexicorn.functions import tokens as tk  # noqa: E402
+from lexicorn.operators import batches as B  # noqa: E402
+from lexicorn.operators import splits as SP  # noqa: E402
+from lexicorn.operators import vocab as VO  # noqa: E402
+from lexicorn.plans import pipeline as PL  # noqa: E402
+
+CFG = PL.DEFAULT
+
+
+@query("pretokenize", f"""
+SELECT row_id, CAST(len({S.pretok('text')}) AS BIGINT) AS n_tokens,
+       array_to_string({S.pretok('text')}, '|') AS tokens
+FROM ({S.split_conv(CFG)})""")
+def pretokenize_q(spark, sf):
+    c = PL.split_corpus(spark, sf)
+    t = tk.pretokenize("text")
+    return c.select("row_id", F.size(t).cast("bigint").alias("n_tokens"),
+                    F.array_join(t, "|").alias("tokens"))
+
+
+@query("word_vocab", f"SELECT token, id, count FROM {S.vocab(CFG)}")
+def word_vocab(spark, sf):
+    return PL.corpus_vocab(spark, sf)
+
+
+@query("eos_lookup", f"SELECT CAST(id AS INTEGER) AS eos_id FROM {S.vocab(CFG)} WHERE token = '<eos>'")
+def eos_lookup(spark, sf):
+    return VO.eos_id(PL.corpus_vocab(spark, sf))
+
+
+@query("encode_ids", f"""
+SELECT row_id, split, CAST(len(ids) AS BIGINT) AS n_ids, {S.ids_str('ids')} AS ids
+FROM {S.encoded_conv(CFG)}""")
+def encode_ids(spark, sf):
+    e = PL.encoded_corpus(spark, sf)
+    return e.select("row_id", "split", F.size("ids").cast("bigint").alias("n_ids"),
+                    tk.ids_text("ids").alias("ids"))
+
+
+@query("encode_documents", f"""
+SELECT row_id, CAST(len(ids) AS BIGINT) AS n_ids, {S.ids_str('ids')} AS ids
+FROM {S.encode(S.docs_clean(), CFG, max_length=None, append_eos=False)}""")
+def encode_documents(spark, sf):
+    voc = PL.corpus_vocab(spark, sf)
+    e = VO.encode(PL.clean_docs(spark, sf), voc, max_length=None, append_eos=False)
+    return e.select("row_id", F.size("ids").cast("bigint").alias("n_ids"),
+                    tk.ids_text("ids").alias("ids"))
+
+
+@query("truncate_mask", f"""
+SELECT row_id, {S.ids_str('list_slice(ids, 1, 32)')} AS ids,
+       {S.ids_str('list_transform(list_slice(ids, 1, 32), lambda x: 1)')} AS attention_mask
+FROM {S.encode(S.split_conv(CFG), CFG, 'split', max_length=None, append_eos=False)}""")
+def truncate_mask(spark, sf):
+    voc = PL.corpus_vocab(spark, sf)
+    e = VO.encode(PL.split_corpus(spark, sf), voc, max_length=32, append_eos=False)
+    return e.select("row_id", tk.ids_text("ids").alias("ids"),
+                    tk.ids_text(tk.attention_mask("ids")).alias("attention_mask"))
+
+
+PROMPT_ROWS = f"""SELECT row_id, substr(text, 1, {S.char_cut('text', 0.5)}) AS text
+FROM ({S.split_conv(CFG)})"""
+
+
+@query("prompt_encode", f"""
+SELECT row_id, {S.ids_str('ids')} AS prompt_ids
+FROM {S.encode(PROMPT_ROWS, CFG, max_length=tk.MAX_GEN_LEN, append_eos=False)}""")
+def prompt_encode(spark, sf):
+    voc = PL.corpus_vocab(spark, sf)
+    p = PL.split_corpus(spark, sf).select("row_id", tx.char_prompt("text", 0.5).alias("text"))
+    e = VO.encode(p, voc, max_length=tk.MAX_GEN_LEN, append_eos=False)
+    return e.select("row_id", tk.ids_text("ids").alias("prompt_ids"))
+
+
+@query("decode_ids", f"""
+WITH e AS {S.encoded_conv(CFG)},
+d AS (SELECT e.row_id, string_agg(v.token, '' ORDER BY u.pos) AS decoded
+      FROM e, unnest(e.ids) WITH ORDINALITY AS u(id, pos) JOIN {S.vocab(CFG)} v ON v.id = u.id
+      WHERE v.id >= 3 GROUP BY e.row_id)
+SELECT e.row_id, coalesce(d.decoded, '') AS decoded FROM e LEFT JOIN d ON d.row_id = e.row_id""")
+def decode_ids(spark, sf):
+    voc = PL.corpus_vocab(spark, sf)
+    e = PL.encoded_corpus(spark, sf, vocab=voc).select("row_id", "ids")
+    return VO.decode(e, voc).select("row_id", "decoded")
+
+
+@query("cut_at_eos", f"""
+SELECT row_id,
+  {S.ids_str("CASE WHEN list_position(x, 1) > 0 THEN list_slice(x, 1, list_position(x, 1) - 1) ELSE x END")} AS cut
+FROM (SELECT row_id, CASE WHEN list_position(ids, 0) > 0 THEN list_slice(ids, 1, list_position(ids, 0) - 1)
+      ELSE ids END AS x FROM {S.encoded_conv(CFG)})""")
+def cut_at_eos(spark, sf):
+    e = PL.encoded_corpus(spark, sf)
+    return e.select("row_id", tk.ids_text(tk.cut_at_pad_then_eos("ids")).alias("cut"))
+
+
+@query("token_prompt_split", f"""
+SELECT row_id, {S.ids_str('list_slice(s, 1, CAST(floor(len(s) * 0.5) AS INTEGER))')} AS prompt_ids,
+       {S.ids_str('list_slice(s, CAST(floor(len(s) * 0.5) AS INTEGER) + 1, len(s))')} AS reference_ids
+FROM (SELECT row_id, list_slice(ids, 1, len(ids) - 1) AS s FROM {S.encoded_conv(CFG)}) WHERE len(s) > 0""")
+def token_prompt_split(spark, sf):
+    e = PL.encoded_corpus(spark, sf).withColumn("s", tk.cut_at("ids", tk.EOS_ID))
+    e = e.filter(F.size("s") > 0)
+    return e.select("row_id", tk.ids_text(tk.token_prompt("s", 0.5)).alias("prompt_ids"),
+                    tk.ids_text(tk.token_reference("s", 0.5)).alias("reference_ids"))
+
+
+# ---------------------------------------------------------------- 2.4 splits, batches
+
+@query("split_hash", f"SELECT row_id, split FROM ({S.split_conv(CFG)})")
+def split_hash(spark, sf):
+    return PL.split_corpus(spark, sf).select("row_id", "split")
+
+
+def _exact_sql(cfg) -> str:
+    from lexicorn.functions.hashing import sql_hash_uniform as H
+    u1, u2 = H(cfg.seed, "row_id"), H(f"{cfg.seed}:2", "row_id")
+    val_rel = cfg.val / (cfg.val + cfg.test)
+    return f"""
+WITH c AS (SELECT row_id, {u1} AS u1, {u2} AS u2 FROM ({S.CONV})),
+n AS (SELECT count(*) AS n FROM c),
+r1 AS (SELECT c.*, row_number() OVER (ORDER BY u1, row_id) AS rk FROM c),
+sz AS (SELECT n - CAST(ceil(CAST({1.0 - cfg.train!r} AS DOUBLE) * n) AS BIGINT) AS n_train,
+              CAST(ceil(CAST({1.0 - cfg.train!r} AS DOUBLE) * n) AS BIGINT) AS n_rest FROM n),
+rest AS (SELECT r1.row_id, r1.u2, row_number() OVER (ORDER BY u2, row_id) AS rk2
+         FROM r1, sz WHERE r1.rk > sz.n_train)
+SELECT row_id, 'train' AS split FROM r1, sz WHERE rk <= n_train
+UNION ALL
+SELECT row_id, CASE WHEN rk2 <= n_rest - CAST(ceil(CAST({1.0 - val_rel!r} AS DOUBLE) * n_rest) AS BIGINT)
+                    THEN 'validation' ELSE 'test' END FROM rest, sz"""
+
+
+@query("split_exact", _exact_sql(CFG))
+def split_exact(spark, sf):
+    return SP.exact_split(src.conversations(spark, sf).select("row_id"), CFG.train, CFG.val,
+                          CFG.test, CFG.seed)
+
+
+@query("holdout", f"""
+SELECT row_id, {__import__('lexicorn.functions.hashing', fromlist=['x']).sql_hash_uniform(f"{CFG.seed}:holdout", 'row_id')} < 0.1 AS holdout
+FROM ({S.CONV})""")
+def holdout_q(spark, sf):
+    return SP.holdout(src.conversations(spark, sf).select("row_id"), 0.1, CFG.seed)
+
+
+@query("concat_splits", f"""
+SELECT split, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(len(ids)) AS BIGINT) AS n_ids
+FROM (SELECT split, ids FROM {S.encoded_conv(CFG)} WHERE split IN ('train', 'validation', 'test')
+      UNION ALL SELECT 'documents' AS split, ids FROM {S.encode(S.docs_clean(), CFG)})
+GROUP BY split""")
+def concat_splits(spark, sf):
+    voc = PL.corpus_vocab(spark, sf)
+    e = PL.encoded_corpus(spark, sf, vocab=voc)
+    parts = [e.filter(F.col("split") == s).select("split", "ids") for s in ("train", "validation", "test")]
+    d = PL.encoded_docs(spark, sf, vocab=voc).select(F.lit("documents").alias("split"), "ids")
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(d)
+    return u.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
+                                  F.sum(F.size("ids")).cast("bigint").alias("n_ids"))
+
+
+@query("semi_lookup", """
+SELECT doc_id AS row_id, n_chars FROM documents d
+WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)""")
+def semi_lookup(spark, sf):
+    d = src.table(spark, sf, "documents").select(F.col("doc_id"), "n_chars")
+    lab = src.table(spark, sf, "labels").filter(F.col("quality") == 1).select("doc_id")
+    return d.join(lab, on="doc_id", how="left_semi").select(F.col("doc_id").alias("row_id"), "n_chars")
+
+
+def _epoch_sql(seed: int, epoch: int) -> str:
+    from lexicorn.functions.hashing import sql_hash_uniform as H
+    return f"""SELECT row_id, CAST(row_number() OVER (ORDER BY {H(seed, f"'{epoch}'", 'row_id')}, row_id) - 1 AS BIGINT) AS rank
+FROM ({S.split_conv(CFG)}) WHERE split = 'train'"""
+
+
+@query("epoch_order", _epoch_sql(CFG.seed, 1))
+def epoch_order(spark, sf):
+    t = PL.split_corpus(spark, sf).filter(F.col("split") == "train").select("row_id")
+    t = t.withColumn("_k", B.epoch_key(CFG.seed, 1))
+    return B.dense_rank_by(t, ["_k", "row_id"]).select("row_id", "rank")
+
+
+EVAL_BATCH = 10
+_BATCHED_SQL = f"""SELECT row_id, ids, CAST((row_number() OVER (ORDER BY row_id) - 1) // {EVAL_BATCH} AS BIGINT) AS batch_id
+FROM {S.encode(S.split_conv(CFG), CFG, 'split', append_eos=False)} WHERE split = 'test'"""
+
+
+def _batched(spark, sf):
+    e = VO.encode(PL.split_corpus(spark, sf), PL.corpus_vocab(spark, sf),
+                  max_length=CFG.max_length, append_eos=False).filter(F.col("split") == "test")
+    return B.assign_batches(B.dense_rank_by(e, ["row_id"]), EVAL_BATCH)
+
+
+@query("batch_ids", f"SELECT row_id, batch_id FROM ({_BATCHED_SQL})")
+def batch_ids(spark, sf):
+    return _batched(spark, sf).select("row_id", "batch_id")
+
+
+_PAD_SQL = f"""SELECT row_id, batch_id, ids, max(len(ids)) OVER (PARTITION BY batch_id) AS m FROM ({_BATCHED_SQL})"""
+
+
+@query("pad_collate", f"""
+SELECT row_id, batch_id,
+  {S.ids_str("list_concat(ids, list_transform(generate_series(1, m - len(ids)), lambda x: 0))")} AS input_ids,
+  {S.ids_str("list_concat(list_transform(ids, lambda x: 1), list_transform(generate_series(1, m - len(ids)), lambda x: 0))")} AS attention_mask
+FROM ({_PAD_SQL})""")
+def pad_collate_q(spark, sf):
+    p = B.pad_collate(_batched(spark, sf))
+    return p.select("row_id", "batch_id", tk.ids_text("input_ids").alias("input_ids"),
+                    tk.ids_text("attention_mask").alias("attention_mask"))
+
+
+@query("shift_labels", f"""
+SELECT row_id, {S.ids_str("CASE WHEN m > 0 THEN list_concat(list_slice(p, 2, m), [-100]) ELSE [] END")} AS labels
+FROM (SELECT row_id, m, list_concat(ids, list_transform(generate_series(1, m - len(ids)), lambda x: 0)) AS p
+      FROM ({_PAD_SQL}))""")
+def shift_labels(spark, sf):
+    p = B.pad_collate(_batched(spark, sf))
+    return p.select("row_id", tk.ids_text("labels").alias("labels"))

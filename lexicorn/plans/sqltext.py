@@ -32,3 +32,67 @@ def decorated(expr_text: str = "text", expr_id: str = "row_id") -> str:
 
 def char_cut(expr: str, fraction: float) -> str:
     return f"CAST(floor(length({expr}) * {float(fraction)!r}) AS INTEGER)"
+
+
+# ------------------------------------------------------------------ pipeline twins
+from lexicorn.functions.hashing import sql_hash_uniform  # noqa: E402
+from lexicorn.functions.tokens import PRETOKEN_PATTERN  # noqa: E402
+from lexicorn.operators.splits import thresholds  # noqa: E402
+
+
+def split_conv(cfg) -> str:
+    t1, t2 = thresholds(cfg.train, cfg.val, cfg.test)
+    u = sql_hash_uniform(cfg.seed, "row_id")
+    return (f"SELECT row_id, {clean('text')} AS text, CASE WHEN {u} < {t1!r} THEN 'train' "
+            f"WHEN {u} < {t2!r} THEN 'validation' ELSE 'test' END AS split FROM ({CONV})")
+
+
+def pretok(expr: str) -> str:
+    return f"regexp_extract_all({expr}, {q(PRETOKEN_PATTERN)}, 0)"
+
+
+def docs_clean() -> str:
+    return f"SELECT row_id, {clean('text')} AS text FROM ({DOCS})"
+
+
+def vocab(cfg) -> str:
+    return f"""(
+  WITH vt AS (SELECT text FROM ({split_conv(cfg)}) WHERE split = 'train'
+              UNION ALL SELECT text FROM ({docs_clean()})),
+  vc AS (SELECT token, CAST(count(*) AS BIGINT) AS count
+         FROM (SELECT unnest({pretok('text')}) AS token FROM vt) GROUP BY token),
+  vtop AS (SELECT * FROM vc ORDER BY count DESC, token LIMIT {cfg.vocab_size - 3})
+  SELECT token, CAST(row_number() OVER (ORDER BY count DESC, token) + 2 AS INTEGER) AS id, count
+  FROM vtop
+  UNION ALL SELECT '<pad>', 0, 0 UNION ALL SELECT '<eos>', 1, 0 UNION ALL SELECT '<unk>', 2, 0)"""
+
+
+def encode(rows_sql: str, cfg, extra_cols: str = "", vocab_sql: str | None = None,
+           max_length: int | None | str = "cfg", append_eos: bool | None = None) -> str:
+    """rows_sql has (row_id, text, <extra_cols>) -> (row_id, <extra>, ids INTEGER[]).
+
+    ``max_length`` None means no truncation; the default takes the config's."""
+    ml = cfg.max_length if max_length == "cfg" else max_length
+    ae = cfg.append_eos if append_eos is None else append_eos
+    vs = vocab_sql or vocab(cfg)
+    ex = (", " + extra_cols) if extra_cols else ""
+    ids = "coalesce(list(CAST(coalesce(v.id, 2) AS INTEGER) ORDER BY t.pos) FILTER (WHERE t.pos IS NOT NULL), [])"
+    body = f"list_slice({ids}, 1, {ml})" if ml is not None else ids
+    if ae:
+        body = f"list_concat({body}, [CAST(1 AS INTEGER)])"
+    return f"""(
+  WITH er AS (SELECT row_id{ex}, {pretok('text')} AS toks FROM ({rows_sql})),
+  et AS (SELECT row_id, unnest(toks) AS token, unnest(generate_series(1, len(toks))) AS pos FROM er),
+  ev AS (SELECT token, id FROM {vs} WHERE id >= 3)
+  SELECT er.row_id{''.join(', er.' + c.strip() for c in extra_cols.split(',')) if extra_cols else ''},
+         {body} AS ids
+  FROM er LEFT JOIN et t ON t.row_id = er.row_id LEFT JOIN ev v ON v.token = t.token
+  GROUP BY ALL)"""
+
+
+def encoded_conv(cfg) -> str:
+    return encode(split_conv(cfg), cfg, "split")
+
+
+def ids_str(expr: str) -> str:
+    return f"array_to_string({expr}, ' ')"
