@@ -312,3 +312,102 @@ FROM (SELECT row_id, m, list_concat(ids, list_transform(generate_series(1, m - l
 def shift_labels(spark, sf):
     p = B.pad_collate(_batched(spark, sf))
     return p.select("row_id", tk.ids_text("labels").alias("labels"))
+
+
+# ---------------------------------------------------------------- 2.5 model
+from lexicorn.operators import ngram as NG  # noqa: E402
+
+LAMBDAS = NG.uniform_lambdas(CFG.order)
+
+
+def _rows_sql(split: str) -> str:
+    return f"SELECT row_id, ids FROM {S.encoded_conv(CFG)} WHERE split = '{split}'"
+
+
+_TRAIN_NG = S.ngrams(_rows_sql("train"), CFG.order)
+_TRAIN_NG2 = S.ngrams(_rows_sql("train"), CFG.order, min_count=2)
+
+
+def _enc(spark, sf):
+    return PL.encoded_corpus(spark, sf)
+
+
+def _model(spark, sf, min_count: int = 1, enc=None):
+    e = enc if enc is not None else _enc(spark, sf)
+    return NG.fit(e.filter(F.col("split") == "train"), CFG.order, CFG.vocab_size,
+                  min_count=min_count, lambdas=LAMBDAS)
+
+
+@query("ngram_counts", f"SELECT k, {S.ctx_str()} AS ctx, w, c FROM {_TRAIN_NG}")
+def ngram_counts_q(spark, sf):
+    m = _model(spark, sf)
+    return m.ngrams.select("k", tk.ids_text("ctx").alias("ctx"), "w", "c")
+
+
+@query("context_totals", f"SELECT k, {S.ctx_str()} AS ctx, n FROM {S.contexts(_TRAIN_NG)}")
+def context_totals_q(spark, sf):
+    m = _model(spark, sf)
+    return m.contexts.select("k", tk.ids_text("ctx").alias("ctx"), "n")
+
+
+@query("prune_ngrams", f"""
+SELECT g.k, {S.ctx_str('g.ctx')} AS ctx, g.w, g.c, x.n
+FROM {_TRAIN_NG2} g JOIN {S.contexts(_TRAIN_NG2)} x ON x.k = g.k AND x.ctx = g.ctx""")
+def prune_ngrams_q(spark, sf):
+    m = _model(spark, sf, min_count=2)
+    return (m.ngrams.join(m.contexts, on=["k", "ctx"])
+            .select("k", tk.ids_text("ctx").alias("ctx"), "w", "c", "n"))
+
+
+_TEST_LEVELS = S.level_probs(_rows_sql("test"), _TRAIN_NG, CFG.order)
+_TEST_P = f"(SELECT row_id, j, w, {S.mixture(LAMBDAS, CFG.vocab_size, CFG.order)} AS p FROM {_TEST_LEVELS})"
+
+
+@query("position_scores", f"SELECT row_id, CAST(j AS INTEGER) AS j, w, round(p, 9) AS p FROM {_TEST_P}")
+def position_scores_q(spark, sf):
+    enc = _enc(spark, sf)
+    m = _model(spark, sf, enc=enc)
+    sc = NG.position_scores(m, enc.filter(F.col("split") == "test"))
+    return sc.select("row_id", "j", "w", F.round("p", 9).alias("p"))
+
+
+@query("cross_entropy", f"SELECT round(avg(-ln(p)), 9) AS mean_nll FROM {_TEST_P}")
+def cross_entropy_q(spark, sf):
+    enc = _enc(spark, sf)
+    sc = NG.position_scores(_model(spark, sf, enc=enc), enc.filter(F.col("split") == "test"))
+    return sc.agg(F.round(F.avg("nll"), 9).alias("mean_nll"))
+
+
+@query("perplexity", f"""
+SELECT round(sum(-ln(p)), 9) AS sum_nll, CAST(count(*) AS BIGINT) AS n_tokens,
+       round(CASE WHEN count(*) > 0 THEN exp(sum(-ln(p)) / count(*)) ELSE 'inf'::DOUBLE END, 9) AS perplexity
+FROM {_TEST_P}""")
+def perplexity_q(spark, sf):
+    enc = _enc(spark, sf)
+    sc = NG.position_scores(_model(spark, sf, enc=enc), enc.filter(F.col("split") == "test"))
+    return NG.perplexity(sc).select(F.round("sum_nll", 9).alias("sum_nll"),
+                                    F.col("n_tokens").cast("bigint").alias("n_tokens"),
+                                    F.round("perplexity", 9).alias("perplexity"))
+
+
+def _em_sql() -> str:
+    lv = S.level_probs(_rows_sql("validation"), _TRAIN_NG, CFG.order)
+    mix = S.mixture(LAMBDAS, CFG.vocab_size, CFG.order)
+    r = [f"avg({LAMBDAS[0] / CFG.vocab_size!r} / p) AS r0"] + [
+        f"avg({LAMBDAS[k]!r} * p{k} / p) AS r{k}" for k in range(1, CFG.order + 1)]
+    tot = " + ".join(f"r{k}" for k in range(CFG.order + 1))
+    rows = " UNION ALL ".join(
+        f"SELECT {k} AS level, round(r{k} / ({tot}), 9) AS weight FROM agg" for k in range(CFG.order + 1))
+    return f"""WITH lv AS (SELECT *, {mix} AS p FROM {lv}),
+agg AS (SELECT {', '.join(r)} FROM lv)
+SELECT CAST(level AS INTEGER) AS level, weight FROM ({rows})"""
+
+
+@query("em_step", _em_sql())
+def em_step_q(spark, sf):
+    enc = _enc(spark, sf)
+    m = _model(spark, sf, enc=enc)
+    lv = NG.level_probabilities(m, enc.filter(F.col("split") == "validation"))
+    new, _ = NG.em_update(m, lv, lr=1.0)
+    return spark.createDataFrame([(k, round(x, 9)) for k, x in enumerate(new)],
+                                 "level int, weight double")

@@ -96,3 +96,58 @@ def encoded_conv(cfg) -> str:
 
 def ids_str(expr: str) -> str:
     return f"array_to_string({expr}, ' ')"
+
+
+# ------------------------------------------------------------------ n-gram twins
+
+def events(rows_sql: str, order: int, min_k: int = 1) -> str:
+    """rows_sql has (row_id, ids) -> (row_id, j, k, ctx, w)."""
+    return f"""(SELECT row_id, j, k, list_slice(ids, j - k + 1, j - 1) AS ctx, ids[j] AS w
+  FROM (SELECT row_id, ids, unnest(generate_series(2, len(ids))) AS j FROM ({rows_sql})) ev0,
+       range({int(min_k)}, {int(order) + 1}) r(k)
+  WHERE k <= j)"""
+
+
+def ngrams(rows_sql: str, order: int, min_count: int = 1) -> str:
+    having = f" HAVING k = 1 OR count(*) >= {int(min_count)}" if min_count > 1 else ""
+    return f"""(SELECT CAST(k AS INTEGER) AS k, ctx, w, CAST(count(*) AS BIGINT) AS c
+  FROM {events(rows_sql, order)} GROUP BY k, ctx, w{having})"""
+
+
+def contexts(ngrams_sql: str) -> str:
+    return f"(SELECT k, ctx, CAST(sum(c) AS BIGINT) AS n FROM {ngrams_sql} GROUP BY k, ctx)"
+
+
+def level_probs(eval_sql: str, ngrams_sql: str, order: int) -> str:
+    """(row_id, j, w, p1..pN) -- same back-off fill as the Spark operator."""
+    ctx_sql = contexts(ngrams_sql)
+    n1 = f"(SELECT greatest(sum(c), 1) FROM {ngrams_sql} WHERE k = 1)"
+    cols = ", ".join(
+        f"max(CASE WHEN e.k = {k} THEN cx.n END) AS n{k}, max(CASE WHEN e.k = {k} THEN ng.c END) AS c{k}"
+        for k in range(2, order + 1))
+    if order >= 2:
+        pos = f"""(SELECT e.row_id, e.j, first(e.w) AS w, {cols}
+      FROM {events(eval_sql, order, 2)} e
+      LEFT JOIN {ctx_sql} cx ON cx.k = e.k AND cx.ctx = e.ctx
+      LEFT JOIN {ngrams_sql} ng ON ng.k = e.k AND ng.ctx = e.ctx AND ng.w = e.w
+      GROUP BY e.row_id, e.j)"""
+    else:
+        pos = f"(SELECT row_id, j, w FROM {events(eval_sql, 1)})"
+    p = f"(CAST(coalesce(u.c, 0) AS DOUBLE) / CAST({n1} AS DOUBLE))"
+    exprs = [f"{p} AS p1"]
+    for k in range(2, order + 1):
+        p = f"(CASE WHEN pos.n{k} IS NOT NULL THEN CAST(coalesce(pos.c{k}, 0) AS DOUBLE) / pos.n{k} ELSE {p} END)"
+        exprs.append(f"{p} AS p{k}")
+    return f"""(SELECT pos.row_id, pos.j, pos.w, {', '.join(exprs)}
+  FROM {pos} pos LEFT JOIN (SELECT w, c FROM {ngrams_sql} WHERE k = 1) u ON u.w = pos.w)"""
+
+
+def mixture(lambdas, vocab_size: int, order: int) -> str:
+    expr = f"{float(lambdas[0]) / float(vocab_size)!r}"
+    for k in range(1, order + 1):
+        expr = f"({expr} + {float(lambdas[k])!r} * p{k})"
+    return expr
+
+
+def ctx_str(expr: str = "ctx") -> str:
+    return f"array_to_string({expr}, ' ')"
