@@ -411,3 +411,183 @@ def em_step_q(spark, sf):
     new, _ = NG.em_update(m, lv, lr=1.0)
     return spark.createDataFrame([(k, round(x, 9)) for k, x in enumerate(new)],
                                  "level int, weight double")
+
+
+# ---------------------------------------------------------------- 2.7 ROUGE
+from lexicorn.operators import distribution as DI  # noqa: E402
+from lexicorn.operators import generate as GE  # noqa: E402
+from lexicorn.operators import rouge as RG  # noqa: E402
+from lexicorn.operators.stem import stem_tokens  # noqa: E402
+from lexicorn.plans import evaluate as EV  # noqa: E402
+
+_HALVES_SQL = f"""SELECT row_id, {S.rouge_tok(f"substr(text, 1, {S.char_cut('text', 0.5)})")} AS rt,
+       {S.rouge_tok(f"substr(text, {S.char_cut('text', 0.5)} + 1)")} AS ht FROM ({S.split_conv(CFG)})"""
+
+
+def _halves(spark, sf):
+    c = PL.split_corpus(spark, sf)
+    return c.select("row_id", tk.rouge_tokens(tx.char_prompt("text")).alias("rt"),
+                    tk.rouge_tokens(tx.char_reference("text")).alias("ht"))
+
+
+@query("rouge_tokens", f"""
+SELECT row_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens
+FROM (SELECT row_id, {S.rouge_tok('text')} AS t FROM ({S.split_conv(CFG)}))""")
+def rouge_tokens_q(spark, sf):
+    t = tk.rouge_tokens("text")
+    return PL.split_corpus(spark, sf).select(
+        "row_id", F.size(t).cast("bigint").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
+
+
+@query("lcs_length", f"SELECT row_id, CAST({S.lcs('rt', 'ht')} AS INTEGER) AS lcs FROM ({_HALVES_SQL})")
+def lcs_length_q(spark, sf):
+    return _halves(spark, sf).select("row_id", RG.lcs_length("rt", "ht").alias("lcs"))
+
+
+_F1_SQL = f"""SELECT row_id, round({S.f1('l', 'len(rt)', 'len(ht)')}, 9) AS rouge_l
+FROM (SELECT row_id, rt, ht, {S.lcs('rt', 'ht')} AS l FROM ({_HALVES_SQL}))"""
+
+
+@query("rouge_l", _F1_SQL)
+def rouge_l_q(spark, sf):
+    h = _halves(spark, sf)
+    f = RG.f1_from_lcs(RG.lcs_length("rt", "ht"), F.size("rt"), F.size("ht"))
+    return h.select("row_id", F.round(f, 9).alias("rouge_l"))
+
+
+@query("rouge_l_native", _F1_SQL)
+def rouge_l_native_q(spark, sf):
+    h = _halves(spark, sf)
+    f = RG.f1_from_lcs(RG.lcs_length_native("rt", "ht"), F.size("rt"), F.size("ht"))
+    return h.select("row_id", F.round(f, 9).alias("rouge_l"))
+
+
+@query("rouge_mean", f"SELECT round(coalesce(avg(rouge_l), 0.0), 9) AS rouge_l FROM ({_F1_SQL})")
+def rouge_mean_q(spark, sf):
+    c = PL.split_corpus(spark, sf)
+    d = c.select("row_id", tx.char_prompt("text").alias("hyp"), tx.char_reference("text").alias("ref"))
+    per = RG.rouge_l(d, "ref", "hyp", stem=False)
+    return per.agg(F.round(F.coalesce(F.avg("rouge_l"), F.lit(0.0)), 9).alias("rouge_l"))
+
+
+@query("stem_words")
+def stem_words_q(spark, sf):
+    w = PL.split_corpus(spark, sf).select(F.explode(tk.rouge_tokens("text")).alias("word")).distinct()
+    return stem_tokens(w.withColumn("s", F.array("word")), "s").select("word", F.col("s")[0].alias("stem"))
+
+
+@query("rouge_l_stemmed")
+def rouge_l_stemmed_q(spark, sf):
+    c = PL.split_corpus(spark, sf)
+    d = c.select("row_id", tx.char_prompt("text").alias("hyp"), tx.char_reference("text").alias("ref"))
+    return RG.rouge_l(d, "ref", "hyp", stem=True).select("row_id", F.round("rouge_l", 9).alias("rouge_l"))
+
+
+# ---------------------------------------------------------------- 2.6 distributions
+_BIGRAM_SQL = f"""SELECT array_to_string(g.ctx, ' ') AS ctx, g.w AS token, CAST(g.c AS DOUBLE) / x.n AS p
+FROM {_TRAIN_NG} g JOIN {S.contexts(_TRAIN_NG)} x ON x.k = g.k AND x.ctx = g.ctx WHERE g.k = 2"""
+
+
+def _bigram(spark, sf):
+    m = _model(spark, sf)
+    g = m.ngrams.filter(F.col("k") == 2).join(m.contexts.filter(F.col("k") == 2), on=["k", "ctx"])
+    return g.select(tk.ids_text("ctx").alias("ctx"), F.col("w").alias("token"),
+                    (F.col("c").cast("double") / F.col("n")).alias("p"))
+
+
+_TEMP_SQL = f"""SELECT ctx, token, q / sum(q) OVER (PARTITION BY ctx) AS p FROM
+(SELECT ctx, token, pow(p / max(p) OVER (PARTITION BY ctx), {1.0 / 0.7!r}) AS q FROM ({_BIGRAM_SQL}))"""
+
+
+@query("temperature", f"SELECT ctx, token, round(p, 9) AS p FROM ({_TEMP_SQL})")
+def temperature_q(spark, sf):
+    return DI.apply_temperature(_bigram(spark, sf), 0.7).select("ctx", "token", F.round("p", 9).alias("p"))
+
+
+_TOPP_SQL = f"""SELECT ctx, token, p FROM (SELECT ctx, token, p,
+  sum(p) OVER (PARTITION BY ctx ORDER BY p DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+  row_number() OVER (PARTITION BY ctx ORDER BY p DESC, token) AS rn FROM ({_BIGRAM_SQL}))
+WHERE cum <= 0.9 OR rn = 1"""
+
+
+@query("top_p", f"SELECT ctx, token, round(p, 9) AS p FROM ({_TOPP_SQL})")
+def top_p_q(spark, sf):
+    return DI.top_p_filter(_bigram(spark, sf), 0.9).select("ctx", "token", F.round("p", 9).alias("p"))
+
+
+_RENORM_SQL = f"SELECT ctx, token, p / sum(p) OVER (PARTITION BY ctx) AS p FROM ({_TOPP_SQL})"
+
+
+@query("renormalise", f"SELECT ctx, token, round(p, 9) AS p FROM ({_RENORM_SQL})")
+def renormalise_q(spark, sf):
+    d = DI.renormalise(DI.top_p_filter(_bigram(spark, sf), 0.9))
+    return d.select("ctx", "token", F.round("p", 9).alias("p"))
+
+
+def _draw_sql() -> str:
+    from lexicorn.functions.hashing import sql_hash_uniform as H
+    return f"""SELECT ctx, token FROM (SELECT ctx, token, row_number() OVER (PARTITION BY ctx ORDER BY rn) AS pick
+  FROM (SELECT ctx, token, {H(CFG.seed, 'ctx')} AS u,
+     sum(p) OVER (PARTITION BY ctx ORDER BY p DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+     sum(p) OVER (PARTITION BY ctx) AS tot,
+     row_number() OVER (PARTITION BY ctx ORDER BY p DESC, token) AS rn FROM ({_RENORM_SQL}))
+  WHERE cum > u OR cum >= tot) WHERE pick = 1"""
+
+
+@query("draw_token", _draw_sql())
+def draw_token_q(spark, sf):
+    d = DI.renormalise(DI.top_p_filter(_bigram(spark, sf), 0.9))
+    return DI.draw(d, CFG.seed)
+
+
+# ---------------------------------------------------------------- 2.6 generation
+_PROMPTS_SQL = f"""SELECT row_id AS seq_id, list_slice(s, 1, CAST(floor(len(s) * 0.5) AS INTEGER)) AS prompt_ids,
+  list_slice(s, CAST(floor(len(s) * 0.5) AS INTEGER) + 1, len(s)) AS ref_ids
+FROM (SELECT row_id, {S.cut_eos("(CASE WHEN list_position(ids, 0) > 0 THEN list_slice(ids, 1, list_position(ids, 0) - 1) ELSE ids END)")} AS s
+      FROM {S.encoded_conv(CFG)} WHERE split = 'test') WHERE len(s) > 0"""
+
+
+def _gen_sql(rounds: int) -> str:
+    return S.greedy_rounds(_PROMPTS_SQL, _TRAIN_NG, CFG.order, LAMBDAS, CFG.vocab_size, rounds)
+
+
+def _prompts(enc):
+    seq = (enc.filter(F.col("split") == "test")
+           .select("row_id", tk.cut_at_pad_then_eos("ids").alias("s")).filter(F.size("s") > 0))
+    return seq.select(F.col("row_id").alias("seq_id"), tk.token_prompt("s").alias("prompt_ids"),
+                      tk.token_reference("s").alias("ref_ids"))
+
+
+@query("next_token", _gen_sql(1) + "\nSELECT seq_id AS row_id, CAST(ids[-1] AS INTEGER) AS next FROM g1 WHERE n_new = 1")
+def next_token_q(spark, sf):
+    enc = _enc(spark, sf)
+    g = GE.generate(_model(spark, sf, enc=enc), _prompts(enc), max_new=1)
+    return g.filter(F.size("gen_ids") == F.size("prompt_ids") + 1).select(
+        F.col("seq_id").alias("row_id"), F.element_at("gen_ids", -1).cast("int").alias("next"))
+
+
+@query("generate_greedy", _gen_sql(20) + f"\nSELECT seq_id AS row_id, {S.ids_str('ids')} AS gen_ids FROM g20")
+def generate_greedy_q(spark, sf):
+    enc = _enc(spark, sf)
+    g = GE.generate(_model(spark, sf, enc=enc), _prompts(enc), max_new=20)
+    return g.select(F.col("seq_id").alias("row_id"), tk.ids_text("gen_ids").alias("gen_ids"))
+
+
+@query("n_words", _gen_sql(5) + f"""
+SELECT row_id, trim(words) AS words FROM {S.decode(
+    f"SELECT seq_id AS row_id, {S.continuation()} AS cont FROM g5", "x.cont", S.vocab(CFG), "words")}""")
+def n_words_q(spark, sf):
+    enc = _enc(spark, sf)
+    voc = PL.corpus_vocab(spark, sf)
+    g = GE.generate(_model(spark, sf, enc=enc), _prompts(enc), max_new=5)
+    g = g.select(F.col("seq_id").alias("row_id"), GE.continuation().alias("cont"))
+    return VO.decode(g, voc, ids_col="cont", out_col="words").select("row_id", F.trim("words").alias("words"))
+
+
+@query("generate_sampled")
+def generate_sampled_q(spark, sf):
+    enc = _enc(spark, sf)
+    g = GE.generate(_model(spark, sf, enc=enc), _prompts(enc), max_new=20, sampling=True,
+                    temperature=0.8, top_p=0.9, seed=CFG.seed)
+    return g.select(F.col("seq_id").alias("row_id"),
+                    (F.size("gen_ids") - F.size("prompt_ids")).cast("int").alias("n_new"))

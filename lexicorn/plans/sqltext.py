@@ -151,3 +151,79 @@ def mixture(lambdas, vocab_size: int, order: int) -> str:
 
 def ctx_str(expr: str = "ctx") -> str:
     return f"array_to_string({expr}, ' ')"
+
+
+# ------------------------------------------------------------------ generation twins
+
+def greedy_rounds(prompts_sql: str, ngrams_sql: str, order: int, lambdas, vocab_size: int,
+                  rounds: int, eos_id: int = 1) -> str:
+    """WITH-chain for greedy generation; prompts_sql has (seq_id, prompt_ids). Ends with g{rounds}."""
+    N = order
+    n1 = f"(SELECT CAST(greatest(sum(c), 1) AS DOUBLE) FROM ng WHERE k = 1)"
+    top = "(SELECT w FROM ng WHERE k = 1 ORDER BY c DESC, w LIMIT 1)"
+    parts = [f"ng AS MATERIALIZED (SELECT * FROM {ngrams_sql})",
+             f"g0 AS (SELECT seq_id, prompt_ids, CASE WHEN len(prompt_ids) = 0 THEN [CAST({eos_id} AS INTEGER)] "
+             f"ELSE prompt_ids END AS ids, 0 AS n_new, len(prompt_ids) = 0 AS done FROM ({prompts_sql}))"]
+    for r in range(1, rounds + 1):
+        p = f"(CAST(coalesce(u.c, 0) AS DOUBLE) / {n1})"
+        score = f"({float(lambdas[0]) / float(vocab_size)!r} + {float(lambdas[1])!r} * {p})"
+        for k in range(2, N + 1):
+            p = f"(CASE WHEN t.n{k} IS NOT NULL THEN CAST(coalesce(wc.c{k}, 0) AS DOUBLE) / t.n{k} ELSE {p} END)"
+            score = f"({score} + {float(lambdas[k])!r} * {p})"
+        tn = ", ".join(f"sum(CASE WHEN k = {k} THEN c END) AS n{k}" for k in range(2, N + 1))
+        wcs = ", ".join(f"max(CASE WHEN k = {k} THEN c END) AS c{k}" for k in range(2, N + 1))
+        parts.append(f"""a{r} AS (SELECT seq_id, ids, list_slice(ids, greatest(len(ids) - {N - 1} + 1, 1), len(ids)) AS ck
+      FROM g{r - 1} WHERE NOT done),
+d{r} AS (SELECT DISTINCT ck FROM a{r}),
+l{r} AS (SELECT ck, k, list_slice(ck, len(ck) - k + 2, len(ck)) AS hk FROM d{r}, range(2, {N + 1}) rr(k)
+      WHERE len(ck) >= k - 1),
+c{r} AS (SELECT l.ck, l.k, ng.w, ng.c FROM l{r} l JOIN ng ON ng.k = l.k AND ng.ctx = l.hk),
+t{r} AS (SELECT ck, {tn} FROM c{r} GROUP BY ck),
+w{r} AS (SELECT ck, w, {wcs} FROM (SELECT ck, k, w, c FROM c{r}
+      UNION ALL SELECT ck, 0, {top}, NULL FROM d{r}) GROUP BY ck, w),
+s{r} AS (SELECT wc.ck, wc.w, {score} AS score FROM w{r} wc LEFT JOIN t{r} t ON t.ck = wc.ck
+      LEFT JOIN (SELECT w, c FROM ng WHERE k = 1) u ON u.w = wc.w),
+b{r} AS (SELECT ck, w FROM (SELECT ck, w, row_number() OVER (PARTITION BY ck ORDER BY score DESC, w) AS rn
+      FROM s{r}) WHERE rn = 1),
+g{r} AS (SELECT g.seq_id, g.prompt_ids,
+      CASE WHEN g.done THEN g.ids ELSE list_append(g.ids, b.w) END AS ids,
+      CASE WHEN g.done THEN g.n_new ELSE g.n_new + 1 END AS n_new,
+      g.done OR b.w = {eos_id} OR g.n_new + 1 >= {rounds} AS done
+      FROM g{r - 1} g LEFT JOIN a{r} a ON a.seq_id = g.seq_id LEFT JOIN b{r} b ON b.ck = a.ck)""")
+    return "WITH " + ",\n".join(parts)
+
+
+def continuation(gen: str = "ids", prompt: str = "prompt_ids") -> str:
+    return f"list_slice({gen}, len({prompt}) + 1, len({gen}))"
+
+
+def cut_eos(expr: str, eos_id: int = 1) -> str:
+    return (f"(CASE WHEN list_position({expr}, {eos_id}) > 0 THEN "
+            f"list_slice({expr}, 1, list_position({expr}, {eos_id}) - 1) ELSE {expr} END)")
+
+
+def decode(rows_sql: str, ids_expr: str, vocab_sql: str, out: str) -> str:
+    """rows_sql has row_id; returns (row_id, out) with reserved ids skipped."""
+    return f"""(SELECT x.row_id, coalesce(string_agg(v.token, '' ORDER BY u.pos), '') AS {out}
+  FROM ({rows_sql}) x LEFT JOIN unnest({ids_expr}) WITH ORDINALITY AS u(id, pos) ON TRUE
+  LEFT JOIN {vocab_sql} v ON v.id = u.id AND v.id >= 3
+  GROUP BY x.row_id)"""
+
+
+def rouge_tok(expr: str) -> str:
+    return (f"list_filter(string_split(trim(regexp_replace(lower({expr}), '[^a-z0-9]+', ' ', 'g')), ' '),"
+            f" lambda x: x <> '')")
+
+
+def lcs(a: str, b: str) -> str:
+    inner = (f"list_reduce(generate_series(1, len({b})), lambda cur, j: list_append(cur, CASE WHEN x = {b}[j] "
+             f"THEN prev[j] + 1 ELSE greatest(prev[j + 1], cur[j]) END), [0])")
+    return (f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE "
+            f"list_reduce({a}, lambda prev, x: {inner}, list_transform(generate_series(0, len({b})), lambda y: 0))[-1] END)")
+
+
+def f1(lcs_expr: str, n_ref: str, n_hyp: str) -> str:
+    p = f"(CAST({lcs_expr} AS DOUBLE) / {n_hyp})"
+    r = f"(CAST({lcs_expr} AS DOUBLE) / {n_ref})"
+    return (f"(CASE WHEN {n_ref} = 0 OR {n_hyp} = 0 THEN 0.0 WHEN {p} + {r} > 0 "
+            f"THEN 2.0 * {p} * {r} / ({p} + {r}) ELSE 0.0 END)")
