@@ -15,7 +15,7 @@ helper rebuilds the V-vector from the broadcast unigram vector (size bounded by
 the vocabulary cap), applies temperature, the top-p cut (keep while cumulative
 <= top_p, always the first) and draws with the row's hashed uniform.
 
-Lineage is cut with ``checkpoint()`` every ``checkpoint_every`` rounds.
+Lineage is cut with ``checkpoint()`` every ``checkpoint_every`` rounds (default: each).
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def _sample_rows(pdf: pd.DataFrame, p1: np.ndarray, lam: list[float], order: int
 
 
 def _sampled_pick(model: NGramModel, act: DataFrame, n_ctx: int, rnd: int, seed: int,
-                  temperature: float, top_p: float) -> DataFrame:
+                  temperature: float, top_p: float, p1) -> DataFrame:
     dc = act.select("ck").distinct()
     sc = score_candidates(model, dc, n_ctx, None)
     per_ctx = (sc.groupBy("ck").agg(F.collect_list(F.struct("w", "p")).alias("wp"),
@@ -139,7 +139,6 @@ def _sampled_pick(model: NGramModel, act: DataFrame, n_ctx: int, rnd: int, seed:
                .select("ck", F.col("wp.w").alias("cw"), F.col("wp.p").alias("cp"), "seen2"))
     rows = (act.select("seq_id", "ck", hash_uniform(seed, "seq_id", F.lit(rnd)).alias("u"))
             .join(per_ctx, on="ck", how="left"))
-    p1 = model.ngrams.sparkSession.sparkContext.broadcast(_background(model))
     lam, order = list(model.lambdas), model.order
 
     def draw(it):
@@ -155,14 +154,17 @@ def _sampled_pick(model: NGramModel, act: DataFrame, n_ctx: int, rnd: int, seed:
 
 def generate(model: NGramModel, prompts: DataFrame, max_new: int = MAX_GEN_LEN,
              sampling: bool = False, temperature: float = 1.0, top_p: float = 0.9,
-             seed: int = 42, eos_id: int | None = EOS_ID, checkpoint_every: int = 5,
+             seed: int = 42, eos_id: int | None = EOS_ID, checkpoint_every: int = 1,
              id_col: str = "seq_id", ids_col: str = "prompt_ids") -> DataFrame:
     """(seq_id, prompt_ids, gen_ids): prompt + up to ``max_new`` tokens, stopping after EOS.
 
     An empty prompt yields ``[eos]`` (or ``[]`` without an EOS id), as in the reference.
     """
     N = model.order
+    model.materialize()
     top = top_unigram(model) if not sampling else None
+    # unigram vector: V doubles, bounded by the vocabulary cap; broadcast once per call
+    p1 = model.ngrams.sparkSession.sparkContext.broadcast(_background(model)) if sampling else None
     state = prompts.select(F.col(id_col).alias("seq_id"), F.col(ids_col).alias("prompt_ids"))
     empty = F.size("prompt_ids") == 0
     state = state.select(
@@ -178,19 +180,23 @@ def generate(model: NGramModel, prompts: DataFrame, max_new: int = MAX_GEN_LEN,
         if n_act == 0:
             break
         if sampling:
-            pick = _sampled_pick(model, act, n_act, rnd, seed, temperature, top_p)
-            upd = act.join(pick, on="seq_id", how="inner")
+            pick = _sampled_pick(model, act, n_act, rnd, seed, temperature, top_p, p1)
+            upd = state.join(pick, on="seq_id", how="left")
         else:
             pick = _greedy_pick(model, act, n_act, top)
-            upd = act.join(pick, on="ck", how="inner")
+            upd = (state.withColumn("ck", F.when(~F.col("done"), context_key("ids", N)))
+                   .join(pick, on="ck", how="left"))
+        live = ~F.col("done")
         hit_eos = (F.col("next") == F.lit(eos_id)) if eos_id is not None else F.lit(False)
-        upd = upd.select("seq_id", "prompt_ids",
-                         F.concat("ids", F.array(F.col("next"))).alias("ids"),
-                         (F.col("n_new") + 1).alias("n_new"),
-                         (hit_eos | (F.col("n_new") + 1 >= F.lit(max_new))).alias("done"))
-        state = state.filter(F.col("done")).unionByName(upd)
-        if rnd % checkpoint_every == 0:
-            state = cut_lineage(state)
+        new_n = F.col("n_new") + 1
+        state = upd.select(
+            "seq_id", "prompt_ids",
+            F.when(live, F.concat("ids", F.array(F.col("next")))).otherwise(F.col("ids")).alias("ids"),
+            F.when(live, new_n).otherwise(F.col("n_new")).alias("n_new"),
+            (F.col("done") | hit_eos | (new_n >= F.lit(max_new))).alias("done"))
+        # each round reads the previous state twice (picks and update): cut the lineage
+        # every round so plans stay linear; the state is small (active rows x <= 40 ids)
+        state = cut_lineage(state) if rnd % checkpoint_every == 0 else state.cache()
     return state.select("seq_id", "prompt_ids", F.col("ids").alias("gen_ids"))
 
 

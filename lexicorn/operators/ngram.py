@@ -58,20 +58,27 @@ class NGramModel:
 
     def with_lambdas(self, lambdas: list[float]) -> "NGramModel":
         return NGramModel(self.ngrams, self.contexts, self.order, self.vocab_size,
-                          list(lambdas), self.n_unigrams)
+                          list(lambdas), self.n_unigrams, self.materialized)
 
     @property
     def unigrams(self) -> DataFrame:
         return self.ngrams.filter(F.col("k") == 1).select("w", F.col("c").alias("c1"))
 
-    def cache(self) -> "NGramModel":
-        self.ngrams = self.ngrams.cache()
-        self.contexts = self.contexts.cache()
+    materialized: bool = False
+
+    def materialize(self) -> "NGramModel":
+        """Write the fitted tables once (reliable checkpoint) so later rounds reuse them.
+
+        The n-gram table is hash-partitioned on its lookup key ``(k, ctx)`` first, so
+        per-round lookups shuffle only the small side."""
+        if not self.materialized:
+            from lexicorn.session import cut_lineage
+            self.ngrams = cut_lineage(self.ngrams.repartition("k", "ctx"))
+            self.contexts = context_totals(self.ngrams)
+            self.contexts = cut_lineage(self.contexts)
+            self.materialized = True
         return self
 
-    def unpersist(self) -> None:
-        self.ngrams.unpersist()
-        self.contexts.unpersist()
 
 
 def uniform_lambdas(order: int) -> list[float]:
