@@ -16,21 +16,33 @@ from pyspark.sql import types as T
 from lexicorn.functions.tokens import rouge_tokens
 
 
-def _lcs(a, b) -> int:
+def _lcs_dp(a, b) -> int:
+    """Plain O(n*m) dynamic programme (reference implementation for tests)."""
     if a is None or b is None or len(a) == 0 or len(b) == 0:
         return 0
-    a = list(a)
-    b = list(b)
-    prev = np.zeros(len(b) + 1, dtype=np.int32)
+    prev = [0] * (len(b) + 1)
     for x in a:
-        eq = np.fromiter((1 if x == y else 0 for y in b), dtype=np.int32, count=len(b))
-        cur = np.zeros_like(prev)
-        diag = prev[:-1] + eq
-        for j in range(1, len(b) + 1):
-            v = diag[j - 1] if eq[j - 1] else prev[j]
-            cur[j] = v if v > cur[j - 1] else cur[j - 1]
+        cur = [0]
+        for j, y in enumerate(b, start=1):
+            cur.append(prev[j - 1] + 1 if x == y else max(prev[j], cur[j - 1]))
         prev = cur
-    return int(prev[-1])
+    return prev[-1]
+
+
+def _lcs(a, b) -> int:
+    """Bit-parallel LCS length (Hyyro 2004): one big-int update per token of ``b``."""
+    if a is None or b is None or len(a) == 0 or len(b) == 0:
+        return 0
+    masks: dict = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | (1 << i)
+    n = len(a)
+    full = (1 << n) - 1
+    v = full
+    for y in b:
+        u = v & masks.get(y, 0)
+        v = ((v + u) | (v - u)) & full
+    return n - bin(v).count("1")
 
 
 @F.pandas_udf(T.IntegerType())

@@ -591,3 +591,133 @@ def generate_sampled_q(spark, sf):
                     temperature=0.8, top_p=0.9, seed=CFG.seed)
     return g.select(F.col("seq_id").alias("row_id"),
                     (F.size("gen_ids") - F.size("prompt_ids")).cast("int").alias("n_new"))
+
+
+# ---------------------------------------------------------------- 2.7 evaluation (E8, E9)
+def _eval_tokens_sql() -> str:
+    g = _gen_sql(20)
+    cont = S.cut_eos(S.continuation())
+    voc = S.vocab(CFG)
+    return g + f""",
+gd AS {S.decode(f"SELECT seq_id AS row_id, {cont} AS g FROM g20", "x.g", voc, "prediction")},
+rd AS {S.decode(f"SELECT seq_id AS row_id, ref_ids FROM ({_PROMPTS_SQL})", "x.ref_ids", voc, "reference")},
+tt AS (SELECT {S.rouge_tok('rd.reference')} AS rt, {S.rouge_tok('gd.prediction')} AS ht
+       FROM gd JOIN rd ON rd.row_id = gd.row_id),
+ll AS (SELECT rt, ht, {S.lcs('rt', 'ht')} AS l FROM tt),
+pp AS (SELECT exp(sum(-ln(p)) / count(*)) AS perplexity FROM {_TEST_P})
+SELECT round(coalesce(avg({S.f1('l', 'len(rt)', 'len(ht)')}), 0.0), 9) AS rouge_l,
+       CAST(count(*) AS BIGINT) AS n_examples, round(any_value(pp.perplexity), 9) AS perplexity
+FROM ll, pp"""
+
+
+@query("evaluate_tokens", _eval_tokens_sql())
+def evaluate_tokens_q(spark, sf):
+    enc = _enc(spark, sf)
+    voc = PL.corpus_vocab(spark, sf)
+    summary, _ = EV.evaluate_tokens(_model(spark, sf, enc=enc), enc.filter(F.col("split") == "test"),
+                                    voc, stem=False)
+    return summary.select(F.round("rouge_l", 9).alias("rouge_l"),
+                          F.col("n_examples").cast("bigint").alias("n_examples"),
+                          F.round("perplexity", 9).alias("perplexity"))
+
+
+_CHAR_PROMPTS = f"""SELECT row_id, substr(text, 1, {S.char_cut('text', 0.5)}) AS text,
+  substr(text, {S.char_cut('text', 0.5)} + 1) AS reference FROM ({S.split_conv(CFG)}) WHERE split = 'test'"""
+
+
+def _complete_sql() -> str:
+    prompts = f"SELECT row_id AS seq_id, ids AS prompt_ids FROM {S.encode(_CHAR_PROMPTS, CFG, max_length=None, append_eos=False)}"
+    g = S.greedy_rounds(prompts, _TRAIN_NG, CFG.order, LAMBDAS, CFG.vocab_size, 20)
+    cont = S.cut_eos(S.continuation())
+    return g + f""",
+gd AS {S.decode(f"SELECT seq_id AS row_id, {cont} AS g FROM g20", "x.g", S.vocab(CFG), "prediction")},
+cp AS (SELECT c.row_id, c.text AS prompt, c.reference, gd.prediction FROM ({_CHAR_PROMPTS}) c JOIN gd ON gd.row_id = c.row_id)"""
+
+
+@query("complete_set", _complete_sql() + "\nSELECT row_id, prompt, prediction FROM cp")
+def complete_set_q(spark, sf):
+    enc = _enc(spark, sf)
+    voc = PL.corpus_vocab(spark, sf)
+    texts = PL.split_corpus(spark, sf).filter(F.col("split") == "test").select("row_id", "text")
+    c = EV.completions_by_chars(_model(spark, sf, enc=enc), texts, voc)
+    return c.select("row_id", "prompt", "prediction")
+
+
+@query("evaluate_chars", _complete_sql() + f""",
+ll AS (SELECT rt, ht, {S.lcs('rt', 'ht')} AS l FROM (SELECT {S.rouge_tok('reference')} AS rt,
+       {S.rouge_tok('prediction')} AS ht FROM cp))
+SELECT round(coalesce(avg({S.f1('l', 'len(rt)', 'len(ht)')}), 0.0), 9) AS rouge_l FROM ll""")
+def evaluate_chars_q(spark, sf):
+    enc = _enc(spark, sf)
+    voc = PL.corpus_vocab(spark, sf)
+    texts = PL.split_corpus(spark, sf).filter(F.col("split") == "test").select("row_id", "text")
+    avg, _ = EV.evaluate_chars(_model(spark, sf, enc=enc), texts, voc, stem=False)
+    return avg.select(F.round("rouge_l", 9).alias("rouge_l"))
+
+
+# ---------------------------------------------------------------- 2.1 / 2.5 model store, training
+from lexicorn.plans import experiment as XP  # noqa: E402
+from lexicorn.sources import store as ST  # noqa: E402
+
+
+@query("model_roundtrip", f"""
+SELECT k, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(c) AS BIGINT) AS total FROM {_TRAIN_NG} GROUP BY k""")
+def model_roundtrip_q(spark, sf):
+    import tempfile
+    from lexicorn.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/model-{next(tempfile._get_candidate_names())}"
+    ST.save_model(_model(spark, sf), path, tag="best")
+    m = ST.load_model(spark, path)
+    return m.ngrams.groupBy("k").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
+                                     F.sum("c").cast("bigint").alias("total"))
+
+
+_SMALL_GRID = XP.param_grid(lr=[0.5], order=[2, 3], min_count=[1], epochs=[2])
+
+
+@query("train_history")
+def train_history_q(spark, sf):
+    enc, voc = XP.prepare(spark, sf)
+    base = NG.fit(enc.filter((F.col("split") == "train") & ~F.col("holdout")), CFG.order, CFG.vocab_size)
+    res = XP.train(base, enc.filter((F.col("split") == "train") & F.col("holdout")),
+                   enc.filter(F.col("split") == "validation"), voc, epochs=2, lr=0.5, patience=2)
+    return XP.history_frame(spark, res.history).withColumn("best_epoch", F.lit(res.best_epoch))
+
+
+@query("grid_search")
+def grid_search_q(spark, sf):
+    return XP.grid_search(spark, sf, _SMALL_GRID)
+
+
+@query("best_config")
+def best_config_q(spark, sf):
+    return XP.best_config(XP.grid_search(spark, sf, _SMALL_GRID))
+
+
+@query("final_fit")
+def final_fit_q(spark, sf):
+    res = XP.final_fit(spark, sf, {"order": 3, "min_count": 1, "epochs": 1, "lr": 0.5})
+    return XP.history_frame(spark, res.history).withColumn("best_epoch", F.lit(res.best_epoch))
+
+
+@query("compare_models")
+def compare_models_q(spark, sf):
+    scores, _ = XP.compare_models(spark, sf)
+    return scores
+
+
+@query("top_examples")
+def top_examples_q(spark, sf):
+    _, ex = XP.compare_models(spark, sf)
+    return XP.top_examples(ex, 5)
+
+
+# ---------------------------------------------------------------- flagship
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """clean -> vocab -> encode -> split -> trigram counts -> greedy completion -> ROUGE-L."""
+    enc = _enc(spark, sf)
+    voc = PL.corpus_vocab(spark, sf)
+    summary, _ = EV.evaluate_tokens(_model(spark, sf, enc=enc), enc.filter(F.col("split") == "test"), voc)
+    return summary
