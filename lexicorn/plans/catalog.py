@@ -721,3 +721,42 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     voc = PL.corpus_vocab(spark, sf)
     summary, _ = EV.evaluate_tokens(_model(spark, sf, enc=enc), enc.filter(F.col("split") == "test"), voc)
     return summary
+
+
+# ---------------------------------------------------------------- 2.3 K3 subword merges, S1 CSV
+from lexicorn.operators import bpe as BPE  # noqa: E402
+
+
+@query("bpe_merges")
+def bpe_merges_q(spark, sf):
+    train = PL.split_corpus(spark, sf).filter(F.col("split") == "train").select("text")
+    merges, _ = BPE.learn_merges(train, 30)
+    return merges
+
+
+@query("bpe_encode")
+def bpe_encode_q(spark, sf):
+    c = PL.split_corpus(spark, sf)
+    _, seg = BPE.learn_merges(c.filter(F.col("split") == "train").select("text"), 30)
+    enc = BPE.encode_words(c.select("row_id", "text"), seg)
+    return enc.select("row_id", F.size("subwords").cast("bigint").alias("n_subwords"),
+                      F.array_join("subwords", "|").alias("subwords"))
+
+
+@query("csv_scan", f"SELECT row_id, {S.clean('text')} AS clean FROM ({S.CONV})")
+def csv_scan_q(spark, sf):
+    """Write the corpus as a headerless latin-1 CSV of six fields, then scan it back."""
+    import tempfile
+    from lexicorn.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{next(tempfile._get_candidate_names())}"
+    conv = src.table(spark, sf, "conversations")
+    raw = conv.select(F.lit("0").alias("target"), (F.col("conv_id") * 100 + F.col("turn")).cast("string").alias("ids"),
+                      F.lit("Mon Apr 06 2009").alias("date"), F.lit("NO_QUERY").alias("flag"),
+                      F.col("role").alias("user"), F.col("text"))
+    (raw.write.mode("overwrite").option("header", "false").option("encoding", "ISO-8859-1")
+        .option("quote", '"').option("escape", '"').option("quoteAll", "true").csv(path))
+    back = (spark.read.schema(src.corpus.RAW_SCHEMA).option("header", "false")
+            .option("encoding", "ISO-8859-1").option("quote", '"').option("escape", '"')
+            .option("multiLine", "true").option("mode", "PERMISSIVE").csv(path))
+    return back.select(F.col("ids").cast("bigint").alias("row_id"),
+                       tx.clean_text(F.nullif(F.col("text"), F.lit("NO_QUERY"))).alias("clean"))
