@@ -56,32 +56,37 @@ def top_unigram(model: NGramModel) -> int:
 
 def score_candidates(model: NGramModel, dc: DataFrame, n_contexts: int,
                      with_top: int | None) -> DataFrame:
-    """(ck, w, p) for continuations seen at some order (+ the given top unigram)."""
+    """(ck, w, p, seen2) for continuations seen at some order (+ the given top unigram).
+
+    One exchange on ``ck``: level totals come from a window over that partitioning and
+    the per-candidate aggregate reuses it, so the round adds no further shuffles.
+    """
     N, lam, V = model.order, model.lambdas, model.vocab_size
     n1 = unigram_total(model)
     lv = _levels(dc, N)
     ngr = model.ngrams.filter(F.col("k") >= 2)
     if n_contexts * max(N - 1, 1) <= BROADCAST_MAX_CONTEXTS:
         lv = F.broadcast(lv)     # bounded by the counted active contexts
-    conts = ngr.join(lv, on=["k", "ctx"], how="inner").select("ck", "k", "w", "c")
-    totals = conts.groupBy("ck").agg(
-        *[F.sum(F.when(F.col("k") == k, F.col("c"))).alias(f"n{k}") for k in range(2, N + 1)])
-    cand = conts
+    cand = ngr.join(lv, on=["k", "ctx"], how="inner").select("ck", "k", "w", "c")
     if with_top is not None:
         cand = cand.unionByName(dc.select("ck", F.lit(0).alias("k"), F.lit(with_top).alias("w"),
                                           F.lit(None).cast("bigint").alias("c")))
+    by_ctx = Window.partitionBy("ck")
+    cand = cand.repartition("ck")
+    for k in range(2, N + 1):
+        cand = cand.withColumn(f"n{k}", F.sum(F.when(F.col("k") == k, F.col("c"))).over(by_ctx))
     cand = cand.groupBy("ck", "w").agg(
-        *[F.max(F.when(F.col("k") == k, F.col("c"))).alias(f"c{k}") for k in range(2, N + 1)])
-    cand = (cand.join(totals, on="ck", how="left")
-            .join(maybe_broadcast(model.unigrams, V), on="w", how="left"))
+        *[F.max(F.when(F.col("k") == k, F.col("c"))).alias(f"c{k}") for k in range(2, N + 1)],
+        *[F.first(f"n{k}").alias(f"n{k}") for k in range(2, N + 1)])
+    cand = cand.join(maybe_broadcast(model.unigrams, V), on="w", how="left")
     p = F.coalesce(F.col("c1"), F.lit(0)).cast("double") / F.lit(float(max(n1, 1)))
     score = F.lit(float(lam[0]) / float(V)) + F.lit(float(lam[1])) * p
     for k in range(2, N + 1):
         p = F.when(F.col(f"n{k}").isNotNull(),
                    F.coalesce(F.col(f"c{k}"), F.lit(0)).cast("double") / F.col(f"n{k}")).otherwise(p)
         score = score + F.lit(float(lam[k])) * p
-    return cand.select("ck", "w", score.alias("p"),
-                       F.col("n2").isNotNull().alias("seen2") if N >= 2 else F.lit(False).alias("seen2"))
+    seen2 = F.col("n2").isNotNull() if N >= 2 else F.lit(False)
+    return cand.select("ck", "w", score.alias("p"), seen2.alias("seen2"))
 
 
 def _greedy_pick(model: NGramModel, act: DataFrame, n_ctx: int, top: int) -> DataFrame:

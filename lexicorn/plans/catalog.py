@@ -674,6 +674,15 @@ def model_roundtrip_q(spark, sf):
 
 
 _SMALL_GRID = XP.param_grid(lr=[0.5], order=[2, 3], min_count=[1], epochs=[2])
+_MEMO: dict = {}
+
+
+def _memo(spark, sf, key, fn):
+    """Reuse an experiment result within one Spark application (reports share a run)."""
+    k = (spark.sparkContext.applicationId, sf, key)
+    if k not in _MEMO:
+        _MEMO[k] = fn()
+    return _MEMO[k]
 
 
 @query("train_history")
@@ -687,12 +696,12 @@ def train_history_q(spark, sf):
 
 @query("grid_search")
 def grid_search_q(spark, sf):
-    return XP.grid_search(spark, sf, _SMALL_GRID)
+    return _memo(spark, sf, "grid", lambda: XP.grid_search(spark, sf, _SMALL_GRID))
 
 
 @query("best_config")
 def best_config_q(spark, sf):
-    return XP.best_config(XP.grid_search(spark, sf, _SMALL_GRID))
+    return XP.best_config(grid_search_q(spark, sf))
 
 
 @query("final_fit")
@@ -701,16 +710,26 @@ def final_fit_q(spark, sf):
     return XP.history_frame(spark, res.history).withColumn("best_epoch", F.lit(res.best_epoch))
 
 
+def _comparison(spark, sf):
+    return _memo(spark, sf, "compare", lambda: XP.compare_models(spark, sf))
+
+
 @query("compare_models")
 def compare_models_q(spark, sf):
-    scores, _ = XP.compare_models(spark, sf)
-    return scores
+    return _comparison(spark, sf)[0]
 
 
 @query("top_examples")
 def top_examples_q(spark, sf):
-    _, ex = XP.compare_models(spark, sf)
-    return XP.top_examples(ex, 5)
+    return XP.top_examples(_comparison(spark, sf)[1], 5)
+
+
+@query("training_run")
+def training_run_q(spark, sf):
+    """Whole run: grid search -> first best cell -> final fit on all splits minus hold-out."""
+    best = best_config_q(spark, sf).first().asDict()
+    res = XP.final_fit(spark, sf, {k: best[k] for k in ("order", "min_count", "epochs", "lr")})
+    return XP.history_frame(spark, res.history).withColumn("best_epoch", F.lit(res.best_epoch))
 
 
 # ---------------------------------------------------------------- flagship

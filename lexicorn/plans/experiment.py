@@ -162,7 +162,8 @@ def compare_models(spark: SparkSession, sf: str, cfg: PL.Config = PL.DEFAULT,
     ex = examples[0]
     for e in examples[1:]:
         ex = ex.unionByName(e)
-    return out, ex
+    # four cells of test-row size: materialise once so reports reuse them
+    return cut_lineage(out), cut_lineage(ex)
 
 
 def top_examples(examples: DataFrame, n: int = 5) -> DataFrame:
