@@ -51,6 +51,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder and truncate its plan."""
+    """Materialise ``df`` into the shared checkpoint folder and truncate its plan.
+
+    The plan is persisted first: a reliable checkpoint otherwise computes it twice
+    (once for the eager count, once more for the checkpoint write)."""
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist(blocking=False)
+    return out
