@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicorn.llm import (bpe_codec, chat, sharding, simhash, token_counts, warc)
+from lexicorn.llm import (bpe_codec, chat, decontaminate, hamming_topk, sharding, simhash,
+                           token_counts, warc)
 from lexicorn.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +89,28 @@ def op4(spark, sf):
                     F.sha2("decoded", 256).alias("decoded_sha256")))
 
 
+@query("op6_hamming_topk", """
+WITH c AS (SELECT vec_id AS id, list_sum(list_transform(range(64),
+    lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << (63 - i) ELSE 0 END))::HUGEINT AS code
+  FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT q.id AS query_id, x.id AS neighbor_id, CAST(bit_count(xor(q.code, x.code)) AS BIGINT) AS distance
+  FROM c q, c x WHERE q.id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
+SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10""")
+def op6(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return hamming_topk.search(rows, rows.filter("vec_id % 50 = 0"), k=10, bits=64)
+
+
+@query("op7_decontaminate")
+def op7(spark, sf):
+    found = decontaminate.find_leaks(table(spark, sf, "documents").select("doc_id", "text"),
+                                     table(spark, sf, "benchmark"))
+    return (found.select("doc_id", F.explode("leaks").alias("x"))
+            .select("doc_id", "x.item_id", F.col("x.segments").cast("long").alias("segments"),
+                    F.col("x.edits").cast("long").alias("edits")))
+
+
 @query("op8_simhash")
 def op8(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text")) \
