@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicorn.llm import (bpe_codec, chat, decontaminate, hamming_topk, sharding, simhash,
-                           token_counts, warc)
+from lexicorn.llm import (bpe_codec, chat, cotraining, decontaminate, hamming_topk, html_extract, sharding,
+                           simhash, token_counts, warc)
 from lexicorn.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,13 @@ def op1(spark, sf):
                     F.col("grown_shard").cast("int").alias("grown_shard")))
 
 
+@query("op2_quality")
+def op2(spark, sf):
+    scored = cotraining.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.select("doc_id", F.round("p_text", 6).alias("p_text"), F.round("p_meta", 6).alias("p_meta"),
+                         F.round("score", 6).alias("score"), "keep")
+
+
 _CHAT_ROWS = r"""
 SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
@@ -89,6 +96,12 @@ def op4(spark, sf):
                     F.sha2("decoded", 256).alias("decoded_sha256")))
 
 
+@query("op5_html_text")
+def op5(spark, sf):
+    return (html_extract.extract(table(spark, sf, "pages"))
+            .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")))
+
+
 @query("op6_hamming_topk", """
 WITH c AS (SELECT vec_id AS id, list_sum(list_transform(range(64),
     lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << (63 - i) ELSE 0 END))::HUGEINT AS code

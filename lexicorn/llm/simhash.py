@@ -69,8 +69,8 @@ def fingerprint(text: str | None, k: int = 3, block: int = 1 << 14) -> int:
 
 
 def with_fingerprints(df: DataFrame, text: str = "text", k: int = 3, out: str = "fp") -> DataFrame:
-    """``df`` without its text column, with the fingerprint as a signed long."""
-    kept = without(df, [out, text])
+    """``df`` with the fingerprint as a signed long."""
+    kept = without(df, [out])
     rows = df.select(*[df[c] for c in kept.columns], df[text].alias("__text"))
     schema = T.StructType([*kept.schema.fields, T.StructField(out, T.LongType())])
 
@@ -234,17 +234,40 @@ def components(edges: DataFrame) -> DataFrame:
     return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _least_of_component(prints: DataFrame, least: F.Column, radius: int, tile_rows: int) -> DataFrame:
+    """(fp, least): for every fingerprint of the written table ``prints``, the least value of
+    ``least`` in its component."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min(least).alias("_own")), "simhash-distinct")
+    roots = components(links(distinct, radius, tile_rows))
+    by_print = (distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+                .withColumn("root", F.coalesce("root", "fp")))
+    component = materialize(by_print.groupBy("root").agg(F.min("_own").alias("least")), "simhash-components")
+    return by_print.join(component, "root").select("fp", "least")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3,
                     radius: int = 3, tile_rows: int = 4096) -> DataFrame:
     """``df`` without its text, with ``fingerprint`` (16 hex digits) and ``component_id``, the
     smallest key in the document's component."""
-    prints = materialize(with_fingerprints(without(df, ["fingerprint", "component_id"]), text, k), "simhash")
-    distinct = materialize(prints.groupBy("fp").agg(F.min(key).alias("_least")), "simhash-distinct")
-    roots = components(links(distinct, radius, tile_rows))
-    by_print = (distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-                .withColumn("root", F.coalesce("root", "fp")))
-    component = materialize(
-        by_print.groupBy("root").agg(F.min("_least").alias("component_id")), "simhash-components")
-    labels = by_print.join(component, "root").select("fp", "component_id")
-    return (prints.join(labels, "fp", "left")
-            .withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).drop("fp"))
+    kept = without(df, ["fp", "fingerprint", "component_id"])
+    prints = materialize(without(with_fingerprints(kept, text, k), [text]), "simhash")
+    labels = _least_of_component(prints, F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key")),
+                                 radius, tile_rows)
+    return (prints.join(labels, "fp", "left").withColumn("component_id", F.col("least.key"))
+            .withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).drop("fp", "least"))
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, radius: int = 3,
+             tile_rows: int = 4096) -> DataFrame:
+    """One row of ``df`` of each component, with all its columns: a row of the smallest key.
+
+    Rows are numbered and written once with their fingerprints; only numbers, keys and
+    fingerprints are grouped, and whole rows meet no more than the list of rows to drop."""
+    kept = without(df, ["fp", "_row"])
+    whole = materialize(with_fingerprints(kept, text, k).withColumn("_row", F.monotonically_increasing_id()),
+                        "simhash-rows")
+    light = whole.select("fp", "_row", key)
+    labels = _least_of_component(light, F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), "_row"),
+                                 radius, tile_rows)
+    dropped = light.join(labels, "fp").filter(F.col("_row") != F.col("least._row")).select("_row")
+    return whole.join(materialize(dropped, "simhash-dropped"), "_row", "left_anti").drop("fp", "_row")
