@@ -95,7 +95,7 @@ def _local_misses(path: str):
     return run
 
 
-def _encode(path: str, chunk_bytes: int = 4 << 20):
+def _encode(path: str, chunk_bytes: int = 1 << 18):
     """Per task after the shuffle by digest: each distinct text is encoded once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
