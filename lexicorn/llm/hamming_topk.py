@@ -14,7 +14,7 @@ distance, first taken against a bounded sample of codes, lets the join drop veri
 that can't be results; it never drops one that can.
 
 Defined cases: a null vector has no code (not found, asks nothing); a null component or one
-beyond a short vector's end = bit not set; a vector longer than ``bits`` is an error; null
+beyond a short vector's end = bit not set; NaN counts as the largest value; a vector longer than ``bits`` is an error; null
 ids are not queries and sort last; ties go to the smaller id; a query finds its own row; repeated
 rows count each; fewer than k rows = all of them; an empty table gives an empty result.
 """

@@ -20,6 +20,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,20 +74,20 @@ def _normaliser(path: str):
 
 
 def _local_misses(path: str):
-    """Per task: normalise, digest, and keep one packed copy of each text. The set of digests
-    is bounded by the rows of the task's input split."""
+    """Per task: digest the normal forms, and pack one text of each (as it is: the tokenizer
+    normalises again). The set of digests is bounded by the rows of the task's input split."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         normalise = _normaliser(path)
         for b in batches:
             digests, packed, size = [], [], 0
             for x in b.column(0):
-                raw = normalise(x.as_py()).encode()
-                d = hashlib.sha256(raw).digest()
+                text = x.as_py()
+                d = hashlib.sha256(normalise(text).encode()).digest()
                 if d not in seen:
                     seen.add(d)
                     digests.append(d)
-                    packed.append(zlib.compress(raw, 1))
+                    packed.append(zlib.compress(text.encode(), 1))
                     size += len(packed[-1])
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], schema=_MISS)
@@ -121,8 +122,6 @@ def _encode(path: str, chunk_bytes: int = 1 << 18):
 
 def _digests(path: str):
     """Digest of the normalised text, as a pandas UDF."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def digest(texts: pd.Series) -> pd.Series:
         normalise = _normaliser(path)
