@@ -1,8 +1,8 @@
 """Deterministic order, ranks and padded batches without a single-partition window.
 
-``dense_rank_by`` is a distributed zip-with-index: range-partition on the sort key,
-sort inside partitions, count rows per partition (P small numbers to the driver),
-then rank = partition offset + position inside the partition.
+``dense_rank_by`` is a distributed zip-with-index: range-partition on the sort key, sort
+inside partitions and write the rows once together with their partition and place; the
+counts per partition, taken from what was written, give the offsets.
 """
 
 from __future__ import annotations
@@ -12,25 +12,26 @@ from pyspark.sql import functions as F
 
 from lexicorn.functions.hashing import hash_uniform
 from lexicorn.functions.tokens import IGNORE_LABEL, PAD_ID
+from lexicorn.session import write_once
 
 
 def dense_rank_by(df: DataFrame, order_cols: list[str], out_col: str = "rank",
                   num_partitions: int | None = None) -> DataFrame:
-    """0-based global rank in ``order_cols`` order (keys must be unique together)."""
+    """0-based global rank in ``order_cols`` order (keys must be unique together).
+
+    The range bounds are sampled, and a second job would sample others, so partition and
+    place are fixed by writing them; counts and ranks both read the written rows."""
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    tagged = (ordered.withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = sorted((r[0], r[1]) for r in tagged.groupBy("_pid").count().collect())
-    offsets, acc = [], 0
-    for pid, c in counts:
-        offsets.append((pid, acc))
-        acc += c
-    off = df.sparkSession.createDataFrame(offsets, "_pid int, _off bigint")
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return (tagged.join(F.broadcast(off), on="_pid", how="left")
-            .withColumn(out_col, (F.col("_off") + local).cast("bigint"))
-            .drop("_pid", "_mid", "_off"))
+    place = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)
+    placed = write_once(ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_place", place))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition
+    offsets = (placed.groupBy("_pid").agg(F.count("*").alias("_n"))
+               .select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    return (placed.join(F.broadcast(offsets), on="_pid", how="left")
+            .withColumn(out_col, (F.col("_off") + F.col("_place")).cast("bigint"))
+            .drop("_pid", "_place", "_off"))
 
 
 def epoch_key(seed: int, epoch: int | Column, id_col: str = "row_id") -> Column:

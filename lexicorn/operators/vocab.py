@@ -1,12 +1,15 @@
-"""Word vocabulary learned from the corpus, and the encode / decode joins.
+"""Vocabulary learned from the corpus (characters and frequent words), encode and decode.
 
-The vocabulary is capped at ``vocab_size`` entries (ids 0..2 reserved), so it has
-a proven size bound: joins against it are broadcast only while the cap is below
-``BROADCAST_MAX_VOCAB``; above that a shuffle join is used.
+The vocabulary is capped at ``vocab_size`` entries (ids 0..2 reserved). Its rows go to the
+tasks after a check of their number, and encoding is a lookup inside each row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,7 @@ from lexicorn.functions.tokens import (
     EOS_ID, EOS_TOKEN, PAD_ID, PAD_TOKEN, UNK_ID, UNK_TOKEN, pretokenize)
 
 BROADCAST_MAX_VOCAB = 2_000_000
+DICTIONARY_MAX = 1_000_000
 N_SPECIAL = 3
 
 
@@ -23,17 +27,29 @@ def maybe_broadcast(df: DataFrame, bound_rows: int, limit: int = BROADCAST_MAX_V
     return F.broadcast(df) if bound_rows <= limit else df
 
 
+#: a whole code point, line breaks included (valid in Java and RE2)
+CHARACTER = "(?s)."
+
+
 def learn_vocab(texts: DataFrame, vocab_size: int = 8192, text_col: str = "text") -> DataFrame:
-    """(token, id, count): specials 0..2 (count 0), then the most frequent tokens (count desc, token asc)."""
+    """(token, id, count): specials 0..2 (count 0), then the corpus' characters (at most half
+    of the ids), then its most frequent longer words; each part by count desc, token asc.
+
+    The characters make the codec lossless: a word without an id is spelled out."""
     if vocab_size <= N_SPECIAL:
         raise ValueError("vocab_size must exceed the 3 reserved ids")
     counts = (texts.select(F.explode(pretokenize(text_col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
-    top = counts.orderBy(F.col("count").desc(), F.col("token")).limit(vocab_size - N_SPECIAL)
+    characters = (counts.select(F.explode(F.regexp_extract_all("token", F.lit(CHARACTER), F.lit(0))).alias("token"),
+                                "count")
+                  .groupBy("token").agg(F.sum("count").alias("count"))
+                  .orderBy(F.col("count").desc(), "token").limit(vocab_size // 2))
+    by = ["part", F.col("count").desc(), "token"]
+    top = (characters.select(F.lit(0).alias("part"), "token", "count")
+           .unionByName(counts.filter(F.char_length("token") > 1).select(F.lit(1).alias("part"), "token", "count"))
+           .orderBy(*by).limit(vocab_size - N_SPECIAL))
     # numbering touches only the capped top rows (bounded by vocab_size)
-    ranked = top.withColumn(
-        "id", (F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("token")))
-               + F.lit(N_SPECIAL - 1)).cast("int"))
+    ranked = top.withColumn("id", (F.row_number().over(Window.orderBy(*by)) + F.lit(N_SPECIAL - 1)).cast("int"))
     spark = texts.sparkSession
     specials = spark.createDataFrame(
         [(PAD_TOKEN, PAD_ID, 0), (EOS_TOKEN, EOS_ID, 0), (UNK_TOKEN, UNK_ID, 0)],
@@ -51,46 +67,69 @@ def eos_id(vocab: DataFrame) -> DataFrame:
                      .otherwise(found).cast("int").alias("eos_id"))
 
 
+def _dictionary(vocab: DataFrame) -> list[tuple[str, int]]:
+    """The vocabulary's rows, after a check of their number; tasks get them with the function."""
+    rows = (vocab.filter(F.col("id") >= N_SPECIAL).select("token", "id")
+            .limit(DICTIONARY_MAX + 1).collect())
+    if len(rows) > DICTIONARY_MAX:
+        raise ValueError(f"a vocabulary of more than {DICTIONARY_MAX} tokens does not fit a task")
+    return [(r["token"], r["id"]) for r in rows]
+
+
 def encode(df: DataFrame, vocab: DataFrame, text_col: str = "text", out_col: str = "ids",
-           key: str = "row_id", max_length: int | None = None, append_eos: bool = False,
-           vocab_size: int = 8192, keep_text: bool = False) -> DataFrame:
-    """Encode every row: pre-split, dictionary join (unknown -> <unk>), regroup by ``key``.
-
-    The source text is dropped (kept only with ``keep_text``, via a join back); other
-    small columns ride along. The regroup is one aggregation on ``key`` whose partial
-    (map-side) phase already collects a row's tokens, as they come from one partition.
-    """
-    others = [c for c in df.columns if c not in (key, text_col)]
-    words = vocab.filter(F.col("id") >= N_SPECIAL).select(F.col("token").alias("_tok"),
-                                                            F.col("id").alias("_id"))
-    exploded = df.select(key, *others, F.posexplode_outer(pretokenize(text_col)).alias("_pos", "_tok"))
-    joined = exploded.join(maybe_broadcast(words, vocab_size), on="_tok", how="left")
-    item = F.when(F.col("_pos").isNotNull(),
-                  F.struct(F.col("_pos"), F.coalesce(F.col("_id"), F.lit(UNK_ID)).alias("i")))
-    ids = (joined.groupBy(key)
-           .agg(*[F.first(c).alias(c) for c in others],
-                F.array_sort(F.collect_list(item)).alias("_p")))
-    ids = ids.withColumn(out_col, F.transform("_p", lambda x: x["i"])).drop("_p")
+           max_length: int | None = None, append_eos: bool = False,
+           keep_text: bool = False) -> DataFrame:
+    """``df`` with ``ids``: pre-split in the JVM, then a vectorised lookup row by row, so rows
+    are neither shuffled nor merged, whatever their ids. A word without an id becomes its
+    characters; a character without one becomes <unk>. Null text = no ids."""
+    kept = df.columns if keep_text else [c for c in df.columns if c != text_col]
+    rows = df.select(*kept, F.coalesce(pretokenize(text_col), F.array().cast("array<string>")).alias("_tokens"))
+    ids = dict(_dictionary(vocab))
+    schema = T.StructType([*df.select(*kept).schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = b.column(b.num_columns - 1)
+            coded = tokens.flatten().dictionary_encode()
+            spelled = [[ids[t]] if t in ids else [ids.get(c, UNK_ID) for c in t]
+                       for t in coded.dictionary.to_pylist()]
+            size = np.array([len(x) for x in spelled], np.int64)
+            flat = np.array([i for x in spelled for i in x], np.int32)
+            which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            out, ends = _gather(flat, np.cumsum(size) - size, size, which)
+            bounds = np.append(0, ends)[np.asarray(tokens.offsets) - tokens.offsets[0].as_py()]
+            column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], column], names=[*b.schema.names[:-1], out_col])
+
+    out = rows.mapInArrow(run, schema)
     if max_length is not None:
-        ids = ids.withColumn(out_col, F.slice(out_col, 1, int(max_length)))
-    if append_eos:
-        ids = ids.withColumn(out_col, F.concat(out_col, F.array(F.lit(EOS_ID))))
-    if keep_text:
-        ids = ids.join(df.select(key, text_col), on=key, how="inner")
-    return ids
-
-
-def decode(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", out_col: str = "decoded",
-           key: str = "row_id", vocab_size: int = 8192) -> DataFrame:
-    """Ids -> text, skipping the reserved ids (pad, eos, unk); tokens carry their spaces."""
-    others = [c for c in df.columns if c != key]
-    words = vocab.filter(F.col("id") >= N_SPECIAL).select(F.col("id").alias("_id"),
-                                                            F.col("token").alias("_tok"))
-    exploded = df.select(key, *others, F.posexplode_outer(ids_col).alias("_pos", "_id"))
-    joined = exploded.join(maybe_broadcast(words, vocab_size), on="_id", how="left")
-    item = F.when(F.col("_tok").isNotNull(), F.struct("_pos", "_tok"))
-    return (joined.groupBy(key)
-            .agg(*[F.first(c).alias(c) for c in others],
-                 F.array_sort(F.collect_list(item)).alias("_p"))
-            .withColumn(out_col, F.array_join(F.transform("_p", lambda x: x["_tok"]), ""))
-            .drop("_p"))
+        whole = F.size(out_col) <= int(max_length)
+        out = out.withColumn("_whole", whole).withColumn(out_col, F.slice(out_col, 1, int(max_length)))
+    if append_eos:  # a text that was cut has no end here
+        ended = F.concat(out_col, F.array(F.lit(EOS_ID)))
+        out = out.withColumn(out_col, ended if max_length is None
+                             else F.when(F.col("_whole"), ended).otherwise(F.col(out_col)))
+    return out.drop("_whole") if max_length is not None else out
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenate the slices ``which`` of ``flat``; also where each of them ends."""
+    n = size[which]
+    ends = np.cumsum(n)
+    place = np.repeat(start[which] - (ends - n), n) + np.arange(n.sum())
+    return flat[place], ends
+
+
+def decode(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """Ids -> text row by row, skipping the reserved ids (pad, eos, unk); tokens carry their
+    spaces."""
+    kept = [c for c in df.columns if c != out_col]
+    tokens = {i: t for t, i in _dictionary(vocab)}
+    schema = T.StructType([*df.select(*kept).schema.fields, T.StructField(out_col, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = ["".join(tokens.get(i, "") for i in x or ()) for x in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(said, pa.string())],
+                                             names=[*b.schema.names[:-1], out_col])
+    return df.select(*kept, F.col(ids_col)).mapInArrow(run, schema)

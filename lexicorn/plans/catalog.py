@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lexicorn import sources as src
 from lexicorn.functions import text as tx
 from lexicorn.plans import sqltext as S
+from lexicorn.session import shared_path, write_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,6 +95,7 @@ def char_prompt_split(spark, sf):
 
 # ---------------------------------------------------------------- 2.3 tokens / vocabulary
 from lexicorn.functions import tokens as tk  # noqa: E402
+from lexicorn.functions.hashing import sql_hash_uniform  # noqa: E402
 from lexicorn.operators import batches as B  # noqa: E402
 from lexicorn.operators import splits as SP  # noqa: E402
 from lexicorn.operators import vocab as VO  # noqa: E402
@@ -232,7 +234,7 @@ def split_exact(spark, sf):
 
 
 @query("holdout", f"""
-SELECT row_id, {__import__('lexicorn.functions.hashing', fromlist=['x']).sql_hash_uniform(f"{CFG.seed}:holdout", 'row_id')} < 0.1 AS holdout
+SELECT row_id, {sql_hash_uniform(f"{CFG.seed}:holdout", 'row_id')} < 0.1 AS holdout
 FROM ({S.CONV})""")
 def holdout_q(spark, sf):
     return SP.holdout(src.conversations(spark, sf).select("row_id"), 0.1, CFG.seed)
@@ -329,7 +331,8 @@ _TRAIN_NG2 = S.ngrams(_rows_sql("train"), CFG.order, min_count=2)
 
 
 def _enc(spark, sf):
-    return PL.encoded_corpus(spark, sf)
+    """The encoded corpus, written once: fits and scores of a query read it several times."""
+    return write_once(PL.encoded_corpus(spark, sf))
 
 
 def _model(spark, sf, min_count: int = 1, enc=None):
@@ -663,10 +666,7 @@ from lexicorn.sources import store as ST  # noqa: E402
 @query("model_roundtrip", f"""
 SELECT k, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(c) AS BIGINT) AS total FROM {_TRAIN_NG} GROUP BY k""")
 def model_roundtrip_q(spark, sf):
-    import tempfile
-    from lexicorn.session import ensure_checkpoint_dir
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/model-{next(tempfile._get_candidate_names())}"
+    path = shared_path(spark, "model")
     ST.save_model(_model(spark, sf), path, tag="best")
     m = ST.load_model(spark, path)
     return m.ngrams.groupBy("k").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
@@ -765,17 +765,13 @@ def bpe_encode_q(spark, sf):
 @query("csv_scan", f"SELECT row_id, {S.clean('text')} AS clean FROM ({S.CONV})")
 def csv_scan_q(spark, sf):
     """Write the corpus as a headerless latin-1 CSV of six fields, then scan it back."""
-    import tempfile
-    from lexicorn.session import ensure_checkpoint_dir
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{next(tempfile._get_candidate_names())}"
+    path = shared_path(spark, "csv")
     conv = src.table(spark, sf, "conversations")
-    raw = conv.select(F.lit("0").alias("target"), (F.col("conv_id") * 100 + F.col("turn")).cast("string").alias("ids"),
+    raw = conv.select(F.lit("0").alias("target"), src.turn_key().cast("string").alias("ids"),
                       F.lit("Mon Apr 06 2009").alias("date"), F.lit("NO_QUERY").alias("flag"),
                       F.col("role").alias("user"), F.col("text"))
     (raw.write.mode("overwrite").option("header", "false").option("encoding", "ISO-8859-1")
         .option("quote", '"').option("escape", '"').option("quoteAll", "true").csv(path))
-    back = (spark.read.schema(src.corpus.RAW_SCHEMA).option("header", "false")
-            .option("encoding", "ISO-8859-1").option("quote", '"').option("escape", '"')
-            .option("multiLine", "true").option("mode", "PERMISSIVE").csv(path))
-    return back.select(F.col("ids").cast("bigint").alias("row_id"),
-                       tx.clean_text(F.nullif(F.col("text"), F.lit("NO_QUERY"))).alias("clean"))
+    # the texts hold line breaks, which only the multi-line reader keeps
+    back = src.csv_corpus(spark, path, multiline=True)
+    return back.select("row_id", tx.clean_text("text").alias("clean"))

@@ -27,8 +27,8 @@ def completions_by_tokens(model: NG.NGramModel, rows: DataFrame, vocab: DataFram
                      (F.col("gen_ids") if with_prompt else continuation()).alias("g"))
     out = out.select("row_id", tk.cut_at("g", tk.EOS_ID).alias("g"))
     out = out.join(seq.select("row_id", "ref_ids"), on="row_id")
-    dec = VO.decode(out, vocab, ids_col="g", out_col="prediction", vocab_size=model.vocab_size)
-    dec = VO.decode(dec, vocab, ids_col="ref_ids", out_col="reference", vocab_size=model.vocab_size)
+    dec = VO.decode(out, vocab, ids_col="g", out_col="prediction")
+    dec = VO.decode(dec, vocab, ids_col="ref_ids", out_col="reference")
     return dec.select("row_id", "reference", "prediction")
 
 
@@ -52,11 +52,11 @@ def completions_by_chars(model: NG.NGramModel, texts: DataFrame, vocab: DataFram
     p = texts.select("row_id", char_prompt(text_col, fraction).alias("prompt"),
                      char_reference(text_col, fraction).alias("reference"))
     enc = VO.encode(p.select("row_id", F.col("prompt").alias("text")), vocab,
-                    out_col="prompt_ids", vocab_size=model.vocab_size)
+                    out_col="prompt_ids")
     gen = generate(model, enc.select(F.col("row_id").alias("seq_id"), "prompt_ids"),
                    max_new=max_new, sampling=sampling, temperature=temperature, top_p=top_p, seed=seed)
     g = gen.select(F.col("seq_id").alias("row_id"), tk.cut_at(continuation(), tk.EOS_ID).alias("g"))
-    dec = VO.decode(g, vocab, ids_col="g", out_col="prediction", vocab_size=model.vocab_size)
+    dec = VO.decode(g, vocab, ids_col="g", out_col="prediction")
     return dec.join(p, on="row_id").select("row_id", "prompt", "reference", "prediction")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexicorn import sources as src
 from lexicorn.functions.text import clean_text
 from lexicorn.operators import splits, vocab as V
+from lexicorn.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -19,7 +20,7 @@ class Config:
     val: float = 0.1
     test: float = 0.1
     vocab_size: int = 8192
-    max_length: int = 128
+    max_length: int | None = None  # whole texts; a number truncates
     append_eos: bool = True
     order: int = 3
     min_count: int = 1
@@ -40,22 +41,24 @@ def clean_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus_vocab(spark: SparkSession, sf: str, cfg: Config = DEFAULT) -> DataFrame:
-    """One vocabulary for both models: in-domain train rows plus the documents."""
+    """One vocabulary for both models: in-domain train rows plus the documents. It has at
+    most ``vocab_size`` rows and is written once, so no reader learns it again."""
     train_text = split_corpus(spark, sf, cfg).filter(F.col("split") == "train").select("text")
-    return V.learn_vocab(train_text.unionByName(clean_docs(spark, sf).select("text")),
-                         cfg.vocab_size)
+    return cut_lineage(V.learn_vocab(
+        train_text.unionByName(clean_docs(spark, sf).select("text")), cfg.vocab_size))
 
 
 def encoded_corpus(spark: SparkSession, sf: str, cfg: Config = DEFAULT,
                    vocab: DataFrame | None = None) -> DataFrame:
-    """(row_id, split, ids) with truncation and optional EOS."""
+    """(row_id, split, ids): whole texts by default, with an EOS after each; an EOS is added
+    only where the text really ends."""
     voc = vocab if vocab is not None else corpus_vocab(spark, sf, cfg)
     return V.encode(split_corpus(spark, sf, cfg), voc, max_length=cfg.max_length,
-                    append_eos=cfg.append_eos, vocab_size=cfg.vocab_size)
+                    append_eos=cfg.append_eos)
 
 
 def encoded_docs(spark: SparkSession, sf: str, cfg: Config = DEFAULT,
                  vocab: DataFrame | None = None) -> DataFrame:
     voc = vocab if vocab is not None else corpus_vocab(spark, sf, cfg)
     return V.encode(clean_docs(spark, sf), voc, max_length=cfg.max_length,
-                    append_eos=cfg.append_eos, vocab_size=cfg.vocab_size)
+                    append_eos=cfg.append_eos)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lexicorn.functions.text import (
     HASHTAG_PATTERN, MENTION_PATTERN, SPACE_RUN_PATTERN, SYMBOL_OTHER_PATTERN, URL_PATTERN)
-from lexicorn.sources.corpus import DECOR_TAG, DECOR_TAIL, DECOR_URL, NULL_MARKER
+from lexicorn.sources.corpus import DECOR_TAG, DECOR_TAIL, DECOR_URL, NULL_MARKER, TURN_BITS
 
 
 def q(s: str) -> str:
@@ -21,7 +21,7 @@ def clean(expr: str) -> str:
     return t
 
 
-CONV = f"SELECT conv_id * 100 + turn AS row_id, nullif(text, {q(NULL_MARKER)}) AS text FROM conversations"
+CONV = f"SELECT conv_id * {1 << TURN_BITS} + turn AS row_id, nullif(text, {q(NULL_MARKER)}) AS text FROM conversations"
 DOCS = f"SELECT doc_id AS row_id, nullif(text, {q(NULL_MARKER)}) AS text FROM documents"
 
 
@@ -38,6 +38,7 @@ def char_cut(expr: str, fraction: float) -> str:
 from lexicorn.functions.hashing import sql_hash_uniform  # noqa: E402
 from lexicorn.functions.tokens import PRETOKEN_PATTERN  # noqa: E402
 from lexicorn.operators.splits import thresholds  # noqa: E402
+from lexicorn.operators.vocab import CHARACTER  # noqa: E402
 
 
 def split_conv(cfg) -> str:
@@ -51,6 +52,10 @@ def pretok(expr: str) -> str:
     return f"regexp_extract_all({expr}, {q(PRETOKEN_PATTERN)}, 0)"
 
 
+def characters(expr: str) -> str:
+    return f"regexp_extract_all({expr}, {q(CHARACTER)}, 0)"
+
+
 def docs_clean() -> str:
     return f"SELECT row_id, {clean('text')} AS text FROM ({DOCS})"
 
@@ -61,8 +66,13 @@ def vocab(cfg) -> str:
               UNION ALL SELECT text FROM ({docs_clean()})),
   vc AS (SELECT token, CAST(count(*) AS BIGINT) AS count
          FROM (SELECT unnest({pretok('text')}) AS token FROM vt) GROUP BY token),
-  vtop AS (SELECT * FROM vc ORDER BY count DESC, token LIMIT {cfg.vocab_size - 3})
-  SELECT token, CAST(row_number() OVER (ORDER BY count DESC, token) + 2 AS INTEGER) AS id, count
+  vch AS (SELECT c AS token, CAST(sum(count) AS BIGINT) AS count
+          FROM (SELECT unnest({characters('token')}) AS c, count FROM vc) GROUP BY c
+          ORDER BY count DESC, token LIMIT {cfg.vocab_size // 2}),
+  vtop AS (SELECT * FROM (SELECT 0 AS part, token, count FROM vch
+                          UNION ALL SELECT 1, token, count FROM vc WHERE length(token) > 1)
+           ORDER BY part, count DESC, token LIMIT {cfg.vocab_size - 3})
+  SELECT token, CAST(row_number() OVER (ORDER BY part, count DESC, token) + 2 AS INTEGER) AS id, count
   FROM vtop
   UNION ALL SELECT '<pad>', 0, 0 UNION ALL SELECT '<eos>', 1, 0 UNION ALL SELECT '<unk>', 2, 0)"""
 
@@ -76,18 +86,23 @@ def encode(rows_sql: str, cfg, extra_cols: str = "", vocab_sql: str | None = Non
     ae = cfg.append_eos if append_eos is None else append_eos
     vs = vocab_sql or vocab(cfg)
     ex = (", " + extra_cols) if extra_cols else ""
-    ids = "coalesce(list(CAST(coalesce(v.id, 2) AS INTEGER) ORDER BY t.pos) FILTER (WHERE t.pos IS NOT NULL), [])"
+    ids = ("coalesce(list(CAST(coalesce(v.id, 2) AS INTEGER) ORDER BY s.pos, s.sub) "
+           "FILTER (WHERE s.pos IS NOT NULL), [])")
     body = f"list_slice({ids}, 1, {ml})" if ml is not None else ids
     if ae:
-        body = f"list_concat({body}, [CAST(1 AS INTEGER)])"
+        ended = f"list_concat({body}, [CAST(1 AS INTEGER)])"
+        body = ended if ml is None else f"CASE WHEN len({ids}) <= {ml} THEN {ended} ELSE {body} END"
+    own = "".join(", er." + c.strip() for c in extra_cols.split(",")) if extra_cols else ""
     return f"""(
-  WITH er AS (SELECT row_id{ex}, {pretok('text')} AS toks FROM ({rows_sql})),
-  et AS (SELECT row_id, unnest(toks) AS token, unnest(generate_series(1, len(toks))) AS pos FROM er),
-  ev AS (SELECT token, id FROM {vs} WHERE id >= 3)
-  SELECT er.row_id{''.join(', er.' + c.strip() for c in extra_cols.split(',')) if extra_cols else ''},
-         {body} AS ids
-  FROM er LEFT JOIN et t ON t.row_id = er.row_id LEFT JOIN ev v ON v.token = t.token
-  GROUP BY ALL)"""
+  WITH er AS (SELECT row_number() OVER () AS rn, row_id{ex}, {pretok('text')} AS toks FROM ({rows_sql})),
+  et AS (SELECT rn, unnest(toks) AS token, unnest(generate_series(1, len(toks))) AS pos FROM er),
+  ev AS MATERIALIZED (SELECT token, id FROM {vs} WHERE id >= 3),
+  ep AS (SELECT et.rn, et.pos, CASE WHEN v.id IS NULL THEN {characters('et.token')} ELSE [et.token] END AS pieces
+         FROM et LEFT JOIN ev v ON v.token = et.token),
+  es AS (SELECT rn, pos, unnest(pieces) AS piece, unnest(generate_series(1, len(pieces))) AS sub FROM ep)
+  SELECT er.row_id{own}, {body} AS ids
+  FROM er LEFT JOIN es s ON s.rn = er.rn LEFT JOIN ev v ON v.token = s.piece
+  GROUP BY er.rn, er.row_id{own})"""
 
 
 def encoded_conv(cfg) -> str:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.driver.memory", os.environ.get("LEXICORN_DRIVER_MEM", "16g"))
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -44,12 +46,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    # Unset (local tests / bench): a scratch folder. On a cluster the setting is given.
+    if not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    # unset on one machine (tests, bench): a scratch folder will do
     local = tempfile.mkdtemp(prefix="lexicorn-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return local
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new, unused path below the shared checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_once(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back. Unlike a checkpoint it evaluates the
+    plan in a single job, so values that depend on the physical run (partition numbers, places)
+    are fixed; the planner also learns the table's true size."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` into the shared checkpoint folder and truncate its plan.
 

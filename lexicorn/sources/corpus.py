@@ -25,10 +25,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+TURN_BITS = 20
+
+
+def turn_key(conv: str = "conv_id", turn: str = "turn"):
+    """One id for (conversation, turn) without collisions: the turn in the low 20 bits.
+
+    A turn outside 0..2**20-1 is an error rather than a shared id; a null part gives null."""
+    t = F.col(turn)
+    return (F.when(F.col(conv).isNull() | t.isNull(), F.lit(None).cast("bigint"))
+            .when(t.between(0, (1 << TURN_BITS) - 1), F.col(conv) * (1 << TURN_BITS) + t)
+            .otherwise(F.raise_error(F.lit("turn does not fit its 20 bits")).cast("bigint")))
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In-domain short texts; ``row_id = conv_id * 100 + turn``."""
+    """In-domain short texts; ``row_id`` is the :func:`turn_key`."""
     return (table(spark, sf_dir, "conversations")
-            .select((F.col("conv_id") * 100 + F.col("turn")).alias("row_id"),
+            .select(turn_key().alias("row_id"),
                     F.nullif(F.col("text"), F.lit(NULL_MARKER)).alias("text")))
 
 
@@ -60,14 +73,14 @@ def first_rows(df: DataFrame, n: int) -> DataFrame:
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS])
 
 
-def csv_corpus(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def csv_corpus(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Headerless latin-1 CSV of six string fields; keeps rows of any field count.
 
     PERMISSIVE keeps short rows (missing fields are null) and long rows (extra
     fields ignored), like the skip-free pandas behaviour. ``multiline=True`` allows
-    quoted newlines but makes each file one split; pass ``False`` for huge inputs.
-    ``row_id`` is the physical line order via ``monotonically_increasing_id`` made
-    dense only per file-split, which is stable for a given input layout.
+    quoted newlines but makes each file one split, so it is off by default.
+    ``row_id`` is the ``ids`` field where it is an integer and otherwise a hash of the
+    whole row: either stays with its row however the files are laid out.
     """
     raw = (spark.read.schema(RAW_SCHEMA)
            .option("header", "false")
@@ -79,5 +92,6 @@ def csv_corpus(spark: SparkSession, path: str, multiline: bool = True) -> DataFr
            .option("nullValue", "\u0000never\u0000")
            .option("emptyValue", "")
            .csv(path))
-    return raw.select(F.monotonically_increasing_id().alias("row_id"),
+    given = F.expr("try_cast(ids AS BIGINT)")
+    return raw.select(F.coalesce(given, F.xxhash64(*RAW_COLUMNS)).alias("row_id"),
                       F.nullif(F.col("text"), F.lit(NULL_MARKER)).alias("text"))

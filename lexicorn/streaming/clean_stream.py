@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexicorn.functions.text import clean_text
+from lexicorn.sources.corpus import turn_key
 
 CORPUS_SCHEMA = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
@@ -20,7 +21,7 @@ CORPUS_SCHEMA = T.StructType([
 def cleaned_stream(spark: SparkSession, source_dir: str,
                    schema: T.StructType = CORPUS_SCHEMA) -> DataFrame:
     raw = spark.readStream.schema(schema).parquet(source_dir)
-    return raw.select((F.col("conv_id") * 100 + F.col("turn")).alias("row_id"),
+    return raw.select(turn_key().alias("row_id"),
                       clean_text(F.nullif(F.col("text"), F.lit("NO_QUERY"))).alias("text"))
 
 
