@@ -1,48 +1,61 @@
 """Subword merges learned from the corpus (byte-pair encoding over pre-split words).
 
-Works on the table of distinct words x frequency, never on the raw corpus rows.
-Each round: explode adjacent symbol pairs weighted by word frequency, aggregate,
-take the top pair (count desc, then symbols asc: one row reaches the driver), and
-apply it to every word with a left-to-right ``aggregate``. Lineage is cut with a
-reliable checkpoint every ``checkpoint_every`` rounds.
+A word is held as one string whose symbols stand between two delimiter characters (control
+characters, which cleaned text does not hold), so applying a merge to a word is a single
+built-in ``replace``, which works from left to right like the published algorithm. Learning
+works on the table of distinct words x frequency: per round the adjacent pairs are counted
+and the top one (count desc, then symbols asc; one row reaches the driver) is applied.
+Encoding applies the ranked merges to any word, seen or not, inside its row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexicorn.functions.tokens import pretokenize
+from lexicorn.functions.tokens import N_RESERVED, pretokenize
+from lexicorn.operators.vocab import CHARACTER
 from lexicorn.session import cut_lineage
 
+OPEN, CLOSE = "\x02", "\x03"
+
+
+def spell(word: Column) -> Column:
+    """A word as delimited single characters."""
+    return F.regexp_replace(word, CHARACTER, f"{OPEN}$0{CLOSE}")
+
+
+def symbols(spelled: Column) -> Column:
+    return F.regexp_extract_all(spelled, F.lit(f"{OPEN}([^{CLOSE}]*){CLOSE}"), F.lit(1))
+
+
+def apply_merge(spelled: Column, a: str, b: str) -> Column:
+    return F.replace(spelled, F.lit(f"{OPEN}{a}{CLOSE}{OPEN}{b}{CLOSE}"), F.lit(f"{OPEN}{a}{b}{CLOSE}"))
+
 
 def word_table(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, freq, symbols ARRAY<STRING>) with symbols = the word's characters."""
-    words = (texts.select(F.explode(pretokenize(text_col)).alias("word"))
-             .groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
-    return words.withColumn("symbols", F.expr("filter(split(word, ''), s -> s <> '')"))
+    """(word, freq, spelled) of the distinct pre-split words."""
+    return (texts.select(F.explode(pretokenize(text_col)).alias("word"))
+            .groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+            .withColumn("spelled", spell(F.col("word"))))
 
 
 def _pairs(words: DataFrame) -> DataFrame:
-    gen = F.expr("explode(transform(sequence(1, size(symbols) - 1), i -> "
-                 "named_struct('a', symbols[i - 1], 'b', symbols[i])))")
-    return (words.filter(F.size("symbols") >= 2).select("freq", gen.alias("p"))
-            .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    s = words.select("freq", symbols(F.col("spelled")).alias("s")).filter(F.size("s") > 1)
+    pair = F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("a"),
+                                  F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))).alias("p")
+    return (s.select("freq", pair).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
             .agg(F.sum("freq").alias("count")))
 
 
-def apply_merge(symbols, a: str, b: str):
-    merged = a + b
-    return F.aggregate(
-        symbols, F.array().cast("array<string>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == F.lit(a)) & (x == F.lit(b)),
-                              F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(merged))))
-        .otherwise(F.concat(acc, F.array(x))))
+def merges_for(vocab_size: int, n_characters: int) -> int:
+    """Merges that fill a vocabulary beside the reserved ids and the characters."""
+    return max(0, vocab_size - N_RESERVED - n_characters)
 
 
 def learn_merges(texts: DataFrame, n_merges: int, text_col: str = "text",
                  checkpoint_every: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(merges(rank, a, b, count), final word segmentation(word, freq, symbols))."""
+    """(merges(rank, a, b, count), words(word, freq, spelled) after all merges)."""
     spark = texts.sparkSession
     words = cut_lineage(word_table(texts, text_col))
     merges = []
@@ -52,20 +65,40 @@ def learn_merges(texts: DataFrame, n_merges: int, text_col: str = "text",
             break
         a, b, c = top["a"], top["b"], int(top["count"])
         merges.append((rank, a, b, c))
-        words = words.withColumn("symbols", apply_merge(F.col("symbols"), a, b))
+        words = words.withColumn("spelled", apply_merge(F.col("spelled"), a, b))
         if rank % checkpoint_every == 0:
             words = cut_lineage(words)
-    mdf = spark.createDataFrame(merges, "rank int, a string, b string, count long")
-    return mdf, words
-
-
-def encode_words(texts: DataFrame, segmentation: DataFrame, key: str = "row_id",
-                 text_col: str = "text") -> DataFrame:
-    """Rows -> subword strings via the learned segmentation of each training word
-    (words outside the training table keep their characters)."""
-    ex = texts.select(key, F.posexplode(pretokenize(text_col)).alias("pos", "word"))
-    seg = segmentation.select("word", "symbols")
-    j = ex.join(seg, on="word", how="left").withColumn(
-        "symbols", F.coalesce("symbols", F.expr("filter(split(word, ''), s -> s <> '')")))
-    return (j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "symbols"))).alias("p"))
-            .select(key, F.flatten(F.transform("p", lambda x: x["symbols"])).alias("subwords")))
+    return spark.createDataFrame(merges, "rank int, a string, b string, count long"), words
+
+
+def subword_vocab(words: DataFrame, merges: DataFrame) -> DataFrame:
+    """(symbol, id): after the reserved ids the corpus' characters in order of code points,
+    then one symbol per merge in order of rank. Bounded by alphabet and merges."""
+    from pyspark.sql import Window
+    chars = words.select(F.explode(F.regexp_extract_all("word", F.lit(CHARACTER), F.lit(0))).alias("symbol")).distinct()
+    every = (chars.select("symbol", F.lit(0).alias("rank"))
+             .unionByName(merges.select(F.concat("a", "b").alias("symbol"), "rank"))
+             .groupBy("symbol").agg(F.min("rank").alias("rank")))
+    order = Window.orderBy("rank", "symbol")
+    return every.select("symbol", (F.row_number().over(order) + N_RESERVED - 1).cast("int").alias("id"))
+
+
+def encode_words(texts: DataFrame, merges: DataFrame, text_col: str = "text",
+                 out_col: str = "subwords") -> DataFrame:
+    """``texts`` with the subwords of every row (an empty array for an empty text).
+
+    Merges are as many as the caller asked for; they become one expression over each word."""
+    ranked = [(r["a"], r["b"]) for r in merges.orderBy("rank").collect()]
+
+    def split(word: Column) -> Column:
+        spelled = spell(word)
+        for a, b in ranked:
+            spelled = apply_merge(spelled, a, b)
+        return symbols(spelled)
+    words = F.coalesce(pretokenize(text_col), F.array().cast("array<string>"))
+    return texts.withColumn(out_col, F.flatten(F.transform(words, split)))
+
+
+def decode_words(subwords: Column) -> Column:
+    """The text: symbols carry their blanks, so nothing is lost."""
+    return F.array_join(subwords, "")

@@ -746,20 +746,60 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 from lexicorn.operators import bpe as BPE  # noqa: E402
 
 
-@query("bpe_merges")
+N_MERGES = 30
+_TRAIN_TEXT = f"SELECT text FROM ({S.split_conv(CFG)}) WHERE split = 'train'"
+
+
+def _train_text(spark, sf):
+    return PL.split_corpus(spark, sf).filter(F.col("split") == "train").select("text")
+
+
+@query("bpe_merges", S.bpe_rounds(_TRAIN_TEXT, N_MERGES) + "\n" + S.bpe_merges(N_MERGES))
 def bpe_merges_q(spark, sf):
-    train = PL.split_corpus(spark, sf).filter(F.col("split") == "train").select("text")
-    merges, _ = BPE.learn_merges(train, 30)
-    return merges
+    return BPE.learn_merges(_train_text(spark, sf), N_MERGES)[0]
 
 
-@query("bpe_encode")
+@query("bpe_encode", S.bpe_rounds(_TRAIN_TEXT, N_MERGES) + ",\n" + S.bpe_applied(S.split_conv(CFG), N_MERGES) + f"""
+SELECT row_id, CAST(len(subwords) AS BIGINT) AS n_subwords, array_to_string(subwords, '|') AS subwords,
+       array_to_string(subwords, '') AS decoded FROM applied""")
 def bpe_encode_q(spark, sf):
-    c = PL.split_corpus(spark, sf)
-    _, seg = BPE.learn_merges(c.filter(F.col("split") == "train").select("text"), 30)
-    enc = BPE.encode_words(c.select("row_id", "text"), seg)
+    """Subwords of every row, unseen words included, and the text they spell."""
+    merges, _ = BPE.learn_merges(_train_text(spark, sf), N_MERGES)
+    enc = BPE.encode_words(PL.split_corpus(spark, sf).select("row_id", "text"), merges)
     return enc.select("row_id", F.size("subwords").cast("bigint").alias("n_subwords"),
-                      F.array_join("subwords", "|").alias("subwords"))
+                      F.array_join("subwords", "|").alias("subwords"),
+                      BPE.decode_words(F.col("subwords")).alias("decoded"))
+
+
+@query("bpe_vocab", S.bpe_rounds(_TRAIN_TEXT, N_MERGES) + f""",
+every AS (SELECT symbol, min(rank) AS rank FROM (
+  SELECT DISTINCT unnest({S.characters('word')}) AS symbol, 0 AS rank FROM bw0
+  UNION ALL SELECT a || b, rank FROM ({S.bpe_merges(N_MERGES)})) GROUP BY symbol)
+SELECT symbol, CAST(row_number() OVER (ORDER BY rank, symbol) + 2 AS INTEGER) AS id FROM every""")
+def bpe_vocab_q(spark, sf):
+    merges, words = BPE.learn_merges(_train_text(spark, sf), N_MERGES)
+    return BPE.subword_vocab(words, merges)
+
+
+@query("token_accounting", f"""
+WITH e AS (SELECT row_id, len(ids) - 1 AS used, len(list_filter(ids, lambda x: x = 2)) AS n_unk,
+                  (SELECT 0) AS z FROM {S.encoded_conv(CFG)}),
+t AS (SELECT row_id, split, length(text) AS chars FROM ({S.split_conv(CFG)}))
+SELECT t.split, CAST(sum(t.chars) AS BIGINT) AS chars_in, CAST(sum(e.used) AS BIGINT) AS ids_used,
+       CAST(sum(e.n_unk) AS BIGINT) AS unknown, CAST(sum(length(d.decoded)) AS BIGINT) AS chars_out
+FROM t JOIN e ON e.row_id = t.row_id
+JOIN {S.decode(f"SELECT row_id, ids FROM {S.encoded_conv(CFG)}", "x.ids", S.vocab(CFG), "decoded")} d ON d.row_id = t.row_id
+GROUP BY t.split""")
+def token_accounting_q(spark, sf):
+    """Characters that go in, ids they become, unknown ids, and characters that come back."""
+    voc = PL.corpus_vocab(spark, sf)
+    e = VO.encode(PL.split_corpus(spark, sf), voc, keep_text=True, append_eos=True)
+    d = VO.decode(e, voc)
+    return d.groupBy("split").agg(
+        F.sum(F.char_length("text")).cast("bigint").alias("chars_in"),
+        F.sum(F.size("ids") - 1).cast("bigint").alias("ids_used"),
+        F.sum(F.size(F.filter("ids", lambda x: x == tk.UNK_ID))).cast("bigint").alias("unknown"),
+        F.sum(F.char_length("decoded")).cast("bigint").alias("chars_out"))
 
 
 @query("csv_scan", f"SELECT row_id, {S.clean('text')} AS clean FROM ({S.CONV})")

@@ -242,3 +242,39 @@ def f1(lcs_expr: str, n_ref: str, n_hyp: str) -> str:
     r = f"(CAST({lcs_expr} AS DOUBLE) / {n_ref})"
     return (f"(CASE WHEN {n_ref} = 0 OR {n_hyp} = 0 THEN 0.0 WHEN {p} + {r} > 0 "
             f"THEN 2.0 * {p} * {r} / ({p} + {r}) ELSE 0.0 END)")
+
+
+# ------------------------------------------------------------------ subword twins
+
+def bpe_rounds(texts_sql: str, n: int) -> str:
+    """WITH-chain of merge learning: bw{r} the words and bt{r} the top pair of round r."""
+    parts = [f"""bw0 AS MATERIALIZED (SELECT word, count(*) AS freq,
+  regexp_replace(word, {q(CHARACTER)}, chr(2) || '\\0' || chr(3), 'g') AS spelled
+  FROM (SELECT unnest({pretok('text')}) AS word FROM ({texts_sql})) GROUP BY word)"""]
+    for r in range(1, n + 1):
+        parts.append(f"""bs{r} AS (SELECT freq, string_split(spelled[2:-2], chr(3) || chr(2)) AS s FROM bw{r - 1}),
+bt{r} AS MATERIALIZED (SELECT a, b, CAST(sum(freq) AS BIGINT) AS count FROM
+  (SELECT freq, unnest(s[:-2]) AS a, unnest(s[2:]) AS b FROM bs{r} WHERE len(s) > 1)
+  GROUP BY a, b ORDER BY count DESC, a, b LIMIT 1),
+bw{r} AS MATERIALIZED (SELECT word, freq, replace(spelled, chr(2) || a || chr(3) || chr(2) || b || chr(3),
+  chr(2) || a || b || chr(3)) AS spelled FROM bw{r - 1}, bt{r})""")
+    return "WITH " + ",\n".join(parts)
+
+
+def bpe_merges(n: int) -> str:
+    return " UNION ALL ".join(f"SELECT {r} AS rank, a, b, count FROM bt{r}" for r in range(1, n + 1))
+
+
+def bpe_applied(rows_sql: str, n: int) -> str:
+    """CTEs after `bpe_rounds` -> applied(row_id, subwords); rows_sql has (row_id, text)."""
+    parts = [f"ar AS (SELECT row_id, {pretok('text')} AS words FROM ({rows_sql}))",
+             f"""ad0 AS MATERIALIZED (SELECT word, regexp_replace(word, {q(CHARACTER)}, chr(2) || '\\0' || chr(3), 'g')
+  AS spelled FROM (SELECT DISTINCT unnest(words) AS word FROM ar))"""]
+    for r in range(1, n + 1):
+        parts.append(f"""ad{r} AS (SELECT word, replace(spelled, chr(2) || a || chr(3) || chr(2) || b || chr(3),
+  chr(2) || a || b || chr(3)) AS spelled FROM ad{r - 1}, bt{r})""")
+    parts.append(f"""aw AS (SELECT row_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS pos FROM ar),
+applied AS (SELECT ar.row_id, coalesce(flatten(list(string_split(d.spelled[2:-2], chr(3) || chr(2)) ORDER BY aw.pos)
+  FILTER (WHERE aw.pos IS NOT NULL)), []) AS subwords
+  FROM ar LEFT JOIN aw ON aw.row_id = ar.row_id LEFT JOIN ad{n} d ON d.word = aw.word GROUP BY ar.row_id)""")
+    return ",\n".join(parts)
