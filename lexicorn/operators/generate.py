@@ -1,21 +1,21 @@
-"""Next-token completion for whole tables of prompts, one Spark round per new token.
+"""Next-token completion for whole tables of prompts.
 
-State is ``(seq_id, ids, n_new, done)``. A round scores only the *distinct* active
-contexts (the last ``order-1`` tokens), so sequences sharing a context share work.
-
-Greedy (exact): candidates are every continuation seen after the context at some
-order, plus the top unigram. A token never seen after the context scores
-``lambda_0/V + c * p1(w)`` with ``c`` fixed per context, so the best unigram
-dominates all of them; ties go to the lowest id.
+Greedy (exact): the best next token depends only on the last ``order - 1`` tokens, so it is
+computed once per model, as a table (context, next) over all contexts the model has seen.
+At each level the candidates of a context are its own continuations plus the best token of
+the next shorter context: a token that was not seen after the context keeps its score of the
+shorter one, so none of them beats that one. A round then is a lookup of the longest seen
+context; contexts without any get the top unigram. Ties go to the lowest id.
 
 Sampled (exact over the whole vocabulary): for a context the probability of a
-non-continuation token is ``lambda_0/V + c * p1(w)``; continuation tokens carry
-their full interpolated probability, computed in Spark. A per-partition numpy
-helper rebuilds the V-vector from the broadcast unigram vector (size bounded by
-the vocabulary cap), applies temperature, the top-p cut (keep while cumulative
-<= top_p, always the first) and draws with the row's hashed uniform.
-
-Lineage is cut with ``checkpoint()`` every ``checkpoint_every`` rounds (default: each).
+non-continuation token is ``lambda_0/V + c * p1(w)``; continuation tokens carry their full
+interpolated probability, computed in Spark per distinct active context. A per-partition
+numpy helper adds the broadcast unigram vector (size bounded by the vocabulary cap), applies
+temperature and the top-p cut (keep while cumulative <= top_p, always the first) once per
+context of a batch, and draws with each row's hashed uniform.
+
+The state of a round holds the id, the last tokens and the new tokens of unfinished rows;
+finished rows are set aside. Lineage is cut every ``checkpoint_every`` rounds.
 """
 
 from __future__ import annotations
@@ -29,9 +29,7 @@ from lexicorn.functions.hashing import hash_uniform
 from lexicorn.functions.tokens import EOS_ID, MAX_GEN_LEN
 from lexicorn.operators.ngram import NGramModel, unigram_total
 from lexicorn.operators.vocab import maybe_broadcast
-from lexicorn.session import cut_lineage
-
-BROADCAST_MAX_CONTEXTS = 1_000_000
+from lexicorn.session import write_once
 
 
 def context_key(ids: str, order: int):
@@ -54,8 +52,7 @@ def top_unigram(model: NGramModel) -> int:
     return int(row[0]) if row else EOS_ID
 
 
-def score_candidates(model: NGramModel, dc: DataFrame, n_contexts: int,
-                     with_top: int | None) -> DataFrame:
+def score_candidates(model: NGramModel, dc: DataFrame, with_top: int | None) -> DataFrame:
     """(ck, w, p, seen2) for continuations seen at some order (+ the given top unigram).
 
     One exchange on ``ck``: level totals come from a window over that partitioning and
@@ -65,8 +62,6 @@ def score_candidates(model: NGramModel, dc: DataFrame, n_contexts: int,
     n1 = unigram_total(model)
     lv = _levels(dc, N)
     ngr = model.ngrams.filter(F.col("k") >= 2)
-    if n_contexts * max(N - 1, 1) <= BROADCAST_MAX_CONTEXTS:
-        lv = F.broadcast(lv)     # bounded by the counted active contexts
     cand = ngr.join(lv, on=["k", "ctx"], how="inner").select("ck", "k", "w", "c")
     if with_top is not None:
         cand = cand.unionByName(dc.select("ck", F.lit(0).alias("k"), F.lit(with_top).alias("w"),
@@ -89,11 +84,42 @@ def score_candidates(model: NGramModel, dc: DataFrame, n_contexts: int,
     return cand.select("ck", "w", score.alias("p"), seen2.alias("seen2"))
 
 
-def _greedy_pick(model: NGramModel, act: DataFrame, n_ctx: int, top: int) -> DataFrame:
-    dc = act.select("ck").distinct()
-    sc = score_candidates(model, dc, n_ctx, top)
-    best = sc.groupBy("ck").agg(F.max(F.struct(F.col("p"), (-F.col("w")).alias("nw"))).alias("b"))
-    return best.select("ck", (-F.col("b.nw")).cast("int").alias("next"))
+def successors(model: NGramModel) -> DataFrame:
+    """(ctx, next): the greedy next token of every context of 1 .. order-1 tokens that the
+    model has seen, as the longest seen context of a sequence."""
+    N, lam = model.order, [float(x) for x in model.lambdas]
+    n1 = F.lit(float(max(unigram_total(model), 1)))
+    level = model.unigrams.select(
+        F.array().cast("array<int>").alias("ctx"), "w",
+        (F.lit(lam[0] / float(model.vocab_size)) + F.lit(lam[1]) * (F.col("c1").cast("double") / n1)).alias("s"))
+    top = top_unigram(model)
+    best = level.filter(F.col("w") == top).select("ctx", F.struct(F.col("s"), (-F.col("w")).alias("nw")).alias("b"))
+    out = None
+    for k in range(2, N + 1):
+        shorter = F.slice("ctx", F.lit(2), F.greatest(F.size("ctx") - 1, F.lit(0)))
+        seen = (model.ngrams.filter(F.col("k") == k)
+                .join(model.contexts.filter(F.col("k") == k).select("ctx", "n"), "ctx")
+                .select("ctx", "w", (F.col("c").cast("double") / F.col("n")).alias("p"), shorter.alias("short"))
+                .join(level.select(F.col("ctx").alias("short"), "w", "s"), ["short", "w"]))
+        # partial score up to this level, and the score if no longer context was seen
+        filled = F.col("s") + F.lit(lam[k]) * F.col("p")
+        for j in range(k + 1, N + 1):
+            filled = filled + F.lit(lam[j]) * F.col("p")
+        seen = write_once(seen.select("ctx", "w", (F.col("s") + F.lit(lam[k]) * F.col("p")).alias("s"),
+                                      filled.alias("f")))
+        inherited = (model.contexts.filter(F.col("k") == k).select("ctx", shorter.alias("short"))
+                     .join(best.select(F.col("ctx").alias("short"), "b"), "short")
+                     .select("ctx", (-F.col("b.nw")).alias("w"), F.col("b.s").alias("s"), F.col("b.s").alias("f")))
+        both = seen.select("ctx", "w", "s", "f").unionByName(inherited)
+        picked = write_once(both.groupBy("ctx").agg(
+            F.max(F.struct("s", (-F.col("w")).alias("nw"))).alias("b"),
+            F.max(F.struct("f", (-F.col("w")).alias("nw"))).alias("g")))
+        best, level = picked.select("ctx", "b"), seen.select("ctx", "w", "s")
+        here = picked.select("ctx", (-F.col("g.nw")).cast("int").alias("next"))
+        out = here if out is None else out.unionByName(here)
+    if out is None:  # order 1 has no contexts
+        return model.ngrams.sparkSession.createDataFrame([], "ctx array<int>, next int")
+    return write_once(out)
 
 
 def _background(model: NGramModel) -> np.ndarray:
@@ -106,103 +132,127 @@ def _background(model: NGramModel) -> np.ndarray:
     return vec
 
 
-def _sample_rows(pdf: pd.DataFrame, p1: np.ndarray, lam: list[float], order: int,
-                 temperature: float, top_p: float) -> np.ndarray:
-    V = p1.shape[0]
+def context_cdf(p1: np.ndarray, words, probs, seen: bool, lam: list[float],
+                temperature: float, top_p: float) -> tuple[np.ndarray, np.ndarray]:
+    """(kept ids, their cumulative probabilities) of one context: temperature, top-p cut (by
+    probability desc, id) and renormalisation over the whole vocabulary."""
+    p = lam[0] / p1.shape[0] + (lam[1] if seen else float(sum(lam[1:]))) * p1
+    if words is not None and len(words):
+        p[np.asarray(words, dtype=np.int64)] = np.asarray(probs, dtype=np.float64)
+    logp = np.log(p)
+    q = np.exp((logp - logp.max()) / max(temperature, 1e-8))
+    order = np.lexsort((np.arange(p1.shape[0]), -q))
+    share = q[order] / q.sum()
+    keep = np.cumsum(share) <= top_p
+    keep[0] = True
+    return order[keep], np.cumsum(share[keep]) / share[keep].sum()
+
+
+def _sample_rows(pdf: pd.DataFrame, p1: np.ndarray, lam: list[float], temperature: float,
+                 top_p: float) -> np.ndarray:
+    """Draw for each row; rows of one context share its cumulative table."""
+    tables: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
     out = np.empty(len(pdf), dtype=np.int32)
-    a = lam[0] / V
-    c_seen, c_unseen = lam[1], float(sum(lam[1:]))
-    inv_t = 1.0 / max(temperature, 1e-8)
-    ids = np.arange(V)
     for i, row in enumerate(pdf.itertuples(index=False)):
-        seen = bool(row.seen2) if row.seen2 is not None else False
-        p = a + (c_seen if seen else c_unseen) * p1
-        if row.cw is not None and len(row.cw) > 0:
-            p = p.copy()
-            p[np.asarray(row.cw, dtype=np.int64)] = np.asarray(row.cp, dtype=np.float64)
-        logp = np.log(p)
-        q = np.exp((logp - logp.max()) * inv_t)
-        order_idx = np.lexsort((ids, -q))
-        qs = q[order_idx] / q.sum()
-        cum = np.cumsum(qs)
-        keep = cum <= top_p
-        keep[0] = True
-        kept = qs[keep]
-        kc = np.cumsum(kept) / kept.sum()
-        j = int(np.searchsorted(kc, row.u, side="right"))
-        j = min(j, len(kept) - 1)
-        out[i] = order_idx[np.flatnonzero(keep)[j]]
+        key = tuple(row.ck)
+        if key not in tables:
+            tables[key] = context_cdf(p1, row.cw, row.cp, bool(row.seen2) if row.seen2 is not None else False,
+                                      lam, temperature, top_p)
+        ids, cdf = tables[key]
+        out[i] = ids[min(int(np.searchsorted(cdf, row.u, side="right")), len(ids) - 1)]
     return out
 
 
-def _sampled_pick(model: NGramModel, act: DataFrame, n_ctx: int, rnd: int, seed: int,
+def _sampled_pick(model: NGramModel, act: DataFrame, rnd: int, seed: int,
                   temperature: float, top_p: float, p1) -> DataFrame:
-    dc = act.select("ck").distinct()
-    sc = score_candidates(model, dc, n_ctx, None)
-    per_ctx = (sc.groupBy("ck").agg(F.collect_list(F.struct("w", "p")).alias("wp"),
-                                    F.max("seen2").alias("seen2"))
+    per_ctx = (score_candidates(model, act.select("ck").distinct(), None)
+               .groupBy("ck").agg(F.collect_list(F.struct("w", "p")).alias("wp"), F.max("seen2").alias("seen2"))
                .select("ck", F.col("wp.w").alias("cw"), F.col("wp.p").alias("cp"), "seen2"))
-    rows = (act.select("seq_id", "ck", hash_uniform(seed, "seq_id", F.lit(rnd)).alias("u"))
+    rows = (act.select("_row", "ck", hash_uniform(seed, "seq_id", F.lit(rnd)).alias("u"))
             .join(per_ctx, on="ck", how="left"))
-    lam, order = list(model.lambdas), model.order
+    lam = list(model.lambdas)
 
     def draw(it):
         vec = p1.value
         for pdf in it:
-            if len(pdf) == 0:
-                continue
-            nxt = _sample_rows(pdf, vec, lam, order, temperature, top_p)
-            yield pd.DataFrame({"seq_id": pdf["seq_id"].astype("int64"), "next": nxt})
+            if len(pdf):
+                yield pd.DataFrame({"_row": pdf["_row"].astype("int64"),
+                                    "next": _sample_rows(pdf, vec, lam, temperature, top_p)})
 
-    return rows.mapInPandas(draw, "seq_id long, next int")
+    return rows.mapInPandas(draw, "_row long, next int")
 
 
 def generate(model: NGramModel, prompts: DataFrame, max_new: int = MAX_GEN_LEN,
              sampling: bool = False, temperature: float = 1.0, top_p: float = 0.9,
-             seed: int = 42, eos_id: int | None = EOS_ID, checkpoint_every: int = 1,
+             seed: int = 42, eos_id: int | None = EOS_ID, checkpoint_every: int = 5,
              id_col: str = "seq_id", ids_col: str = "prompt_ids") -> DataFrame:
     """(seq_id, prompt_ids, gen_ids): prompt + up to ``max_new`` tokens, stopping after EOS.
 
-    An empty prompt yields ``[eos]`` (or ``[]`` without an EOS id), as in the reference.
-    """
-    N = model.order
+    An empty prompt yields ``[eos]`` (or ``[]`` without an EOS id), as in the reference."""
     model.materialize()
-    top = top_unigram(model) if not sampling else None
-    # unigram vector: V doubles, bounded by the vocabulary cap; broadcast once per call
-    p1 = model.ngrams.sparkSession.sparkContext.broadcast(_background(model)) if sampling else None
-    state = prompts.select(F.col(id_col).alias("seq_id"), F.col(ids_col).alias("prompt_ids"))
-    empty = F.size("prompt_ids") == 0
-    state = state.select(
-        "seq_id", "prompt_ids",
-        F.when(empty, F.array(F.lit(eos_id)) if eos_id is not None else F.array().cast("array<int>"))
-        .otherwise(F.col("prompt_ids")).alias("ids"),
-        F.lit(0).alias("n_new"),
-        (empty | F.lit(max_new <= 0)).alias("done"))
-    state = cut_lineage(state)
-    for rnd in range(1, max_new + 1):
-        act = state.filter(~F.col("done")).withColumn("ck", context_key("ids", N))
-        n_act = act.count()
-        if n_act == 0:
+    given = write_once(prompts.select(F.col(id_col).alias("seq_id"), F.col(ids_col).alias("prompt_ids"))
+                       .withColumn("_row", F.monotonically_increasing_id()))
+    nothing = F.array().cast("array<int>")
+    active = given.filter(F.size("prompt_ids") > 0).select(
+        "_row", "seq_id", context_key("prompt_ids", model.order).alias("ck"), nothing.alias("new"),
+        F.lit(max_new <= 0).alias("done"))
+    step = _sampled_step(model, seed, temperature, top_p) if sampling else _greedy_step(model)
+    every = 1 if sampling else checkpoint_every  # a sampled round reads its state twice
+    finished = []
+    for start in range(0, max(max_new, 0), every):
+        for rnd in range(start + 1, min(start + every, max_new) + 1):
+            drawn = step(active, rnd)
+            live, w = ~F.col("done"), F.col("next")
+            hit = (w == F.lit(eos_id)) if eos_id is not None else F.lit(False)
+            grown = F.concat("ck", F.array(w))
+            active = drawn.select(
+                "_row", "seq_id",
+                F.when(live, F.slice(grown, F.greatest(F.size(grown) - model.order + 2, F.lit(1)), F.lit(model.order - 1)))
+                .otherwise(F.col("ck")).alias("ck"),
+                F.when(live, F.concat("new", F.array(w))).otherwise(F.col("new")).alias("new"),
+                (F.col("done") | hit | F.lit(rnd >= max_new)).alias("done"))
+        active = write_once(active)
+        finished.append(active.filter("done").select("_row", "new"))
+        active = active.filter(~F.col("done"))
+        if active.isEmpty():
             break
-        if sampling:
-            pick = _sampled_pick(model, act, n_act, rnd, seed, temperature, top_p, p1)
-            upd = state.join(pick, on="seq_id", how="left")
-        else:
-            pick = _greedy_pick(model, act, n_act, top)
-            upd = (state.withColumn("ck", F.when(~F.col("done"), context_key("ids", N)))
-                   .join(pick, on="ck", how="left"))
-        live = ~F.col("done")
-        hit_eos = (F.col("next") == F.lit(eos_id)) if eos_id is not None else F.lit(False)
-        new_n = F.col("n_new") + 1
-        state = upd.select(
-            "seq_id", "prompt_ids",
-            F.when(live, F.concat("ids", F.array(F.col("next")))).otherwise(F.col("ids")).alias("ids"),
-            F.when(live, new_n).otherwise(F.col("n_new")).alias("n_new"),
-            (F.col("done") | hit_eos | (new_n >= F.lit(max_new))).alias("done"))
-        # each round reads the previous state twice (picks and update): cut the lineage
-        # every round so plans stay linear; the state is small (active rows x <= 40 ids)
-        state = cut_lineage(state) if rnd % checkpoint_every == 0 else state.cache()
-    return state.select("seq_id", "prompt_ids", F.col("ids").alias("gen_ids"))
+    made = finished[0] if finished else active.select("_row", "new").limit(0)
+    for more in finished[1:]:
+        made = made.unionByName(more)
+    empty = F.array(F.lit(eos_id)) if eos_id is not None else nothing
+    return (given.join(made, "_row", "left")
+            .select("seq_id", "prompt_ids",
+                    F.when(F.size("prompt_ids") == 0, empty)
+                    .otherwise(F.concat("prompt_ids", F.coalesce("new", nothing))).alias("gen_ids")))
+
+
+def _greedy_step(model: NGramModel):
+    table, top = successors(model), F.lit(top_unigram(model))
+    n = model.order - 1
+
+    def step(active: DataFrame, rnd: int) -> DataFrame:
+        # a finished row looks for a context that can't exist, one of many, so that the
+        # finished rows do not meet in one partition
+        own = F.when(F.col("done"), F.array((-1 - F.pmod(F.xxhash64("_row"), F.lit(1 << 20))).cast("int"))) \
+            .otherwise(F.col("ck"))
+        out, found = active.withColumn("_at", own), []
+        for size in range(n, 0, -1):  # the longest context that was seen
+            key = F.slice("_at", F.greatest(F.size("_at") - size + 1, F.lit(1)), F.least(F.size("_at"), F.lit(size)))
+            known = table.filter(F.size("ctx") <= size).select(F.col("ctx").alias(f"_k{size}"), F.col("next").alias(f"_n{size}"))
+            out = out.withColumn(f"_k{size}", key).join(known, f"_k{size}", "left")
+            found.append(F.col(f"_n{size}"))
+        return out.withColumn("next", F.coalesce(*found, top))
+    return step
+
+
+def _sampled_step(model: NGramModel, seed: int, temperature: float, top_p: float):
+    # unigram vector: V doubles, bounded by the vocabulary cap; broadcast once per call
+    p1 = model.ngrams.sparkSession.sparkContext.broadcast(_background(model))
+
+    def step(active: DataFrame, rnd: int) -> DataFrame:
+        pick = _sampled_pick(model, active.select("_row", "seq_id", "ck"), rnd, seed, temperature, top_p, p1)
+        return active.join(pick, "_row", "left")
+    return step
 
 
 def continuation(gen_ids: str = "gen_ids", prompt_ids: str = "prompt_ids"):
