@@ -74,18 +74,14 @@ def f1_from_lcs(lcs: Column, n_ref: Column, n_hyp: Column) -> Column:
 
 def rouge_l(df: DataFrame, ref_col: str, hyp_col: str, out_col: str = "rouge_l",
             stem: bool = True, native: bool = False) -> DataFrame:
-    """Add ROUGE-L F1 between two text columns; only distinct token pairs are scored."""
+    """Add ROUGE-L F1 between two text columns, row by row: tokens, stems and LCS are
+    computed where the row is, so there is no shuffle and no join."""
     from lexicorn.operators.stem import stem_tokens
-    rt, ht = rouge_tokens(ref_col), rouge_tokens(hyp_col)
-    d = df.withColumn("_rt", rt).withColumn("_ht", ht)
+    d = df.withColumn("_rt", rouge_tokens(ref_col)).withColumn("_ht", rouge_tokens(hyp_col))
     if stem:
-        d = stem_tokens(d, "_rt")
-        d = stem_tokens(d, "_ht")
-    pairs = d.select("_rt", "_ht").distinct()
-    pairs = pairs.repartition("_rt", "_ht")
+        d = stem_tokens(d, "_rt", "_ht")
     lcs = lcs_length_native("_rt", "_ht") if native else lcs_length("_rt", "_ht")
-    scored = pairs.withColumn(out_col, f1_from_lcs(lcs, F.size("_rt"), F.size("_ht")))
-    return d.join(scored, on=["_rt", "_ht"], how="left").drop("_rt", "_ht")
+    return d.withColumn(out_col, f1_from_lcs(lcs, F.size("_rt"), F.size("_ht"))).drop("_rt", "_ht")
 
 
 def rouge_mean(df: DataFrame, col: str = "rouge_l", out_col: str = "rouge_l") -> DataFrame:

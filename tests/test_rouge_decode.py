@@ -28,7 +28,26 @@ def test_porter_examples():
     cases = {"caresses": "caress", "ponies": "poni", "relational": "relat", "hopping": "hop",
              "generalization": "gener", "adoption": "adopt", "controll": "control"}
     for w, s in cases.items():
-        assert porter_stem(w) == s
+        assert porter_stem(w) == s == porter_stem(w, extended=False)
+
+
+def test_extended_stemmer_rules():
+    """Golden pairs, one group per rule that differs from the 1980 algorithm."""
+    groups = {
+        "irregular": {"dying": "die", "skies": "sky", "sky": "sky", "news": "news", "innings": "inning",
+                      "howe": "howe", "succeed": "succeed"},
+        "four letters": {"dies": "die", "lies": "lie", "died": "die", "tied": "tie", "flies": "fli", "cried": "cri"},
+        "y after a consonant": {"enjoy": "enjoy", "happy": "happi", "say": "say", "spy": "spi", "by": "by"},
+        "alli again": {"logically": "logic", "formally": "formal"},
+        "bli": {"possibly": "possibl", "reasonably": "reason"},
+        "fulli": {"carefully": "care", "hopefully": "hope"},
+        "logi": {"geology": "geolog", "biology": "biolog", "logi": "logi"},
+        "short syllable": {"using": "use", "owing": "owe"},
+    }
+    for name, cases in groups.items():
+        for w, s in cases.items():
+            assert porter_stem(w) == s, (name, w)
+    assert porter_stem("dying", extended=False) == "dy" and porter_stem("geology", extended=False) == "geologi"
 
 
 def test_top_p_keeps_cumulative_leq(spark):

@@ -2,11 +2,12 @@ import os
 import shutil
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
 from lexicorn.functions.text import clean_text
-from lexicorn.sources import csv_corpus
+from lexicorn.sources import csv_corpus, turn_key
 from lexicorn.sources import store as ST
 from lexicorn.streaming.clean_stream import start_clean_sink
 
@@ -24,12 +25,32 @@ def test_csv_edge_cases(spark):
     ]
     with open(os.path.join(d, "corpus.csv"), "wb") as fh:
         fh.write(("\n".join(lines) + "\n").encode("latin-1"))
-    df = csv_corpus(spark, d).select("row_id", clean_text("text").alias("c"))
+    df = csv_corpus(spark, d, multiline=True).select("row_id", clean_text("text").alias("c"))
     got = [r.c for r in df.orderBy("row_id").collect()]
     assert got == ['he said "héllo" to me', "seventh field row", "", "", "",
                    "line oneline two", "ends with backslash\\"]
 
 
+def test_csv_ids_stay_with_their_rows(spark):
+    d = tempfile.mkdtemp(prefix="lexicorn-csv-", dir="/tmp")
+    for k in range(4):
+        with open(os.path.join(d, f"{k}.csv"), "w") as fh:
+            fh.writelines(f'0,{"" if k == 3 else k * 1000 + i},d,f,u,row {k} {i}\n' for i in range(50))
+    a = csv_corpus(spark, d)
+    b = csv_corpus(spark, d).repartition(3)
+    assert a.select("row_id").distinct().count() == 200
+    assert a.exceptAll(b).count() == 0
+    assert a.filter("row_id = 2007").first().text == "row 2 7"
+
+
+def test_turn_key_has_no_collisions(spark):
+    df = spark.range(40).crossJoin(spark.range(300).withColumnRenamed("id", "turn")).withColumnRenamed("id", "conv_id")
+    assert df.select(turn_key().alias("k")).distinct().count() == 40 * 300
+    with pytest.raises(Exception, match="20 bits"):
+        spark.createDataFrame([(1, 1 << 20)], "conv_id long, turn long").select(turn_key()).collect()
+    assert spark.createDataFrame([(None, 1)], "conv_id long, turn long").select(turn_key().alias("k")).first().k is None
+
+
 def test_history_and_results_sinks(spark):
     d = tempfile.mkdtemp(prefix="lexicorn-sink-", dir="/tmp")
     h = spark.createDataFrame([(1, 0.5), (2, 0.4)], "epoch int, train_loss double")
@@ -49,7 +70,7 @@ def test_streaming_cleaner_matches_batch(spark):
     q.awaitTermination(120)
     streamed = spark.read.parquet(f"{out}/sink")
     batch = (spark.read.parquet(f"{SF001}/conversations.parquet")
-             .select((F.col("conv_id") * 100 + F.col("turn")).alias("row_id"),
+             .select(turn_key().alias("row_id"),
                      clean_text(F.nullif("text", F.lit("NO_QUERY"))).alias("text")))
     assert streamed.count() == batch.count()
     assert streamed.subtract(batch).count() == 0

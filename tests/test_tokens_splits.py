@@ -1,8 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
 from lexicorn.functions import tokens as tk
 from lexicorn.operators import batches as B
+from lexicorn.operators import bpe as BPE
 from lexicorn.operators import splits as SP
 from lexicorn.operators import vocab as VO
 from lexicorn.plans import pipeline as PL
@@ -59,10 +61,51 @@ def test_dense_rank_matches_sort(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("partitions", [2, 8, 200])
+def test_dense_rank_is_a_permutation(spark, partitions):
+    n = 1_000_000
+    df = spark.range(n).withColumn("k", F.xxhash64("id") % 1000)
+    r = B.dense_rank_by(df, ["k", "id"], num_partitions=partitions)
+    x = r.agg(F.countDistinct("rank").alias("d"), F.min("rank").alias("lo"), F.max("rank").alias("hi"),
+              F.count("*").alias("n")).first()
+    assert (x.d, x.lo, x.hi, x.n) == (n, 0, n - 1, n)
+    before = r.alias("a").join(r.alias("b"), F.col("a.rank") + 1 == F.col("b.rank"))
+    assert before.filter("a.k > b.k or (a.k = b.k and a.id > b.id)").count() == 0
+
+
 def test_encode_decode_roundtrip(spark):
+    """Lossless: every character of the corpus has an id."""
     voc = PL.corpus_vocab(spark, SF001)
     c = PL.split_corpus(spark, SF001).filter(F.col("split") == "train")
-    enc = VO.encode(c, voc, max_length=None, keep_text=True)
-    dec = VO.decode(enc.select("row_id", "ids", "text"), voc)
-    bad = dec.filter(~F.array_contains("ids", tk.UNK_ID) & (F.col("decoded") != F.col("text")))
-    assert bad.count() == 0
+    enc = VO.encode(c, voc, keep_text=True)
+    assert enc.filter(F.array_contains("ids", tk.UNK_ID)).count() == 0
+    assert VO.decode(enc, voc).filter(F.col("decoded") != F.col("text")).count() == 0
+
+
+def test_encode_keeps_rows_apart(spark):
+    voc = VO.learn_vocab(spark.createDataFrame([("low lower low",)], "text string"), 40)
+    df = spark.createDataFrame([(100, "low lower"), (100, "low"), (1, ""), (2, None), (None, "slow€")],
+                               "row_id long, text string")
+    rows = VO.decode(VO.encode(df, voc, append_eos=True), voc).collect()
+    assert sorted((r.row_id or 0, r.decoded) for r in rows) == [
+        (0, "low"), (1, ""), (2, ""), (100, "low"), (100, "low lower")]
+    assert all(r.ids[-1] == tk.EOS_ID for r in rows)
+    cut = VO.encode(df, voc, append_eos=True, max_length=1).collect()
+    assert {tuple(r.ids[1:]) for r in cut if r.row_id == 100} == {(), (tk.EOS_ID,)}
+    assert VO.encode(df.limit(0), voc).count() == 0
+
+
+def test_merges_apply_to_unseen_words(spark):
+    texts = spark.createDataFrame([("low low low",)], "text string")
+    merges, words = BPE.learn_merges(texts, 2)
+    df = spark.createDataFrame([(1, "lowest"), (1, "low slow"), (2, ""), (3, None)], "row_id long, text string")
+    out = BPE.encode_words(df, merges).withColumn("d", BPE.decode_words(F.col("subwords"))).collect()
+    assert sorted((r.row_id, r.subwords) for r in out) == [
+        (1, ["low", " ", "s", "low"]), (1, ["low", "e", "s", "t"]), (2, []), (3, [])]
+    assert all(r.d == (r.text or "") for r in out)
+    assert sorted(r.id for r in BPE.subword_vocab(words, merges).collect()) == list(range(3, 9))
+
+
+def test_aaa_merges_left_to_right(spark):
+    merges, words = BPE.learn_merges(spark.createDataFrame([("aaaaa",)], "text string"), 1)
+    assert words.select(BPE.symbols(F.col("spelled")).alias("s")).first().s == ["aa", "aa", "a"]
