@@ -21,6 +21,7 @@ rows count each; fewer than k rows = all of them; an empty table gives an empty
 
 from __future__ import annotations
 
+import itertools
 import json
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,9 +108,12 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, key:
     state = materialize(start.withColumn("open", F.lit(True)), "mih-state")
     kept = None
 
+    powers = [1 << i for i in range(SEGMENT)]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for radius in range(SEGMENT + 1):
-        masks = F.filter(F.sequence(F.lit(0), F.lit((1 << SEGMENT) - 1)), lambda x: F.bit_count(x) == radius)
-        probes = (state.filter("open")
+        # at most 12,870 masks, a literal that is read once per plan
+        masks = F.from_json(F.lit(json.dumps([sum(c) for c in itertools.combinations(powers, radius)])), "array<int>")
+        probes = (state.filter("open").repartition(parts, *qwords)
                   .select(*qwords, "bound", F.posexplode(_segments(bits, "q")).alias("seg", "own"))
                   .select(*qwords, "bound", "seg", F.explode(masks).alias("mask"), "own")
                   .select(*qwords, "bound", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value")))
