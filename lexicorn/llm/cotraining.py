@@ -114,11 +114,15 @@ def meta_features(source: str | None, lang: str | None, n_chars: int | None) ->
 # ------------------------------------------------------------------ fitting, on the driver
 
 class Rows:
-    """Sparse binary rows as (row, column) pairs."""
-
-    def __init__(self, lists: list[list[int]], columns: dict[int, int]):
-        pairs = [(i, columns[f]) for i, fs in enumerate(lists) for f in fs if f in columns]
-        self.row, self.col = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ())))
+    """Sparse binary rows as (row, column) pairs; ``columns`` are the features in order."""
+
+    def __init__(self, lists: list, columns: np.ndarray):
+        flat = np.concatenate([np.asarray(x, np.int64) for x in lists] or [np.zeros(0, np.int64)])
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        col = np.searchsorted(columns, flat)
+        known = col < len(columns)
+        known[known] = columns[col[known]] == flat[known]
+        self.row, self.col = row[known], col[known]
         self.n, self.width = len(lists), len(columns)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
@@ -132,10 +136,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, l2: float = 0.05, steps: int = 300,
-        rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, start: tuple[np.ndarray, float] | None = None,
+        l2: float = 0.05, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam on all rows; rows of weight 0 don't count."""
-    w, b = np.zeros(rows.width), 0.0
+    w, b = start if start is not None else (np.zeros(rows.width), 0.0)
     m, v = np.zeros(rows.width + 1), np.zeros(rows.width + 1)
     for t in range(1, steps + 1):
         g = weight * (sigmoid(rows.dot(w) + b) - y)
@@ -171,21 +175,23 @@ class Model:
     mix: tuple[float, float, float]
 
 
-def co_train(text: list[list[int]], meta: list[list[int]], label: list[int | None],
-             columns: list[int], s: Settings) -> Model | None:
-    """Fit both views; ``label`` is None for the pool."""
+def co_train(text: list, meta: list, label: list[int | None], columns: list[int],
+             s: Settings) -> Model | None:
+    """Fit both views; a row is a sequence of features, and ``label`` is None for the pool."""
     known = np.array([y is not None for y in label])
     truth = np.array([y or 0 for y in label], float)
     held = known & (np.random.default_rng(s.seed).random(len(label)) < s.held_out)
     train = known & ~held
     if min(((truth == c) & part).sum() for c in (0, 1) for part in (train, held)) == 0:
         return None
-    views = [Rows(text, {f: k for k, f in enumerate(columns)}),
-             Rows(meta, {f: k for k, f in enumerate(sorted({f for m in meta for f in m}))})]
+    names = [np.array(sorted(columns), np.int64), np.unique(np.concatenate([np.asarray(m, np.int64) for m in meta]))]
+    views = [Rows(text, names[0]), Rows(meta, names[1])]
+    fits: list = [None, None]
     target = [np.where(train, truth, 0.0) for _ in views]
     weight = [train.astype(float) for _ in views]
     for turn in range(s.rounds + 1):
-        fits = [fit(v, t, w) for v, t, w in zip(views, target, weight)]
+        # later rounds start from the weights of the one before
+        fits = [fit(v, t, w, f, steps=100 if turn else 300) for v, t, w, f in zip(views, target, weight, fits)]
         raw = [v.dot(w) + b for v, (w, b) in zip(views, fits)]
         if turn == s.rounds:
             break
@@ -199,9 +205,8 @@ def co_train(text: list[list[int]], meta: list[list[int]], label: list[int | Non
     scale = [calibrate([r[held]], truth[held]) for r in raw]
     calm = [a * r[held] + c for (a, c), r in zip(scale, raw)]
     mix = calibrate(calm, truth[held])
-    ws = [dict(zip(columns, fits[0][0])), dict(zip(sorted({f for m in meta for f in m}), fits[1][0]))]
-    return Model({k: float(w) for k, w in ws[0].items() if w}, {k: float(w) for k, w in ws[1].items() if w},
-                 (fits[0][1], fits[1][1]), tuple(tuple(map(float, x)) for x in scale), tuple(map(float, mix)))
+    found = [{int(f): float(x) for f, x in zip(own, w) if x} for own, (w, _) in zip(names, fits)]
+    return Model(*found, (float(fits[0][1]), float(fits[1][1])), tuple(tuple(map(float, x)) for x in scale), tuple(map(float, mix)))
 
 
 # ------------------------------------------------------------------ Spark jobs
@@ -263,8 +268,14 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings, key: str, text: str,
     columns = sorted(r["feature"] for r in told.select("feature").collect())
     kept = F.array_intersect(F.col("f.words"), F.array(*map(F.lit, columns))) if columns else F.col("f.words")
     # bounded: at most max_labelled + max_pool rows of chosen features
-    data = examples.select("key", "label", kept.alias("words"), F.col("f.meta").alias("meta")).sort("key").collect()
-    return co_train([r["words"] for r in data], [r["meta"] for r in data], [r["label"] for r in data], columns, s)
+    data = (examples.select("key", "label", kept.alias("words"), F.col("f.meta").alias("meta"))
+            .sort("key").toArrow().combine_chunks())
+
+    def rows_of(name: str) -> list[np.ndarray]:
+        lists = data[name].combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+    return co_train(rows_of("words"), rows_of("meta"), data["label"].to_pylist(), columns, s)
 
 
 class _Told(dict):
