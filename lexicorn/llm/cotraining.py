@@ -137,7 +137,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, start: tuple[np.ndarray, float] | None = None,
-        l2: float = 0.05, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
+        l2: float = 0.5, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam on all rows; rows of weight 0 don't count."""
     w, b = start if start is not None else (np.zeros(rows.width), 0.0)
     m, v = np.zeros(rows.width + 1), np.zeros(rows.width + 1)
