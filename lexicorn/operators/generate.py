@@ -168,7 +168,7 @@ def _sampled_pick(model: NGramModel, act: DataFrame, rnd: int, seed: int,
     per_ctx = (score_candidates(model, act.select("ck").distinct(), None)
                .groupBy("ck").agg(F.collect_list(F.struct("w", "p")).alias("wp"), F.max("seen2").alias("seen2"))
                .select("ck", F.col("wp.w").alias("cw"), F.col("wp.p").alias("cp"), "seen2"))
-    rows = (act.select("_row", "ck", hash_uniform(seed, "seq_id", F.lit(rnd)).alias("u"))
+    rows = (act.select("_row", "ck", hash_uniform(seed, "_draw", F.lit(rnd)).alias("u"))
             .join(per_ctx, on="ck", how="left"))
     lam = list(model.lambdas)
 
@@ -185,16 +185,18 @@ def _sampled_pick(model: NGramModel, act: DataFrame, rnd: int, seed: int,
 def generate(model: NGramModel, prompts: DataFrame, max_new: int = MAX_GEN_LEN,
              sampling: bool = False, temperature: float = 1.0, top_p: float = 0.9,
              seed: int = 42, eos_id: int | None = EOS_ID, checkpoint_every: int = 5,
-             id_col: str = "seq_id", ids_col: str = "prompt_ids") -> DataFrame:
+             id_col: str = "seq_id", ids_col: str = "prompt_ids", draw_col: str | None = None) -> DataFrame:
     """(seq_id, prompt_ids, gen_ids): prompt + up to ``max_new`` tokens, stopping after EOS.
 
-    An empty prompt yields ``[eos]`` (or ``[]`` without an EOS id), as in the reference."""
+    An empty prompt yields ``[eos]`` (or ``[]`` without an EOS id), as in the reference.
+    Sampling draws by the hash of ``draw_col`` (the id if not given) and the round."""
     model.materialize()
-    given = write_once(prompts.select(F.col(id_col).alias("seq_id"), F.col(ids_col).alias("prompt_ids"))
+    given = write_once(prompts.select(F.col(id_col).alias("seq_id"), F.col(ids_col).alias("prompt_ids"),
+                                      F.col(draw_col or id_col).alias("_draw"))
                        .withColumn("_row", F.monotonically_increasing_id()))
     nothing = F.array().cast("array<int>")
     active = given.filter(F.size("prompt_ids") > 0).select(
-        "_row", "seq_id", context_key("prompt_ids", model.order).alias("ck"), nothing.alias("new"),
+        "_row", "_draw", context_key("prompt_ids", model.order).alias("ck"), nothing.alias("new"),
         F.lit(max_new <= 0).alias("done"))
     step = _sampled_step(model, seed, temperature, top_p) if sampling else _greedy_step(model)
     every = 1 if sampling else checkpoint_every  # a sampled round reads its state twice
@@ -206,7 +208,7 @@ def generate(model: NGramModel, prompts: DataFrame, max_new: int = MAX_GEN_LEN,
             hit = (w == F.lit(eos_id)) if eos_id is not None else F.lit(False)
             grown = F.concat("ck", F.array(w))
             active = drawn.select(
-                "_row", "seq_id",
+                "_row", "_draw",
                 F.when(live, F.slice(grown, F.greatest(F.size(grown) - model.order + 2, F.lit(1)), F.lit(model.order - 1)))
                 .otherwise(F.col("ck")).alias("ck"),
                 F.when(live, F.concat("new", F.array(w))).otherwise(F.col("new")).alias("new"),
@@ -250,7 +252,7 @@ def _sampled_step(model: NGramModel, seed: int, temperature: float, top_p: float
     p1 = model.ngrams.sparkSession.sparkContext.broadcast(_background(model))
 
     def step(active: DataFrame, rnd: int) -> DataFrame:
-        pick = _sampled_pick(model, active.select("_row", "seq_id", "ck"), rnd, seed, temperature, top_p, p1)
+        pick = _sampled_pick(model, active.select("_row", "_draw", "ck"), rnd, seed, temperature, top_p, p1)
         return active.join(pick, "_row", "left")
     return step
 

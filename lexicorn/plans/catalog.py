@@ -7,6 +7,7 @@ places, arrays rendered as space-joined strings where order matters).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from lexicorn import sources as src
 from lexicorn.functions import text as tx
 from lexicorn.plans import sqltext as S
-from lexicorn.session import shared_path, write_once
+from lexicorn.session import ensure_checkpoint_dir, shared_path, write_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -672,16 +673,16 @@ def model_roundtrip_q(spark, sf):
                                      F.sum("c").cast("bigint").alias("total"))
 
 
-_SMALL_GRID = XP.param_grid(lr=[0.5], order=[2, 3], min_count=[1], epochs=[2])
-_MEMO: dict = {}
+# two epochs more than the patience, so that the stop can fire
+_GRID = XP.param_grid(lr=[0.5, 1.0], order=[2, 3], min_count=[1], epochs=[4])
+_PATIENCE = 2
 
 
-def _memo(spark, sf, key, fn):
-    """Reuse an experiment result within one Spark application (reports share a run)."""
-    k = (spark.sparkContext.applicationId, sf, key)
-    if k not in _MEMO:
-        _MEMO[k] = fn()
-    return _MEMO[k]
+def _results_dir(spark, sf) -> str:
+    """Where this application keeps the grid results of a data folder: the report queries read
+    what the grid query has written there, and run the missing cells themselves."""
+    name = hashlib.md5(sf.encode()).hexdigest()[:12]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/grid-{spark.sparkContext.applicationId}-{name}"
 
 
 @query("train_history")
@@ -689,13 +690,130 @@ def train_history_q(spark, sf):
     enc, voc = XP.prepare(spark, sf)
     base = NG.fit(enc.filter((F.col("split") == "train") & ~F.col("holdout")), CFG.order, CFG.vocab_size)
     res = XP.train(base, enc.filter((F.col("split") == "train") & F.col("holdout")),
-                   enc.filter(F.col("split") == "validation"), voc, epochs=2, lr=0.5, patience=2)
+                   enc.filter(F.col("split") == "validation"), voc, epochs=4, lr=0.5, patience=_PATIENCE)
     return XP.history_frame(spark, res.history).withColumn("best_epoch", F.lit(res.best_epoch))
 
 
+_EM_EPOCHS, _EM_LR = 4, 0.5
+
+
+def _em_epochs_sql() -> str:
+    """The EM loop unrolled: lam{e} are the weights after epoch e, tr/va the level tables."""
+    held = f"(SELECT row_id, split, ids, {sql_hash_uniform(f'{CFG.seed}:holdout', 'row_id')} < 0.1 AS holdout FROM {S.encoded_conv(CFG)})"
+    ng = S.ngrams("SELECT row_id, ids FROM held WHERE split = 'train' AND NOT holdout", CFG.order)
+    levels = range(CFG.order + 1)
+
+    def mix(lam: str) -> str:
+        expr = f"({lam}.l0 / {float(CFG.vocab_size)!r})"
+        for k in levels[1:]:
+            expr = f"({expr} + {lam}.l{k} * p{k})"
+        return expr
+    parts = [f"held AS MATERIALIZED {held}", f"ngm AS MATERIALIZED {ng}",
+             "tr AS MATERIALIZED " + S.level_probs("SELECT row_id, ids FROM held WHERE split = 'train' AND holdout", "ngm", CFG.order),
+             "va AS MATERIALIZED " + S.level_probs("SELECT row_id, ids FROM held WHERE split = 'validation'", "ngm", CFG.order),
+             "lam0 AS (SELECT " + ", ".join(f"{LAMBDAS[k]!r} AS l{k}" for k in levels) + ")"]
+    for e in range(1, _EM_EPOCHS + 1):
+        o, n = f"lam{e - 1}", f"lam{e}"
+        r = [f"avg(l0 / {float(CFG.vocab_size)!r} / p) AS r0"] + [f"avg(l{k} * p{k} / p) AS r{k}" for k in levels[1:]]
+        tot = " + ".join(f"r{k}" for k in levels)
+        parts.append(f"st{e} AS (SELECT {', '.join(r)}, avg(-ln(p)) AS nll FROM (SELECT *, {mix(o)} AS p FROM tr, {o}))")
+        parts.append(f"{n} AS MATERIALIZED (SELECT " + ", ".join(
+            f"{1.0 - _EM_LR!r} * {o}.l{k} + {_EM_LR!r} * (r{k} / ({tot})) AS l{k}" for k in levels)
+            + f", st{e}.nll AS nll FROM st{e}, {o})")
+        parts.append(f"pp{e} AS (SELECT exp(sum(-ln(p)) / count(*)) AS ppl FROM (SELECT {mix(n)} AS p FROM va, {n}))")
+    rows = " UNION ALL ".join(
+        f"SELECT {e} AS epoch, round(nll, 6) AS train_loss, round(ppl, 6) AS val_perplexity, "
+        + ", ".join(f"round(l{k}, 6) AS weight{k}" for k in levels) + f" FROM lam{e}, pp{e}"
+        for e in range(1, _EM_EPOCHS + 1))
+    return "WITH " + ",\n".join(parts) + "\n" + rows
+
+
+@query("em_epochs", _em_epochs_sql())
+def em_epochs_q(spark, sf):
+    """Loss, validation perplexity and weights of every EM epoch (no decoding)."""
+    enc, _ = XP.prepare(spark, sf)
+    model = NG.fit(enc.filter((F.col("split") == "train") & ~F.col("holdout")), CFG.order, CFG.vocab_size).materialize()
+    train = write_once(NG.level_probabilities(model, enc.filter((F.col("split") == "train") & F.col("holdout"))))
+    val = write_once(NG.level_probabilities(model, enc.filter(F.col("split") == "validation")))
+    rows = []
+    for epoch in range(1, _EM_EPOCHS + 1):
+        lam, loss = NG.em_update(model, train, lr=_EM_LR)
+        model = model.with_lambdas(lam)
+        p = NG.mixture(lam, model.vocab_size, model.order)
+        ppl = val.agg(F.exp(F.sum(-F.log(p)) / F.count("*"))).first()[0]
+        rows.append((epoch, round(loss, 6), round(ppl, 6), *[round(x, 6) for x in lam]))
+    return spark.createDataFrame(rows, "epoch int, train_loss double, val_perplexity double, "
+                                 + ", ".join(f"weight{k} double" for k in range(CFG.order + 1)))
+
+
+# a history per conversation, made of its turns: a table of many runs, some of which stop
+_HISTORY_SQL = "SELECT conv_id AS run_id, turn + 1 AS epoch, length(coalesce(text, '')) % 100 / 100.0::DOUBLE AS val FROM conversations"
+
+
+@query("early_stop", f"""
+WITH h AS (SELECT *, max(val) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM ({_HISTORY_SQL})),
+s AS (SELECT *, max(CASE WHEN before IS NULL OR val > before THEN epoch END) OVER (PARTITION BY run_id ORDER BY epoch) AS since FROM h),
+e AS (SELECT *, min(CASE WHEN epoch - since >= {_PATIENCE} THEN epoch END) OVER (PARTITION BY run_id) AS ended FROM s)
+SELECT run_id, max(since) AS best_epoch, max(epoch) AS last_epoch FROM e
+WHERE ended IS NULL OR epoch <= ended GROUP BY run_id""")
+def early_stop_q(spark, sf):
+    h = src.table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("run_id"), (F.col("turn") + 1).alias("epoch"),
+        (F.char_length(F.coalesce("text", F.lit(""))) % 100 / F.lit(100.0)).alias("val_rougeL"))
+    return XP.early_stop(h, _PATIENCE)
+
+
+_CELLS = XP.param_grid(lr=[1.0], order=[2, 3], min_count=[1, 2], epochs=[4])
+
+
+def _cells_sql(body) -> str:
+    return " UNION ALL ".join(f"SELECT {k} AS run_id, {c['order']} AS \"order\", {c['min_count']} AS min_count, {body(c)}"
+                              for k, c in enumerate(_CELLS, start=1))
+
+
+def _cell_ppl(c) -> str:
+    lv = S.level_probs(_rows_sql("test"), S.ngrams(_rows_sql("train"), c["order"], min_count=c["min_count"]), c["order"])
+    p = S.mixture(NG.uniform_lambdas(c["order"]), CFG.vocab_size, c["order"])
+    return f"(SELECT round(exp(sum(-ln(p)) / count(*)), 6) FROM (SELECT {p} AS p FROM {lv})) AS test_perplexity"
+
+
+@query("param_grid", _cells_sql(lambda c: f"(SELECT CAST(count(*) AS BIGINT) FROM {S.ngrams(_rows_sql('train'), c['order'], min_count=c['min_count'])}) AS n_ngrams"))
+def param_grid_q(spark, sf):
+    """The cells of a grid and how many n-grams each keeps: all of them from one count."""
+    counts = write_once(NG.ngram_counts(_enc(spark, sf).filter(F.col("split") == "train"), 3))
+    grid = XP.grid_frame(spark, _CELLS)  # as many rows as the caller has listed
+    kept = counts.groupBy("k", "c").count().join(F.broadcast(grid), (F.col("k") <= F.col("order"))
+                                                & ((F.col("k") == 1) | (F.col("c") >= F.col("min_count"))))
+    return kept.groupBy("run_id", "order", "min_count").agg(F.sum("count").cast("bigint").alias("n_ngrams"))
+
+
+def _cell_scores(spark, sf):
+    enc, rows = _enc(spark, sf), None
+    test = enc.filter(F.col("split") == "test")
+    for k, c in enumerate(_CELLS, start=1):
+        model = NG.fit(enc.filter(F.col("split") == "train"), c["order"], CFG.vocab_size, min_count=c["min_count"])
+        one = NG.perplexity(NG.position_scores(model.materialize(), test)).select(
+            F.lit(k).alias("run_id"), F.lit(c["order"]).alias("order"), F.lit(c["min_count"]).alias("min_count"),
+            F.round("perplexity", 6).alias("test_perplexity"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query("grid_perplexity", _cells_sql(_cell_ppl))
+def grid_perplexity_q(spark, sf):
+    """Test perplexity of every cell of the grid, at equal weights."""
+    return _cell_scores(spark, sf)
+
+
+@query("best_cell", f"SELECT * FROM ({_cells_sql(_cell_ppl)}) ORDER BY test_perplexity, run_id LIMIT 1")
+def best_cell_q(spark, sf):
+    return _cell_scores(spark, sf).orderBy("test_perplexity", "run_id").limit(1)
+
+
 @query("grid_search")
 def grid_search_q(spark, sf):
-    return _memo(spark, sf, "grid", lambda: XP.grid_search(spark, sf, _SMALL_GRID))
+    return XP.grid_search(spark, sf, _GRID, results_dir=_results_dir(spark, sf))
 
 
 @query("best_config")
@@ -705,32 +823,92 @@ def best_config_q(spark, sf):
 
 @query("final_fit")
 def final_fit_q(spark, sf):
-    res = XP.final_fit(spark, sf, {"order": 3, "min_count": 1, "epochs": 1, "lr": 0.5})
+    res = XP.final_fit(spark, sf, {"order": 3, "min_count": 1, "epochs": 3, "lr": 0.5},
+                       results_dir=shared_path(spark, "final"))
     return XP.history_frame(spark, res.history).withColumn("best_epoch", F.lit(res.best_epoch))
 
 
-def _comparison(spark, sf):
-    return _memo(spark, sf, "compare", lambda: XP.compare_models(spark, sf))
-
-
 @query("compare_models")
 def compare_models_q(spark, sf):
-    return _comparison(spark, sf)[0]
+    return XP.compare_models(spark, sf)[0]
+
+
+def _compare_sql() -> str:
+    """Both models' greedy completions, scored: cell(model, row_id, prompt, prediction, rouge_l)."""
+    prompts = f"SELECT row_id AS seq_id, ids AS prompt_ids FROM {S.encode(_CHAR_PROMPTS, CFG, max_length=None, append_eos=False)}"
+    cont, parts = S.cut_eos(S.continuation()), []
+    for name, rows in (("in_domain", _rows_sql("train")), ("out_of_domain", f"SELECT row_id, ids FROM {S.encode(S.docs_clean(), CFG)}")):
+        g = S.greedy_rounds(prompts, S.ngrams(rows, CFG.order), CFG.order, LAMBDAS, CFG.vocab_size, 20)
+        parts.append(f"""SELECT '{name}' AS model, d.row_id, d.prediction FROM (
+SELECT row_id, prediction FROM (
+{g}
+SELECT * FROM {S.decode(f"SELECT seq_id AS row_id, {cont} AS g FROM g20", "x.g", S.vocab(CFG), "prediction")})) d""")
+    return f"""WITH made AS MATERIALIZED ({" UNION ALL ".join(parts)}),
+tt AS (SELECT m.model, m.row_id, c.text AS prompt, m.prediction, {S.rouge_tok('c.reference')} AS rt,
+       {S.rouge_tok('m.prediction')} AS ht FROM made m JOIN ({_CHAR_PROMPTS}) c ON c.row_id = m.row_id),
+cell AS (SELECT model, row_id, prompt, prediction, {S.f1('l', 'len(rt)', 'len(ht)')} AS rouge_l
+         FROM (SELECT *, {S.lcs('rt', 'ht')} AS l FROM tt))"""
+
+
+def _greedy_cells(spark, sf):
+    return XP.compare_models(spark, sf, stem=False, decoders=("greedy",))
+
+
+@query("compare_greedy", _compare_sql() + """
+SELECT 'greedy' AS decoder, round(avg(CASE WHEN model = 'in_domain' THEN rouge_l END), 9) AS in_domain,
+       round(avg(CASE WHEN model = 'out_of_domain' THEN rouge_l END), 9) AS out_of_domain FROM cell""")
+def compare_greedy_q(spark, sf):
+    """The greedy half of the comparison, models side by side."""
+    return XP.pivot_scores(_greedy_cells(spark, sf)[0]).select(
+        "decoder", F.round("in_domain", 9).alias("in_domain"), F.round("out_of_domain", 9).alias("out_of_domain"))
+
+
+@query("greedy_examples", _compare_sql() + """
+SELECT model, row_id, prompt, prediction, round(rouge_l, 9) AS rouge_l FROM
+  (SELECT *, row_number() OVER (PARTITION BY model ORDER BY row_id) AS rn FROM cell) WHERE rn <= 5""")
+def greedy_examples_q(spark, sf):
+    return XP.top_examples(_greedy_cells(spark, sf)[1], 5).select(
+        "model", "row_id", "prompt", "prediction", F.round("rouge_l", 9).alias("rouge_l"))
 
 
 @query("top_examples")
 def top_examples_q(spark, sf):
-    return XP.top_examples(_comparison(spark, sf)[1], 5)
+    return XP.top_examples(XP.compare_models(spark, sf)[1], 5)
 
 
 @query("training_run")
 def training_run_q(spark, sf):
     """Whole run: grid search -> first best cell -> final fit on all splits minus hold-out."""
     best = best_config_q(spark, sf).first().asDict()
-    res = XP.final_fit(spark, sf, {k: best[k] for k in ("order", "min_count", "epochs", "lr")})
+    res = XP.final_fit(spark, sf, {k: best[k] for k in ("order", "min_count", "epochs", "lr")},
+                       results_dir=shared_path(spark, "run"))
     return XP.history_frame(spark, res.history).withColumn("best_epoch", F.lit(res.best_epoch))
 
 
+_ITEM_ROWS = f"SELECT item_id AS row_id, {S.clean('text')} AS text FROM benchmark"
+
+
+@query("complete_prompts", S.greedy_rounds(
+    f"SELECT row_id AS seq_id, ids AS prompt_ids FROM {S.encode(_ITEM_ROWS, CFG, max_length=tk.MAX_GEN_LEN, append_eos=False)}",
+    _TRAIN_NG, CFG.order, LAMBDAS, CFG.vocab_size, 20) + f""",
+gd AS {S.decode(f"SELECT seq_id AS row_id, {S.cut_eos(S.continuation())} AS g FROM g20", "x.g", S.vocab(CFG), "new")}
+SELECT i.row_id, trim(gd.new) AS prediction, i.text || gd.new AS completed
+FROM ({_ITEM_ROWS}) i JOIN gd ON gd.row_id = i.row_id""")
+def complete_prompts_q(spark, sf):
+    """Complete a given table of prompts, text in and text out."""
+    voc = PL.corpus_vocab(spark, sf)
+    done = EV.complete(_model(spark, sf), src.benchmark(spark, sf), voc)
+    return done.select("row_id", "prediction", "completed")
+
+
+@query("complete_sampled")
+def complete_sampled_q(spark, sf):
+    """The same with temperature 0.7 and top-p 0.8."""
+    voc = PL.corpus_vocab(spark, sf)
+    done = EV.complete(_model(spark, sf), src.benchmark(spark, sf), voc, sampling=True)
+    return done.select("row_id", "prediction", "completed")
+
+
 # ---------------------------------------------------------------- flagship
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexicorn.functions import tokens as tk
-from lexicorn.functions.text import char_prompt, char_reference
+from lexicorn.functions.text import char_prompt, char_reference, clean_text
 from lexicorn.operators import ngram as NG
 from lexicorn.operators import vocab as VO
 from lexicorn.operators.generate import continuation, generate
 from lexicorn.operators.rouge import rouge_l
+from lexicorn.session import write_once
 
 
 def completions_by_tokens(model: NG.NGramModel, rows: DataFrame, vocab: DataFrame,
@@ -65,3 +66,24 @@ def evaluate_chars(model: NG.NGramModel, texts: DataFrame, vocab: DataFrame, fra
     comp = completions_by_chars(model, texts, vocab, fraction, **gen_kw)
     per = rouge_l(comp, "reference", "prediction", stem=stem)
     return per.agg(F.coalesce(F.avg("rouge_l"), F.lit(0.0)).alias("rouge_l")), per
+
+
+def complete(model: NG.NGramModel, prompts: DataFrame, vocab: DataFrame, n_words: int | None = None,
+             sampling: bool = False, temperature: float = 0.7, top_p: float = 0.8, seed: int = 42,
+             key: str = "row_id", text_col: str = "text", prompt_tokens: int = tk.MAX_GEN_LEN) -> DataFrame:
+    """Complete any table of text prompts: ``prompts`` with ``prediction`` (the new text, up to
+    the end token) and ``completed`` (prompt and new text).
+
+    The model sees the first ``prompt_tokens`` tokens of the cleaned prompt (a feature of the
+    reference); at most 20 new tokens, or ``n_words``. Rows keep their own identity, so equal
+    keys stay apart; a null or empty prompt has an empty prediction."""
+    rows = write_once(prompts.withColumn("_prompt", F.monotonically_increasing_id())
+                      .withColumn("_clean", clean_text(text_col)))
+    enc = VO.encode(rows.select("_prompt", key, F.col("_clean").alias("text")), vocab, out_col="prompt_ids",
+                    max_length=prompt_tokens)
+    gen = generate(model, enc.select(F.col("_prompt").alias("seq_id"), key, "prompt_ids"), draw_col=key,
+                   max_new=n_words or tk.MAX_GEN_LEN, sampling=sampling, temperature=temperature, top_p=top_p, seed=seed)
+    new = VO.decode(gen.select(F.col("seq_id").alias("_prompt"), tk.cut_at(continuation(), tk.EOS_ID).alias("g")),
+                    vocab, ids_col="g", out_col="prediction").drop("g")
+    return (rows.join(new, "_prompt").withColumn("completed", F.concat("_clean", "prediction"))
+            .withColumn("prediction", F.trim("prediction")).drop("_prompt", "_clean"))

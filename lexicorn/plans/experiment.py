@@ -1,8 +1,10 @@
 """Training with EM epochs and early stopping, grid search, final fit and model comparison.
 
 Counts are fitted once per (order, min_count); every epoch is one small aggregate over
-the cached held-out level table plus a validation pass (greedy completion + ROUGE-L).
-Only weights, history rows and per-run metrics reach the driver.
+the written held-out level table plus a validation pass (greedy completion + ROUGE-L).
+Only weights, history rows and per-run metrics reach the driver. With a ``results_dir`` each
+cell's result row, history and best model are written before the next cell begins, and cells
+that are already there are not run again.
 """
 
 from __future__ import annotations
@@ -11,18 +13,26 @@ import itertools
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexicorn.operators import ngram as NG
 from lexicorn.operators import splits as SP
 from lexicorn.plans import evaluate as EV
 from lexicorn.plans import pipeline as PL
-from lexicorn.session import cut_lineage
+from lexicorn.session import write_once
+from lexicorn.sources import store as ST
 
+# The field names of the history and of the result record.
 HISTORY_SCHEMA = "epoch int, train_loss double, val_perplexity double, val_rougeL double, weights array<double>"
 
 
+RESULT_SCHEMA = (
+    "run_id int, lr double, order int, min_count int, epochs int, final_train_loss double, "
+    "final_val_perplexity double, final_val_rougeL double, test_perplexity double, "
+    "test_rougeL double, best_epoch int, weights array<double>")
+
+
 @dataclass
 class TrainResult:
     model: NG.NGramModel
@@ -30,6 +40,22 @@ class TrainResult:
     best_epoch: int
 
 
+def early_stop(history: DataFrame, patience: int, by: str = "run_id") -> DataFrame:
+    """Early stopping over a table of histories (``by``, epoch, val_rougeL): per run the epoch
+    with the first best value among the epochs that ran, and the last epoch that ran.
+
+    An epoch is a miss if it is not strictly better than all before; the run ends with the
+    epoch whose miss is the ``patience``-th since the last best."""
+    w = Window.partitionBy(by).orderBy("epoch")
+    before = F.max("val_rougeL").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    better = history.withColumn("better", before.isNull() | (F.col("val_rougeL") > before))
+    streak = better.withColumn("since", F.max(F.when(F.col("better"), F.col("epoch"))).over(w))
+    misses = streak.withColumn("misses", F.col("epoch") - F.col("since"))
+    ended = F.min(F.when(F.col("misses") >= patience, F.col("epoch"))).over(Window.partitionBy(by))
+    ran = misses.withColumn("ended", ended).filter(F.col("ended").isNull() | (F.col("epoch") <= F.col("ended")))
+    return ran.groupBy(by).agg(F.max("since").alias("best_epoch"), F.max("epoch").alias("last_epoch"))
+
+
 def early_stop_state(history: list[dict], patience: int) -> tuple[int, bool]:
     """(best epoch, stop now?): strictly better val ROUGE-L resets the counter."""
     best, best_epoch, misses = -math.inf, 0, 0
@@ -46,7 +72,7 @@ def train(model: NG.NGramModel, em_rows: DataFrame, val_rows: DataFrame, vocab:
           max_new: int = 20) -> TrainResult:
     """EM epochs on held-out positions; validation each epoch; keep the best weights."""
     model.materialize()
-    levels = cut_lineage(NG.level_probabilities(model, em_rows))
+    levels = write_once(NG.level_probabilities(model, em_rows))
     history: list[dict] = []
     best_lam, best_epoch = list(model.lambdas), 0
     for epoch in range(1, epochs + 1):
@@ -71,6 +97,13 @@ def history_frame(spark: SparkSession, history: list[dict]) -> DataFrame:
          for h in history], HISTORY_SCHEMA)
 
 
+def grid_frame(spark: SparkSession, grid: list[dict]) -> DataFrame:
+    """The grid as a table, one row per cell in order, numbered from 1."""
+    return spark.createDataFrame([(k, float(c["lr"]), c["order"], c["min_count"], c["epochs"])
+                                  for k, c in enumerate(grid, start=1)],
+                                 "run_id int, lr double, order int, min_count int, epochs int")
+
+
 def param_grid(**axes) -> list[dict]:
     keys = list(axes)
     return [dict(zip(keys, vals)) for vals in itertools.product(*[axes[k] for k in keys])]
@@ -78,15 +111,30 @@ def param_grid(**axes) -> list[dict]:
 
 def prepare(spark: SparkSession, sf: str, cfg: PL.Config = PL.DEFAULT):
     """Cached encoded corpus (with hold-out flag) and vocabulary, shared by all runs."""
-    voc = cut_lineage(PL.corpus_vocab(spark, sf, cfg))
+    voc = PL.corpus_vocab(spark, sf, cfg)
     enc = PL.encoded_corpus(spark, sf, cfg, vocab=voc)
-    enc = cut_lineage(SP.holdout(enc, 0.10, cfg.seed))
+    enc = write_once(SP.holdout(enc, 0.10, cfg.seed))
     return enc, voc
 
 
+def _stored_results(spark: SparkSession, results_dir: str | None) -> dict[int, tuple]:
+    """Result rows that earlier, perhaps interrupted, runs have left, by run_id."""
+    from pyspark.errors import AnalysisException
+    if results_dir is None:
+        return {}
+    try:
+        rows = spark.read.schema(RESULT_SCHEMA).parquet(f"{results_dir}/results").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {r["run_id"]: tuple(r) for r in rows}
+
+
 def grid_search(spark: SparkSession, sf: str, grid: list[dict], cfg: PL.Config = PL.DEFAULT,
-                max_new: int = 20, stem: bool = True) -> DataFrame:
+                max_new: int = 20, stem: bool = True, results_dir: str | None = None) -> DataFrame:
     """One row per cell: config + final train loss / val metrics + test metrics."""
+    stored = _stored_results(spark, results_dir)
     enc, voc = prepare(spark, sf, cfg)
     train_rows = enc.filter((F.col("split") == "train") & ~F.col("holdout"))
     em_rows = enc.filter((F.col("split") == "train") & F.col("holdout"))
@@ -95,6 +143,9 @@ def grid_search(spark: SparkSession, sf: str, grid: list[dict], cfg: PL.Config =
     fitted: dict[tuple, NG.NGramModel] = {}
     records = []
     for run_id, cell in enumerate(grid, start=1):
+        if run_id in stored:
+            records.append(stored[run_id])
+            continue
         key = (cell["order"], cell["min_count"])
         if key not in fitted:
             fitted[key] = NG.fit(train_rows, cell["order"], cfg.vocab_size,
@@ -109,10 +160,17 @@ def grid_search(spark: SparkSession, sf: str, grid: list[dict], cfg: PL.Config =
                         int(cell["epochs"]), last["train_loss"], last["val_perplexity"],
                         last["val_rougeL"], float(t["perplexity"]), float(t["rouge_l"]),
                         int(res.best_epoch), [float(x) for x in res.model.lambdas]))
-    return spark.createDataFrame(records, (
-        "run_id int, lr double, order int, min_count int, epochs int, final_train_loss double, "
-        "final_val_perplexity double, final_val_rougeL double, test_perplexity double, "
-        "test_rougeL double, best_epoch int, weights array<double>"))
+        if results_dir is not None:
+            # the result row comes last: a cell that has one is complete
+            ST.save_model(res.model, f"{results_dir}/models", tag=f"run-{run_id}")
+            ST.append_run(history_frame(spark, res.history), f"{results_dir}/history", run_id)
+            (spark.createDataFrame(records[-1:], RESULT_SCHEMA).coalesce(1)
+             .write.mode("append").parquet(f"{results_dir}/results"))
+    out = spark.createDataFrame(records, RESULT_SCHEMA)
+    if results_dir is not None:
+        ST.write_results_csv(out.withColumn("weights", F.concat_ws(" ", F.col("weights").cast("array<string>"))),
+                             f"{results_dir}/grid_search_results")
+    return out
 
 
 def best_config(results: DataFrame) -> DataFrame:
@@ -121,22 +179,27 @@ def best_config(results: DataFrame) -> DataFrame:
 
 
 def final_fit(spark: SparkSession, sf: str, best: dict, cfg: PL.Config = PL.DEFAULT,
-              max_new: int = 20, stem: bool = True) -> TrainResult:
+              max_new: int = 20, stem: bool = True, results_dir: str | None = None) -> TrainResult:
     """Refit on train+validation+test minus the hold-out tenth; 2x epochs, patience 3,
-    early-stopping on the hold-out (which is excluded from the counts)."""
+    early-stopping on the hold-out (which is excluded from the counts). With a
+    ``results_dir`` the model is saved there, tagged ``final``."""
     enc, voc = prepare(spark, sf, cfg)
     parts = [enc.filter(F.col("split") == s) for s in ("train", "validation", "test")]
     full = parts[0].unionByName(parts[1]).unionByName(parts[2])
     fit_rows = full.filter(~F.col("holdout"))
     hold = full.filter(F.col("holdout"))
     base = NG.fit(fit_rows, best["order"], cfg.vocab_size, min_count=best["min_count"])
-    return train(base, hold, hold, voc, epochs=2 * best["epochs"], lr=best["lr"], patience=3,
-                 stem=stem, max_new=max_new)
+    res = train(base, hold, hold, voc, epochs=2 * best["epochs"], lr=best["lr"], patience=3,
+                stem=stem, max_new=max_new)
+    if results_dir is not None:
+        ST.save_model(res.model, f"{results_dir}/models", tag="final")
+        ST.append_run(history_frame(spark, res.history), f"{results_dir}/final_history", 0)
+    return res
 
 
 def compare_models(spark: SparkSession, sf: str, cfg: PL.Config = PL.DEFAULT,
                    temperature: float = 0.8, top_p: float = 0.9, max_new: int = 20,
-                   stem: bool = True) -> tuple[DataFrame, DataFrame]:
+                   stem: bool = True, decoders: tuple[str, ...] = ("greedy", "sampling")) -> tuple[DataFrame, DataFrame]:
     """Two models (in-domain conversations, out-of-domain documents; one vocabulary) x
     two decoders (greedy; temperature + top-p), scored by the character split on the
     in-domain test rows. Returns (model, decoder, avg_rouge_l) and the example rows."""
@@ -147,11 +210,13 @@ def compare_models(spark: SparkSession, sf: str, cfg: PL.Config = PL.DEFAULT,
         "out_of_domain": NG.fit(docs, cfg.order, cfg.vocab_size).materialize(),
     }
     texts = PL.split_corpus(spark, sf, cfg).filter(F.col("split") == "test").select("row_id", "text")
-    texts = cut_lineage(texts)
+    texts = write_once(texts)
     scores, examples = [], []
     for name, m in models.items():
         for decoder, kw in (("greedy", {}), ("sampling", {"sampling": True, "temperature": temperature,
                                                          "top_p": top_p, "seed": cfg.seed})):
+            if decoder not in decoders:
+                continue
             avg, per = EV.evaluate_chars(m, texts, voc, cfg.fraction, stem=stem, max_new=max_new, **kw)
             tag = [F.lit(name).alias("model"), F.lit(decoder).alias("decoder")]
             scores.append(avg.select(*tag, F.col("rouge_l").alias("avg_rouge_l")))
@@ -162,11 +227,15 @@ def compare_models(spark: SparkSession, sf: str, cfg: PL.Config = PL.DEFAULT,
     ex = examples[0]
     for e in examples[1:]:
         ex = ex.unionByName(e)
-    # four cells of test-row size: materialise once so reports reuse them
-    return cut_lineage(out), cut_lineage(ex)
+    # four cells of test-row size, written once so reports reuse them
+    return write_once(out), write_once(ex)
+
+
+def pivot_scores(scores: DataFrame) -> DataFrame:
+    """(decoder, one column per model) for display."""
+    return scores.groupBy("decoder").pivot("model", ["in_domain", "out_of_domain"]).agg(F.first("avg_rouge_l"))
 
 
 def top_examples(examples: DataFrame, n: int = 5) -> DataFrame:
-    from pyspark.sql import Window
     w = Window.partitionBy("model", "decoder").orderBy("row_id")
     return examples.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn")

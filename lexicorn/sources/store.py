@@ -1,8 +1,10 @@
 """Model directory and result sinks: parquet tables written by Spark writers.
 
-Layout: ``<path>/ngrams`` (k, ctx, w, c), ``<path>/meta`` (one row: order,
-vocab_size, lambdas, tag). History and grid results are appended per run as
-``run_id=`` partitions so a crash loses at most the current run.
+Models are versioned: ``<path>/version=<n>/ngrams`` (k, ctx, w, c) and ``.../meta`` (one row:
+order, vocab_size, lambdas, tag) are written first, then a row (version, tag, saved_at) is
+appended to ``<path>/pointer``. A reader follows the last pointer row of its tag, so a crash
+leaves the previous version in place. History and results are appended per run under
+``run_id=``, so a crash loses at most the run in progress.
 """
 
 from __future__ import annotations
@@ -12,19 +14,47 @@ from pyspark.sql import functions as F
 
 from lexicorn.operators.ngram import NGramModel, context_totals
 
+POINTER = "version long, tag string, saved_at timestamp"
+META = "order int, vocab_size int, lambdas array<double>, tag string"
 
-def save_model(model: NGramModel, path: str, tag: str = "best") -> None:
+
+def _pointers(spark: SparkSession, path: str) -> DataFrame:
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.schema(POINTER).parquet(f"{path}/pointer")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], POINTER)
+
+
+def save_model(model: NGramModel, path: str, tag: str = "best") -> int:
+    """Write the next version and point to it; returns its number."""
     spark = model.ngrams.sparkSession
-    model.ngrams.write.mode("overwrite").parquet(f"{path}/ngrams")
-    meta = spark.createDataFrame(
-        [(model.order, model.vocab_size, [float(x) for x in model.lambdas], tag)],
-        "order int, vocab_size int, lambdas array<double>, tag string")
-    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    last = _pointers(spark, path).agg(F.max("version")).first()[0]
+    version = 1 if last is None else last + 1
+    at = f"{path}/version={version}"
+    # a version that a crash left without a pointer is overwritten
+    model.ngrams.write.mode("overwrite").parquet(f"{at}/ngrams")
+    meta = spark.createDataFrame([(model.order, model.vocab_size, [float(x) for x in model.lambdas], tag)], META)
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{at}/meta")
+    (spark.createDataFrame([(version, tag)], "version long, tag string")
+     .withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/pointer"))
+    return version
 
 
-def load_model(spark: SparkSession, path: str) -> NGramModel:
-    meta = spark.read.parquet(f"{path}/meta").first()
-    ngr = spark.read.parquet(f"{path}/ngrams")
+def load_model(spark: SparkSession, path: str, tag: str | None = None, version: int | None = None) -> NGramModel:
+    """The version asked for, or the last one (of a tag)."""
+    known = _pointers(spark, path)
+    if tag is not None:
+        known = known.filter(F.col("tag") == tag)
+    if version is None:
+        version = known.agg(F.max("version")).first()[0]
+    if version is None:
+        raise FileNotFoundError(f"no model{f' tagged {tag}' if tag else ''} below {path}")
+    at = f"{path}/version={version}"
+    meta = spark.read.schema(META).parquet(f"{at}/meta").first()
+    ngr = spark.read.parquet(f"{at}/ngrams")
     return NGramModel(ngr, context_totals(ngr), int(meta["order"]), int(meta["vocab_size"]),
                       list(meta["lambdas"]))
 

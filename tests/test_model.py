@@ -45,3 +45,144 @@ def test_empty_prompt_yields_eos(spark, fitted):
     m, _ = fitted
     p = spark.createDataFrame([(1, [])], "seq_id long, prompt_ids array<int>")
     assert GE.generate(m, p, max_new=5).first().gen_ids == [1]
+
+
+def _brute_next(counts, order, lam, size, ctx):
+    """Best next id by the interpolated score over the whole vocabulary."""
+    uni = counts[1][()]
+    total = sum(uni.values())
+    best = None
+    for w in range(size):
+        p = uni.get(w, 0) / total
+        s = lam[0] / size + lam[1] * p
+        for k in range(2, order + 1):
+            h = tuple(ctx[len(ctx) - k + 1:])
+            if len(h) == k - 1 and h in counts[k]:
+                p = counts[k][h].get(w, 0) / sum(counts[k][h].values())
+            s += lam[k] * p
+        if best is None or s > best[0] + 1e-15:
+            best = (s, w)
+    return best[1]
+
+
+@pytest.mark.parametrize("order,min_count", [(2, 1), (3, 1), (4, 1), (3, 2)])
+def test_next_token_table_equals_brute_force(spark, order, min_count):
+    import collections
+    import random
+    rng = random.Random(order)
+    rows = [[rng.choice([3, 3, 4, 5, 6, 7, 8, 1]) for _ in range(rng.randrange(2, 12))] for _ in range(60)]
+    m = NG.fit(spark.createDataFrame([(r,) for r in rows], "ids array<int>"), order, 12, min_count=min_count,
+               lambdas=[.1, .2, .3, .25, .15][:order + 1]).materialize()
+    counts = {k: collections.defaultdict(dict) for k in range(1, order + 1)}
+    for r in m.ngrams.collect():
+        counts[r.k][tuple(r.ctx)][r.w] = r.c
+    table = {tuple(r.ctx): r.next for r in GE.successors(m).collect()}
+    for ctx, w in table.items():
+        assert w == _brute_next(counts, order, m.lambdas, 12, ctx), ctx
+    assert set(table) == {c for k in range(2, order + 1) for c in counts[k]}
+    prompts = [(i, [rng.randrange(3, 12) for _ in range(rng.randrange(0, 5))]) for i in range(20)] + [(3, [3, 4])]
+    out = GE.generate(m, spark.createDataFrame(prompts, "seq_id long, prompt_ids array<int>"), max_new=7,
+                      checkpoint_every=3).collect()
+    assert len(out) == len(prompts)
+    for r in out:
+        ids = list(r.prompt_ids)
+        for _ in range(7 if ids else 0):
+            ids.append(_brute_next(counts, order, m.lambdas, 12, ids[max(0, len(ids) - order + 1):]))
+            if ids[-1] == 1:
+                break
+        assert r.gen_ids == (ids or [1])
+
+
+def test_sampled_tokens_equal_the_distribution_operators(spark, fitted):
+    """One sampled round against temperature, top-p, renormalise and draw over the whole vocabulary."""
+    from lexicorn.functions.hashing import hash_uniform
+    from lexicorn.operators import distribution as DI
+    m, enc = fitted
+    prompts = (enc.filter(F.col("split") == "test")
+               .select(F.col("row_id").alias("seq_id"), F.slice("ids", 1, 2).alias("prompt_ids")))
+    got = {r.seq_id: r.gen_ids[-1] for r in GE.generate(m, prompts, max_new=1, sampling=True, temperature=.8,
+                                                        top_p=.7, seed=5).collect()}
+    pr = {r.seq_id: (r.prompt_ids, r.u) for r in prompts.withColumn("u", hash_uniform(5, "seq_id", F.lit(1))).collect()}
+    sc = GE.score_candidates(m, prompts.select(F.col("prompt_ids").alias("ck")).distinct(), None).collect()
+    by_ctx = {}
+    for r in sc:
+        by_ctx.setdefault(tuple(r.ck), ({}, r.seen2))[0][r.w] = r.p
+    n1 = NG.unigram_total(m)
+    p1 = {r.w: r.c1 / n1 for r in m.unigrams.collect()}
+    rows = []
+    for ck in {tuple(v[0]) for v in pr.values()}:
+        known, seen = by_ctx.get(ck, ({}, False))
+        back = m.lambdas[1] if seen else sum(m.lambdas[1:])
+        rows += [(str(ck), w, known.get(w, m.lambdas[0] / m.vocab_size + back * p1.get(w, 0.0))) for w in range(m.vocab_size)]
+    dist = DI.renormalise(DI.top_p_filter(DI.apply_temperature(
+        spark.createDataFrame(rows, "ctx string, token int, p double"), .8), .7)).collect()
+    kept = {}
+    for r in sorted(dist, key=lambda r: (-r.p, r.token)):
+        kept.setdefault(r.ctx, []).append((r.token, r.p))
+    for s, (ck, u) in pr.items():
+        acc = 0.0
+        for w, p in kept[str(tuple(ck))]:
+            acc += p
+            if acc > u:
+                break
+        assert got[s] == w
+
+
+def test_complete_prompt_table(spark, fitted):
+    from lexicorn.plans import evaluate as EV
+    m, _ = fitted
+    voc = PL.corpus_vocab(spark, SF001)
+    df = spark.createDataFrame([(1, "The the"), (1, "of THE and"), (2, None), (3, "")], "row_id long, text string")
+    for sampling in (False, True):
+        rows = EV.complete(m, df, voc, sampling=sampling).collect()
+        assert len(rows) == 4
+        for r in rows:
+            assert (r.prediction == "") if not r.text else r.completed.startswith(r.text.lower())
+    assert EV.complete(m, df.limit(0), voc).count() == 0
+    five = EV.complete(m, df, voc, n_words=1).filter("row_id = 1").collect()
+    assert all(len(r.completed) > len(r.text) or r.prediction == "" for r in five)
+
+
+def test_grid_search_resumes_after_a_crash(spark, monkeypatch):
+    from lexicorn.plans import experiment as XP
+    from lexicorn.session import shared_path
+    from lexicorn.sources import store as ST
+    path = shared_path(spark, "grid")
+    grid = XP.param_grid(lr=[0.5], order=[2, 3], min_count=[1], epochs=[1])
+    plain, ran = XP.train, []
+
+    def crash(model, *a, **k):
+        ran.append(model.order)
+        if model.order == 3 and ran.count(3) == 1:
+            raise RuntimeError("lost")
+        return plain(model, *a, **k)
+    monkeypatch.setattr(XP, "train", crash)
+    with pytest.raises(RuntimeError):
+        XP.grid_search(spark, SF001, grid, max_new=2, results_dir=path)
+    assert [r.run_id for r in spark.read.parquet(f"{path}/results").collect()] == [1]
+    assert ST.load_model(spark, f"{path}/models", tag="run-1").order == 2
+    out = XP.grid_search(spark, SF001, grid, max_new=2, results_dir=path)
+    assert ran == [2, 3, 3] and [r.run_id for r in out.sort("run_id").collect()] == [1, 2]
+    assert ST.load_model(spark, f"{path}/models").order == 3
+    assert spark.read.parquet(f"{path}/history").select("run_id").distinct().count() == 2
+    assert spark.read.option("header", True).csv(f"{path}/grid_search_results").count() == 2
+    with pytest.raises(FileNotFoundError):
+        ST.load_model(spark, f"{path}/models", tag="final")
+
+
+def test_early_stop_table_equals_the_driver_rule(spark):
+    import random
+    from lexicorn.plans import experiment as XP
+    rng = random.Random(1)
+    runs = {r: [rng.choice([.1, .2, .2, .3, .4]) for _ in range(rng.randrange(1, 9))] for r in range(40)}
+    df = spark.createDataFrame([(r, e, v) for r, vs in runs.items() for e, v in enumerate(vs, 1)],
+                               "run_id int, epoch int, val_rougeL double")
+    got = {r.run_id: (r.best_epoch, r.last_epoch) for r in XP.early_stop(df, 2).collect()}
+    for r, vs in runs.items():
+        hist = []
+        for e, v in enumerate(vs, 1):
+            hist.append({"epoch": e, "val_rougeL": v})
+            best, stop = XP.early_stop_state(hist, 2)
+            if stop:
+                break
+        assert got[r] == (best, len(hist))
