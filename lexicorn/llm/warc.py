@@ -38,6 +38,7 @@ V2_FIELDS = ("URL IP-address Archive-date Content-type Result-code Checksum Loca
              "Filename Archive-length")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_END = b"\r\n\r\n"
+GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
 
 # ------------------------------------------------------------------ bytes, inside tasks
@@ -205,7 +206,7 @@ def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
         return _chunks(lines(), schema)
 
     (rows.mapInArrow(render, "value binary").select(F.col("value").cast("string").alias("value"))
-     .write.option("lineSep", "\n").option("compression", "gzip").text(path))
+     .write.option("lineSep", "\n").options(**GZIP).text(path))
 
 
 _ARC = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()),
@@ -294,7 +295,7 @@ def write_warc(records: DataFrame, path: str) -> None:
 
     (records.select(*columns).mapInArrow(render, "value binary")
      .select(F.col("value").cast("string").alias("value"))
-     .write.option("lineSep", RECORD_END.decode()).option("compression", "gzip").text(path))
+     .write.option("lineSep", RECORD_END.decode()).options(**GZIP).text(path))
 
 
 _WARC = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()),
