@@ -251,7 +251,7 @@ class Codec:
         return self.bytes[place + np.arange(total)].tobytes()
 
 
-def _chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` characters; a longer text is a range of its own."""
     start = size = 0
     for k, t in enumerate(texts):
