@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from lexicorn.functions.hashing import hash_uniform
 from lexicorn.functions.tokens import EOS_ID, MAX_GEN_LEN
 from lexicorn.operators.ngram import NGramModel, unigram_total
-from lexicorn.operators.vocab import maybe_broadcast
 from lexicorn.session import write_once
 
 
@@ -73,7 +72,7 @@ def score_candidates(model: NGramModel, dc: DataFrame, with_top: int | None) ->
     cand = cand.groupBy("ck", "w").agg(
         *[F.max(F.when(F.col("k") == k, F.col("c"))).alias(f"c{k}") for k in range(2, N + 1)],
         *[F.first(f"n{k}").alias(f"n{k}") for k in range(2, N + 1)])
-    cand = cand.join(maybe_broadcast(model.unigrams, V), on="w", how="left")
+    cand = cand.join(model.unigrams, on="w", how="left")
     p = F.coalesce(F.col("c1"), F.lit(0)).cast("double") / F.lit(float(max(n1, 1)))
     score = F.lit(float(lam[0]) / float(V)) + F.lit(float(lam[1])) * p
     for k in range(2, N + 1):

@@ -2,9 +2,12 @@
 
 ``p_0 = 1/V``; ``p_k(w|h) = c(h_k, w) / c(h_k)`` with ``h_k`` the last k-1 tokens,
 and ``p_k := p_(k-1)`` when ``h_k`` was never seen; ``p = sum_k lambda_k p_k``.
-Position 0 of a sequence is never predicted. Contexts are ``ARRAY<INT>`` join keys;
-unigram counts (bounded by the vocabulary cap) are broadcast, higher orders are
-shuffle-joined (AQE splits hot contexts).
+Position 0 of a sequence is never predicted. Contexts are ``ARRAY<INT>`` join keys.
+
+Sums over positions (perplexity, EM) need no positions: equal windows of ``order`` tokens
+have equal scores, so windows are counted first, map-side, and each distinct one is scored
+once with its count. Model tables are written once, so the planner knows their true sizes
+and broadcasts what is small (the unigrams are bounded by the vocabulary) by itself.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexicorn.operators.vocab import maybe_broadcast
+from lexicorn.session import write_once
 
 
 def events(df: DataFrame, order: int, ids_col: str = "ids", keep: tuple[str, ...] = (),
@@ -67,15 +70,10 @@ class NGramModel:
     materialized: bool = False
 
     def materialize(self) -> "NGramModel":
-        """Write the fitted tables once (reliable checkpoint) so later rounds reuse them.
-
-        The n-gram table is hash-partitioned on its lookup key ``(k, ctx)`` first, so
-        per-round lookups shuffle only the small side."""
+        """Write the fitted tables once, so that nothing counts the corpus again."""
         if not self.materialized:
-            from lexicorn.session import cut_lineage
-            self.ngrams = cut_lineage(self.ngrams.repartition("k", "ctx"))
-            self.contexts = context_totals(self.ngrams)
-            self.contexts = cut_lineage(self.contexts)
+            self.ngrams = write_once(self.ngrams)
+            self.contexts = write_once(context_totals(self.ngrams))
             self.materialized = True
         return self
 
@@ -103,29 +101,56 @@ def level_probabilities(model: NGramModel, df: DataFrame, ids_col: str = "ids",
                         key: str = "row_id") -> DataFrame:
     """(key, j, w, p1..pN): per predicted position, each level with the back-off fill."""
     N = model.order
-    n1 = unigram_total(model)
     if N >= 2:
-        ev = events(df, N, ids_col, keep=(key,), min_k=2)
-        ctx = model.contexts.filter(F.col("k") >= 2)
-        ngr = model.ngrams.filter(F.col("k") >= 2)
-        joined = (ev.join(ctx, on=["k", "ctx"], how="left")
-                  .join(ngr, on=["k", "ctx", "w"], how="left"))
-        aggs = [F.first("w").alias("w")]
-        for k in range(2, N + 1):
-            aggs.append(F.max(F.when(F.col("k") == k, F.col("n"))).alias(f"n{k}"))
-            aggs.append(F.max(F.when(F.col("k") == k, F.col("c"))).alias(f"c{k}"))
-        pos = joined.groupBy(key, "j").agg(*aggs)
+        pos = _looked_up(model, events(df, N, ids_col, keep=(key,), min_k=2), [key, "j"])
     else:
         pos = events(df, 1, ids_col, keep=(key,)).select(key, "j", "w")
-    uni = maybe_broadcast(model.unigrams, model.vocab_size)
-    pos = pos.join(uni, on="w", how="left")
+    return _with_levels(model, pos).select(key, "j", "w", *[f"p{k}" for k in range(1, N + 1)])
+
+
+def window_levels(model: NGramModel, df: DataFrame, ids_col: str = "ids") -> DataFrame:
+    """(win, w, n, p1..pN): each distinct window of up to ``order`` tokens that ends on a
+    predicted position, the number of its positions, and its level probabilities."""
+    N, s = model.order, ids_col
+    gen = F.expr(
+        f"explode(transform(filter(sequence(2, greatest(size({s}), 2)), j -> j <= size({s})),"
+        f" j -> slice({s}, greatest(j - {N} + 1, 1), least(j, {N}))))")
+    wins = df.select(gen.alias("win")).groupBy("win").agg(F.count("*").alias("n"))
+    if N >= 2:
+        level = F.expr(f"explode(sequence(2, least({N}, size(win))))")
+        ev = (wins.select("win", level.alias("k"))
+              .select("win", "k", F.expr("slice(win, size(win) - k + 1, k - 1)").alias("ctx"),
+                      F.element_at("win", -1).alias("w")))
+        pos = _looked_up(model, ev, ["win"]).join(wins, "win")
+    else:
+        pos = wins.select("win", "n", F.element_at("win", -1).alias("w"))
+    return _with_levels(model, pos).select("win", "w", "n", *[f"p{k}" for k in range(1, N + 1)])
+
+
+def _looked_up(model: NGramModel, ev: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of context and n-gram at each level >= 2, one row per ``by``."""
+    N = model.order
+    ctx = model.contexts.filter(F.col("k") >= 2)
+    ngr = model.ngrams.filter(F.col("k") >= 2)
+    joined = ev.join(ctx, on=["k", "ctx"], how="left").join(ngr, on=["k", "ctx", "w"], how="left")
+    aggs = [F.first("w").alias("w")]
+    for k in range(2, N + 1):
+        aggs.append(F.max(F.when(F.col("k") == k, F.col("n"))).alias(f"n{k}"))
+        aggs.append(F.max(F.when(F.col("k") == k, F.col("c"))).alias(f"c{k}"))
+    return joined.groupBy(*by).agg(*aggs)
+
+
+def _with_levels(model: NGramModel, pos: DataFrame) -> DataFrame:
+    """Add p1..pN, an unseen context taking the level below."""
+    n1 = unigram_total(model)
+    pos = pos.join(model.unigrams, on="w", how="left")
     p = F.coalesce(F.col("c1"), F.lit(0)).cast("double") / F.lit(float(max(n1, 1)))
     pos = pos.withColumn("p1", p)
-    for k in range(2, N + 1):
+    for k in range(2, model.order + 1):
         p = F.when(F.col(f"n{k}").isNotNull(),
                    F.coalesce(F.col(f"c{k}"), F.lit(0)).cast("double") / F.col(f"n{k}")).otherwise(p)
         pos = pos.withColumn(f"p{k}", p)
-    return pos.select(key, "j", "w", *[f"p{k}" for k in range(1, N + 1)])
+    return pos
 
 
 def mixture(lambdas: list[float], vocab_size: int, order: int) -> Column:
@@ -143,9 +168,18 @@ def position_scores(model: NGramModel, df: DataFrame, ids_col: str = "ids",
     return lv.withColumn("p", p).withColumn("nll", -F.log(F.col("p")))
 
 
+def window_scores(model: NGramModel, df: DataFrame, ids_col: str = "ids") -> DataFrame:
+    """`window_levels` with ``p`` and ``nll``."""
+    p = mixture(model.lambdas, model.vocab_size, model.order)
+    return window_levels(model, df, ids_col).withColumn("p", p).withColumn("nll", -F.log(F.col("p")))
+
+
 def perplexity(scores: DataFrame) -> DataFrame:
-    """One row: total nll, token count, perplexity (``inf`` when there are no tokens)."""
-    agg = scores.agg(F.sum("nll").alias("sum_nll"), F.count(F.lit(1)).alias("n_tokens"))
+    """One row: total nll, token count, perplexity (``inf`` when there are no tokens), from
+    position scores or from window scores with their counts ``n``."""
+    n = F.col("n") if "n" in scores.columns else F.lit(1)
+    agg = scores.agg(F.sum(F.col("nll") * n).alias("sum_nll"),
+                     F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("n_tokens"))
     return agg.select(
         "sum_nll", "n_tokens",
         F.when(F.col("n_tokens") > 0, F.exp(F.col("sum_nll") / F.col("n_tokens")))
@@ -153,17 +187,18 @@ def perplexity(scores: DataFrame) -> DataFrame:
 
 
 def em_update(model: NGramModel, levels: DataFrame, lr: float = 1.0) -> tuple[list[float], float]:
-    """One EM step on held-out positions: new lambda_k = mean responsibility of level k.
+    """One EM step on held-out windows: new lambda_k = mean responsibility of level k.
 
-    Returns the stepped weights ``(1-lr)*old + lr*new`` and the held-out mean nll
-    under the old weights. One aggregate over the (cached) level table.
-    """
+    Returns the stepped weights ``(1-lr)*old + lr*new`` and the held-out mean nll under the
+    old weights. One aggregate over the (written) table of `window_levels`."""
     N, lam = model.order, model.lambdas
-    p = mixture(lam, model.vocab_size, N)
-    scored = levels.withColumn("p", p)
-    resp = [F.avg(F.lit(lam[0] / model.vocab_size) / F.col("p")).alias("r0")]
-    resp += [F.avg(F.lit(lam[k]) * F.col(f"p{k}") / F.col("p")).alias(f"r{k}") for k in range(1, N + 1)]
-    row = scored.agg(*resp, F.avg(-F.log("p")).alias("nll")).first()
+    scored = levels.withColumn("p", mixture(lam, model.vocab_size, N))
+
+    def mean(c: Column) -> Column:
+        return F.sum(c * F.col("n")) / F.sum("n")
+    resp = [mean(F.lit(lam[0] / model.vocab_size) / F.col("p")).alias("r0")]
+    resp += [mean(F.lit(lam[k]) * F.col(f"p{k}") / F.col("p")).alias(f"r{k}") for k in range(1, N + 1)]
+    row = scored.agg(*resp, mean(-F.log("p")).alias("nll")).first()
     if row["nll"] is None:
         return list(lam), math.nan
     new = [float(row[f"r{k}"]) for k in range(N + 1)]

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexicorn.functions.hashing import hash_uniform
+from lexicorn.session import write_once
 
 
 def check_ratios(train: float, val: float, test: float) -> None:
@@ -63,30 +64,27 @@ def _first_n(df: DataFrame, key_col: str, id_col: str, n_first: int) -> DataFram
             break
         acc2 += c
     need = n_first - before2  # rows to take among those with key == v_star, by id
-    from pyspark.sql import Window as W
-    rank = F.row_number().over(W.partitionBy(key_col).orderBy(id_col))
-    boundary = (df.filter(F.col(key_col) == F.lit(v_star))
-                .select(id_col, (rank <= F.lit(need)).alias("_b")))
-    return (df.join(F.broadcast(boundary), on=id_col, how="left")
-              .withColumn("_first", F.when(F.col(key_col) < F.lit(v_star), True)
-                          .when(F.col(key_col) > F.lit(v_star), False)
-                          .otherwise(F.col("_b")))
-              .drop("_b"))
+    # only rows that share the boundary hash value are ranked; nothing is joined, so rows
+    # with equal ids stay what they are
+    rank = F.row_number().over(Window.partitionBy(key_col).orderBy(id_col, F.xxhash64(*df.columns)))
+    at = F.col(key_col)
+    return (df.filter(at != v_star).withColumn("_first", at < v_star)
+            .unionByName(df.filter(at == v_star).withColumn("_first", rank <= need)))
 
 
 def exact_split(df: DataFrame, train: float = 0.8, val: float = 0.1, test: float = 0.1,
                 seed: int = 42, id_col: str = "row_id", out_col: str = "split") -> DataFrame:
     """Exact sizes: rest = ceil((1-train)*n); test = ceil((1-val_rel)*rest); by hash order."""
     check_ratios(train, val, test)
-    n = df.count()
+    k1 = (hash_uniform(seed, id_col) * F.lit(4294967296.0)).cast("bigint")
+    k2 = (hash_uniform(f"{seed}:2", id_col) * F.lit(4294967296.0)).cast("bigint")
+    staged = write_once(df.withColumn("_k1", k1).withColumn("_k2", k2))
+    n = staged.count()
     n_rest = math.ceil((1.0 - train) * n)
     n_train = n - n_rest
     val_rel = val / (val + test)
     n_test = math.ceil((1.0 - val_rel) * n_rest)
     n_val = n_rest - n_test
-    k1 = (hash_uniform(seed, id_col) * F.lit(4294967296.0)).cast("bigint")
-    k2 = (hash_uniform(f"{seed}:2", id_col) * F.lit(4294967296.0)).cast("bigint")
-    staged = df.withColumn("_k1", k1).withColumn("_k2", k2)
     first = _first_n(staged, "_k1", id_col, n_train)
     first = first.withColumn("_is_train", F.col("_first")).drop("_first")
     rest = first.filter(~F.col("_is_train"))

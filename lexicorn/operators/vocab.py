@@ -17,16 +17,10 @@ from pyspark.sql import types as T
 from lexicorn.functions.tokens import (
     EOS_ID, EOS_TOKEN, PAD_ID, PAD_TOKEN, UNK_ID, UNK_TOKEN, pretokenize)
 
-BROADCAST_MAX_VOCAB = 2_000_000
 DICTIONARY_MAX = 1_000_000
 N_SPECIAL = 3
 
 
-def maybe_broadcast(df: DataFrame, bound_rows: int, limit: int = BROADCAST_MAX_VOCAB) -> DataFrame:
-    """Broadcast only tables whose row count is bounded by a parameter below ``limit``."""
-    return F.broadcast(df) if bound_rows <= limit else df
-
-
 #: a whole code point, line breaks included (valid in Java and RE2)
 CHARACTER = "(?s)."
 

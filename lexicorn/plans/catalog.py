@@ -337,9 +337,10 @@ def _enc(spark, sf):
 
 
 def _model(spark, sf, min_count: int = 1, enc=None):
+    """The fitted model, its tables written once: everything after reads them."""
     e = enc if enc is not None else _enc(spark, sf)
     return NG.fit(e.filter(F.col("split") == "train"), CFG.order, CFG.vocab_size,
-                  min_count=min_count, lambdas=LAMBDAS)
+                  min_count=min_count, lambdas=LAMBDAS).materialize()
 
 
 @query("ngram_counts", f"SELECT k, {S.ctx_str()} AS ctx, w, c FROM {_TRAIN_NG}")
@@ -378,8 +379,8 @@ def position_scores_q(spark, sf):
 @query("cross_entropy", f"SELECT round(avg(-ln(p)), 9) AS mean_nll FROM {_TEST_P}")
 def cross_entropy_q(spark, sf):
     enc = _enc(spark, sf)
-    sc = NG.position_scores(_model(spark, sf, enc=enc), enc.filter(F.col("split") == "test"))
-    return sc.agg(F.round(F.avg("nll"), 9).alias("mean_nll"))
+    sc = NG.window_scores(_model(spark, sf, enc=enc), enc.filter(F.col("split") == "test"))
+    return sc.agg(F.round(F.sum(F.col("nll") * F.col("n")) / F.sum("n"), 9).alias("mean_nll"))
 
 
 @query("perplexity", f"""
@@ -388,7 +389,7 @@ SELECT round(sum(-ln(p)), 9) AS sum_nll, CAST(count(*) AS BIGINT) AS n_tokens,
 FROM {_TEST_P}""")
 def perplexity_q(spark, sf):
     enc = _enc(spark, sf)
-    sc = NG.position_scores(_model(spark, sf, enc=enc), enc.filter(F.col("split") == "test"))
+    sc = NG.window_scores(_model(spark, sf, enc=enc), enc.filter(F.col("split") == "test"))
     return NG.perplexity(sc).select(F.round("sum_nll", 9).alias("sum_nll"),
                                     F.col("n_tokens").cast("bigint").alias("n_tokens"),
                                     F.round("perplexity", 9).alias("perplexity"))
@@ -411,7 +412,7 @@ SELECT CAST(level AS INTEGER) AS level, weight FROM ({rows})"""
 def em_step_q(spark, sf):
     enc = _enc(spark, sf)
     m = _model(spark, sf, enc=enc)
-    lv = NG.level_probabilities(m, enc.filter(F.col("split") == "validation"))
+    lv = NG.window_levels(m, enc.filter(F.col("split") == "validation"))
     new, _ = NG.em_update(m, lv, lr=1.0)
     return spark.createDataFrame([(k, round(x, 9)) for k, x in enumerate(new)],
                                  "level int, weight double")
@@ -733,14 +734,14 @@ def em_epochs_q(spark, sf):
     """Loss, validation perplexity and weights of every EM epoch (no decoding)."""
     enc, _ = XP.prepare(spark, sf)
     model = NG.fit(enc.filter((F.col("split") == "train") & ~F.col("holdout")), CFG.order, CFG.vocab_size).materialize()
-    train = write_once(NG.level_probabilities(model, enc.filter((F.col("split") == "train") & F.col("holdout"))))
-    val = write_once(NG.level_probabilities(model, enc.filter(F.col("split") == "validation")))
+    train = write_once(NG.window_levels(model, enc.filter((F.col("split") == "train") & F.col("holdout"))))
+    val = write_once(NG.window_levels(model, enc.filter(F.col("split") == "validation")))
     rows = []
     for epoch in range(1, _EM_EPOCHS + 1):
         lam, loss = NG.em_update(model, train, lr=_EM_LR)
         model = model.with_lambdas(lam)
         p = NG.mixture(lam, model.vocab_size, model.order)
-        ppl = val.agg(F.exp(F.sum(-F.log(p)) / F.count("*"))).first()[0]
+        ppl = NG.perplexity(val.withColumn("nll", -F.log(p))).first()["perplexity"]
         rows.append((epoch, round(loss, 6), round(ppl, 6), *[round(x, 6) for x in lam]))
     return spark.createDataFrame(rows, "epoch int, train_loss double, val_perplexity double, "
                                  + ", ".join(f"weight{k} double" for k in range(CFG.order + 1)))
@@ -793,7 +794,7 @@ def _cell_scores(spark, sf):
     test = enc.filter(F.col("split") == "test")
     for k, c in enumerate(_CELLS, start=1):
         model = NG.fit(enc.filter(F.col("split") == "train"), c["order"], CFG.vocab_size, min_count=c["min_count"])
-        one = NG.perplexity(NG.position_scores(model.materialize(), test)).select(
+        one = NG.perplexity(NG.window_scores(model.materialize(), test)).select(
             F.lit(k).alias("run_id"), F.lit(c["order"]).alias("order"), F.lit(c["min_count"]).alias("min_count"),
             F.round("perplexity", 6).alias("test_perplexity"))
         rows = one if rows is None else rows.unionByName(one)

@@ -38,7 +38,7 @@ def evaluate_tokens(model: NG.NGramModel, rows: DataFrame, vocab: DataFrame,
     """(summary(perplexity, rouge_l, n_examples), per-example table)."""
     comp = completions_by_tokens(model, rows, vocab, fraction, **gen_kw)
     per = rouge_l(comp, "reference", "prediction", stem=stem)
-    ppl = NG.perplexity(NG.position_scores(model, rows))
+    ppl = NG.perplexity(NG.window_scores(model, rows))
     summary = (per.agg(F.coalesce(F.avg("rouge_l"), F.lit(0.0)).alias("rouge_l"),
                        F.count(F.lit(1)).alias("n_examples"))
                .join(ppl.select("perplexity"), how="inner", on=F.lit(True)))

@@ -72,7 +72,7 @@ def train(model: NG.NGramModel, em_rows: DataFrame, val_rows: DataFrame, vocab:
           max_new: int = 20) -> TrainResult:
     """EM epochs on held-out positions; validation each epoch; keep the best weights."""
     model.materialize()
-    levels = write_once(NG.level_probabilities(model, em_rows))
+    levels = write_once(NG.window_levels(model, em_rows))
     history: list[dict] = []
     best_lam, best_epoch = list(model.lambdas), 0
     for epoch in range(1, epochs + 1):

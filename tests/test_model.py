@@ -23,7 +23,12 @@ def test_conditionals_sum_to_one(fitted):
 
 def test_em_does_not_lower_likelihood(fitted):
     m, enc = fitted
-    lv = NG.level_probabilities(m, enc.filter(F.col("split") != "train")).cache()
+    rows = enc.filter(F.col("split") != "train")
+    lv = NG.window_levels(m, rows).cache()
+    by_position = NG.perplexity(NG.position_scores(m, rows)).first()
+    by_window = NG.perplexity(NG.window_scores(m, rows)).first()
+    assert by_window.n_tokens == by_position.n_tokens
+    assert by_window.perplexity == pytest.approx(by_position.perplexity)
     lam1, nll0 = NG.em_update(m, lv, lr=1.0)
     _, nll1 = NG.em_update(m.with_lambdas(lam1), lv, lr=1.0)
     assert nll1 <= nll0 + 1e-12
