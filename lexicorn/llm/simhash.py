@@ -235,14 +235,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _least_of_component(prints: DataFrame, least: F.Column, radius: int, tile_rows: int) -> DataFrame:
-    """(fp, least): for every fingerprint of the written table ``prints``, the least value of
+    """(fp, __least): for every fingerprint of the written table ``prints``, the least value of
     ``least`` in its component."""
     distinct = materialize(prints.groupBy("fp").agg(F.min(least).alias("_own")), "simhash-distinct")
     roots = components(links(distinct, radius, tile_rows))
     by_print = (distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                 .withColumn("root", F.coalesce("root", "fp")))
-    component = materialize(by_print.groupBy("root").agg(F.min("_own").alias("least")), "simhash-components")
-    return by_print.join(component, "root").select("fp", "least")
+    component = materialize(by_print.groupBy("root").agg(F.min("_own").alias("__least")), "simhash-components")
+    return by_print.join(component, "root").select("fp", "__least")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3,
@@ -253,8 +253,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     prints = materialize(without(with_fingerprints(kept, text, k), [text]), "simhash")
     labels = _least_of_component(prints, F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key")),
                                  radius, tile_rows)
-    return (prints.join(labels, "fp", "left").withColumn("component_id", F.col("least.key"))
-            .withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).drop("fp", "least"))
+    return (prints.join(labels, "fp", "left").withColumn("component_id", F.col("__least.key"))
+            .withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).drop("fp", "__least"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, radius: int = 3,
@@ -269,5 +269,5 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3,
     light = whole.select("fp", "_row", key)
     labels = _least_of_component(light, F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), "_row"),
                                  radius, tile_rows)
-    dropped = light.join(labels, "fp").filter(F.col("_row") != F.col("least._row")).select("_row")
+    dropped = light.join(labels, "fp").filter(F.col("_row") != F.col("__least._row")).select("_row")
     return whole.join(materialize(dropped, "simhash-dropped"), "_row", "left_anti").drop("fp", "_row")

@@ -165,9 +165,9 @@ def count_tokens(df: DataFrame, cache: str, tokenizer: str, text: str = "text",
     out = ["n_bytes", "n_tokens", "over_limit"]
     kept = without(df, out)
     rows = kept.select("*", F.octet_length(F.coalesce(kept[text], F.lit(""))).cast("long").alias("n_bytes"),
-                       digest.alias("_digest"))
+                       digest.alias("__digest"))
     # written first, so that the digest of many copies is a plain skewed join
     counts = materialize(read_cache(spark, cache, version), "token-counts").withColumnRenamed(
-        "content_digest", "_digest")
-    return (rows.join(counts, "_digest", "left").drop("_digest")
+        "content_digest", "__digest")
+    return (rows.join(counts, "__digest", "left").drop("__digest")
             .withColumn("over_limit", F.col("n_tokens") > limit))

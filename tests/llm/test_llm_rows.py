@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 from lexicorn.llm import chat, sharding, token_counts, warc
 from lexicorn.llm.common import shared_path
 
-DOCS = "doc_id long, text string, SHARD string, n_tokens string, extra int"
-HARD = [(1, "a b c", "x", "y", 1), (1, "a b c", "x", "y", 1), (2, None, None, None, None), (None, "", "s", None, 2),
-        (3, "é" * 30_000, "x", "y", 3), (4, "<|endoftext|> don't", "x", "y", 4)]
+DOCS = "doc_id long, text string, SHARD string, n_tokens string, extra int, _digest int"
+HARD = [(1, "a b c", "x", "y", 1, 0), (1, "a b c", "x", "y", 1, 0), (2, None, None, None, None, None),
+        (None, "", "s", None, 2, 0), (3, "é" * 30_000, "x", "y", 3, 0), (4, "<|endoftext|> don't", "x", "y", 4, 0)]
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    many = [(k, f"text {k}", "x", "y", k) for k in range(10, 700)]
-    hot = [(9, "hot", "x", "y", 0)] * 300
+    many = [(k, f"text {k}", "x", "y", k, 0) for k in range(10, 700)]
+    hot = [(9, "hot", "x", "y", 0, 0)] * 300
     return spark.createDataFrame(HARD + many + hot, DOCS).repartition(5)
 
 

@@ -8,11 +8,12 @@ import pytest
 
 from lexicorn.llm import bpe_codec, cotraining, decontaminate, hamming_topk, html_extract, simhash
 
-DOCS = "doc_id long, text string, ids string, fp string, leaks string, component_id string"
+DOCS = ("doc_id long, text string, ids string, fp string, leaks string, component_id string, least string, root string, "
+        "_digest string")
 
 
 def _docs(spark, texts):
-    return spark.createDataFrame([(k, t, "i", "f", "l", "c") for k, t in texts], DOCS)
+    return spark.createDataFrame([(k, t, *"iflcmro") for k, t in texts], DOCS)
 
 
 # ------------------------------------------------------------------ byte BPE
@@ -344,7 +345,7 @@ def test_pseudo_labels_are_exchanged():
     calls = []
     plain = cotraining.fit
     try:
-        cotraining.fit = lambda rows, y, w, **o: calls.append(int((w > 0).sum())) or plain(rows, y, w, **o)
+        cotraining.fit = lambda rows, y, w, *a, **o: calls.append(int((w > 0).sum())) or plain(rows, y, w, *a, **o)
         model = cotraining.co_train(text, meta, label, [1, 2, 3], cotraining.Settings(confidence=.9, per_round=50, rounds=2))
     finally:
         cotraining.fit = plain
