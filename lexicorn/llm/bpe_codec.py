@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -251,16 +252,16 @@ class Codec:
         return self.bytes[place + np.arange(total)].tobytes()
 
 
-def _chunks(texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` characters; a longer text is a range of its own."""
-    start = size = 0
-    for k, t in enumerate(texts):
-        if size and size + len(t or "") > most:
+def _chunks(sizes: list[int], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes of text; a longer text is a range of its own."""
+    start = held = 0
+    for k, n in enumerate(sizes):
+        if held and held + n > most:
             yield start, k
-            start, size = k, 0
-        size += len(t or "")
-    if start < len(texts):
-        yield start, len(texts)
+            start, held = k, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _list(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -278,9 +279,9 @@ def encode(df: DataFrame, ranks: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(ranks)
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            for lo, hi in _chunks(texts):
-                ids, counts = codec.encode(texts[lo:hi])
+            texts = b.column(b.num_columns - 1)
+            for lo, hi in _chunks(pc.binary_length(texts).to_pylist()):
+                ids, counts = codec.encode(texts.slice(lo, hi - lo).to_pylist())
                 size = codec.length[ids]
                 at = np.cumsum(size) - size
                 first = np.cumsum(counts) - counts
@@ -303,8 +304,9 @@ def decode(df: DataFrame, ranks: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(ranks)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            sizes = [4 * n for n in pc.list_value_length(b.column(ids_at)).to_pylist()]
+            for lo, hi in _chunks(sizes):
+                part = b.slice(lo, hi - lo)
                 decoded, packed = [], []
                 for i, o in zip(part.column(ids_at), part.column(offsets_at)):
                     i = np.asarray(i.values, np.int64)
