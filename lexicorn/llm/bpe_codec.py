@@ -269,12 +269,27 @@ def _list(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32), pa.int32()))
 
 
-def encode(df: DataFrame, ranks: str, text: str = "text") -> DataFrame:
-    """``df`` with ``ids`` and ``offsets`` (byte offset of each token), both ARRAY<INT>."""
-    kept = without(df, ["ids", "offsets"])
+def _back(codec: Codec, ids: pa.ListArray, offsets: pa.ListArray) -> list[pa.Array]:
+    """Decoded bytes and packed ids of each row, from its ids and offsets."""
+    decoded, packed = [], []
+    for i, o in zip(ids, offsets):
+        i = np.asarray(i.values, np.int64)
+        decoded.append(codec.decode(i, np.asarray(o.values, np.int64)))
+        packed.append(i.astype("<u4").tobytes())
+    return [pa.array(decoded, pa.binary()), pa.array(packed, pa.binary())]
+
+
+_CODED = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.ArrayType(T.IntegerType()))]
+_DECODED = [T.StructField("decoded", T.BinaryType()), T.StructField("ids_packed", T.BinaryType())]
+
+
+def encode(df: DataFrame, ranks: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """``df`` with ``ids`` and ``offsets`` (byte offset of each token), both ARRAY<INT>. With
+    ``decoded`` the ids are decoded again at once, and the columns of `decode` follow."""
+    added = _CODED + (_DECODED if decoded else [])
+    kept = without(df, [f.name for f in added])
     rows = kept.select("*", F.coalesce(df[text], F.lit("")).alias("__text"))
-    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())),
-                           T.StructField("offsets", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*kept.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(ranks)
@@ -286,33 +301,25 @@ def encode(df: DataFrame, ranks: str, text: str = "text") -> DataFrame:
                 at = np.cumsum(size) - size
                 first = np.cumsum(counts) - counts
                 base = np.repeat(at[np.minimum(first, max(0, len(at) - 1))] if len(at) else first, counts)
-                part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], _list(ids, counts), _list(at - base, counts)],
-                    names=[*part.schema.names[:-1], "ids", "offsets"])
+                coded = [_list(ids, counts), _list(at - base, counts)]
+                more = _back(codec, *coded) if decoded else []
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[:-1], *coded, *more],
+                                                 names=schema.names)
     return rows.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ranks: str) -> DataFrame:
     """``df`` with ``decoded`` (BINARY) from ``ids`` and ``offsets``, and ``ids_packed``, the
     ids as little-endian unsigned 32-bit integers (BINARY)."""
-    kept = without(df, ["decoded", "ids_packed"])
-    schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType()),
-                           T.StructField("ids_packed", T.BinaryType())])
+    kept = without(df, [f.name for f in _DECODED])
+    schema = T.StructType([*kept.schema.fields, *_DECODED])
     ids_at, offsets_at = kept.columns.index("ids"), kept.columns.index("offsets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(ranks)
         for b in batches:
-            sizes = [4 * n for n in pc.list_value_length(b.column(ids_at)).to_pylist()]
-            for lo, hi in _chunks(sizes):
+            for lo, hi in _chunks([4 * n for n in pc.list_value_length(b.column(ids_at)).to_pylist()]):
                 part = b.slice(lo, hi - lo)
-                decoded, packed = [], []
-                for i, o in zip(part.column(ids_at), part.column(offsets_at)):
-                    i = np.asarray(i.values, np.int64)
-                    decoded.append(codec.decode(i, np.asarray(o.values, np.int64)))
-                    packed.append(i.astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(decoded, pa.binary()), pa.array(packed, pa.binary())],
-                    names=[*part.schema.names, "decoded", "ids_packed"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *_back(codec, part.column(ids_at), part.column(offsets_at))],
+                                                 names=schema.names)
     return kept.mapInArrow(run, schema)

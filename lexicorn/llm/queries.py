@@ -89,8 +89,7 @@ def op3(spark, sf):
 def op4(spark, sf):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    coded = bpe_codec.encode(docs, ranks).select("doc_id", "ids", "offsets")
-    return (bpe_codec.decode(coded, ranks)
+    return (bpe_codec.encode(docs, ranks, decoded=True)
             .select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                     F.sha2("ids_packed", 256).alias("ids_sha256"),
                     F.sha2("decoded", 256).alias("decoded_sha256")))

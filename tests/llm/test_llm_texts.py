@@ -64,6 +64,9 @@ def test_bpe_operator(spark, codec):
         assert r["ids"] == lib.encode_ordinary(t) and bytes(r["decoded"]) == t.encode()
         assert np.frombuffer(r["ids_packed"], "<u4").tolist() == r["ids"]
         assert r["offsets"] == [len(lib.decode_bytes(r["ids"][:k])) for k in range(len(r["ids"]))] if len(t) < 99 else True
+    at_once = bpe_codec.encode(_docs(spark, texts), path, decoded=True)
+    assert at_once.columns == bpe_codec.decode(bpe_codec.encode(_docs(spark, texts), path), path).columns
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, out))
     assert bpe_codec.encode(_docs(spark, texts).limit(0), path).count() == 0
 
 
