@@ -33,8 +33,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the decoded bytes."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe_codec.encode(docs.select("doc_id", "lang", "source", "text"), ranks).drop("text")
-    return (bpe_codec.decode(coded, ranks)
+    return (bpe_codec.encode(docs.select("doc_id", "lang", "source", "text"), ranks, decoded=True)
             .select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                     F.sha2("ids_packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
 
