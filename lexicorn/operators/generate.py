@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lexicorn.functions.hashing import hash_uniform
 from lexicorn.functions.tokens import EOS_ID, MAX_GEN_LEN
+from lexicorn.operators.distribution import PLACES
 from lexicorn.operators.ngram import NGramModel, unigram_total
 from lexicorn.session import write_once
 
@@ -142,9 +143,9 @@ def context_cdf(p1: np.ndarray, words, probs, seen: bool, lam: list[float],
     q = np.exp((logp - logp.max()) / max(temperature, 1e-8))
     order = np.lexsort((np.arange(p1.shape[0]), -q))
     share = q[order] / q.sum()
-    keep = np.cumsum(share) <= top_p
+    keep = np.round(np.cumsum(share), PLACES) <= top_p
     keep[0] = True
-    return order[keep], np.cumsum(share[keep]) / share[keep].sum()
+    return order[keep], np.round(np.cumsum(share[keep]) / share[keep].sum(), PLACES)
 
 
 def _sample_rows(pdf: pd.DataFrame, p1: np.ndarray, lam: list[float], temperature: float,

@@ -510,7 +510,7 @@ def temperature_q(spark, sf):
 
 
 _TOPP_SQL = f"""SELECT ctx, token, p FROM (SELECT ctx, token, p,
-  sum(p) OVER (PARTITION BY ctx ORDER BY p DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+  round(sum(p) OVER (PARTITION BY ctx ORDER BY p DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), {DI.PLACES}) AS cum,
   row_number() OVER (PARTITION BY ctx ORDER BY p DESC, token) AS rn FROM ({_BIGRAM_SQL}))
 WHERE cum <= 0.9 OR rn = 1"""
 
@@ -533,8 +533,8 @@ def _draw_sql() -> str:
     from lexicorn.functions.hashing import sql_hash_uniform as H
     return f"""SELECT ctx, token FROM (SELECT ctx, token, row_number() OVER (PARTITION BY ctx ORDER BY rn) AS pick
   FROM (SELECT ctx, token, {H(CFG.seed, 'ctx')} AS u,
-     sum(p) OVER (PARTITION BY ctx ORDER BY p DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
-     sum(p) OVER (PARTITION BY ctx) AS tot,
+     round(sum(p) OVER (PARTITION BY ctx ORDER BY p DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), {DI.PLACES}) AS cum,
+     round(sum(p) OVER (PARTITION BY ctx), {DI.PLACES}) AS tot,
      row_number() OVER (PARTITION BY ctx ORDER BY p DESC, token) AS rn FROM ({_RENORM_SQL}))
   WHERE cum > u OR cum >= tot) WHERE pick = 1"""
 
