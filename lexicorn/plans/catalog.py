@@ -589,7 +589,9 @@ def n_words_q(spark, sf):
     return VO.decode(g, voc, ids_col="cont", out_col="words").select("row_id", F.trim("words").alias("words"))
 
 
-@query("generate_sampled")
+@query("generate_sampled", S.sampled_rounds(_PROMPTS_SQL, _TRAIN_NG, CFG.order, LAMBDAS, CFG.vocab_size, 20, 0.8, 0.9,
+                                             CFG.seed)
+       + f"\nSELECT seq_id AS row_id, {S.ids_str('ids')} AS gen_ids FROM g20")
 def generate_sampled_q(spark, sf):
     enc = _enc(spark, sf)
     g = GE.generate(_model(spark, sf, enc=enc), _prompts(enc), max_new=20, sampling=True,
@@ -902,7 +904,12 @@ def complete_prompts_q(spark, sf):
     return done.select("row_id", "prediction", "completed")
 
 
-@query("complete_sampled")
+@query("complete_sampled", S.sampled_rounds(
+    f"SELECT row_id AS seq_id, ids AS prompt_ids FROM {S.encode(_ITEM_ROWS, CFG, max_length=tk.MAX_GEN_LEN, append_eos=False)}",
+    _TRAIN_NG, CFG.order, LAMBDAS, CFG.vocab_size, 20, 0.7, 0.8, CFG.seed) + f""",
+gd AS {S.decode(f"SELECT seq_id AS row_id, {S.cut_eos(S.continuation())} AS g FROM g20", "x.g", S.vocab(CFG), "new")}
+SELECT i.row_id, trim(gd.new) AS prediction, i.text || gd.new AS completed
+FROM ({_ITEM_ROWS}) i JOIN gd ON gd.row_id = i.row_id""")
 def complete_sampled_q(spark, sf):
     """The same with temperature 0.7 and top-p 0.8."""
     voc = PL.corpus_vocab(spark, sf)

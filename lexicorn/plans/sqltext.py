@@ -208,6 +208,50 @@ g{r} AS (SELECT g.seq_id, g.prompt_ids,
     return "WITH " + ",\n".join(parts)
 
 
+def sampled_rounds(prompts_sql: str, ngrams_sql: str, order: int, lambdas, vocab_size: int, rounds: int,
+                   temperature: float, top_p: float, seed: int, eos_id: int = 1) -> str:
+    """WITH-chain for sampled generation over the whole vocabulary, one distribution per distinct
+    context; prompts_sql has (seq_id, prompt_ids). Ends with g{rounds}."""
+    N, t_inv = order, 1.0 / max(temperature, 1e-8)
+    parts = [f"ng AS MATERIALIZED (SELECT * FROM {ngrams_sql})",
+             "n1 AS MATERIALIZED (SELECT CAST(greatest(sum(c), 1) AS DOUBLE) AS n FROM ng WHERE k = 1)",
+             f"""vv AS MATERIALIZED (SELECT r.w, CAST(coalesce(u.c, 0) AS DOUBLE) / (SELECT n FROM n1) AS p1
+  FROM range(0, {vocab_size}) r(w) LEFT JOIN (SELECT w, c FROM ng WHERE k = 1) u ON u.w = r.w)""",
+             f"g0 AS (SELECT seq_id, prompt_ids, CASE WHEN len(prompt_ids) = 0 THEN [CAST({eos_id} AS INTEGER)] "
+             f"ELSE prompt_ids END AS ids, 0 AS n_new, len(prompt_ids) = 0 AS done FROM ({prompts_sql}))"]
+    for r in range(1, rounds + 1):
+        p, score = "v.p1", f"({float(lambdas[0]) / float(vocab_size)!r} + {float(lambdas[1])!r} * v.p1)"
+        for k in range(2, N + 1):
+            p = f"(CASE WHEN t.n{k} IS NOT NULL THEN CAST(coalesce(wc.c{k}, 0) AS DOUBLE) / t.n{k} ELSE {p} END)"
+            score = f"({score} + {float(lambdas[k])!r} * {p})"
+        tn = ", ".join(f"sum(CASE WHEN k = {k} THEN c END) AS n{k}" for k in range(2, N + 1))
+        wcs = ", ".join(f"max(CASE WHEN k = {k} THEN c END) AS c{k}" for k in range(2, N + 1))
+        by_p = "PARTITION BY ck ORDER BY q DESC, w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+        parts.append(f"""a{r} AS (SELECT seq_id, ids, list_slice(ids, greatest(len(ids) - {N - 1} + 1, 1), len(ids)) AS ck,
+      {sql_hash_uniform(seed, 'seq_id', f"'{r}'")} AS u FROM g{r - 1} WHERE NOT done),
+d{r} AS (SELECT DISTINCT ck FROM a{r}),
+l{r} AS (SELECT ck, k, list_slice(ck, len(ck) - k + 2, len(ck)) AS hk FROM d{r}, range(2, {N + 1}) rr(k)
+      WHERE len(ck) >= k - 1),
+c{r} AS (SELECT l.ck, l.k, ng.w, ng.c FROM l{r} l JOIN ng ON ng.k = l.k AND ng.ctx = l.hk),
+t{r} AS (SELECT ck, {tn} FROM c{r} GROUP BY ck),
+w{r} AS (SELECT ck, w, {wcs} FROM c{r} GROUP BY ck, w),
+s{r} AS (SELECT d.ck, v.w, {score} AS p FROM d{r} d CROSS JOIN vv v LEFT JOIN t{r} t ON t.ck = d.ck
+      LEFT JOIN w{r} wc ON wc.ck = d.ck AND wc.w = v.w),
+q{r} AS (SELECT ck, w, pow(p / max(p) OVER (PARTITION BY ck), {t_inv!r}) AS q FROM s{r}),
+k{r} AS (SELECT ck, w, q, rn FROM (SELECT ck, w, q, round(sum(q) OVER ({by_p}) / sum(q) OVER (PARTITION BY ck), 12) AS cum,
+      row_number() OVER (PARTITION BY ck ORDER BY q DESC, w) AS rn FROM q{r}) WHERE cum <= {float(top_p)!r} OR rn = 1),
+f{r} AS MATERIALIZED (SELECT ck, w, rn, round(sum(q) OVER ({by_p}) / sum(q) OVER (PARTITION BY ck), 12) AS cdf,
+      max(rn) OVER (PARTITION BY ck) AS last FROM k{r}),
+b{r} AS (SELECT a.seq_id, arg_min(f.w, f.rn) AS w FROM a{r} a JOIN f{r} f ON f.ck = a.ck
+      WHERE f.cdf > a.u OR f.rn = f.last GROUP BY a.seq_id),
+g{r} AS MATERIALIZED (SELECT g.seq_id, g.prompt_ids,
+      CASE WHEN g.done THEN g.ids ELSE list_append(g.ids, CAST(b.w AS INTEGER)) END AS ids,
+      CASE WHEN g.done THEN g.n_new ELSE g.n_new + 1 END AS n_new,
+      g.done OR b.w = {eos_id} OR g.n_new + 1 >= {rounds} AS done
+      FROM g{r - 1} g LEFT JOIN b{r} b ON b.seq_id = g.seq_id)""")
+    return "WITH " + ",\n".join(parts)
+
+
 def continuation(gen: str = "ids", prompt: str = "prompt_ids") -> str:
     return f"list_slice({gen}, len({prompt}) + 1, len({gen}))"
 
