@@ -204,5 +204,6 @@ def em_update(model: NGramModel, levels: DataFrame, lr: float = 1.0) -> tuple[li
     new = [float(row[f"r{k}"]) for k in range(N + 1)]
     total = sum(new)
     new = [x / total for x in new]
-    stepped = [(1.0 - lr) * a + lr * b for a, b in zip(lam, new)]
+    # 12 places, so that a run does not depend on the order of the sums
+    stepped = [round((1.0 - lr) * a + lr * b, 12) for a, b in zip(lam, new)]
     return stepped, float(row["nll"])

@@ -677,8 +677,8 @@ def model_roundtrip_q(spark, sf):
 
 
 # two epochs more than the patience, so that the stop can fire
-_GRID = XP.param_grid(lr=[0.5, 1.0], order=[2, 3], min_count=[1], epochs=[4])
 _PATIENCE = 2
+_GRID = XP.param_grid(lr=[0.5, 1.0], order=[2, 3], min_count=[1], epochs=[4], patience=[_PATIENCE])
 
 
 def _results_dir(spark, sf) -> str:
@@ -688,45 +688,47 @@ def _results_dir(spark, sf) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/grid-{spark.sparkContext.applicationId}-{name}"
 
 
-@query("train_history")
-def train_history_q(spark, sf):
-    enc, voc = XP.prepare(spark, sf)
-    base = NG.fit(enc.filter((F.col("split") == "train") & ~F.col("holdout")), CFG.order, CFG.vocab_size)
-    res = XP.train(base, enc.filter((F.col("split") == "train") & F.col("holdout")),
-                   enc.filter(F.col("split") == "validation"), voc, epochs=4, lr=0.5, patience=_PATIENCE)
-    return XP.history_frame(spark, res.history).withColumn("best_epoch", F.lit(res.best_epoch))
+_EM_EPOCHS, _EM_LR = 4, 0.5
 
 
-_EM_EPOCHS, _EM_LR = 4, 0.5
+_HELD = (f"(SELECT row_id, split, ids, {sql_hash_uniform(f'{CFG.seed}:holdout', 'row_id')} < 0.1 AS holdout "
+         f"FROM {S.encoded_conv(CFG)})")
 
 
-def _em_epochs_sql() -> str:
-    """The EM loop unrolled: lam{e} are the weights after epoch e, tr/va the level tables."""
-    held = f"(SELECT row_id, split, ids, {sql_hash_uniform(f'{CFG.seed}:holdout', 'row_id')} < 0.1 AS holdout FROM {S.encoded_conv(CFG)})"
-    ng = S.ngrams("SELECT row_id, ids FROM held WHERE split = 'train' AND NOT holdout", CFG.order)
-    levels = range(CFG.order + 1)
-
-    def mix(lam: str) -> str:
-        expr = f"({lam}.l0 / {float(CFG.vocab_size)!r})"
-        for k in levels[1:]:
-            expr = f"({expr} + {lam}.l{k} * p{k})"
-        return expr
-    parts = [f"held AS MATERIALIZED {held}", f"ngm AS MATERIALIZED {ng}",
-             "tr AS MATERIALIZED " + S.level_probs("SELECT row_id, ids FROM held WHERE split = 'train' AND holdout", "ngm", CFG.order),
-             "va AS MATERIALIZED " + S.level_probs("SELECT row_id, ids FROM held WHERE split = 'validation'", "ngm", CFG.order),
-             "lam0 AS (SELECT " + ", ".join(f"{LAMBDAS[k]!r} AS l{k}" for k in levels) + ")"]
-    for e in range(1, _EM_EPOCHS + 1):
+def _mix_sql(lam: str, order: int) -> str:
+    expr = f"({lam}.l0 / {float(CFG.vocab_size)!r})"
+    for k in range(1, order + 1):
+        expr = f"({expr} + {lam}.l{k} * p{k})"
+    return expr
+
+
+def _em_chain(fit_rows: str, em_rows: str, val_rows: str, order: int, min_count: int, lr: float, epochs: int) -> list[str]:
+    """CTEs of the EM loop, unrolled: lam{e} are the weights after epoch e and the loss before,
+    pp{e} the validation perplexity. The row sets select (row_id, ids) from ``held``."""
+    levels, start = range(order + 1), NG.uniform_lambdas(order)
+    parts = [f"held AS MATERIALIZED {_HELD}", f"ngm AS MATERIALIZED {S.ngrams(fit_rows, order, min_count=min_count)}",
+             "tr AS MATERIALIZED " + S.level_probs(em_rows, "ngm", order),
+             "va AS MATERIALIZED " + S.level_probs(val_rows, "ngm", order),
+             "lam0 AS (SELECT " + ", ".join(f"{start[k]!r} AS l{k}" for k in levels) + ")"]
+    for e in range(1, epochs + 1):
         o, n = f"lam{e - 1}", f"lam{e}"
         r = [f"avg(l0 / {float(CFG.vocab_size)!r} / p) AS r0"] + [f"avg(l{k} * p{k} / p) AS r{k}" for k in levels[1:]]
         tot = " + ".join(f"r{k}" for k in levels)
-        parts.append(f"st{e} AS (SELECT {', '.join(r)}, avg(-ln(p)) AS nll FROM (SELECT *, {mix(o)} AS p FROM tr, {o}))")
+        parts.append(f"st{e} AS (SELECT {', '.join(r)}, avg(-ln(p)) AS nll FROM (SELECT *, {_mix_sql(o, order)} AS p FROM tr, {o}))")
         parts.append(f"{n} AS MATERIALIZED (SELECT " + ", ".join(
-            f"{1.0 - _EM_LR!r} * {o}.l{k} + {_EM_LR!r} * (r{k} / ({tot})) AS l{k}" for k in levels)
+            f"round({1.0 - lr!r} * {o}.l{k} + {lr!r} * (r{k} / ({tot})), 12) AS l{k}" for k in levels)
             + f", st{e}.nll AS nll FROM st{e}, {o})")
-        parts.append(f"pp{e} AS (SELECT exp(sum(-ln(p)) / count(*)) AS ppl FROM (SELECT {mix(n)} AS p FROM va, {n}))")
+        parts.append(f"pp{e} AS (SELECT exp(sum(-ln(p)) / count(*)) AS ppl FROM (SELECT {_mix_sql(n, order)} AS p FROM va, {n}))")
+    return parts
+
+
+def _em_epochs_sql() -> str:
+    parts = _em_chain("SELECT row_id, ids FROM held WHERE split = 'train' AND NOT holdout",
+                      "SELECT row_id, ids FROM held WHERE split = 'train' AND holdout",
+                      "SELECT row_id, ids FROM held WHERE split = 'validation'", CFG.order, 1, _EM_LR, _EM_EPOCHS)
     rows = " UNION ALL ".join(
         f"SELECT {e} AS epoch, round(nll, 6) AS train_loss, round(ppl, 6) AS val_perplexity, "
-        + ", ".join(f"round(l{k}, 6) AS weight{k}" for k in levels) + f" FROM lam{e}, pp{e}"
+        + ", ".join(f"round(l{k}, 6) AS weight{k}" for k in range(CFG.order + 1)) + f" FROM lam{e}, pp{e}"
         for e in range(1, _EM_EPOCHS + 1))
     return "WITH " + ",\n".join(parts) + "\n" + rows
 
@@ -749,6 +751,65 @@ def em_epochs_q(spark, sf):
                                  + ", ".join(f"weight{k} double" for k in range(CFG.order + 1)))
 
 
+def _rouge_sql(rows: str, weights: list[str], order: int) -> str:
+    """Scalar: mean unstemmed ROUGE-L of greedy completions of ``rows`` (row_id, ids) by ``ngm``."""
+    prompts = f"""SELECT row_id AS seq_id, list_slice(s, 1, CAST(floor(len(s) * 0.5) AS INTEGER)) AS prompt_ids,
+  list_slice(s, CAST(floor(len(s) * 0.5) AS INTEGER) + 1, len(s)) AS ref_ids
+  FROM (SELECT row_id, {S.cut_eos('ids')} AS s FROM ({rows})) WHERE len(s) > 0"""
+    g = S.greedy_rounds(prompts, "ngm", order, weights, CFG.vocab_size, 20)
+    return f"""(SELECT coalesce(avg({S.f1('l', 'len(rt)', 'len(ht)')}), 0.0) FROM (
+  SELECT rt, ht, {S.lcs('rt', 'ht')} AS l FROM (
+    SELECT {S.rouge_tok('rd.reference')} AS rt, {S.rouge_tok('gd.prediction')} AS ht FROM
+      (SELECT * FROM {S.decode(f"SELECT seq_id AS row_id, g FROM ({g} SELECT seq_id, {S.cut_eos(S.continuation())} AS g FROM g20)",
+                               "x.g", "voc", "prediction")}) gd
+      JOIN {S.decode(f"SELECT seq_id AS row_id, ref_ids FROM ({prompts})", "x.ref_ids", "voc", "reference")} rd
+      ON rd.row_id = gd.row_id)))"""
+
+
+def _history_chain(fit_rows: str, em_rows: str, val_rows: str, cell: dict, epochs: int, patience: int) -> list[str]:
+    """CTEs of a training run: ``hist`` holds the epochs that ran, ``best`` the best one's weights."""
+    order = cell["order"]
+    parts = _em_chain(fit_rows, em_rows, val_rows, order, cell["min_count"], cell["lr"], epochs)
+    parts.insert(0, f"voc AS MATERIALIZED (SELECT * FROM {S.vocab(CFG)})")
+    names = ", ".join(f"l{k}" for k in range(order + 1))
+    for e in range(1, epochs + 1):
+        weights = [f"(SELECT l{k} FROM lam{e})" for k in range(order + 1)]
+        parts.append(f"rg{e} AS MATERIALIZED (SELECT round({_rouge_sql(val_rows, weights, order)}, 12) AS rouge)")
+    every = " UNION ALL ".join(f"SELECT {e} AS epoch, nll, ppl, rouge, {names} FROM lam{e}, pp{e}, rg{e}" for e in range(1, epochs + 1))
+    parts.append(f"""h0 AS (SELECT *, max(rouge) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM ({every})),
+h1 AS (SELECT *, max(CASE WHEN before IS NULL OR rouge > before THEN epoch END) OVER (ORDER BY epoch) AS since FROM h0),
+h2 AS (SELECT *, min(CASE WHEN epoch - since >= {patience} THEN epoch END) OVER () AS ended FROM h1),
+hist AS MATERIALIZED (SELECT * FROM h2 WHERE ended IS NULL OR epoch <= ended),
+best AS MATERIALIZED (SELECT * FROM hist WHERE epoch = (SELECT max(since) FROM hist))""")
+    return parts
+
+
+_TRAIN_ROWS = ("SELECT row_id, ids FROM held WHERE split = 'train' AND NOT holdout",
+               "SELECT row_id, ids FROM held WHERE split = 'train' AND holdout",
+               "SELECT row_id, ids FROM held WHERE split = 'validation'")
+_HISTORY_OUT = """SELECT CAST(epoch AS INTEGER) AS epoch, round(nll, 6) AS train_loss, round(ppl, 6) AS val_perplexity,
+  round(rouge, 9) AS val_rougeL, (SELECT CAST(epoch AS INTEGER) FROM best) AS best_epoch FROM hist"""
+
+
+def _history_out(spark, res):
+    return XP.history_frame(spark, res.history).select(
+        "epoch", F.round("train_loss", 6).alias("train_loss"), F.round("val_perplexity", 6).alias("val_perplexity"),
+        F.round("val_rougeL", 9).alias("val_rougeL"), F.lit(res.best_epoch).alias("best_epoch"))
+
+
+_TRAIN_CELL = {"order": CFG.order, "min_count": 1, "lr": 0.5}
+
+
+@query("train_history", "WITH " + ",\n".join(_history_chain(*_TRAIN_ROWS, _TRAIN_CELL, 4, _PATIENCE)) + "\n" + _HISTORY_OUT)
+def train_history_q(spark, sf):
+    enc, voc = XP.prepare(spark, sf)
+    base = NG.fit(enc.filter((F.col("split") == "train") & ~F.col("holdout")), CFG.order, CFG.vocab_size)
+    res = XP.train(base, enc.filter((F.col("split") == "train") & F.col("holdout")),
+                   enc.filter(F.col("split") == "validation"), voc, epochs=4, lr=0.5, patience=_PATIENCE, stem=False)
+    return _history_out(spark, res)
+
+
 # a history per conversation, made of its turns: a table of many runs, some of which stop
 _HISTORY_SQL = "SELECT conv_id AS run_id, turn + 1 AS epoch, length(coalesce(text, '')) % 100 / 100.0::DOUBLE AS val FROM conversations"
 
@@ -814,21 +875,54 @@ def best_cell_q(spark, sf):
     return _cell_scores(spark, sf).orderBy("test_perplexity", "run_id").limit(1)
 
 
-@query("grid_search")
+def _grid_cell_sql(run_id: int, c: dict) -> str:
+    """One result row: the training run of a cell and its best weights on the test rows."""
+    order, test = c["order"], "SELECT row_id, ids FROM held WHERE split = 'test'"
+    parts = _history_chain(*_TRAIN_ROWS, c, c["epochs"], c["patience"])
+    weights = [f"(SELECT l{k} FROM best)" for k in range(order + 1)]
+    ppl = (f"(SELECT exp(sum(-ln(p)) / count(*)) FROM (SELECT {_mix_sql('best', order)} AS p "
+           f"FROM {S.level_probs(test, 'ngm', order)}, best))")
+    return "SELECT * FROM (WITH " + ",\n".join(parts) + f"""
+SELECT {run_id} AS run_id, {c['lr']!r} AS lr, {order} AS "order", {c['min_count']} AS min_count, {c['epochs']} AS epochs,
+  round(nll, 6) AS final_train_loss, round(ppl, 6) AS final_val_perplexity, round(rouge, 9) AS final_val_rougeL,
+  round({ppl}, 6) AS test_perplexity, round({_rouge_sql(test, weights, order)}, 9) AS test_rougeL,
+  (SELECT CAST(epoch AS INTEGER) FROM best) AS best_epoch FROM hist ORDER BY epoch DESC LIMIT 1)"""
+
+
+_GRID_SQL = " UNION ALL ".join(_grid_cell_sql(k, c) for k, c in enumerate(_GRID, start=1))
+
+
+def _grid_out(results):
+    return results.select(
+        "run_id", "lr", "order", "min_count", "epochs",
+        *[F.round(c, 6).alias(c) for c in ("final_train_loss", "final_val_perplexity")],
+        F.round("final_val_rougeL", 9).alias("final_val_rougeL"), F.round("test_perplexity", 6).alias("test_perplexity"),
+        F.round("test_rougeL", 9).alias("test_rougeL"), "best_epoch")
+
+
+def _grid(spark, sf):
+    return XP.grid_search(spark, sf, _GRID, stem=False, results_dir=_results_dir(spark, sf))
+
+
+@query("grid_search", _GRID_SQL)
 def grid_search_q(spark, sf):
-    return XP.grid_search(spark, sf, _GRID, results_dir=_results_dir(spark, sf))
+    return _grid_out(_grid(spark, sf))
 
 
-@query("best_config")
+@query("best_config", f"SELECT * FROM ({_GRID_SQL}) ORDER BY test_rougeL DESC, run_id LIMIT 1")
 def best_config_q(spark, sf):
-    return XP.best_config(grid_search_q(spark, sf))
+    return _grid_out(XP.best_config(_grid(spark, sf)))
 
 
-@query("final_fit")
+_FINAL_CELL = {"order": 3, "min_count": 1, "lr": 0.5}
+_FINAL_ROWS = ("SELECT row_id, ids FROM held WHERE NOT holdout", *["SELECT row_id, ids FROM held WHERE holdout"] * 2)
+
+
+@query("final_fit", "WITH " + ",\n".join(_history_chain(*_FINAL_ROWS, _FINAL_CELL, 6, 3)) + "\n" + _HISTORY_OUT)
 def final_fit_q(spark, sf):
-    res = XP.final_fit(spark, sf, {"order": 3, "min_count": 1, "epochs": 3, "lr": 0.5},
-                       results_dir=shared_path(spark, "final"))
-    return XP.history_frame(spark, res.history).withColumn("best_epoch", F.lit(res.best_epoch))
+    """Twice three epochs with patience 3 on all splits but the hold-out."""
+    res = XP.final_fit(spark, sf, {**_FINAL_CELL, "epochs": 3}, stem=False, results_dir=shared_path(spark, "final"))
+    return _history_out(spark, res)
 
 
 @query("compare_models")
@@ -882,7 +976,7 @@ def top_examples_q(spark, sf):
 @query("training_run")
 def training_run_q(spark, sf):
     """Whole run: grid search -> first best cell -> final fit on all splits minus hold-out."""
-    best = best_config_q(spark, sf).first().asDict()
+    best = XP.best_config(_grid(spark, sf)).first().asDict()
     res = XP.final_fit(spark, sf, {k: best[k] for k in ("order", "min_count", "epochs", "lr")},
                        results_dir=shared_path(spark, "run"))
     return XP.history_frame(spark, res.history).withColumn("best_epoch", F.lit(res.best_epoch))

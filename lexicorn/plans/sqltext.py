@@ -172,8 +172,14 @@ def ctx_str(expr: str = "ctx") -> str:
 
 def greedy_rounds(prompts_sql: str, ngrams_sql: str, order: int, lambdas, vocab_size: int,
                   rounds: int, eos_id: int = 1) -> str:
-    """WITH-chain for greedy generation; prompts_sql has (seq_id, prompt_ids). Ends with g{rounds}."""
+    """WITH-chain for greedy generation; prompts_sql has (seq_id, prompt_ids). Ends with g{rounds}.
+    A weight is a number or a scalar SQL expression."""
     N = order
+
+    def weight(x) -> str:
+        return x if isinstance(x, str) else f"{float(x)!r}"
+    floor = f"({lambdas[0]} / {float(vocab_size)!r})" if isinstance(lambdas[0], str) \
+        else f"{float(lambdas[0]) / float(vocab_size)!r}"
     n1 = f"(SELECT CAST(greatest(sum(c), 1) AS DOUBLE) FROM ng WHERE k = 1)"
     top = "(SELECT w FROM ng WHERE k = 1 ORDER BY c DESC, w LIMIT 1)"
     parts = [f"ng AS MATERIALIZED (SELECT * FROM {ngrams_sql})",
@@ -181,10 +187,10 @@ def greedy_rounds(prompts_sql: str, ngrams_sql: str, order: int, lambdas, vocab_
              f"ELSE prompt_ids END AS ids, 0 AS n_new, len(prompt_ids) = 0 AS done FROM ({prompts_sql}))"]
     for r in range(1, rounds + 1):
         p = f"(CAST(coalesce(u.c, 0) AS DOUBLE) / {n1})"
-        score = f"({float(lambdas[0]) / float(vocab_size)!r} + {float(lambdas[1])!r} * {p})"
+        score = f"({floor} + {weight(lambdas[1])} * {p})"
         for k in range(2, N + 1):
             p = f"(CASE WHEN t.n{k} IS NOT NULL THEN CAST(coalesce(wc.c{k}, 0) AS DOUBLE) / t.n{k} ELSE {p} END)"
-            score = f"({score} + {float(lambdas[k])!r} * {p})"
+            score = f"({score} + {weight(lambdas[k])} * {p})"
         tn = ", ".join(f"sum(CASE WHEN k = {k} THEN c END) AS n{k}" for k in range(2, N + 1))
         wcs = ", ".join(f"max(CASE WHEN k = {k} THEN c END) AS c{k}" for k in range(2, N + 1))
         parts.append(f"""a{r} AS (SELECT seq_id, ids, list_slice(ids, greatest(len(ids) - {N - 1} + 1, 1), len(ids)) AS ck
