@@ -331,9 +331,15 @@ _TRAIN_NG = S.ngrams(_rows_sql("train"), CFG.order)
 _TRAIN_NG2 = S.ngrams(_rows_sql("train"), CFG.order, min_count=2)
 
 
+def _enc_voc(spark, sf):
+    """The encoded corpus, written once (fits and scores of a query read it several times), and
+    the vocabulary that made it."""
+    voc = PL.corpus_vocab(spark, sf)
+    return write_once(PL.encoded_corpus(spark, sf, vocab=voc)), voc
+
+
 def _enc(spark, sf):
-    """The encoded corpus, written once: fits and scores of a query read it several times."""
-    return write_once(PL.encoded_corpus(spark, sf))
+    return _enc_voc(spark, sf)[0]
 
 
 def _model(spark, sf, min_count: int = 1, enc=None):
@@ -582,8 +588,7 @@ def generate_greedy_q(spark, sf):
 SELECT row_id, trim(words) AS words FROM {S.decode(
     f"SELECT seq_id AS row_id, {S.continuation()} AS cont FROM g5", "x.cont", S.vocab(CFG), "words")}""")
 def n_words_q(spark, sf):
-    enc = _enc(spark, sf)
-    voc = PL.corpus_vocab(spark, sf)
+    enc, voc = _enc_voc(spark, sf)
     g = GE.generate(_model(spark, sf, enc=enc), _prompts(enc), max_new=5)
     g = g.select(F.col("seq_id").alias("row_id"), GE.continuation().alias("cont"))
     return VO.decode(g, voc, ids_col="cont", out_col="words").select("row_id", F.trim("words").alias("words"))
@@ -618,8 +623,7 @@ FROM ll, pp"""
 
 @query("evaluate_tokens", _eval_tokens_sql())
 def evaluate_tokens_q(spark, sf):
-    enc = _enc(spark, sf)
-    voc = PL.corpus_vocab(spark, sf)
+    enc, voc = _enc_voc(spark, sf)
     summary, _ = EV.evaluate_tokens(_model(spark, sf, enc=enc), enc.filter(F.col("split") == "test"),
                                     voc, stem=False)
     return summary.select(F.round("rouge_l", 9).alias("rouge_l"),
@@ -642,8 +646,7 @@ cp AS (SELECT c.row_id, c.text AS prompt, c.reference, gd.prediction FROM ({_CHA
 
 @query("complete_set", _complete_sql() + "\nSELECT row_id, prompt, prediction FROM cp")
 def complete_set_q(spark, sf):
-    enc = _enc(spark, sf)
-    voc = PL.corpus_vocab(spark, sf)
+    enc, voc = _enc_voc(spark, sf)
     texts = PL.split_corpus(spark, sf).filter(F.col("split") == "test").select("row_id", "text")
     c = EV.completions_by_chars(_model(spark, sf, enc=enc), texts, voc)
     return c.select("row_id", "prompt", "prediction")
@@ -654,8 +657,7 @@ ll AS (SELECT rt, ht, {S.lcs('rt', 'ht')} AS l FROM (SELECT {S.rouge_tok('refere
        {S.rouge_tok('prediction')} AS ht FROM cp))
 SELECT round(coalesce(avg({S.f1('l', 'len(rt)', 'len(ht)')}), 0.0), 9) AS rouge_l FROM ll""")
 def evaluate_chars_q(spark, sf):
-    enc = _enc(spark, sf)
-    voc = PL.corpus_vocab(spark, sf)
+    enc, voc = _enc_voc(spark, sf)
     texts = PL.split_corpus(spark, sf).filter(F.col("split") == "test").select("row_id", "text")
     avg, _ = EV.evaluate_chars(_model(spark, sf, enc=enc), texts, voc, stem=False)
     return avg.select(F.round("rouge_l", 9).alias("rouge_l"))
@@ -993,8 +995,8 @@ SELECT i.row_id, trim(gd.new) AS prediction, i.text || gd.new AS completed
 FROM ({_ITEM_ROWS}) i JOIN gd ON gd.row_id = i.row_id""")
 def complete_prompts_q(spark, sf):
     """Complete a given table of prompts, text in and text out."""
-    voc = PL.corpus_vocab(spark, sf)
-    done = EV.complete(_model(spark, sf), src.benchmark(spark, sf), voc)
+    enc, voc = _enc_voc(spark, sf)
+    done = EV.complete(_model(spark, sf, enc=enc), src.benchmark(spark, sf), voc)
     return done.select("row_id", "prediction", "completed")
 
 
@@ -1006,8 +1008,8 @@ SELECT i.row_id, trim(gd.new) AS prediction, i.text || gd.new AS completed
 FROM ({_ITEM_ROWS}) i JOIN gd ON gd.row_id = i.row_id""")
 def complete_sampled_q(spark, sf):
     """The same with temperature 0.7 and top-p 0.8."""
-    voc = PL.corpus_vocab(spark, sf)
-    done = EV.complete(_model(spark, sf), src.benchmark(spark, sf), voc, sampling=True)
+    enc, voc = _enc_voc(spark, sf)
+    done = EV.complete(_model(spark, sf, enc=enc), src.benchmark(spark, sf), voc, sampling=True)
     return done.select("row_id", "prediction", "completed")
 
 
@@ -1015,8 +1017,7 @@ def complete_sampled_q(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """clean -> vocab -> encode -> split -> trigram counts -> greedy completion -> ROUGE-L."""
-    enc = _enc(spark, sf)
-    voc = PL.corpus_vocab(spark, sf)
+    enc, voc = _enc_voc(spark, sf)
     summary, _ = EV.evaluate_tokens(_model(spark, sf, enc=enc), enc.filter(F.col("split") == "test"), voc)
     return summary
 
