@@ -17,6 +17,7 @@ gives an empty result; input columns named like an output column are replaced.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ CACHE_DDL = "content_digest binary, tokenizer_digest binary, n_tokens long"
 _MISS = pa.schema([("content_digest", pa.binary()), ("packed", pa.binary())])
 _COUNT = pa.schema([("content_digest", pa.binary()), ("n_tokens", pa.int64())])
 _TOKENIZERS: dict[str, object] = {}
+#: Spark runs as many tasks as there are cores; threads of the library's own only get in the way
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 def load_tokenizer(path: str):
@@ -52,7 +55,7 @@ def _counts(path: str, texts: list[str]) -> list[int]:
     t = load_tokenizer(path)
     if path.endswith(".model"):
         return [len(x) for x in t.encode(texts, num_threads=1)]
-    return [len(x.ids) for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+    return [len(x) for x in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def tokenizer_digest(path: str) -> bytes:
