@@ -19,7 +19,7 @@ Pages themselves are parsed where they are read.
 Text: character references are decoded, white space in a block becomes one blank, blocks are
 joined by an empty line. Defined cases: null html = empty text; null url = a host of its own
 name; malformed markup is read as browsers do for what matters here (implied ends, unclosed
-elements); repeated rows count and are kept; an empty table gives an empty result; input
+elements, nesting beyond 64 levels in one node); repeated rows count and are kept; an empty table gives an empty result; input
 columns named like an output column are replaced. Pages are read whole.
 """
 
@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +38,7 @@ from pyspark.sql import types as T
 
 from lexicorn.llm.common import materialize, without
 
+MAX_DEPTH = 64
 #: fixed values of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -56,25 +58,33 @@ NAMED = frozenset("""ad ads adv advert adverts advertisement advertising adsense
     promotion nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar sidebars aside
     complementary footer contentinfo masthead topbar toolbar toc cookie cookies consent gdpr notice notices
     notification alert popup modal overlay paywall newsletter subscribe subscription signup login search
-    searchbox share sharing social related recommended recommendations widget widgets comment comments
+    searchbox dialog form copyright share sharing social related recommended recommendations widget widgets comment comments
     commentlist respond replies reply discussion disqus feedback hidden offscreen skip""".split())
-NAMED_ARTICLE = frozenset("articlebody article main".split())
+#: places that are written together with such a word, as in "topnav"
+PLACES = ("top", "bottom", "left", "right", "main", "site", "page", "global", "sub", "sticky", "mobile")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s>/])", re.I) for tag in RAW}
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
 
 class Element:
-    """An open or closed element; ``path`` is its node in the style tree."""
+    """An open or closed element. ``path`` is its node in the style tree and ``up`` the nodes
+    above; ``block`` is the nearest element that is not inline, itself included; ``level`` its
+    place on the stack of open elements."""
 
-    __slots__ = ("tag", "path", "prior", "children", "parent", "cut", "plain")
+    __slots__ = ("tag", "path", "up", "prior", "children", "parent", "cut", "plain", "inside", "block", "level")
 
-    def __init__(self, tag: str, path: int, prior: int | None, parent: "Element | None", plain: bool = True):
-        self.tag, self.path, self.prior, self.parent, self.plain = tag, path, prior, parent, plain
+    def __init__(self, tag: str, path: int, up: tuple[int, ...], prior: int | None, parent: "Element | None",
+                 level: int = 0, plain: bool = True):
+        self.tag, self.path, self.up, self.prior, self.parent = tag, path, up, prior, parent
+        self.level, self.plain = level, plain
         self.children: list[str] = []
         self.cut = prior == 0 or (parent is not None and parent.cut)
+        self.inside = prior == 1 or (parent is not None and parent.inside)
+        self.block = parent.block if tag in INLINE and parent is not None else self
 
 
 def _hash(text: str) -> int:
@@ -97,6 +107,7 @@ def _prior(tag: str, attrs: dict[str, str], inside: bool, sheltered: bool) -> in
             r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
         return 0
     names = {w.lower() for a in ("class", "id", "role", "itemprop") for w in _NAME.findall(attrs.get(a, ""))}
+    names |= {w[len(x):] for w in names for x in PLACES if w.startswith(x)}
     if tag in ("html", "body"):
         return None
     if tag in ("article", "main"):
@@ -108,12 +119,48 @@ def _prior(tag: str, attrs: dict[str, str], inside: bool, sheltered: bool) -> in
     return None
 
 
+def _heart(source: str) -> int:
+    """A place that no apparatus holds: the main element, else the longest article, else the
+    page's heading (-1 without any)."""
+    if m := re.search(r"<main[\s>/]", source, re.I):
+        return m.start()
+    spans, opened = [], []
+    for m in re.finditer(r"<(/?)article(?=[\s>/])", source, re.I):
+        if not m[1]:
+            opened.append(m.start())
+        elif opened:
+            spans.append((m.start() - opened[-1], -opened.pop()))
+    spans += [(len(source) - at, -at) for at in opened]
+    if spans:
+        return -max(spans)[1]
+    m = re.search(r"<h1[\s>/]", source, re.I)
+    return m.start() if m else -1
+
+
+def _holders(source: str, heart: int) -> set[int]:
+    """Where the start tags end of the elements that are still open at ``heart``."""
+    opened: dict[str, list[int]] = {}
+    at = 0
+    while (m := _TOKEN.search(source, at, max(heart, 0))) is not None:
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if m[1]:
+            if opened.get(tag):
+                opened[tag].pop()
+        elif tag in RAW:
+            end = _RAW_END[tag].search(source, at)
+            at = end.start() if end else len(source)
+        elif tag and tag not in VOID:
+            opened.setdefault(tag, []).append(at)
+    return {x for places in opened.values() for x in places}
+
+
 def blocks(source: str) -> Iterator[tuple[Element, str]]:
     """(element, text) of each text block in page order; an element's ``children`` is complete
     when its blocks have all been read. Apparatus is read but gives no blocks."""
-    head = re.search(r"<(?:article|main)[\s>/]", source, re.I) or re.search(r"<h1[\s>/]", source, re.I)
-    heart = head.start() if head else -1  # what holds this place is no apparatus
-    top = Element("html", _hash("html"), None, None)
+    holders = _holders(source, _heart(source))
+    top = Element("html", _hash("html"), (), None, None)
+    opened = Counter()
     stack, text, owner = [top], [], top
     memo: dict[tuple, int] = {}
 
@@ -125,11 +172,11 @@ def blocks(source: str) -> Iterator[tuple[Element, str]]:
             if line:
                 yield owner, line
 
-    def holder() -> Element:
-        e = stack[-1]
-        while e.tag in INLINE and e.parent is not None:
-            e = e.parent
-        return e
+    def close(level: int) -> None:
+        """Close the open elements from that level up."""
+        for x in stack[level:]:
+            opened[x.tag] -= 1
+        del stack[level:]
 
     at = 0
     while at <= len(source):
@@ -137,7 +184,7 @@ def blocks(source: str) -> Iterator[tuple[Element, str]]:
         piece = source[at:m.start()] if m else source[at:]
         if piece and not stack[-1].cut:
             if not text:
-                owner = holder()
+                owner = stack[-1].block
             text.append(piece)
         if m is None:
             break
@@ -146,13 +193,13 @@ def blocks(source: str) -> Iterator[tuple[Element, str]]:
             continue
         tag = m[2].lower()
         if m[1]:  # end tag: closes up to the nearest open element of its name
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            depth = next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag) if opened[tag] > 0 else 0
             if tag == "br" and not stack[-1].cut:
                 text.append(" ")
-            if depth and not (tag in INLINE and any(e.tag not in INLINE for e in stack[depth + 1:])):
+            if depth and not (tag in INLINE and stack[-1].block.level > depth):
                 if tag not in INLINE:
                     yield from flush()
-                del stack[depth:]
+                close(depth)
             elif tag not in INLINE and tag != "br":
                 yield from flush()
             continue
@@ -163,11 +210,9 @@ def blocks(source: str) -> Iterator[tuple[Element, str]]:
         if tag not in INLINE and tag not in ("img", "wbr", "input"):
             yield from flush()
         if tag in ENDS_P:  # a paragraph and what hangs open in it end here
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"
-                      or stack[k].tag not in INLINE), 0)
-            if k and stack[k].tag == "p":
-                del stack[k:]
-        if tag in IMPLIED:
+            if stack[-1].block.tag == "p":
+                close(stack[-1].block.level)
+        if tag in IMPLIED and any(opened[x] > 0 for x in IMPLIED[tag][0]):
             ended, fence = IMPLIED[tag]
             k = len(stack) - 1
             first = 0
@@ -176,12 +221,12 @@ def blocks(source: str) -> Iterator[tuple[Element, str]]:
                     first = k
                 k -= 1
             if first:
-                del stack[first:]
+                close(first)
         if tag in ("html", "body"):  # merged with what is open already
-            if tag == "html" or any(e.tag == "body" for e in stack):
+            if tag == "html" or opened["body"] > 0:
                 continue
         if tag == "body":
-            del stack[1:]
+            close(1)
         parent = stack[-1]
         attrs = _attributes(m[3]) if m[3].strip(" /") else {}
         if tag in VOID:
@@ -189,50 +234,33 @@ def blocks(source: str) -> Iterator[tuple[Element, str]]:
         if tag in INLINE:
             # inline elements don't make tree nodes, but declared apparatus is cut
             prior = 0 if _prior(tag, attrs, True, False) == 0 else None
-            e = Element(tag, parent.path, prior, parent)
+            e = Element(tag, parent.path, parent.up, prior, parent, len(stack))
         else:
-            node = parent
-            while node.tag in INLINE and node.parent is not None:
-                node = node.parent
-            inside = any(x.prior == 1 for x in stack)
-            ahead = not inside and heart >= at and heart < _closing(source, at, tag)
+            node, inside = parent.block, parent.inside
+            ahead = not inside and at in holders
             named = "." + " ".join(sorted(attrs.get("class", "").split())) if attrs.get("class") else ""
             sign = tag + re.sub(r"\d+", "0", named)
-            key = (node.path, sign)
-            if key not in memo:
-                memo[key] = _hash(f"{node.path}>{sign}")
-            if not node.children or node.children[-1] != sign:
-                node.children.append(sign)
-            e = Element(tag, memo[key], _prior(tag, attrs, inside, ahead), parent,
+            path, up = node.path, node.up
+            if len(up) < MAX_DEPTH:  # what is nested deeper belongs to its ancestor's node
+                key = (node.path, sign)
+                if key not in memo:
+                    memo[key] = _hash(f"{node.path}>{sign}")
+                if not node.children or node.children[-1] != sign:
+                    node.children.append(sign)
+                path, up = memo[key], (node.path, *node.up)
+            e = Element(tag, path, up, _prior(tag, attrs, inside, ahead), parent, len(stack),
                         not (attrs.keys() & {"class", "id"}))
         if tag in RAW:  # its content is no markup
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s>/])", re.I).search(source, at)
+            end = _RAW_END[tag].search(source, at)
             at = end.start() if end else len(source)
-            close = source.find(">", at)
-            at = close + 1 if close >= 0 else len(source)
+            ended = source.find(">", at)
+            at = ended + 1 if ended >= 0 else len(source)
             continue
         stack.append(e)
+        opened[tag] += 1
     yield from flush()
 
 
-def _closing(source: str, at: int, tag: str) -> int:
-    """Where the element that was opened before ``at`` ends."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s>/])", re.I).finditer(source, at):
-        depth += -1 if m[1] else 1
-        if depth == 0:
-            return m.start()
-    return len(source)
-
-
-def _chain(e: Element) -> Iterator[Element]:
-    """The element's tree nodes from itself up."""
-    while e is not None:
-        if e.tag not in INLINE:
-            yield e
-        e = e.parent
-
-
 def page_features(source: str) -> list[tuple[int, int, int, list[int] | None]]:
     """Distinct (node, kind, feature, nodes above) of a page: kind 0 the node itself, with the
     nodes above it, 1 its sequence of children, 2 a text that it holds directly."""
@@ -240,9 +268,12 @@ def page_features(source: str) -> list[tuple[int, int, int, list[int] | None]]:
     seen: dict[int, Element] = {}
     for e, text in blocks(source):
         texts.add((e.path, _hash(text)))
-        for x in _chain(e):
+        x: Element | None = e
+        while x is not None and id(x.block) not in seen:
+            x = x.block
             seen[id(x)] = x
-    above = {x.path: [y.path for y in _chain(x)][1:] for x in seen.values()}
+            x = x.parent
+    above = {x.path: list(x.up) for x in seen.values()}
     shapes = {(x.path, _hash(" ".join(x.children))) for x in seen.values()}
     return ([(n, 0, 0, up) for n, up in above.items()] + [(n, 1, f, None) for n, f in shapes]
             + [(n, 2, f, None) for n, f in texts])
@@ -251,11 +282,24 @@ def page_features(source: str) -> list[tuple[int, int, int, list[int] | None]]:
 def main_text(source: str | None, cut: frozenset[int] = frozenset()) -> str:
     """The page's text without apparatus and without branches below a cut node."""
     found: list[tuple[bool, bool, str]] = []
+    low: dict[int, bool] = {}
+    held: list[Element] = []  # keeps the elements that `low` knows by id
+
+    def is_low(e: Element) -> bool:
+        chain = []
+        x: Element | None = e
+        while x is not None and id(x.block) not in low:
+            chain.append(x.block)
+            x = x.block.parent
+        below = low[id(x.block)] if x is not None else False
+        for y in reversed(chain):
+            own = y.prior != 1 and y.path in cut and not (y.inside and y.plain)
+            low[id(y)] = below = below or own
+            held.append(y)
+        return below
     for e, text in blocks(source or ""):
-        chain = list(_chain(e))
-        article = any(x.prior == 1 for x in chain)
-        if not any(x.path in cut and not (article and x.plain) for x in chain if x.prior != 1):
-            found.append((article, e.tag == "h1", text))
+        if not is_low(e):
+            found.append((e.inside, e.tag == "h1", text))
     declared = any(article for article, _, _ in found)
     return "\n\n".join(t for article, heading, t in found if article or heading or not declared)
 

@@ -224,6 +224,21 @@ def test_main_text_of_hard_markup():
     assert html_extract.main_text("a < b &lt;c&gt; <") == "a < b <c> <"
 
 
+@pytest.mark.parametrize("apparatus", [
+    '<div class="topnav">x</div>', '<div id="left-sidebar"><p>x</p></div>', '<div role="alert">x</div>',
+    '<section class="user-comments"><article><p>x</p></article></section>', '<div class="adBox">x</div>',
+    '<div class="contact-form">x<input></div>', '<p hidden>x</p>', '<div style="display: none">x</div>',
+    '<span class="ad">x</span>', '<noscript>x</noscript>', '<svg><text>x</text></svg>', '<button>x</button>',
+    '<template><p>x</p></template>', '<select><option>x<option>y</select>', '<!-- x --><!--> x -->',
+    '<SCRIPT>"</p>x"</SCRIPT >', '<style>x{}</style>', '<textarea><p>x</textarea>', '<dialog open>x</dialog>'])
+def test_apparatus_is_cut_anywhere(apparatus):
+    for page in (f"<article><h1>T</h1><p>one</p>{apparatus}<p>two</p></article>",
+                 f"{apparatus}<main><h1>T</h1><p>one</p><p>two</p></main>{apparatus}",
+                 f"<body>{apparatus}<div class=text><h1>T</h1><p>one<p>two</div>{apparatus}</body>"):
+        if "<article" not in apparatus or "text" not in page:  # an article beside a nameless text is the article
+            assert html_extract.main_text(page) == "T\n\none\n\ntwo", page
+
+
 def test_style_tree_cuts_what_repeats(spark):
     rng = random.Random(3)
     say = lambda n: " ".join(rng.choice("abcdefghij") * rng.randrange(1, 9) for _ in range(n))
