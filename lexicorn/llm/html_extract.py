@@ -2,13 +2,14 @@
 
 Pages of one host share a style tree: an element is the node given by its path of tags and
 attribute names, wherever it occurs on the host. Per node two entropies are taken over the
-host's pages. Presentation: how varied are the sequences of child elements. Content: how far
+host's distinct pages: rows with the same nodes, child sequences and texts are one page, since
+a copy says nothing about what repeats from page to page. Presentation: how varied are the sequences of child elements. Content: how far
 is each text of the node, or of what stands below it, repeated from page to page. Their
 composite (weight ``gamma ** styles`` on the content) is the node's importance, and branches
 below ``threshold`` are cut from each page. As a prior, elements that HTML itself or their
 names declare to be apparatus (scripts, menus, footers, forms, adverts, comments, ...) have
-importance 0; a declared article (``article``, ``main``) has importance 1, and so have its
-elements without a class, and text outside it other than the page's heading has 0. Nodes seen
+importance 0; a declared article (``article``, ``main``) has importance 1 whatever is cut
+above it, and so have its elements without a class, and text outside it other than the page's heading has 0. Nodes seen
 on fewer than ``min_pages`` pages have no entropy worth the name and stay.
 
 Counting runs as Spark aggregations over (host, node, feature), so a host that fills a third
@@ -19,7 +20,7 @@ Pages themselves are parsed where they are read.
 Text: character references are decoded, white space in a block becomes one blank, blocks are
 joined by an empty line. Defined cases: null html = empty text; null url = a host of its own
 name; malformed markup is read as browsers do for what matters here (implied ends, unclosed
-elements, nesting beyond 64 levels in one node); repeated rows count and are kept; an empty table gives an empty result; input
+elements, nesting beyond 64 levels in one node); repeated rows are all kept and count once; an empty table gives an empty result; input
 columns named like an output column are replaced. Pages are read whole.
 """
 
@@ -31,6 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -293,8 +295,8 @@ def main_text(source: str | None, cut: frozenset[int] = frozenset()) -> str:
             x = x.block.parent
         below = low[id(x.block)] if x is not None else False
         for y in reversed(chain):
-            own = y.prior != 1 and y.path in cut and not (y.inside and y.plain)
-            low[id(y)] = below = below or own
+            own = y.path in cut and not (y.inside and y.plain)
+            low[id(y)] = below = y.prior != 1 and (below or own)
             held.append(y)
         return below
     for e, text in blocks(source or ""):
@@ -310,25 +312,41 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+FEATURE = T.ArrayType(T.StructType([
+    T.StructField("node", T.LongType()), T.StructField("kind", T.IntegerType()),
+    T.StructField("feature", T.LongType()), T.StructField("above", T.ArrayType(T.LongType()))]))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per page: its host, a digest of its features, and the features."""
     for b in batches:
         for lo in range(0, b.num_rows, 256):
-            hosts, rows = [], []
-            for host, source in zip(b.column(0).slice(lo, 256).to_pylist(), b.column(1).slice(lo, 256)):
-                found = page_features(source.as_py())
-                hosts += [host] * len(found)
+            hosts = b.column(0).slice(lo, 256)
+            pages, ends, rows = [], [0], []
+            for source in b.column(1).slice(lo, 256):
+                found = sorted(page_features(source.as_py()), key=lambda x: x[:3])
+                said = np.array([x[:3] for x in found], np.int64)
+                pages.append(hashlib.blake2b(said.tobytes(), digest_size=16).digest())
                 rows += found
+                ends.append(len(rows))
             node, kind, feature, above = zip(*rows) if rows else ((), (), (), ())
+            flat = pa.StructArray.from_arrays(
+                [pa.array(node, pa.int64()), pa.array(kind, pa.int32()), pa.array(feature, pa.int64()),
+                 pa.array(above, pa.list_(pa.int64()))], names=["node", "kind", "feature", "above"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(node, pa.int64()), pa.array(kind, pa.int32()),
-                 pa.array(feature, pa.int64()), pa.array(above, pa.list_(pa.int64()))],
-                names=["host", "node", "kind", "feature", "above"])
+                [hosts, pa.array(pages, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
+                names=["host", "page", "features"])
 
 
 def style_trees(pages: DataFrame, url: str = "url", html: str = "html", gamma: float = 0.9) -> DataFrame:
-    """(host, node, pages, importance) of every node of every host's style tree."""
+    """(host, node, pages, importance) of every node of every host's style tree; ``pages`` are
+    the distinct pages with the node."""
     rows = pages.select(host_of(pages[url]).alias("host"), F.coalesce(pages[html], F.lit("")).alias("html"))
-    features = rows.mapInArrow(_features, "host string, node long, kind int, feature long, above array<long>")
+    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("page", T.BinaryType()),
+                           T.StructField("features", FEATURE)])
+    # copies of a page are folded before anything is counted
+    distinct = rows.mapInArrow(_features, schema).groupBy("host", "page").agg(F.first("features").alias("features"))
+    features = distinct.select("host", F.inline("features"))
     counted = features.groupBy("host", "node", "kind", "feature", "above").agg(F.count("*").alias("n"))
     own, style, said = (F.col("kind") == k for k in range(3))
     # sums of n ln n over styles, and of ln n over texts, give both entropies

@@ -262,6 +262,41 @@ def test_style_tree_cuts_what_repeats(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    rng = random.Random(11)
+    say = lambda n: " ".join(rng.choice("abcdefghij") * rng.randrange(1, 9) for _ in range(n))
+    whole = lambda a, b: f"<div class='page'><article><h1>{a}</h1><p>{b}</p></article></div>"
+    plain = lambda a, b: f"<div class='text'><h1>{a}</h1><p>{b}</p></div>"
+    rows, want = [], []
+
+    def add(host, n, make):
+        a, b = say(3), say(20)
+        rows.extend((f"http://{host}/{len(rows) + k}", make(a, b)) for k in range(n))
+        want.extend([f"{a}\n\n{b}"] * n)
+    for make, name in ((whole, "declared"), (plain, "plain")):
+        add(f"one.{name}", 40, make)  # a host of one page
+        for _ in range(2):  # and of two
+            add(f"two.{name}", 30, make)
+        add(f"mixed.{name}", 200, make)  # unique pages on a host of copies
+        for _ in range(12):
+            add(f"mixed.{name}", 1, make)
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages.repartition(4)).collect()}
+    assert [got[k] for k in range(len(rows))] == want
+    # what repeats over distinct pages still goes, however often a page is copied
+    rows = [(f"http://h/{k}", f"<div class='top'><p>Home of all</p></div><div class='text'><p>{k} {say(9)}</p></div>")
+            for k in range(20)]
+    pages = spark.createDataFrame(rows + rows[:1] * 100, "url string, html string")
+    assert not any("Home" in r["text"] or not r["text"] for r in html_extract.extract(pages).collect())
+
+
+def test_a_cut_ancestor_spares_the_declared_article():
+    page = "<div class='low'><p>menu</p><article><h1>T</h1><p>one</p></article></div>"
+    found = {e.path: e for e, _ in html_extract.blocks(page)}
+    cut = frozenset(x for e in found.values() for x in e.up)
+    assert html_extract.main_text(page, cut) == "T\n\none"
+
+
 # ------------------------------------------------------------------ Hamming search
 
 def _brute_search(rows, queries, k):
