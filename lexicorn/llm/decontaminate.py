@@ -1,9 +1,11 @@
 """Operator 7: benchmark decontamination by q-gram lemma filtering.
 
 Texts are reduced to lower-case letters and digits with one blank between runs. Each
-benchmark item is cut into overlapping segments of ``length`` characters (the last one ends
-with the item; a shorter item is one segment), each with an edit budget ``e`` of ``rate``
-times its length. If a segment occurs in a document with at most ``e`` edits, the two share
+benchmark item is cut into overlapping segments in two ways: of ``length`` characters, half a
+segment apart, and of ``short`` characters every ``stride`` (the last one of each ends with the
+item; a shorter item is one segment). So an exact passage of ``short + stride - 1`` characters
+is found wherever it begins in the item, and the long segments, whose edits may stand closer
+together, are found as well. Each has an edit budget ``e`` of ``rate`` times its length. If a segment occurs in a document with at most ``e`` edits, the two share
 at least ``length - q + 1 - q * e`` q-grams whose diagonals (place in the document less
 place in the segment) differ by at most ``e``. So the shared q-grams are counted in diagonal
 bands of width ``2 (e + 1)`` that begin every ``e + 1`` diagonals, bands that reach the bound
@@ -44,6 +46,18 @@ class Budget:
     q: int = 12
     length: int = 100
     rate: float = 0.06
+    short: int = 60
+    stride: int = 10
+
+    def segments(self, n: int) -> list[tuple[int, list[int]]]:
+        """(length, starts) of the two kinds of segments of an item of n characters; a start
+        is given once for each length."""
+        kinds = []
+        for length, step in ((self.length, self.length // 2), (self.short, self.stride)):
+            size, last = min(n, length), max(0, n - length)
+            if all(size != other for other, _ in kinds):
+                kinds.append((size, sorted({*range(0, last, step), last})))
+        return kinds
 
     def edits(self, n: int) -> int:
         """Edit budget of a segment of n characters; small enough for a positive bound."""
@@ -84,24 +98,27 @@ class Index:
         self.item: list[int | None] = []
         self.start: list[int] = []
         self.segment: list[str] = []
+        entries = []
         for item_id, text in items:
             s = normalise(text)
             if len(s) < budget.q:
                 continue
-            last = max(0, len(s) - budget.length)
-            for a in sorted({*range(0, last, budget.length // 2), last}):
-                self.item.append(item_id)
-                self.start.append(a)
-                self.segment.append(s[a:a + budget.length])
+            h = _grams(_codes(s), budget.q)
+            at = np.arange(len(h))
+            for length, starts in budget.segments(len(s)):
+                # the segments of this length that hold the q-gram at a place are neighbours
+                lo = np.searchsorted(starts, at - (length - budget.q), "left")
+                entries.append((h, at, lo + len(self.item), np.searchsorted(starts, at, "right") - lo))
+                self.item += [item_id] * len(starts)
+                self.start += starts
+                self.segment += [s[a:a + length] for a in starts]
         self.edits = np.array([budget.edits(len(s)) for s in self.segment], np.int64)
         self.need = np.array([budget.shared(len(s)) for s in self.segment], np.int64)
-        grams = [_grams(_codes(s), budget.q) for s in self.segment]
-        sizes = [len(g) for g in grams]
-        flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        flat, at, first, n = map(np.concatenate, zip(*entries)) if entries else [np.zeros(0, np.uint64)] * 4
         order = np.argsort(flat, kind="stable")
         self.hash = flat[order]
-        self.of = np.repeat(np.arange(len(grams)), sizes)[order]
-        self.at = (np.concatenate([np.arange(k) for k in sizes]) if sizes else np.zeros(0, np.int64))[order]
+        self.place, self.first, self.n = (x[order].astype(np.int32) for x in (at, first, n))
+        self.starts = np.array(self.start, np.int64)
         self.known = np.zeros(1 << _BITS, bool)
         self.known[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
@@ -113,7 +130,9 @@ class Index:
         n = np.searchsorted(self.hash, h[place], "right") - lo
         place, lo, n = place[n > 0], lo[n > 0], n[n > 0]
         entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(place, n), self.of[entry], self.at[entry]
+        place, n = np.repeat(place, n), self.n[entry].astype(np.int64)
+        seg = np.repeat(self.first[entry] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(place, n), seg, np.repeat(self.place[entry].astype(np.int64), n) - self.starts[seg]
 
     def candidates(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """(segment, first diagonal, last diagonal) of each band that reaches the bound."""

@@ -210,6 +210,28 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_partial_passages_are_found_at_every_offset():
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    budget = decontaminate.Budget()
+    for size in (69, 75, 100, 130, 300):
+        item = say(size)
+        index = decontaminate.Index([(1, item)], budget)
+        for run in (69, 80, 94, 130):
+            for at in range(size - run + 1):
+                text = say(15) + item[at:at + run] + say(15)
+                found = {s: e for s, e, _ in index.matches(text)}
+                assert any(e == 0 for e in found.values()), (size, run, at)
+                if at % 23 == 0 and run == 94:
+                    edits = {s: _edit_in(x, text) for s, x in enumerate(index.segment)}
+                    assert found == {s: e for s, e in edits.items() if e <= index.edits[s]}
+    # edits that stand close together are within the long segments' budget only
+    item = say(100)
+    text = say(30) + item[:44] + "######".join([item[44:45], item[51:52]]) + item[52:] + say(30)
+    assert any(len(decontaminate.Index([(1, item)], budget).segment[s]) == 100
+               for s, _, _ in decontaminate.Index([(1, item)], budget).matches(text))
+
+
 # ------------------------------------------------------------------ HTML
 
 def test_main_text_of_hard_markup():
