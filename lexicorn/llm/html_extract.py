@@ -9,7 +9,10 @@ composite (weight ``gamma ** styles`` on the content) is the node's importance,
 below ``threshold`` are cut from each page. As a prior, elements that HTML itself or their
 names declare to be apparatus (scripts, menus, footers, forms, adverts, comments, ...) have
 importance 0; a declared article (``article``, ``main``) has importance 1 whatever is cut
-above it, and so have its elements without a class, and text outside it other than the page's heading has 0. Nodes seen
+above it, and so have its elements without a class, and text outside it other than the page's heading has 0. Inside it a
+class or id that may as well name a subject (``related``, ``menu``, ``notice``, ...) is left to
+the entropies. A form that holds the article or most of the page's text is no apparatus; its
+controls are. Nodes seen
 on fewer than ``min_pages`` pages have no entropy worth the name and stay.
 
 Counting runs as Spark aggregations over (host, node, feature), so a host that fills a third
@@ -62,6 +65,12 @@ NAMED = frozenset("""ad ads adv advert adverts advertisement advertising adsense
     notification alert popup modal overlay paywall newsletter subscribe subscription signup login search
     searchbox dialog form copyright share sharing social related recommended recommendations widget widgets comment comments
     commentlist respond replies reply discussion disqus feedback hidden offscreen skip""".split())
+#: those of them that a text may have as its subject
+SUBJECTS = frozenset("""menu navigation discussion related recommended recommendations notice notices notification
+    alert search feedback reply replies respond cookie cookies consent copyright login signup subscription promotion
+    sponsor banner overlay dialog skip hidden sharing""".split())
+UNAMBIGUOUS = NAMED - SUBJECTS
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: places that are written together with such a word, as in "topnav"
 PLACES = ("top", "bottom", "left", "right", "main", "site", "page", "global", "sub", "sticky", "mobile")
 
@@ -100,21 +109,30 @@ def _attributes(source: str) -> dict[str, str]:
     return out
 
 
-def _prior(tag: str, attrs: dict[str, str], inside: bool, sheltered: bool) -> int | None:
-    """0: apparatus; 1: the article; None: left to the entropies. ``inside``: in the declared
-    article. ``sheltered``: holds the article or the page's heading, so a name can't cut it."""
-    if tag in APPARATUS or (tag == "header" and not inside and not sheltered):
+def _words(attrs: dict[str, str], *names: str) -> set[str]:
+    found = {w.lower() for a in names for w in _NAME.findall(attrs.get(a, ""))}
+    return found | {w[len(x):] for w in found for x in PLACES if w.startswith(x)}
+
+
+def _prior(tag: str, attrs: dict[str, str], inside: bool, sheltered: bool, declared: bool) -> int | None:
+    """0: apparatus; 1: the article; None: left to the entropies. ``inside``, ``declared``: in
+    the declared article (inline elements are always ``inside``). ``sheltered``: holds the
+    article, the page's heading or most of its text, so a name can't cut it, nor can ``form``."""
+    if (tag in APPARATUS and not (tag == "form" and sheltered)) or (tag == "header" and not inside and not sheltered):
         return 0
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(
             r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
         return 0
-    names = {w.lower() for a in ("class", "id", "role", "itemprop") for w in _NAME.findall(attrs.get(a, ""))}
-    names |= {w[len(x):] for w in names for x in PLACES if w.startswith(x)}
+    names = _words(attrs, "class", "id", "role", "itemprop")
+    named = bool(names & NAMED)
+    if named and declared:  # a role is declared, a heading's id is made from its text
+        sure = _words(attrs, "class", "itemprop") if tag in HEADINGS else names
+        named = bool(sure & UNAMBIGUOUS or _words(attrs, "role") & NAMED)
     if tag in ("html", "body"):
         return None
     if tag in ("article", "main"):
-        return 0 if inside and names & NAMED else 1
-    if not sheltered and (names & NAMED or not inside and "header" in names):
+        return 0 if inside and named else None if inside and names & NAMED else 1
+    if not sheltered and (named or not inside and "header" in names):
         return 0
     if "articlebody" in attrs.get("itemprop", "").lower() or attrs.get("role", "") in ("main", "article"):
         return 1
@@ -157,10 +175,42 @@ def _holders(source: str, heart: int) -> set[int]:
     return {x for places in opened.values() for x in places}
 
 
+def _wide_forms(source: str) -> set[int]:
+    """Where the start tags end of the forms that hold more than half of the page's text."""
+    opened: list[tuple[int, int]] = []
+    held: list[tuple[int, int]] = []
+    at = said = 0
+    mute = False
+    if not re.search(r"<form[\s>/]", source, re.I):
+        return set()
+    while at < len(source):
+        m = _TOKEN.search(source, at)
+        if not mute:
+            said += sum(map(len, source[at:m.start() if m else len(source)].split()))
+        if m is None:
+            break
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if tag == "form":
+            mute = False
+            if not m[1]:
+                opened.append((at, said))
+            elif opened:
+                start, before = opened.pop()
+                held.append((start, said - before))
+        elif tag in ("select", "button"):
+            mute = not m[1]
+        elif tag in RAW and not m[1]:
+            end = _RAW_END[tag].search(source, at)
+            at = end.start() if end else len(source)
+    held += [(start, said - before) for start, before in opened]
+    return {start for start, n in held if 2 * n > said}
+
+
 def blocks(source: str) -> Iterator[tuple[Element, str]]:
     """(element, text) of each text block in page order; an element's ``children`` is complete
     when its blocks have all been read. Apparatus is read but gives no blocks."""
-    holders = _holders(source, _heart(source))
+    holders, wide = _holders(source, _heart(source)), _wide_forms(source)
     top = Element("html", _hash("html"), (), None, None)
     opened = Counter()
     stack, text, owner = [top], [], top
@@ -235,11 +285,11 @@ def blocks(source: str) -> Iterator[tuple[Element, str]]:
             continue
         if tag in INLINE:
             # inline elements don't make tree nodes, but declared apparatus is cut
-            prior = 0 if _prior(tag, attrs, True, False) == 0 else None
+            prior = 0 if _prior(tag, attrs, True, False, parent.inside) == 0 else None
             e = Element(tag, parent.path, parent.up, prior, parent, len(stack))
         else:
             node, inside = parent.block, parent.inside
-            ahead = not inside and at in holders
+            ahead = not inside and at in holders or at in wide
             named = "." + " ".join(sorted(attrs.get("class", "").split())) if attrs.get("class") else ""
             sign = tag + re.sub(r"\d+", "0", named)
             path, up = node.path, node.up
@@ -250,7 +300,7 @@ def blocks(source: str) -> Iterator[tuple[Element, str]]:
                 if not node.children or node.children[-1] != sign:
                     node.children.append(sign)
                 path, up = memo[key], (node.path, *node.up)
-            e = Element(tag, path, up, _prior(tag, attrs, inside, ahead), parent, len(stack),
+            e = Element(tag, path, up, _prior(tag, attrs, inside, ahead, inside), parent, len(stack),
                         not (attrs.keys() & {"class", "id"}))
         if tag in RAW:  # its content is no markup
             end = _RAW_END[tag].search(source, at)

@@ -261,6 +261,37 @@ def test_apparatus_is_cut_anywhere(apparatus):
             assert html_extract.main_text(page) == "T\n\none\n\ntwo", page
 
 
+@pytest.mark.parametrize("body", [
+    "<article><h1>T</h1><p>one</p><p>two</p></article>", "<h1>T</h1><p>one</p><p>two</p>",
+    "<div class=text><p>T</p><div>one</div><p>two</p></div>"])
+def test_a_form_around_the_page_is_no_apparatus(body):
+    controls = "<input value=x><select><option>x</select><textarea>x</textarea><button>x</button>"
+    for start in ("<form id=aspnetForm method=post>", "<FORM id='form1'>"):
+        page = f"<body>{start}<nav>x</nav>{body}{controls}<div class=aspNetHidden>x</div></form><footer>x</footer></body>"
+        assert html_extract.main_text(page) == "T\n\none\n\ntwo"
+    page = f"<body><form>search <input></form>{body}<p>and so on</p><form>sign up</form></body>"
+    assert "search" not in html_extract.main_text(page) and "sign up" not in html_extract.main_text(page)
+
+
+@pytest.mark.parametrize("passage", [
+    '<section id="discussion"><p>x</p></section>', '<h2 id="related-work">x</h2>', '<div class="menu"><p>x</p></div>',
+    '<p class="notice">x</p>', '<div id="search">x</div>', '<p id="feedback">x</p>', '<h3 id="comments">x</h3>',
+    '<p><span class="notice">x</span></p>', '<article class="related"><p>x</p></article>'])
+def test_a_name_that_may_be_a_subject_stays_in_the_article(passage):
+    page = f"<article><h1>T</h1><p>one</p>{passage}<p>two</p></article>"
+    assert html_extract.main_text(page) == "T\n\none\n\nx\n\ntwo"
+    outside = passage.replace("<article", "<div").replace("</article", "</div")
+    assert html_extract.main_text(f"{outside}<main><h1>T</h1><p>one</p></main>") == "T\n\none"
+
+
+def test_entropies_cut_an_ambiguous_name_in_the_article(spark):
+    rows = [(k, f"http://h/{k}", f"<article><h1>T{k}</h1><p>one {k}</p><div class='related'><p>See also</p></div></article>")
+            for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()} == {
+        k: f"T{k}\n\none {k}" for k in range(20)}
+
+
 def test_style_tree_cuts_what_repeats(spark):
     rng = random.Random(3)
     say = lambda n: " ".join(rng.choice("abcdefghij") * rng.randrange(1, 9) for _ in range(n))
