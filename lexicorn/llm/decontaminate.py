@@ -16,8 +16,9 @@ A document is a row from beginning to end: there is no shuffle and no join of do
 The benchmark is read in blocks of about ``block_chars`` characters (the bound of what a
 task holds); each block is one more step over the same rows, so any benchmark size will do.
 
-Defined cases: null text = empty text, never contaminated; items of fewer than ``q``
-normalised characters identify nothing and match nothing; repeated rows and null ids are
+Defined cases: null text = empty text, never contaminated; an item of fewer than
+``q`` normalised characters is one segment that matches as a whole run of words, without edits; an
+item without letters and digits matches nothing; repeated rows and null ids are
 judged row by row; equal benchmark items are all reported; an empty table or benchmark gives
 no match; input columns named like an output column are replaced. Texts are read whole.
 """
@@ -99,9 +100,15 @@ class Index:
         self.start: list[int] = []
         self.segment: list[str] = []
         entries = []
+        short: dict[int, dict[str, list[int]]] = {}  # by length, with the blanks around them
         for item_id, text in items:
             s = normalise(text)
             if len(s) < budget.q:
+                if s:
+                    short.setdefault(len(s) + 2, {}).setdefault(f" {s} ", []).append(len(self.item))
+                    self.item.append(item_id)
+                    self.start.append(0)
+                    self.segment.append(s)
                 continue
             h = _grams(_codes(s), budget.q)
             at = np.arange(len(h))
@@ -119,6 +126,7 @@ class Index:
         self.hash = flat[order]
         self.place, self.first, self.n = (x[order].astype(np.int32) for x in (at, first, n))
         self.starts = np.array(self.start, np.int64)
+        self.short = [(n, np.sort(np.concatenate([_grams(_codes(x), n) for x in of])), of) for n, of in short.items()]
         self.known = np.zeros(1 << _BITS, bool)
         self.known[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
@@ -152,10 +160,23 @@ class Index:
         return [(int(s), int(b * w), int((b + 2) * w - 1))
                 for s, b, w in zip(seg2[kept], band[kept], width[kept])]
 
+    def runs(self, text: str) -> Iterator[tuple[int, int]]:
+        """(segment, first place) of each item shorter than q that is a whole run of words."""
+        padded = f" {text} "
+        for n, hashes, of in self.short:
+            h = _grams(_codes(padded), n)
+            place = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h)
+            seen: set[str] = set()
+            for p in place[np.unique(h[place], return_index=True)[1]].tolist():
+                run = padded[p:p + n]
+                if run in of and run not in seen:
+                    seen.add(run)
+                    yield from ((seg, p) for seg in of[run])
+
     def matches(self, text: str) -> list[tuple[int, int, int]]:
         """(segment, edits, diagonal) of each segment found within its budget, at its best."""
         codes = _codes(text)
-        best: dict[int, tuple[int, int]] = {}
+        best: dict[int, tuple[int, int]] = {seg: (0, place) for seg, place in self.runs(text)}
         for seg, lo, hi in self.candidates(codes):
             if seg in best and best[seg][0] == 0:
                 continue

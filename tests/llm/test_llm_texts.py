@@ -232,6 +232,19 @@ def test_partial_passages_are_found_at_every_offset():
                for s, _, _ in decontaminate.Index([(1, item)], budget).matches(text))
 
 
+def test_short_items_match_as_whole_runs_of_words(spark):
+    items = [(1, "什么是机器学习的定义?"), (2, "Two plus 2?"), (3, "two plus 2"), (4, "?!"), (None, "art"), (5, "a" * 12)]
+    texts = ["x 什么是机器学习的定义？ y", "It is two, plus 2.", "two plus 22", "start arts", "", None, "Art",
+             "the art of art", "a" * 12, "two plus"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = [{1}, {2, 3}, set(), set(), set(), set(), {None}, {None}, {5}, set()]
+    for block_chars in (1 << 20, 10):
+        found = decontaminate.find_leaks(_docs(spark, list(enumerate(texts))), bench, block_chars=block_chars).collect()
+        got = {r["doc_id"]: r["leaks"] for r in found}
+        assert [{x["item_id"] for x in got[k]} for k in range(len(texts))] == want
+        assert [x["place"] for x in got[7]] == [4] and all(x["edits"] == 0 for r in found for x in r["leaks"])
+
+
 # ------------------------------------------------------------------ HTML
 
 def test_main_text_of_hard_markup():
