@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicorn.llm import (bpe_codec, chat, cotraining, decontaminate, hamming_topk, html_extract, sharding,
-                           simhash, token_counts, warc)
+                           simhash, token_counts, warc, whitening)
 from lexicorn.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,8 @@ def op10(spark, sf):
     counted = token_counts.count_tokens(docs, shared_path(spark, "token-cache"),
                                         public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op13_whitening")
+def op13(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"))
