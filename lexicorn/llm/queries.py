@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicorn.llm import (bpe_codec, chat, cotraining, decontaminate, hamming_topk, html_extract, sharding,
+from lexicorn.llm import (bpe_codec, chat, cotraining, decontaminate, hamming_topk, hard_negatives, html_extract, sharding,
                            simhash, token_counts, warc, whitening)
 from lexicorn.llm.common import shared_path
 
@@ -151,6 +151,24 @@ def op10(spark, sf):
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query("op12_hard_negatives", """
+WITH r AS (SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.rn AS anchor, a.vec_id AS anchor_id, c.rn AS row, c.vec_id AS id, a.label = c.label AS same,
+    CAST(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * c.x[i])) AS BIGINT) AS score
+  FROM r a, r c WHERE a.vec_id % 100 = 0 AND a.rn <> c.rn),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""")
+def op12(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), label=label)
+
+
 @query("op13_whitening")
 def op13(spark, sf):
     return whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"))
