@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicorn.llm import (bpe_codec, chat, cotraining, decontaminate, hamming_topk, hard_negatives, html_extract, sharding,
-                           simhash, token_counts, warc, whitening)
+                           simhash, substring_dedup, token_counts, warc, whitening)
 from lexicorn.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +151,12 @@ def op10(spark, sf):
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query("op11_substring_dedup")
+def op11(spark, sf):
+    found = substring_dedup.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op12_hard_negatives", """
 WITH r AS (SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
     list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
