@@ -194,7 +194,7 @@ def _places(stretch: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = stretch.join(paths(counted.filter("c > 1")), ["anchor", "digest"])
     spans = whole.select("id", _tag("at").alias("tag"), _start("at").alias("start"), F.col("windows").alias("n"),
                          F.lit(SPAN).alias("kind"))
-    several = counted.groupBy("anchor").count().filter("count > 1").select("anchor")
+    several = materialize(counted.groupBy("anchor").count().filter("count > 1").select("anchor"), "repeats-several")
     rims = counted.join(several, "anchor", "left_semi").select(
         "id", _tag("at").alias("tag"), _start("at").alias("start"), _windows("at").alias("n"),
         F.when(F.col("c") > 1, SHARED).otherwise(ALONE).alias("kind"))
@@ -298,7 +298,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width
                      same.bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag"), F.col(text).alias("text"))
     every = rows.select("id", "tag", "text").mapInArrow(
         _stretch_rows(width, anchor), "anchor long, digest long, id long, at long, next long")
-    often = every.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # written before it is joined: a hot anchor is then a plain skewed join, which is split
+    often = materialize(every.groupBy("anchor").count().filter("count > 1").select("anchor"), "repeats-anchors")
     stretch = materialize(every.join(often, "anchor", "left_semi"), "repeats-stretches")
     spans, rims = _places(stretch)
     # bounded by the text: at most a place for each of its windows; equal rows fold
