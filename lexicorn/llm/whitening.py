@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
@@ -122,6 +123,7 @@ def whiten(df: DataFrame, vector: str = "embedding", components: int = 16) -> Da
     centred = F.transform("off", lambda o: o / F.lit(float(n)))
 
     a = _blocks(_indexed(fit).withColumn("off", off).select("index", centred.alias("centred")), n, dims)
+    a.persist(StorageLevel.MEMORY_AND_DISK)  # three products read it; a lost block is made again
     cov = _gram(a) / n
     values, vectors = np.linalg.eigh((cov + cov.T) / 2)
     order = np.argsort(values)[::-1][:components]
@@ -134,6 +136,7 @@ def whiten(df: DataFrame, vector: str = "embedding", components: int = 16) -> Da
     total = float(np.trace(cov))
     made = _gram(a.multiply(whitening)) / n
     error = float(np.abs((made - np.eye(len(values)))[np.ix_(live, live)]).max()) if live.any() else 0.0
+    a._java_matrix_wrapper._java_model.blocks().unpersist(False)
     every = _indexed(rows).withColumn("off", off)
     projected = _blocks(every.select("index", centred.alias("centred")), seen["rows"], dims).multiply(whitening)
     back = callMLlibFunc("getIndexedRows", projected.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
