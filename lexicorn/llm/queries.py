@@ -43,7 +43,8 @@ def op1(spark, sf):
 
 @query("op2_quality")
 def op2(spark, sf):
-    scored = cotraining.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    scored = cotraining.score_documents(docs, table(spark, sf, "labels"))
     return scored.select("doc_id", F.round("p_text", 6).alias("p_text"), F.round("p_meta", 6).alias("p_meta"),
                          F.round("score", 6).alias("score"), "keep")
 

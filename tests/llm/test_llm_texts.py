@@ -1,9 +1,11 @@
 """BPE codec, SimHash, decontamination, HTML extraction, Hamming search and co-training."""
 
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexicorn.llm import bpe_codec, cotraining, decontaminate, hamming_topk, html_extract, simhash
@@ -453,20 +455,52 @@ def test_cotraining_without_usable_labels(spark):
     assert cotraining.score_documents(df.limit(0), lab).count() == 0
 
 
-def test_pseudo_labels_are_exchanged():
-    rng = np.random.default_rng(0)
-    text, meta, label = [], [], []
-    for k in range(600):
-        y = int(rng.random() < .6)
-        text.append([1 if y else 2] if rng.random() < .9 else [3])
-        meta.append([11 if y else 12] if k % 3 else [13])
-        label.append(y if k < 200 else None)
-    calls = []
-    plain = cotraining.fit
+def test_pseudo_labels_of_all_documents_count(spark):
+    """A source that no labelled document has, and that only stands beyond the first thousands
+    of unlabelled ones, gets its weight from what the text view says of them."""
+    docs, labels = _labelled(spark)
+    good = next(d for d in docs if d[6] and d[0] % 2 == 1)
+    late = [(100_000 + k, good[1] + f" n{k}", "late source", good[3], good[4], "") for k in range(300)]
+    filler = [(10_000 + k, *docs[k % len(docs)][1:6]) for k in range(6_000)]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    own = cotraining.Trainer.model
     try:
-        cotraining.fit = lambda rows, y, w, *a, **o: calls.append(int((w > 0).sum())) or plain(rows, y, w, *a, **o)
-        model = cotraining.co_train(text, meta, label, [1, 2, 3], cotraining.Settings(confidence=.9, per_round=50, rounds=2))
+        cotraining.Trainer.model = lambda self: seen.append(own(self)) or seen[-1]
+        for more in ([], late):
+            df = spark.createDataFrame([d[:6] for d in docs] + filler + more, DOC)
+            cotraining.score_documents(df, lab)
     finally:
-        cotraining.fit = plain
-    assert calls[2] > calls[0] and calls[3] > calls[1] and calls[4] >= calls[2]
-    assert model.text[1] > 0 > model.text[2] and model.meta[11] > 0 > model.meta[12]
+        cotraining.Trainer.model = own
+    feature = cotraining.meta_features("late source", None, None)[0]
+    without, with_ = (dict(zip(m.views[1].columns.tolist(), m.views[1].weights)).get(feature, 0.0) for m in seen)
+    assert without == 0.0 and with_ > 0.1
+
+
+def test_sums_of_pseudo_labels_equal_brute_force():
+    s = cotraining.Settings(confidence=.7)
+    rng = np.random.default_rng(3)
+    views = [cotraining.View(np.arange(8), rng.normal(size=8), .1), cotraining.View(np.arange(10, 16), rng.normal(size=6), -.2)]
+    scale = [np.array([1.2, .1]), np.array([.8, -.3])]
+    rows = [(sorted(rng.choice(9, rng.integers(0, 5), False).tolist()), sorted(rng.choice(np.arange(10, 18), 2, False).tolist()))
+            for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int32())) for c in zip(*rows)], names=["words", "meta"])
+    got = {}
+    for b in cotraining.exchange(views, scale, s)([batch.slice(0, 90), batch.slice(90)]):
+        got |= {(r["view"], r["feature"]): (r["gradient"], r["curvature"]) for r in b.to_pylist()}
+    want = {}
+    for row in rows:
+        raw = [v.bias + sum(dict(zip(v.columns.tolist(), v.weights)).get(f, 0.0) for f in fs) for v, fs in zip(views, row)]
+        for own, other in ((0, 1), (1, 0)):
+            p = 1 / (1 + math.exp(-(scale[other][0] * raw[other] + scale[other][1])))
+            if .3 < p < .7:
+                continue
+            g = 1 / (1 + math.exp(-raw[own])) - (p >= .5)
+            h = math.tanh(abs(raw[own]) / 2) / (2 * abs(raw[own])) * (len(row[own]) + 1)
+            want.setdefault((own, cotraining.COUNT), [0.0, 0.0])[1] += 1
+            for f in [*row[own], cotraining.BIAS]:
+                x = want.setdefault((own, f), [0.0, 0.0])
+                x[0] += g
+                x[1] += h
+    assert set(got) == set(want)
+    assert all(np.allclose(got[k], want[k]) for k in want)
