@@ -13,6 +13,9 @@ PRETOKEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 # Reserved ids.
 PAD_ID, EOS_ID, UNK_ID = 0, 1, 2
 N_RESERVED = 3
+# After them one id for each byte value, for characters that the vocabulary lacks.
+N_BYTES = 256
+FIRST_LEARNED = N_RESERVED + N_BYTES
 PAD_TOKEN, EOS_TOKEN, UNK_TOKEN = "<pad>", "<eos>", "<unk>"
 IGNORE_LABEL = -100
 MAX_GEN_LEN = 20

@@ -171,11 +171,7 @@ def prompt_encode(spark, sf):
 
 
 @query("decode_ids", f"""
-WITH e AS {S.encoded_conv(CFG)},
-d AS (SELECT e.row_id, string_agg(v.token, '' ORDER BY u.pos) AS decoded
-      FROM e, unnest(e.ids) WITH ORDINALITY AS u(id, pos) JOIN {S.vocab(CFG)} v ON v.id = u.id
-      WHERE v.id >= 3 GROUP BY e.row_id)
-SELECT e.row_id, coalesce(d.decoded, '') AS decoded FROM e LEFT JOIN d ON d.row_id = e.row_id""")
+SELECT row_id, decoded FROM {S.decode(f"SELECT row_id, ids FROM {S.encoded_conv(CFG)}", "x.ids", S.vocab(CFG), "decoded")}""")
 def decode_ids(spark, sf):
     voc = PL.corpus_vocab(spark, sf)
     e = PL.encoded_corpus(spark, sf, vocab=voc).select("row_id", "ids")

@@ -36,7 +36,7 @@ def char_cut(expr: str, fraction: float) -> str:
 
 # ------------------------------------------------------------------ pipeline twins
 from lexicorn.functions.hashing import sql_hash_uniform  # noqa: E402
-from lexicorn.functions.tokens import PRETOKEN_PATTERN  # noqa: E402
+from lexicorn.functions.tokens import FIRST_LEARNED, N_BYTES, N_RESERVED, PRETOKEN_PATTERN  # noqa: E402
 from lexicorn.operators.splits import thresholds  # noqa: E402
 from lexicorn.operators.vocab import CHARACTER  # noqa: E402
 
@@ -71,9 +71,10 @@ def vocab(cfg) -> str:
           ORDER BY count DESC, token LIMIT {cfg.vocab_size // 2}),
   vtop AS (SELECT * FROM (SELECT 0 AS part, token, count FROM vch
                           UNION ALL SELECT 1, token, count FROM vc WHERE length(token) > 1)
-           ORDER BY part, count DESC, token LIMIT {cfg.vocab_size - 3})
-  SELECT token, CAST(row_number() OVER (ORDER BY part, count DESC, token) + 2 AS INTEGER) AS id, count
+           ORDER BY part, count DESC, token LIMIT {cfg.vocab_size - FIRST_LEARNED})
+  SELECT token, CAST(row_number() OVER (ORDER BY part, count DESC, token) + {FIRST_LEARNED - 1} AS INTEGER) AS id, count
   FROM vtop
+  UNION ALL SELECT printf('<0x%02X>', k), CAST(k + {N_RESERVED} AS INTEGER), 0 FROM range({N_BYTES}) b(k)
   UNION ALL SELECT '<pad>', 0, 0 UNION ALL SELECT '<eos>', 1, 0 UNION ALL SELECT '<unk>', 2, 0)"""
 
 
@@ -86,8 +87,10 @@ def encode(rows_sql: str, cfg, extra_cols: str = "", vocab_sql: str | None = Non
     ae = cfg.append_eos if append_eos is None else append_eos
     vs = vocab_sql or vocab(cfg)
     ex = (", " + extra_cols) if extra_cols else ""
-    ids = ("coalesce(list(CAST(coalesce(v.id, 2) AS INTEGER) ORDER BY s.pos, s.sub) "
-           "FILTER (WHERE s.pos IS NOT NULL), [])")
+    spelled = (f"list_transform(generate_series(1, CAST(strlen(s.piece) AS BIGINT)), lambda i: "
+               f"CAST('0x' || substr(hex(encode(s.piece)), 2 * i - 1, 2) AS INTEGER) + {N_RESERVED})")
+    ids = (f"coalesce(flatten(list(CASE WHEN v.id IS NOT NULL THEN [CAST(v.id AS INTEGER)] ELSE {spelled} END "
+           "ORDER BY s.pos, s.sub) FILTER (WHERE s.pos IS NOT NULL)), [])")
     body = f"list_slice({ids}, 1, {ml})" if ml is not None else ids
     if ae:
         ended = f"list_concat({body}, [CAST(1 AS INTEGER)])"
@@ -96,7 +99,7 @@ def encode(rows_sql: str, cfg, extra_cols: str = "", vocab_sql: str | None = Non
     return f"""(
   WITH er AS (SELECT row_number() OVER () AS rn, row_id{ex}, {pretok('text')} AS toks FROM ({rows_sql})),
   et AS (SELECT rn, unnest(toks) AS token, unnest(generate_series(1, len(toks))) AS pos FROM er),
-  ev AS MATERIALIZED (SELECT token, id FROM {vs} WHERE id >= 3),
+  ev AS MATERIALIZED (SELECT token, id FROM {vs} WHERE id >= {FIRST_LEARNED}),
   ep AS (SELECT et.rn, et.pos, CASE WHEN v.id IS NULL THEN {characters('et.token')} ELSE [et.token] END AS pieces
          FROM et LEFT JOIN ev v ON v.token = et.token),
   es AS (SELECT rn, pos, unnest(pieces) AS piece, unnest(generate_series(1, len(pieces))) AS sub FROM ep)
@@ -268,11 +271,17 @@ def cut_eos(expr: str, eos_id: int = 1) -> str:
 
 
 def decode(rows_sql: str, ids_expr: str, vocab_sql: str, out: str) -> str:
-    """rows_sql has row_id; returns (row_id, out) with reserved ids skipped."""
-    return f"""(SELECT x.row_id, coalesce(string_agg(v.token, '' ORDER BY u.pos), '') AS {out}
-  FROM ({rows_sql}) x LEFT JOIN unnest({ids_expr}) WITH ORDINALITY AS u(id, pos) ON TRUE
-  LEFT JOIN {vocab_sql} v ON v.id = u.id AND v.id >= 3
-  GROUP BY x.row_id)"""
+    """rows_sql has row_id; returns (row_id, out) with reserved ids skipped and runs of byte ids
+    joined, a run that is no UTF-8 as U+FFFD."""
+    return f"""(WITH dx AS (SELECT x.row_id, u.id, u.pos, u.id < {FIRST_LEARNED} AS b
+      FROM ({rows_sql}) x, unnest({ids_expr}) WITH ORDINALITY AS u(id, pos) WHERE u.id >= {N_RESERVED}),
+  dr AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY pos)
+      - row_number() OVER (PARTITION BY row_id, b ORDER BY pos) AS run FROM dx),
+  dp AS (SELECT dr.row_id, dr.pos, v.token AS piece FROM dr JOIN {vocab_sql} v ON v.id = dr.id WHERE NOT dr.b
+    UNION ALL SELECT row_id, pos, coalesce(TRY(decode(unhex(hexes))), chr(65533)) FROM (SELECT row_id, min(pos) AS pos,
+      string_agg(printf('%02X', CAST(id - {N_RESERVED} AS INTEGER)), '' ORDER BY pos) AS hexes FROM dr WHERE b GROUP BY row_id, run))
+  SELECT y.row_id, coalesce(z.said, '') AS {out} FROM (SELECT DISTINCT row_id FROM ({rows_sql})) y
+  LEFT JOIN (SELECT row_id, string_agg(piece, '' ORDER BY pos) AS said FROM dp GROUP BY row_id) z ON z.row_id = y.row_id)"""
 
 
 def rouge_tok(expr: str) -> str:

@@ -83,18 +83,36 @@ def test_encode_decode_roundtrip(spark):
 
 
 def test_encode_keeps_rows_apart(spark):
-    voc = VO.learn_vocab(spark.createDataFrame([("low lower low",)], "text string"), 40)
+    voc = VO.learn_vocab(spark.createDataFrame([("low lower low",)], "text string"), 300)
     df = spark.createDataFrame([(100, "low lower"), (100, "low"), (1, ""), (2, None), (None, "slow€")],
                                "row_id long, text string")
     rows = VO.decode(VO.encode(df, voc, append_eos=True), voc).collect()
     assert sorted((r.row_id or 0, r.decoded) for r in rows) == [
-        (0, "low"), (1, ""), (2, ""), (100, "low"), (100, "low lower")]
+        (0, "slow€"), (1, ""), (2, ""), (100, "low"), (100, "low lower")]
     assert all(r.ids[-1] == tk.EOS_ID for r in rows)
     cut = VO.encode(df, voc, append_eos=True, max_length=1).collect()
     assert {tuple(r.ids[1:]) for r in cut if r.row_id == 100} == {(), (tk.EOS_ID,)}
     assert VO.encode(df.limit(0), voc).count() == 0
 
 
+def test_characters_without_id_go_through_bytes(spark):
+    """The vocabulary knows a, b, c and blanks; everything else is spelled in UTF-8."""
+    voc = VO.learn_vocab(spark.createDataFrame([("a b c",)], "text string"), 1000)
+    texts = ["a €ß b", "中文 テスト 한국어", "😀👩‍👩‍👧", "", "é" * 5_000 + "a", "\x00\x7f a"]
+    enc = VO.encode(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), voc, keep_text=True)
+    rows = VO.decode(enc, voc).collect()
+    assert sorted(r.k for r in rows) == list(range(len(texts))) and all(r.decoded == r.text for r in rows)
+    assert not any(tk.UNK_ID in r.ids for r in rows)
+    # a run of bytes that is no character, a reserved id inside a run, an id beyond the vocabulary
+    a = next(r.id for r in voc.collect() if r.token == "a")
+    b = [tk.N_RESERVED + x for x in "€".encode()]
+    odd = spark.createDataFrame([(1, [a, b[0], b[1], a]), (2, [b[0], 0, b[1], b[2]]), (3, [a, 10 ** 6, a]), (4, None)],
+                                "k int, ids array<int>")
+    assert {r.k: r.decoded for r in VO.decode(odd, voc).collect()} == {1: "a\ufffda", 2: "€", 3: "aa", 4: ""}
+    with pytest.raises(ValueError):
+        VO.learn_vocab(spark.createDataFrame([("a",)], "text string"), 259)
+
+
 def test_merges_apply_to_unseen_words(spark):
     texts = spark.createDataFrame([("low low low",)], "text string")
     merges, words = BPE.learn_merges(texts, 2)
