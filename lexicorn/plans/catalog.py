@@ -94,6 +94,15 @@ def char_prompt_split(spark, sf):
                     tx.char_reference("text", 0.5).alias("reference"))
 
 
+@query("strip_prompt", f"""
+SELECT row_id, trim(substr(clean, {S.char_cut('clean', 0.5)} + 1)) AS rest
+FROM (SELECT row_id, {S.clean('text')} AS clean FROM ({S.CONV}))""")
+def strip_prompt_q(spark, sf):
+    """The text without the prompt it begins with, trimmed."""
+    return clean_conversations(spark, sf).select(
+        "row_id", tx.strip_prefix("text", tx.char_prompt("text", 0.5)).alias("rest"))
+
+
 # ---------------------------------------------------------------- 2.3 tokens / vocabulary
 from lexicorn.functions import tokens as tk  # noqa: E402
 from lexicorn.functions.hashing import sql_hash_uniform  # noqa: E402
@@ -293,6 +302,19 @@ def batch_ids(spark, sf):
 _PAD_SQL = f"""SELECT row_id, batch_id, ids, max(len(ids)) OVER (PARTITION BY batch_id) AS m FROM ({_BATCHED_SQL})"""
 
 
+@query("row_access", f"""
+SELECT n_rows, rank, row_id, n_ids FROM (SELECT count(*) OVER () AS n_rows, row_number() OVER (ORDER BY row_id) - 1 AS rank,
+  row_id, CAST(len(ids) AS BIGINT) AS n_ids FROM ({_BATCHED_SQL})) WHERE rank % 7 = 3""")
+def row_access_q(spark, sf):
+    """Length of the row set, and its rows at given places."""
+    e = VO.encode(PL.split_corpus(spark, sf), PL.corpus_vocab(spark, sf), max_length=CFG.max_length,
+                  append_eos=False).filter(F.col("split") == "test")
+    ranked = write_once(B.dense_rank_by(e, ["row_id"]))
+    size = ranked.agg(F.count("*").alias("n_rows"))  # one row
+    return (ranked.filter(F.col("rank") % 7 == 3).join(F.broadcast(size), how="inner", on=F.lit(True))
+            .select("n_rows", "rank", "row_id", F.size("ids").cast("bigint").alias("n_ids")))
+
+
 @query("pad_collate", f"""
 SELECT row_id, batch_id,
   {S.ids_str("list_concat(ids, list_transform(generate_series(1, m - len(ids)), lambda x: 0))")} AS input_ids,
@@ -923,6 +945,27 @@ def final_fit_q(spark, sf):
     return _history_out(spark, res)
 
 
+def _final_reload_sql() -> str:
+    order = _FINAL_CELL["order"]
+    ppl = (f"(SELECT exp(sum(-ln(p)) / count(*)) FROM (SELECT {_mix_sql('best', order)} AS p FROM "
+           f"{S.level_probs("SELECT row_id, ids FROM held WHERE split = 'test'", 'ngm', order)}, best))")
+    return "WITH " + ",\n".join(_history_chain(*_FINAL_ROWS, _FINAL_CELL, 4, 3)) + f"""
+SELECT CAST(epoch AS INTEGER) AS epoch, round(nll, 6) AS train_loss, round(ppl, 6) AS val_perplexity,
+  round(rouge, 9) AS val_rougeL, round({ppl}, 6) AS test_perplexity FROM hist"""
+
+
+@query("final_reload", _final_reload_sql())
+def final_reload_q(spark, sf):
+    """The final fit's history as stored, and the test perplexity of the model reloaded by its tag."""
+    path = shared_path(spark, "final")
+    XP.final_fit(spark, sf, {**_FINAL_CELL, "epochs": 2}, stem=False, results_dir=path)
+    model = ST.load_model(spark, f"{path}/models", tag="final")
+    ppl = NG.perplexity(NG.window_scores(model, _enc(spark, sf).filter(F.col("split") == "test"))).first()["perplexity"]
+    return spark.read.schema(XP.HISTORY_SCHEMA).parquet(f"{path}/final_history").select(
+        "epoch", F.round("train_loss", 6).alias("train_loss"), F.round("val_perplexity", 6).alias("val_perplexity"),
+        F.round("val_rougeL", 9).alias("val_rougeL"), F.lit(round(ppl, 6)).alias("test_perplexity"))
+
+
 @query("compare_models")
 def compare_models_q(spark, sf):
     return XP.compare_models(spark, sf)[0]
@@ -996,6 +1039,26 @@ def complete_prompts_q(spark, sf):
     return done.select("row_id", "prediction", "completed")
 
 
+# prompts of 0 to 39 characters: some are empty, some end inside a word
+_SHORT_ROWS = f"SELECT row_id, substr(text, 1, CAST(row_id % 40 AS INTEGER)) AS text FROM ({_ITEM_ROWS})"
+
+
+@query("one_word", S.greedy_rounds(
+    f"SELECT row_id AS seq_id, ids AS prompt_ids FROM {S.encode(f'SELECT row_id, {S.clean('text')} AS text FROM ({_SHORT_ROWS})', CFG, max_length=tk.MAX_GEN_LEN, append_eos=False)}",
+    _TRAIN_NG, CFG.order, LAMBDAS, CFG.vocab_size, 1) + f""",
+gd AS {S.decode(f"SELECT seq_id AS row_id, {S.cut_eos(S.continuation())} AS g FROM g1", "x.g", S.vocab(CFG), "new")}
+SELECT i.row_id, i.text AS prompt, trim(gd.new) AS word FROM ({_SHORT_ROWS}) i JOIN gd ON gd.row_id = i.row_id""")
+def one_word_q(spark, sf):
+    """One word after a text prompt, by a model saved and loaded again; an empty prompt has none."""
+    enc, voc = _enc_voc(spark, sf)
+    path = shared_path(spark, "model")
+    ST.save_model(_model(spark, sf, enc=enc), path, tag="best")
+    prompts = src.benchmark(spark, sf).select("row_id", tx.clean_text("text").alias("text"))
+    prompts = prompts.select("row_id", F.expr("substr(text, 1, cast(row_id % 40 as int))").alias("text"))
+    done = EV.complete(ST.load_model(spark, path, tag="best"), prompts, voc, n_words=1)
+    return done.select("row_id", F.col("text").alias("prompt"), F.col("prediction").alias("word"))
+
+
 @query("complete_sampled", S.sampled_rounds(
     f"SELECT row_id AS seq_id, ids AS prompt_ids FROM {S.encode(_ITEM_ROWS, CFG, max_length=tk.MAX_GEN_LEN, append_eos=False)}",
     _TRAIN_NG, CFG.order, LAMBDAS, CFG.vocab_size, 20, 0.7, 0.8, CFG.seed) + f""",
@@ -1078,6 +1141,25 @@ def token_accounting_q(spark, sf):
         F.sum(F.char_length("decoded")).cast("bigint").alias("chars_out"))
 
 
+# every third line has a seventh field, every fifth ends before the text
+_BAD_CLEAN = f"SELECT row_id, {S.clean('text')} AS clean FROM ({S.CONV})"
+
+
+@query("csv_bad_lines", f"SELECT row_id, CASE WHEN row_id % 5 = 0 THEN '' ELSE clean END AS clean FROM ({_BAD_CLEAN})")
+def csv_bad_lines_q(spark, sf):
+    """Lines with too many or too few fields are kept: the text is the sixth field, or empty."""
+    path = shared_path(spark, "csv-bad")
+    rows = clean_conversations(spark, sf).select(
+        F.lit("0").alias("target"), F.col("row_id").cast("string").alias("ids"), F.lit("Mon Apr 06 2009").alias("date"),
+        F.lit("NO_QUERY").alias("flag"), F.lit("user").alias("user"), "text", F.lit("more").alias("more"), "row_id")
+    short = F.col("row_id") % 5 == 0
+    long = ~short & (F.col("row_id") % 3 == 0)
+    for name, which, n in (("short", short, 5), ("long", long, 7), ("whole", ~short & ~long, 6)):
+        (rows.filter(which).select(*rows.columns[:n]).write.option("encoding", "ISO-8859-1").option("escape", '"')
+         .option("quoteAll", "true").csv(f"{path}/{name}"))
+    return src.csv_corpus(spark, f"{path}/*").select("row_id", tx.clean_text("text").alias("clean"))
+
+
 @query("csv_scan", f"SELECT row_id, {S.clean('text')} AS clean FROM ({S.CONV})")
 def csv_scan_q(spark, sf):
     """Write the corpus as a headerless latin-1 CSV of six fields, then scan it back."""

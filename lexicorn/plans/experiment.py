@@ -3,13 +3,15 @@
 Counts are fitted once per (order, min_count); every epoch is one small aggregate over
 the written held-out level table plus a validation pass (greedy completion + ROUGE-L).
 Only weights, history rows and per-run metrics reach the driver. With a ``results_dir`` each
-cell's result row, history and best model are written before the next cell begins, and cells
-that are already there are not run again.
+cell's result row, history and best model are written before the next cell begins. A stored
+cell is known by what it was made of (every axis and setting, and a digest of the encoded
+rows), never by its number, so only the same cell over the same data is not run again.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import math
 from dataclasses import dataclass
 
@@ -31,6 +33,8 @@ RESULT_SCHEMA = (
     "run_id int, lr double, order int, min_count int, epochs int, final_train_loss double, "
     "final_val_perplexity double, final_val_rougeL double, test_perplexity double, "
     "test_rougeL double, best_epoch int, weights array<double>")
+#: a stored row also names its cell, its data and the version of its model
+STORED_SCHEMA = RESULT_SCHEMA + ", cell string, data string, model_version long"
 
 
 @dataclass
@@ -118,34 +122,40 @@ def prepare(spark: SparkSession, sf: str, cfg: PL.Config = PL.DEFAULT):
     return enc, voc
 
 
-def _stored_results(spark: SparkSession, results_dir: str | None) -> dict[int, tuple]:
-    """Result rows that earlier, perhaps interrupted, runs have left, by run_id."""
+def _stored_results(spark: SparkSession, results_dir: str | None, data: str) -> dict[str, tuple]:
+    """Result rows that earlier, perhaps interrupted, runs over the same data have left, by
+    cell; of two writers' rows the first model's."""
     from pyspark.errors import AnalysisException
     if results_dir is None:
         return {}
     try:
-        rows = spark.read.schema(RESULT_SCHEMA).parquet(f"{results_dir}/results").collect()
+        rows = spark.read.schema(STORED_SCHEMA).parquet(f"{results_dir}/results").filter(F.col("data") == data).collect()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return {}
-    return {r["run_id"]: tuple(r) for r in rows}
+    return {r["cell"]: tuple(r) for r in sorted(rows, key=lambda r: -r["model_version"])}
 
 
 def grid_search(spark: SparkSession, sf: str, grid: list[dict], cfg: PL.Config = PL.DEFAULT,
                 max_new: int = 20, stem: bool = True, results_dir: str | None = None) -> DataFrame:
     """One row per cell: config + final train loss / val metrics + test metrics."""
-    stored = _stored_results(spark, results_dir)
     enc, voc = prepare(spark, sf, cfg)
+    data = ST.data_digest(enc) + "/" + ST.data_digest(voc) if results_dir is not None else ""
+    stored = _stored_results(spark, results_dir, data)
     train_rows = enc.filter((F.col("split") == "train") & ~F.col("holdout"))
     em_rows = enc.filter((F.col("split") == "train") & F.col("holdout"))
     val_rows = enc.filter(F.col("split") == "validation")
     test_rows = enc.filter(F.col("split") == "test")
     fitted: dict[tuple, NG.NGramModel] = {}
+    width = len(RESULT_SCHEMA.split(", "))
     records = []
     for run_id, cell in enumerate(grid, start=1):
-        if run_id in stored:
-            records.append(stored[run_id])
+        patience = cell.get("patience", 3)
+        made_of = json.dumps({**cell, "lr": float(cell["lr"]), "patience": patience, "max_new": max_new, "stem": stem,
+                              "vocab_size": cfg.vocab_size, "fraction": cfg.fraction}, sort_keys=True)
+        if made_of in stored:
+            records.append((run_id, *stored[made_of][1:width]))
             continue
         key = (cell["order"], cell["min_count"])
         if key not in fitted:
@@ -153,7 +163,7 @@ def grid_search(spark: SparkSession, sf: str, grid: list[dict], cfg: PL.Config =
                                  min_count=cell["min_count"]).materialize()
         base = fitted[key].with_lambdas(NG.uniform_lambdas(cell["order"]))
         res = train(base, em_rows, val_rows, voc, epochs=cell["epochs"], lr=cell["lr"],
-                    patience=cell.get("patience", 3), stem=stem, max_new=max_new)
+                    patience=patience, stem=stem, max_new=max_new)
         summary, _ = EV.evaluate_tokens(res.model, test_rows, voc, stem=stem, max_new=max_new)
         t = summary.first()
         last = res.history[-1]
@@ -163,9 +173,10 @@ def grid_search(spark: SparkSession, sf: str, grid: list[dict], cfg: PL.Config =
                         int(res.best_epoch), [float(x) for x in res.model.lambdas]))
         if results_dir is not None:
             # the result row comes last: a cell that has one is complete
-            ST.save_model(res.model, f"{results_dir}/models", tag=f"run-{run_id}")
-            ST.append_run(history_frame(spark, res.history), f"{results_dir}/history", run_id)
-            (spark.createDataFrame(records[-1:], RESULT_SCHEMA).coalesce(1)
+            version = ST.save_model(res.model, f"{results_dir}/models", tag=f"run-{run_id}")
+            ST.append_run(history_frame(spark, res.history).withColumn("cell", F.lit(made_of)).withColumn("data", F.lit(data)),
+                          f"{results_dir}/history", run_id)
+            (spark.createDataFrame([(*records[-1], made_of, data, version)], STORED_SCHEMA).coalesce(1)
              .write.mode("append").parquet(f"{results_dir}/results"))
     out = spark.createDataFrame(records, RESULT_SCHEMA)
     if results_dir is not None:

@@ -273,14 +273,15 @@ def cut_eos(expr: str, eos_id: int = 1) -> str:
 def decode(rows_sql: str, ids_expr: str, vocab_sql: str, out: str) -> str:
     """rows_sql has row_id; returns (row_id, out) with reserved ids skipped and runs of byte ids
     joined, a run that is no UTF-8 as U+FFFD."""
-    return f"""(WITH dx AS (SELECT x.row_id, u.id, u.pos, u.id < {FIRST_LEARNED} AS b
-      FROM ({rows_sql}) x, unnest({ids_expr}) WITH ORDINALITY AS u(id, pos) WHERE u.id >= {N_RESERVED}),
+    return f"""(WITH dw AS MATERIALIZED (SELECT x.row_id, {ids_expr} AS seq FROM ({rows_sql}) x),
+  dx AS MATERIALIZED (SELECT dw.row_id, u.id, u.pos, u.id < {FIRST_LEARNED} AS b
+      FROM dw, unnest(dw.seq) WITH ORDINALITY AS u(id, pos) WHERE u.id >= {N_RESERVED}),
   dr AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY pos)
       - row_number() OVER (PARTITION BY row_id, b ORDER BY pos) AS run FROM dx),
   dp AS (SELECT dr.row_id, dr.pos, v.token AS piece FROM dr JOIN {vocab_sql} v ON v.id = dr.id WHERE NOT dr.b
     UNION ALL SELECT row_id, pos, coalesce(TRY(decode(unhex(hexes))), chr(65533)) FROM (SELECT row_id, min(pos) AS pos,
       string_agg(printf('%02X', CAST(id - {N_RESERVED} AS INTEGER)), '' ORDER BY pos) AS hexes FROM dr WHERE b GROUP BY row_id, run))
-  SELECT y.row_id, coalesce(z.said, '') AS {out} FROM (SELECT DISTINCT row_id FROM ({rows_sql})) y
+  SELECT y.row_id, coalesce(z.said, '') AS {out} FROM (SELECT DISTINCT row_id FROM dw) y
   LEFT JOIN (SELECT row_id, string_agg(piece, '' ORDER BY pos) AS said FROM dp GROUP BY row_id) z ON z.row_id = y.row_id)"""
 
 

@@ -175,6 +175,39 @@ def test_grid_search_resumes_after_a_crash(spark, monkeypatch):
         ST.load_model(spark, f"{path}/models", tag="final")
 
 
+def test_grids_in_one_folder_do_not_mix(spark, monkeypatch):
+    """A stored cell is taken for the same axes and the same data only."""
+    from lexicorn.plans import experiment as XP
+    from lexicorn.session import shared_path
+    path, plain, ran = shared_path(spark, "grid"), XP.train, []
+    monkeypatch.setattr(XP, "train", lambda m, *a, **k: ran.append((m.order, k["lr"])) or plain(m, *a, **k))
+
+    def search(**axes):
+        ran.clear()
+        grid = XP.param_grid(**{"lr": [0.5], "order": [2], "min_count": [1], "epochs": [1], "patience": [1], **axes})
+        return XP.grid_search(spark, SF001, grid, max_new=2, results_dir=path).sort("run_id").collect()
+    first = search()
+    assert ran == [(2, 0.5)]
+    other = search(lr=[1.0, 0.5])
+    assert ran == [(2, 1.0)] and [r.lr for r in other] == [1.0, 0.5]
+    assert other[1].asDict() | {"run_id": 1} == first[0].asDict() and other[0].final_val_perplexity != first[0].final_val_perplexity
+    assert search(patience=[2])[0].run_id == 1 and ran == [(2, 0.5)]
+    grid = XP.param_grid(lr=[0.5], order=[2], min_count=[1], epochs=[1], patience=[1])
+    ran.clear()
+    XP.grid_search(spark, SF001, grid, PL.Config(seed=7), max_new=2, results_dir=path)
+    assert ran == [(2, 0.5)]
+
+
+def test_a_version_is_given_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from lexicorn.session import shared_path
+    from lexicorn.sources import store as ST
+    folder = shared_path(spark, "versions")
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda _: ST.claim(spark, folder, 1), range(24)))
+    assert sorted(got) == list(range(1, 25))
+
+
 def test_early_stop_table_equals_the_driver_rule(spark):
     import random
     from lexicorn.plans import experiment as XP
