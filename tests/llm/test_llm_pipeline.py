@@ -39,4 +39,4 @@ def test_run_returns_the_last_stage(spark):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
