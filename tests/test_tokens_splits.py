@@ -124,6 +124,73 @@ def test_merges_apply_to_unseen_words(spark):
     assert sorted(r.id for r in BPE.subword_vocab(words, merges).collect()) == list(range(3, 9))
 
 
+def _one_by_one(counts, n):
+    """The published algorithm on a dictionary of words."""
+    words = {w: list(w) for w in counts}
+    merges = []
+    for _ in range(n):
+        pairs = {}
+        for w, s in words.items():
+            for p in zip(s, s[1:]):
+                pairs[p] = pairs.get(p, 0) + counts[w]
+        if not pairs:
+            break
+        (a, b), c = min(pairs.items(), key=lambda x: (-x[1], x[0]))
+        merges.append((a, b, c))
+        for w, s in words.items():
+            out, i = [], 0
+            while i < len(s):
+                both = s[i:i + 2] == [a, b]
+                out.append(a + b if both else s[i])
+                i += 1 + both
+            words[w] = out
+    return merges, words
+
+
+def test_safe_batches_equal_one_by_one():
+    """On random small word tables, full of ties, repeats and products made twice."""
+    import random
+    rng, saved = random.Random(3), 0
+    for trial in range(400):
+        letters = "ab" if trial % 4 == 0 else "abcdefgh" if trial % 2 else "abcdefghijklmnopqrstuvwxyz"
+        counts = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))): rng.randrange(1, 4) for _ in range(rng.randrange(2, 40))}
+        want, _ = _one_by_one(counts, 60)
+        done, words, made = [], {w: list(w) for w in counts}, set()
+        while len(done) < 60:
+            pairs = {}
+            for w, s in words.items():
+                for p in zip(s, s[1:]):
+                    pairs[p] = pairs.get(p, 0) + counts[w]
+            top = [(*p, c) for p, c in sorted(pairs.items(), key=lambda x: (-x[1], x[0]))]
+            if not top:
+                break
+            n = BPE.safe_batch(top[:25], made, len(top) <= 25)
+            for a, b, c in top[:n]:
+                done.append((a, b, c))
+                made.add(a + b)
+                for w, s in words.items():
+                    out, i = [], 0
+                    while i < len(s):
+                        both = s[i:i + 2] == [a, b]
+                        out.append(a + b if both else s[i])
+                        i += 1 + both
+                    words[w] = out
+            saved += n - 1
+        assert done[:60] == want[:60], (trial, counts)
+    assert saved > 500
+
+
+def test_batched_merges_equal_one_by_one(spark):
+    texts = PL.split_corpus(spark, SF001).filter(F.col("split") == "train").select("text")
+    counts = {r.word: r.freq for r in BPE.word_table(texts).collect()}
+    want, spelled = _one_by_one(counts, 60)
+    merges, words = BPE.learn_merges(texts, 60)
+    assert [(r.a, r.b, r["count"]) for r in merges.sort("rank").collect()] == want
+    assert {r.word: r.s for r in words.select("word", BPE.symbols(F.col("spelled")).alias("s")).collect()} == spelled
+    ranks = {(a, b): k for k, (a, b, _) in enumerate(want, 1)}
+    assert all(BPE.split_word(w, ranks) == s for w, s in spelled.items())
+
+
 def test_aaa_merges_left_to_right(spark):
     merges, words = BPE.learn_merges(spark.createDataFrame([("aaaaa",)], "text string"), 1)
     assert words.select(BPE.symbols(F.col("spelled")).alias("s")).first().s == ["aa", "aa", "a"]
