@@ -1085,7 +1085,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 from lexicorn.operators import bpe as BPE  # noqa: E402
 
 
-N_MERGES = 30
+N_MERGES = 120
 _TRAIN_TEXT = f"SELECT text FROM ({S.split_conv(CFG)}) WHERE split = 'train'"
 
 
