@@ -9,11 +9,17 @@ composite (weight ``gamma ** styles`` on the content) is the node's importance,
 below ``threshold`` are cut from each page. As a prior, elements that HTML itself or their
 names declare to be apparatus (scripts, menus, footers, forms, adverts, comments, ...) have
 importance 0; a declared article (``article``, ``main``) has importance 1 whatever is cut
-above it, and so have its elements without a class, and text outside it other than the page's heading has 0. Inside it a
-class or id that may as well name a subject (``related``, ``menu``, ``notice``, ...) is left to
-the entropies. A form that holds the article or most of the page's text is no apparatus; its
-controls are. Nodes seen
-on fewer than ``min_pages`` pages have no entropy worth the name and stay.
+above it, and so have its elements without a class. If the declared articles hold most of the
+page's text, what stands outside them goes, other than the page's heading; else it stays. Inside
+an article a class or id that may as well name a subject (``related``, ``menu``, ``notice``, ...)
+is left to the entropies, and of a compound name only the head counts (``share-buttons`` is
+apparatus, ``share-price`` is not). A form that holds the article or most of the page's text is
+no apparatus; its controls are.
+
+One rule holds for hosts of every size: a node's importance on its host is drawn towards its
+importance over all hosts, and that towards 1, each with the weight of ``weight`` pages. A text
+that repeats on every page of a host is cut from four distinct pages on, earlier or later if
+other hosts show the same node to repeat or to vary; a node of a single page is never cut by what other hosts show.
 
 Counting runs as Spark aggregations over (host, node, feature), so a host that fills a third
 of the table is spread by its features. A host's cut nodes meet its pages by a join that is a
@@ -64,20 +70,27 @@ NAMED = frozenset("""ad ads adv advert adverts advertisement advertising adsense
     complementary footer contentinfo masthead topbar toolbar toc cookie cookies consent gdpr notice notices
     notification alert popup modal overlay paywall newsletter subscribe subscription signup login search
     searchbox dialog form copyright share sharing social related recommended recommendations widget widgets comment comments
-    commentlist respond replies reply discussion disqus feedback hidden offscreen skip""".split())
+    commentlist respond response responses replies reply discussion disqus feedback hidden offscreen skip""".split())
 #: those of them that a text may have as its subject
 SUBJECTS = frozenset("""menu navigation discussion related recommended recommendations notice notices notification
-    alert search feedback reply replies respond cookie cookies consent copyright login signup subscription promotion
+    alert search feedback reply replies respond response responses cookie cookies consent copyright login signup subscription promotion
     sponsor banner overlay dialog skip hidden sharing""".split())
 UNAMBIGUOUS = NAMED - SUBJECTS
+#: words of adverts: apparatus wherever they stand in a name
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsense".split())
+#: words at the end of a compound name that only say what shape the thing has
+SHAPES = frozenset("""area bar block body box boxes button buttons column container content count group holder icons
+    inner item items label link links list outer panel row section slot text title tools unit wrap wrapper""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: places that are written together with such a word, as in "topnav"
 PLACES = ("top", "bottom", "left", "right", "main", "site", "page", "global", "sub", "sticky", "mobile")
 
+#: a quote opens a value only straight after "=", as browsers read it
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^>\s\"'][^>\s]*+)?+)*+)(?:>|\Z)", re.S)
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s>/])", re.I) for tag in RAW}
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
 
@@ -114,6 +127,18 @@ def _words(attrs: dict[str, str], *names: str) -> set[str]:
     return found | {w[len(x):] for w in found for x in PLACES if w.startswith(x)}
 
 
+def _heads(attrs: dict[str, str], *names: str) -> set[str]:
+    """What each compound name is about: its last word that is no mere shape, and advert words."""
+    found: set[str] = set()
+    for token in " ".join(attrs.get(a, "") for a in names).split():
+        words = [w.lower() for w in _NAME.findall(token)]
+        found.update(ADVERTS.intersection(words))
+        while len(words) > 1 and (words[-1] in SHAPES or words[-1] in PLACES):
+            words.pop()
+        found.update(words[-1:])
+    return found | {w[len(x):] for w in found for x in PLACES if w.startswith(x)}
+
+
 def _prior(tag: str, attrs: dict[str, str], inside: bool, sheltered: bool, declared: bool) -> int | None:
     """0: apparatus; 1: the article; None: left to the entropies. ``inside``, ``declared``: in
     the declared article (inline elements are always ``inside``). ``sheltered``: holds the
@@ -126,7 +151,7 @@ def _prior(tag: str, attrs: dict[str, str], inside: bool, sheltered: bool, decla
     names = _words(attrs, "class", "id", "role", "itemprop")
     named = bool(names & NAMED)
     if named and declared:  # a role is declared, a heading's id is made from its text
-        sure = _words(attrs, "class", "itemprop") if tag in HEADINGS else names
+        sure = _heads(attrs, *(("class", "itemprop") if tag in HEADINGS else ("class", "id", "role", "itemprop")))
         named = bool(sure & UNAMBIGUOUS or _words(attrs, "role") & NAMED)
     if tag in ("html", "body"):
         return None
@@ -352,8 +377,9 @@ def main_text(source: str | None, cut: frozenset[int] = frozenset()) -> str:
     for e, text in blocks(source or ""):
         if not is_low(e):
             found.append((e.inside, e.tag == "h1", text))
-    declared = any(article for article, _, _ in found)
-    return "\n\n".join(t for article, heading, t in found if article or heading or not declared)
+    within = sum(len(t) for article, _, t in found if article)
+    beside = sum(len(t) for article, heading, t in found if not article and not heading)
+    return "\n\n".join(t for article, heading, t in found if article or heading or within <= beside)
 
 
 # ------------------------------------------------------------------ Spark jobs
@@ -420,10 +446,21 @@ def style_trees(pages: DataFrame, url: str = "url", html: str = "html", gamma: f
             .select("host", "node", "pages", "importance"))
 
 
+def settled(trees: DataFrame, weight: float = 3.0) -> DataFrame:
+    """``trees`` with each importance drawn towards the node's importance over all hosts, which
+    is itself drawn towards 1, each as if by ``weight`` more pages."""
+    shown = F.col("pages") * F.col("importance")
+    overall = (trees.groupBy("node").agg(((F.sum(shown) + weight) / (F.sum("pages") + weight)).alias("overall")))
+    return (trees.join(overall, "node")
+            .withColumn("importance", (shown + weight * F.col("overall")) / (F.col("pages") + weight))
+            .drop("overall"))
+
+
 def extract(pages: DataFrame, url: str = "url", html: str = "html", threshold: float = 0.2,
-            min_pages: int = 8) -> DataFrame:
+            weight: float = 3.0) -> DataFrame:
     """``pages`` with ``text``; the html stays."""
-    low = (style_trees(pages, url, html).filter((F.col("pages") >= min_pages) & (F.col("importance") < threshold))
+    trees = materialize(style_trees(pages, url, html), "style-trees")
+    low = (settled(trees, weight).filter(F.col("importance") < threshold)
            .groupBy("host").agg(F.collect_set("node").alias("__cut")))
     low = materialize(low.withColumnRenamed("host", "__host"), "style-cuts")
     kept = without(pages, ["text"])

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -358,6 +359,85 @@ def test_copies_of_a_page_are_no_boilerplate(spark):
     assert not any("Home" in r["text"] or not r["text"] for r in html_extract.extract(pages).collect())
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<article><p data=it's>hello world</p><p>don't lose</p></article>", "hello world\n\ndon't lose"),
+    ("<p data=it's>hello</p>", "hello"), ('<p title="5" tall">hello</p>', "hello"),
+    ("<p title='a > b' x>hello</p>", "hello"), ("<a href=x?a=b>link</a>", "link"), ('<p title = "a>b">c</p>', "c"),
+    ('<p title="never closed>hello</p>', "hello"), ("<p " + "a='" * 50_001 + ">hello</p>", "hello")])
+def test_attributes_are_read_as_browsers_do(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_text_beside_a_small_article_stays():
+    page = "<article class=card><p>teaser</p></article><div class=content><p>Real body of the page, much longer</p></div>"
+    assert html_extract.main_text(page) == "teaser\n\nReal body of the page, much longer"
+    page = "<div><p>aside text</p></div><article><p>The body of the page, much longer</p></article>"
+    assert html_extract.main_text(page) == "The body of the page, much longer"
+    # a tie keeps both
+    assert html_extract.main_text("<div>same</div><article>size</article>") == "same\n\nsize"
+
+
+@pytest.mark.parametrize("name,kept", [
+    ("share-price", True), ("promo-code-guide", True), ("social-history", True), ("comment-culture", True),
+    ("share-buttons", False), ("socialShare", False), ("promo-box", False), ("comment-list", False),
+    ("ad-leaderboard", False), ("big ad", False), ("newsletter", False), ("responses", True)])
+def test_names_in_the_article_go_by_their_head(name, kept):
+    page = f"<article><h1>T</h1><p>one</p><div class='{name}'><p>x</p></div></article>"
+    assert html_extract.main_text(page) == ("T\n\none\n\nx" if kept else "T\n\none")
+    page = f"<div><h1>T</h1><p>one</p></div><div class='responses'><p>x</p></div>"
+    assert html_extract.main_text(page) == "T\n\none"
+
+
+@pytest.mark.parametrize("n", [4, 7, 8, 9])
+def test_one_rule_for_hosts_of_all_sizes(spark, n):
+    rows = [(f"http://h/{k}", f"<div class='a'><p>Strapline of this host</p></div><div class='b'><p>own text {k}</p></div>")
+            for k in range(n)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    got = {r["url"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert got == {f"http://h/{k}": f"own text {k}" for k in range(n)}
+
+
+def test_a_single_page_is_not_cut_by_other_hosts(spark):
+    rows = [(f"http://h{k % 5}/{k}", f"<div class='a'><p>Strapline</p></div><div class='b'><p>own text {k}</p></div>")
+            for k in range(100)]
+    pages = spark.createDataFrame([*rows, ("http://single/", rows[0][1])], "url string, html string")
+    got = {r["url"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert got.pop("http://single/") == "Strapline\n\nown text 0"
+    assert got == {f"http://h{k % 5}/{k}": f"own text {k}" for k in range(100)}
+
+
+def test_importance_equals_a_count_by_hand(spark):
+    rng = random.Random(5)
+    pages = []
+    for k in range(40):
+        items = "".join(f"<li>{rng.choice('abcdefg')}</li>" for _ in range(rng.randrange(4)))
+        pages.append((f"http://h{k % 3}/{k}", f"<div class='x'><p>{rng.choice('uvw')}</p><ul>{items}</ul><p>{k}</p></div>"))
+    got = {(r["host"], r["node"]): r["importance"] for r in
+           html_extract.style_trees(spark.createDataFrame(pages, "url string, html string")).collect()}
+    want = {}
+    for host in ("h0", "h1", "h2"):
+        # distinct pages of the host, each a set of (node, kind, feature) and the nodes above
+        found = {tuple(sorted(map(str, html_extract.page_features(h)))): html_extract.page_features(h)
+                 for u, h in pages if f"//{host}/" in u}
+        above, on, styles, texts = {}, Counter(), {}, {}
+        for features in found.values():
+            for node, kind, feature, up in features:
+                if kind == 0:
+                    on[node] += 1
+                    above[node] = up
+                else:
+                    (styles if kind == 1 else texts).setdefault(node, Counter())[feature] += 1
+        for node, n in on.items():
+            m = math.log(max(n, 2))
+            total = sum(styles[node].values())
+            shown = -sum(c / total * math.log(c / total) for c in styles[node].values()) / m
+            said = [math.log(c) for x, up in above.items() if node == x or node in up for c in texts.get(x, {}).values()]
+            w = 0.9 ** len(styles[node])
+            want[host, node] = (1 - w) * shown + w * (1 - sum(said) / len(said) / m) if said else 1.0
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_a_cut_ancestor_spares_the_declared_article():
     page = "<div class='low'><p>menu</p><article><h1>T</h1><p>one</p></article></div>"
     found = {e.path: e for e, _ in html_extract.blocks(page)}
