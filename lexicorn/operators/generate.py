@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexicorn.functions.hashing import hash_uniform
@@ -87,38 +87,51 @@ def score_candidates(model: NGramModel, dc: DataFrame, with_top: int | None) ->
 def successors(model: NGramModel) -> DataFrame:
     """(ctx, next): the greedy next token of every context of 1 .. order-1 tokens that the
     model has seen, as the longest seen context of a sequence."""
-    N, lam = model.order, [float(x) for x in model.lambdas]
+    return successors_cells(model, [model.lambdas]).select("ctx", F.get("next", 0).alias("next"))
+
+
+def successors_cells(model: NGramModel, weights: list[list[float]]) -> DataFrame:
+    """(ctx, next): `successors` of several weight vectors over the same counts, ``next`` an
+    array with a token for each vector. The joins don't depend on the weights, so they are
+    made once; a vector adds columns to them."""
+    N, V = model.order, float(model.vocab_size)
+    lams = [[float(x) for x in lam] for lam in weights]
     n1 = F.lit(float(max(unigram_total(model), 1)))
+    p1 = F.col("c1").cast("double") / n1
+    s, b, g = ([f"{x}{i}" for i in range(len(lams))] for x in "sbg")
+
+    def candidate(score: Column, w: Column) -> Column:
+        return F.struct(score.alias("s"), (-w).alias("nw"))
     level = model.unigrams.select(
         F.array().cast("array<int>").alias("ctx"), "w",
-        (F.lit(lam[0] / float(model.vocab_size)) + F.lit(lam[1]) * (F.col("c1").cast("double") / n1)).alias("s"))
+        *[(F.lit(lam[0] / V) + F.lit(lam[1]) * p1).alias(x) for lam, x in zip(lams, s)])
     top = top_unigram(model)
-    best = level.filter(F.col("w") == top).select("ctx", F.struct(F.col("s"), (-F.col("w")).alias("nw")).alias("b"))
+    best = level.filter(F.col("w") == top).select("ctx", *[candidate(F.col(x), F.col("w")).alias(y) for x, y in zip(s, b)])
     out = None
     for k in range(2, N + 1):
         shorter = F.slice("ctx", F.lit(2), F.greatest(F.size("ctx") - 1, F.lit(0)))
         seen = (model.ngrams.filter(F.col("k") == k)
                 .join(model.contexts.filter(F.col("k") == k).select("ctx", "n"), "ctx")
                 .select("ctx", "w", (F.col("c").cast("double") / F.col("n")).alias("p"), shorter.alias("short"))
-                .join(level.select(F.col("ctx").alias("short"), "w", "s"), ["short", "w"]))
+                .join(level.select(F.col("ctx").alias("short"), "w", *s), ["short", "w"]))
         # partial score up to this level, and the score if no longer context was seen
-        filled = F.col("s") + F.lit(lam[k]) * F.col("p")
-        for j in range(k + 1, N + 1):
-            filled = filled + F.lit(lam[j]) * F.col("p")
-        seen = write_once(seen.select("ctx", "w", (F.col("s") + F.lit(lam[k]) * F.col("p")).alias("s"),
-                                      filled.alias("f")))
+        partial = [F.col(x) + F.lit(lam[k]) * F.col("p") for lam, x in zip(lams, s)]
+        filled = list(partial)
+        for m in range(k + 1, N + 1):
+            filled = [f + F.lit(lam[m]) * F.col("p") for f, lam in zip(filled, lams)]
+        seen = write_once(seen.select("ctx", "w", *[c.alias(x) for c, x in zip(partial, s)],
+                                      *[c.alias(x) for c, x in zip(filled, g)]))
         inherited = (model.contexts.filter(F.col("k") == k).select("ctx", shorter.alias("short"))
-                     .join(best.select(F.col("ctx").alias("short"), "b"), "short")
-                     .select("ctx", (-F.col("b.nw")).alias("w"), F.col("b.s").alias("s"), F.col("b.s").alias("f")))
-        both = seen.select("ctx", "w", "s", "f").unionByName(inherited)
-        picked = write_once(both.groupBy("ctx").agg(
-            F.max(F.struct("s", (-F.col("w")).alias("nw"))).alias("b"),
-            F.max(F.struct("f", (-F.col("w")).alias("nw"))).alias("g")))
-        best, level = picked.select("ctx", "b"), seen.select("ctx", "w", "s")
-        here = picked.select("ctx", (-F.col("g.nw")).cast("int").alias("next"))
+                     .join(best.withColumnRenamed("ctx", "short"), "short")
+                     .select("ctx", *b, *[F.col(x).alias(y) for x, y in zip(b, g)]))
+        both = seen.select("ctx", *[candidate(F.col(x), F.col("w")).alias(y) for x, y in zip(s + g, b + g)]
+                           ).unionByName(inherited)
+        picked = write_once(both.groupBy("ctx").agg(*[F.max(x).alias(x) for x in b + g]))
+        best, level = picked.select("ctx", *b), seen.select("ctx", "w", *s)
+        here = picked.select("ctx", F.array(*[(-F.col(f"{x}.nw")).cast("int") for x in g]).alias("next"))
         out = here if out is None else out.unionByName(here)
     if out is None:  # order 1 has no contexts
-        return model.ngrams.sparkSession.createDataFrame([], "ctx array<int>, next int")
+        return model.ngrams.sparkSession.createDataFrame([], "ctx array<int>, next array<int>")
     return write_once(out)
 
 
@@ -185,11 +198,16 @@ def _sampled_pick(model: NGramModel, act: DataFrame, rnd: int, seed: int,
 def generate(model: NGramModel, prompts: DataFrame, max_new: int = MAX_GEN_LEN,
              sampling: bool = False, temperature: float = 1.0, top_p: float = 0.9,
              seed: int = 42, eos_id: int | None = EOS_ID, checkpoint_every: int = 5,
-             id_col: str = "seq_id", ids_col: str = "prompt_ids", draw_col: str | None = None) -> DataFrame:
+             id_col: str = "seq_id", ids_col: str = "prompt_ids", draw_col: str | None = None,
+             weights: list[list[float]] | None = None) -> DataFrame:
     """(seq_id, prompt_ids, gen_ids): prompt + up to ``max_new`` tokens, stopping after EOS.
 
     An empty prompt yields ``[eos]`` (or ``[]`` without an EOS id), as in the reference.
-    Sampling draws by the hash of ``draw_col`` (the id if not given) and the round."""
+    Sampling draws by the hash of ``draw_col`` (the id if not given) and the round. With
+    ``weights`` (greedy only) a row is completed by the weight vector whose place ``draw_col``
+    holds, all vectors in the same rounds."""
+    if weights is not None and (sampling or draw_col is None):
+        raise ValueError("weights need greedy completion and draw_col, the place of a row's vector")
     model.materialize()
     given = write_once(prompts.select(F.col(id_col).alias("seq_id"), F.col(ids_col).alias("prompt_ids"),
                                       F.col(draw_col or id_col).alias("_draw"))
@@ -198,7 +216,7 @@ def generate(model: NGramModel, prompts: DataFrame, max_new: int = MAX_GEN_LEN,
     active = given.filter(F.size("prompt_ids") > 0).select(
         "_row", "_draw", context_key("prompt_ids", model.order).alias("ck"), nothing.alias("new"),
         F.lit(max_new <= 0).alias("done"))
-    step = _sampled_step(model, seed, temperature, top_p) if sampling else _greedy_step(model)
+    step = _sampled_step(model, seed, temperature, top_p) if sampling else _greedy_step(model, weights)
     every = 1 if sampling else checkpoint_every  # a sampled round reads its state twice
     finished = []
     for start in range(0, max(max_new, 0), every):
@@ -228,8 +246,9 @@ def generate(model: NGramModel, prompts: DataFrame, max_new: int = MAX_GEN_LEN,
                     .otherwise(F.concat("prompt_ids", F.coalesce("new", nothing))).alias("gen_ids")))
 
 
-def _greedy_step(model: NGramModel):
-    table, top = successors(model), F.lit(top_unigram(model))
+def _greedy_step(model: NGramModel, weights: list[list[float]] | None = None):
+    table = successors(model) if weights is None else successors_cells(model, weights)
+    top = F.lit(top_unigram(model))
     n = model.order - 1
 
     def step(active: DataFrame, rnd: int) -> DataFrame:
@@ -242,7 +261,7 @@ def _greedy_step(model: NGramModel):
             key = F.slice("_at", F.greatest(F.size("_at") - size + 1, F.lit(1)), F.least(F.size("_at"), F.lit(size)))
             known = table.filter(F.size("ctx") <= size).select(F.col("ctx").alias(f"_k{size}"), F.col("next").alias(f"_n{size}"))
             out = out.withColumn(f"_k{size}", key).join(known, f"_k{size}", "left")
-            found.append(F.col(f"_n{size}"))
+            found.append(F.col(f"_n{size}") if weights is None else F.get(f"_n{size}", F.col("_draw").cast("int")))
         return out.withColumn("next", F.coalesce(*found, top))
     return step
 

@@ -90,6 +90,13 @@ def fit(df: DataFrame, order: int = 3, vocab_size: int = 8192, ids_col: str = "i
                       list(lambdas) if lambdas else uniform_lambdas(order))
 
 
+def restricted(counts: DataFrame, order: int, vocab_size: int, min_count: int = 1) -> NGramModel:
+    """The model of ``order`` and ``min_count`` from counts of that order or a higher one: what
+    counting the corpus again would give."""
+    ngr = counts.filter((F.col("k") <= int(order)) & ((F.col("k") == 1) | (F.col("c") >= int(min_count))))
+    return NGramModel(ngr, context_totals(ngr), order, vocab_size, uniform_lambdas(order))
+
+
 def unigram_total(model: NGramModel) -> int:
     if model.n_unigrams is None:
         row = model.contexts.filter(F.col("k") == 1).select("n").first()
@@ -186,24 +193,48 @@ def perplexity(scores: DataFrame) -> DataFrame:
         .otherwise(F.lit(math.inf)).alias("perplexity"))
 
 
+def perplexity_cells(model: NGramModel, levels: DataFrame, weights: list[list[float]]) -> list[float]:
+    """Perplexity of several weight vectors over a table of `window_levels`: one aggregate."""
+    n = F.sum("n")
+    row = levels.agg(*[
+        F.when(n > 0, F.exp(F.sum(-F.log(mixture(lam, model.vocab_size, model.order)) * F.col("n")) / n))
+        .otherwise(F.lit(math.inf)).alias(f"ppl{i}") for i, lam in enumerate(weights)]).first()
+    return [float(row[f"ppl{i}"]) for i in range(len(weights))]
+
+
 def em_update(model: NGramModel, levels: DataFrame, lr: float = 1.0) -> tuple[list[float], float]:
-    """One EM step on held-out windows: new lambda_k = mean responsibility of level k.
+    """One EM step of the model's own weights, see `em_update_cells`."""
+    return em_update_cells(model, levels, [model.lambdas], [lr])[0]
+
+
+def em_update_cells(model: NGramModel, levels: DataFrame, weights: list[list[float]],
+                    lrs: list[float]) -> list[tuple[list[float], float]]:
+    """One EM step of several weight vectors on held-out windows: new lambda_k = mean
+    responsibility of level k.
 
-    Returns the stepped weights ``(1-lr)*old + lr*new`` and the held-out mean nll under the
-    old weights. One aggregate over the (written) table of `window_levels`."""
-    N, lam = model.order, model.lambdas
-    scored = levels.withColumn("p", mixture(lam, model.vocab_size, N))
+    Returns per vector the stepped weights ``(1-lr)*old + lr*new`` and the held-out mean nll
+    under the old weights. One aggregate over the (written) table of `window_levels`, however
+    many vectors there are."""
+    N, V = model.order, model.vocab_size
+    cells = range(len(weights))
+    scored = levels.select("*", *[mixture(lam, V, N).alias(f"_p{i}") for i, lam in enumerate(weights)])
 
     def mean(c: Column) -> Column:
         return F.sum(c * F.col("n")) / F.sum("n")
-    resp = [mean(F.lit(lam[0] / model.vocab_size) / F.col("p")).alias("r0")]
-    resp += [mean(F.lit(lam[k]) * F.col(f"p{k}") / F.col("p")).alias(f"r{k}") for k in range(1, N + 1)]
-    row = scored.agg(*resp, mean(-F.log("p")).alias("nll")).first()
-    if row["nll"] is None:
-        return list(lam), math.nan
-    new = [float(row[f"r{k}"]) for k in range(N + 1)]
-    total = sum(new)
-    new = [x / total for x in new]
-    # 12 places, so that a run does not depend on the order of the sums
-    stepped = [round((1.0 - lr) * a + lr * b, 12) for a, b in zip(lam, new)]
-    return stepped, float(row["nll"])
+    wanted = []
+    for i, lam in enumerate(weights):
+        p = F.col(f"_p{i}")
+        wanted.append(mean(F.lit(lam[0] / V) / p).alias(f"r{i}_0"))
+        wanted += [mean(F.lit(lam[k]) * F.col(f"p{k}") / p).alias(f"r{i}_{k}") for k in range(1, N + 1)]
+        wanted.append(mean(-F.log(p)).alias(f"nll{i}"))
+    row = scored.agg(*wanted).first()
+    if row["nll0"] is None:
+        return [(list(lam), math.nan) for lam in weights]
+    out = []
+    for i in cells:
+        new = [float(row[f"r{i}_{k}"]) for k in range(N + 1)]
+        total = sum(new)
+        # 12 places, so that a run does not depend on the order of the sums
+        out.append(([round((1.0 - lrs[i]) * a + lrs[i] * (b / total), 12) for a, b in zip(weights[i], new)],
+                    float(row[f"nll{i}"])))
+    return out

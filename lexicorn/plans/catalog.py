@@ -875,8 +875,9 @@ def param_grid_q(spark, sf):
 def _cell_scores(spark, sf):
     enc, rows = _enc(spark, sf), None
     test = enc.filter(F.col("split") == "test")
+    counts = write_once(NG.ngram_counts(enc.filter(F.col("split") == "train"), max(c["order"] for c in _CELLS)))
     for k, c in enumerate(_CELLS, start=1):
-        model = NG.fit(enc.filter(F.col("split") == "train"), c["order"], CFG.vocab_size, min_count=c["min_count"])
+        model = NG.restricted(counts, c["order"], CFG.vocab_size, c["min_count"])
         one = NG.perplexity(NG.window_scores(model.materialize(), test)).select(
             F.lit(k).alias("run_id"), F.lit(c["order"]).alias("order"), F.lit(c["min_count"]).alias("min_count"),
             F.round("perplexity", 6).alias("test_perplexity"))

@@ -14,14 +14,36 @@ from lexicorn.operators.rouge import rouge_l
 from lexicorn.session import write_once
 
 
+def _token_split(rows: DataFrame, fraction: float) -> DataFrame:
+    """(row_id, prompt_ids, ref_ids) of the sequences that are not empty."""
+    seq = rows.select("row_id", tk.cut_at_pad_then_eos("ids").alias("s")).filter(F.size("s") > 0)
+    return seq.select("row_id", tk.token_prompt("s", fraction).alias("prompt_ids"),
+                      tk.token_reference("s", fraction).alias("ref_ids"))
+
+
+def rouge_cells(model: NG.NGramModel, rows: DataFrame, vocab: DataFrame, weights: list[list[float]],
+                fraction: float = 0.5, stem: bool = True, max_new: int = tk.MAX_GEN_LEN) -> list[float]:
+    """Mean ROUGE-L of the greedy completions by each of several weight vectors: the rows of
+    all vectors are completed in the same rounds and scored in one job (0 without rows)."""
+    seq = _token_split(rows, fraction).withColumn("cell", F.explode(F.array(*[F.lit(i) for i in range(len(weights))])))
+    # the id holds all that the score needs, so nothing is joined back
+    gen = generate(model, seq.select(F.struct("row_id", "cell", "ref_ids").alias("seq_id"), "prompt_ids", "cell"),
+                   max_new=max_new, draw_col="cell", weights=weights)
+    out = gen.select(F.col("seq_id.cell").alias("cell"), F.col("seq_id.ref_ids").alias("ref_ids"),
+                     tk.cut_at(continuation(), tk.EOS_ID).alias("g"))
+    dec = VO.decode(out, vocab, ids_col="g", out_col="prediction")
+    dec = VO.decode(dec, vocab, ids_col="ref_ids", out_col="reference")
+    scored = rouge_l(dec.select("cell", "reference", "prediction"), "reference", "prediction", stem=stem)
+    mean = {r["cell"]: r["m"] for r in scored.groupBy("cell").agg(F.avg("rouge_l").alias("m")).collect()}
+    return [float(mean.get(i, 0.0)) for i in range(len(weights))]
+
+
 def completions_by_tokens(model: NG.NGramModel, rows: DataFrame, vocab: DataFrame,
                           fraction: float = 0.5, sampling: bool = False,
                           temperature: float = 0.7, top_p: float = 0.9, seed: int = 42,
                           with_prompt: bool = False, max_new: int = tk.MAX_GEN_LEN) -> DataFrame:
     """(row_id, reference, prediction) with the token-fraction split of each sequence."""
-    seq = rows.select("row_id", tk.cut_at_pad_then_eos("ids").alias("s")).filter(F.size("s") > 0)
-    seq = seq.select("row_id", tk.token_prompt("s", fraction).alias("prompt_ids"),
-                     tk.token_reference("s", fraction).alias("ref_ids"))
+    seq = _token_split(rows, fraction)
     gen = generate(model, seq.select(F.col("row_id").alias("seq_id"), "prompt_ids"),
                    max_new=max_new, sampling=sampling, temperature=temperature, top_p=top_p, seed=seed)
     out = gen.select(F.col("seq_id").alias("row_id"),

@@ -1,9 +1,11 @@
 """Training with EM epochs and early stopping, grid search, final fit and model comparison.
 
-Counts are fitted once per (order, min_count); every epoch is one small aggregate over
-the written held-out level table plus a validation pass (greedy completion + ROUGE-L).
-Only weights, history rows and per-run metrics reach the driver. With a ``results_dir`` each
-cell's result row, history and best model are written before the next cell begins. A stored
+The corpus is counted once, at the highest order of the grid; the cells of one (order,
+min_count) differ by their weights alone and are trained together, so every epoch is one small
+aggregate over the written held-out level table plus a validation pass (greedy completion +
+ROUGE-L) for all of them. Only weights, history rows and per-run metrics reach the driver. With
+a ``results_dir`` the result rows, histories and best models of such cells are written before
+the next (order, min_count) begins. A stored
 cell is known by what it was made of (every axis and setting, and a digest of the encoded
 rows), never by its number, so only the same cell over the same data is not run again.
 """
@@ -75,25 +77,43 @@ def train(model: NG.NGramModel, em_rows: DataFrame, val_rows: DataFrame, vocab:
           epochs: int = 10, lr: float = 0.5, patience: int = 2, stem: bool = True,
           max_new: int = 20) -> TrainResult:
     """EM epochs on held-out positions; validation each epoch; keep the best weights."""
+    return train_cells(model, [{"epochs": epochs, "lr": lr, "patience": patience}], em_rows, val_rows, vocab,
+                       stem=stem, max_new=max_new)[0]
+
+
+def train_cells(model: NG.NGramModel, cells: list[dict], em_rows: DataFrame, val_rows: DataFrame,
+                vocab: DataFrame, stem: bool = True, max_new: int = 20) -> list[TrainResult]:
+    """`train` for all cells (lr, epochs, patience) over the same counts at once.
+
+    The levels of held-out and validation windows are written once. An epoch is one aggregate
+    for the weights, one for the perplexities and one completion of the validation rows, for
+    all cells that still run: the number of jobs does not grow with the number of cells."""
     model.materialize()
-    levels = write_once(NG.window_levels(model, em_rows))
-    history: list[dict] = []
-    best_lam, best_epoch = list(model.lambdas), 0
-    for epoch in range(1, epochs + 1):
-        lam, train_nll = NG.em_update(model, levels, lr=lr)
-        model = model.with_lambdas(lam)
-        summary, _ = EV.evaluate_tokens(model, val_rows, vocab, stem=stem, max_new=max_new)
-        row = summary.first()
-        history.append({"epoch": epoch, "train_loss": train_nll,
-                        "val_perplexity": float(row["perplexity"]),
-                        # 12 places: equal scores must tie whatever the order of the mean
-                        "val_rougeL": round(float(row["rouge_l"]), 12), "weights": list(lam)})
-        b, stop = early_stop_state(history, patience)
-        if b == epoch:
-            best_lam, best_epoch = list(lam), epoch
-        if stop:
-            break
-    return TrainResult(model.with_lambdas(best_lam), history, best_epoch)
+    levels, val_levels = (write_once(NG.window_levels(model, rows)) for rows in (em_rows, val_rows))
+    lams = [list(model.lambdas) for _ in cells]
+    best = [(list(model.lambdas), 0) for _ in cells]
+    histories: list[list[dict]] = [[] for _ in cells]
+    live, epoch = list(range(len(cells))), 0
+    while live := [i for i in live if epoch < cells[i]["epochs"]]:
+        epoch += 1
+        stepped = NG.em_update_cells(model, levels, [lams[i] for i in live], [cells[i]["lr"] for i in live])
+        for i, (lam, _) in zip(live, stepped):
+            lams[i] = lam
+        now = [lams[i] for i in live]
+        perplexities = NG.perplexity_cells(model, val_levels, now)
+        scores = EV.rouge_cells(model, val_rows, vocab, now, stem=stem, max_new=max_new)
+        running = []
+        for i, (lam, loss), ppl, rouge in zip(live, stepped, perplexities, scores):
+            histories[i].append({"epoch": epoch, "train_loss": loss, "val_perplexity": ppl,
+                                 # 12 places: equal scores must tie whatever the order of the mean
+                                 "val_rougeL": round(rouge, 12), "weights": list(lam)})
+            at, stop = early_stop_state(histories[i], cells[i]["patience"])
+            if at == epoch:
+                best[i] = (list(lam), epoch)
+            if not stop:
+                running.append(i)
+        live = running
+    return [TrainResult(model.with_lambdas(lam), history, at) for (lam, at), history in zip(best, histories)]
 
 
 def history_frame(spark: SparkSession, history: list[dict]) -> DataFrame:
@@ -147,37 +167,37 @@ def grid_search(spark: SparkSession, sf: str, grid: list[dict], cfg: PL.Config =
     em_rows = enc.filter((F.col("split") == "train") & F.col("holdout"))
     val_rows = enc.filter(F.col("split") == "validation")
     test_rows = enc.filter(F.col("split") == "test")
-    fitted: dict[tuple, NG.NGramModel] = {}
     width = len(RESULT_SCHEMA.split(", "))
-    records = []
+    records, groups, made = [], {}, {}
     for run_id, cell in enumerate(grid, start=1):
-        patience = cell.get("patience", 3)
-        made_of = json.dumps({**cell, "lr": float(cell["lr"]), "patience": patience, "max_new": max_new, "stem": stem,
-                              "vocab_size": cfg.vocab_size, "fraction": cfg.fraction}, sort_keys=True)
-        if made_of in stored:
-            records.append((run_id, *stored[made_of][1:width]))
-            continue
-        key = (cell["order"], cell["min_count"])
-        if key not in fitted:
-            fitted[key] = NG.fit(train_rows, cell["order"], cfg.vocab_size,
-                                 min_count=cell["min_count"]).materialize()
-        base = fitted[key].with_lambdas(NG.uniform_lambdas(cell["order"]))
-        res = train(base, em_rows, val_rows, voc, epochs=cell["epochs"], lr=cell["lr"],
-                    patience=patience, stem=stem, max_new=max_new)
-        summary, _ = EV.evaluate_tokens(res.model, test_rows, voc, stem=stem, max_new=max_new)
-        t = summary.first()
-        last = res.history[-1]
-        records.append((run_id, float(cell["lr"]), int(cell["order"]), int(cell["min_count"]),
-                        int(cell["epochs"]), last["train_loss"], last["val_perplexity"],
-                        last["val_rougeL"], float(t["perplexity"]), float(t["rouge_l"]),
-                        int(res.best_epoch), [float(x) for x in res.model.lambdas]))
-        if results_dir is not None:
-            # the result row comes last: a cell that has one is complete
-            version = ST.save_model(res.model, f"{results_dir}/models", tag=f"run-{run_id}")
-            ST.append_run(history_frame(spark, res.history).withColumn("cell", F.lit(made_of)).withColumn("data", F.lit(data)),
-                          f"{results_dir}/history", run_id)
-            (spark.createDataFrame([(*records[-1], made_of, data, version)], STORED_SCHEMA).coalesce(1)
-             .write.mode("append").parquet(f"{results_dir}/results"))
+        cell = {**cell, "lr": float(cell["lr"]), "patience": cell.get("patience", 3)}
+        made[run_id] = json.dumps({**cell, "max_new": max_new, "stem": stem, "vocab_size": cfg.vocab_size,
+                                   "fraction": cfg.fraction}, sort_keys=True)
+        if made[run_id] in stored:
+            records.append((run_id, *stored[made[run_id]][1:width]))
+        else:
+            groups.setdefault((cell["order"], cell["min_count"]), []).append((run_id, cell))
+    if groups:  # every model is a part of the highest order's counts
+        counts = write_once(NG.ngram_counts(train_rows, max(order for order, _ in groups)))
+    for (order, min_count), members in groups.items():
+        base = NG.restricted(counts, order, cfg.vocab_size, min_count).materialize()
+        results = train_cells(base, [cell for _, cell in members], em_rows, val_rows, voc, stem=stem, max_new=max_new)
+        weights = [res.model.lambdas for res in results]
+        perplexities = NG.perplexity_cells(base, write_once(NG.window_levels(base, test_rows)), weights)
+        scores = EV.rouge_cells(base, test_rows, voc, weights, stem=stem, max_new=max_new)
+        for (run_id, cell), res, ppl, rouge in zip(members, results, perplexities, scores):
+            last = res.history[-1]
+            records.append((run_id, cell["lr"], int(order), int(min_count), int(cell["epochs"]), last["train_loss"],
+                            last["val_perplexity"], last["val_rougeL"], ppl, rouge, int(res.best_epoch),
+                            [float(x) for x in res.model.lambdas]))
+            if results_dir is not None:
+                # the result row comes last: a cell that has one is complete
+                version = ST.save_model(res.model, f"{results_dir}/models", tag=f"run-{run_id}")
+                ST.append_run(history_frame(spark, res.history).withColumn("cell", F.lit(made[run_id]))
+                              .withColumn("data", F.lit(data)), f"{results_dir}/history", run_id)
+                (spark.createDataFrame([(*records[-1], made[run_id], data, version)], STORED_SCHEMA).coalesce(1)
+                 .write.mode("append").parquet(f"{results_dir}/results"))
+    records.sort()
     out = spark.createDataFrame(records, RESULT_SCHEMA)
     if results_dir is not None:
         ST.write_results_csv(out.withColumn("weights", F.concat_ws(" ", F.col("weights").cast("array<string>"))),

@@ -154,14 +154,14 @@ def test_grid_search_resumes_after_a_crash(spark, monkeypatch):
     from lexicorn.sources import store as ST
     path = shared_path(spark, "grid")
     grid = XP.param_grid(lr=[0.5], order=[2, 3], min_count=[1], epochs=[1])
-    plain, ran = XP.train, []
+    plain, ran = XP.train_cells, []
 
     def crash(model, *a, **k):
         ran.append(model.order)
         if model.order == 3 and ran.count(3) == 1:
             raise RuntimeError("lost")
         return plain(model, *a, **k)
-    monkeypatch.setattr(XP, "train", crash)
+    monkeypatch.setattr(XP, "train_cells", crash)
     with pytest.raises(RuntimeError):
         XP.grid_search(spark, SF001, grid, max_new=2, results_dir=path)
     assert [r.run_id for r in spark.read.parquet(f"{path}/results").collect()] == [1]
@@ -179,8 +179,9 @@ def test_grids_in_one_folder_do_not_mix(spark, monkeypatch):
     """A stored cell is taken for the same axes and the same data only."""
     from lexicorn.plans import experiment as XP
     from lexicorn.session import shared_path
-    path, plain, ran = shared_path(spark, "grid"), XP.train, []
-    monkeypatch.setattr(XP, "train", lambda m, *a, **k: ran.append((m.order, k["lr"])) or plain(m, *a, **k))
+    path, plain, ran = shared_path(spark, "grid"), XP.train_cells, []
+    monkeypatch.setattr(XP, "train_cells", lambda m, cells, *a, **k: ran.extend((m.order, c["lr"]) for c in cells)
+                        or plain(m, cells, *a, **k))
 
     def search(**axes):
         ran.clear()
@@ -198,6 +199,65 @@ def test_grids_in_one_folder_do_not_mix(spark, monkeypatch):
     assert ran == [(2, 0.5)]
 
 
+def test_cells_trained_together_equal_cells_trained_alone(spark, fitted):
+    from lexicorn.plans import evaluate as EV
+    from lexicorn.plans import experiment as XP
+    _, enc = fitted
+    voc = PL.corpus_vocab(spark, SF001)
+    enc = enc.withColumn("holdout", F.pmod(F.xxhash64("row_id"), F.lit(10)) == 0)
+    train, val, test = (enc.filter(F.col("split") == s) for s in ("train", "validation", "test"))
+    counts = NG.ngram_counts(train.filter(~F.col("holdout")), 3)
+    cells = [{"lr": lr, "epochs": e, "patience": p} for lr, e, p in ((.5, 1, 2), (1., 2, 9), (.0, 3, 1))]
+    for order, min_count in ((1, 1), (2, 2), (3, 1)):
+        alone = NG.fit(train.filter(~F.col("holdout")), order, 8192, min_count=min_count)
+        base = NG.restricted(counts, order, 8192, min_count).materialize()
+        assert sorted(map(str, alone.ngrams.collect())) == sorted(map(str, base.ngrams.collect()))
+        if order != 3:
+            continue
+        got = XP.train_cells(base, cells, train.filter("holdout"), val, voc, max_new=3)
+        for c, res in zip(cells, got):
+            # one epoch after the other, by the operators for a single model
+            model, history = alone.materialize(), []
+            levels = NG.window_levels(model, train.filter("holdout"))
+            for epoch in range(1, c["epochs"] + 1):
+                lam, loss = NG.em_update(model, levels, lr=c["lr"])
+                model = model.with_lambdas(lam)
+                r = EV.evaluate_tokens(model, val, voc, max_new=3)[0].first()
+                history.append({"epoch": epoch, "train_loss": loss, "val_perplexity": r.perplexity,
+                                "val_rougeL": r.rouge_l, "weights": lam})
+                at, stop = XP.early_stop_state([{**h, "val_rougeL": round(h["val_rougeL"], 12)} for h in history], c["patience"])
+                if stop:
+                    break
+            assert len(res.history) == len(history) and res.best_epoch == at
+            for x, y in zip(res.history, history):
+                assert x["weights"] == pytest.approx(y["weights"], abs=1e-9)
+                assert all(x[k] == pytest.approx(y[k], abs=1e-9) for k in ("train_loss", "val_perplexity", "val_rougeL"))
+            assert res.model.lambdas == (res.history[at - 1]["weights"] if at else base.lambdas)
+
+
+def test_jobs_do_not_grow_with_the_cells(spark, fitted):
+    from lexicorn.plans import experiment as XP
+    m, enc = fitted
+    voc, sc, jobs = PL.corpus_vocab(spark, SF001), spark.sparkContext, []
+    rows = enc.filter(F.col("split") == "test")
+    m.materialize()
+    for n in (1, 1, 6):  # the first run only warms up what is made once
+        group = f"cells-{len(jobs)}"
+        sc.setJobGroup(group, group)
+        XP.train_cells(m, [{"lr": 1 / (k + 1), "epochs": 2, "patience": 9} for k in range(n)], rows, rows, voc, max_new=2)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(group)))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[2] <= jobs[1] + 4, jobs
+
+
+def test_weights_need_greedy_rows_with_a_place(spark, fitted):
+    m, enc = fitted
+    prompts = enc.select(F.col("row_id").alias("seq_id"), F.col("ids").alias("prompt_ids"), F.lit(0).alias("cell"))
+    for kw in ({"sampling": True, "draw_col": "cell"}, {}):
+        with pytest.raises(ValueError):
+            GE.generate(m, prompts, weights=[m.lambdas], **kw)
+
+
 def test_a_version_is_given_once(spark):
     from concurrent.futures import ThreadPoolExecutor
     from lexicorn.session import shared_path
