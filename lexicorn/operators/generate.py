@@ -9,10 +9,10 @@ context; contexts without any get the top unigram. Ties go to the lowest id.
 
 Sampled (exact over the whole vocabulary): for a context the probability of a
 non-continuation token is ``lambda_0/V + c * p1(w)``; continuation tokens carry their full
-interpolated probability, computed in Spark per distinct active context. A per-partition
-numpy helper adds the broadcast unigram vector (size bounded by the vocabulary cap), applies
-temperature and the top-p cut (keep while cumulative <= top_p, always the first) once per
-context of a batch, and draws with each row's hashed uniform.
+interpolated probability, computed in Spark per distinct active context. Temperature, the top-p
+cut (keep while cumulative <= top_p, always the first) and the draws by each row's hashed uniform
+are solved on two broadcast cumulative tables of the unigrams (size bounded by the vocabulary
+cap), see `SampledTokens`.
 
 The state of a round holds the id, the last tokens and the new tokens of unfinished rows;
 finished rows are set aside. Lineage is cut every ``checkpoint_every`` rounds.
@@ -145,54 +145,115 @@ def _background(model: NGramModel) -> np.ndarray:
     return vec
 
 
-def context_cdf(p1: np.ndarray, words, probs, seen: bool, lam: list[float],
-                temperature: float, top_p: float) -> tuple[np.ndarray, np.ndarray]:
-    """(kept ids, their cumulative probabilities) of one context: temperature, top-p cut (by
-    probability desc, id) and renormalisation over the whole vocabulary."""
-    p = lam[0] / p1.shape[0] + (lam[1] if seen else float(sum(lam[1:]))) * p1
-    if words is not None and len(words):
-        p[np.asarray(words, dtype=np.int64)] = np.asarray(probs, dtype=np.float64)
-    logp = np.log(p)
-    q = np.exp((logp - logp.max()) / max(temperature, 1e-8))
-    order = np.lexsort((np.arange(p1.shape[0]), -q))
-    share = q[order] / q.sum()
-    keep = np.round(np.cumsum(share), PLACES) <= top_p
-    keep[0] = True
-    return order[keep], np.round(np.cumsum(share[keep]) / share[keep].sum(), PLACES)
-
-
-def _sample_rows(pdf: pd.DataFrame, p1: np.ndarray, lam: list[float], temperature: float,
-                 top_p: float) -> np.ndarray:
-    """Draw for each row; rows of one context share its cumulative table."""
-    tables: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-    out = np.empty(len(pdf), dtype=np.int32)
-    for i, row in enumerate(pdf.itertuples(index=False)):
-        key = tuple(row.ck)
-        if key not in tables:
-            tables[key] = context_cdf(p1, row.cw, row.cp, bool(row.seen2) if row.seen2 is not None else False,
-                                      lam, temperature, top_p)
-        ids, cdf = tables[key]
-        out[i] = ids[min(int(np.searchsorted(cdf, row.u, side="right")), len(ids) - 1)]
-    return out
-
-
-def _sampled_pick(model: NGramModel, act: DataFrame, rnd: int, seed: int,
-                  temperature: float, top_p: float, p1) -> DataFrame:
+class SampledTokens:
+    """Draws from temperature + top-p distributions of many contexts without a V-long sort each.
+
+    Outside its own continuations a context's probabilities are ``lam_0/V + c * p1(w)``, where
+    ``c`` depends on nothing but whether the context was seen. So two cumulative tables, sorted
+    by (probability desc, id), serve all contexts. A context with m continuations takes their
+    ids out of the shared table, puts their own probabilities in, and finds the top-p cut and
+    every draw by binary search over prefix sums: m log V steps in place of V log V."""
+
+    def __init__(self, p1: np.ndarray, lam: list[float], temperature: float, top_p: float):
+        self.t, self.top_p, self.shared = max(float(temperature), 1e-8), float(top_p), {}
+        for seen, c in ((True, lam[1]), (False, float(sum(lam[1:])))):
+            p = lam[0] / p1.shape[0] + c * p1
+            ids = np.lexsort((np.arange(p.shape[0]), -p))
+            place = np.empty_like(ids)
+            place[ids] = np.arange(ids.shape[0])
+            logp = np.log(p[ids])
+            q = np.exp((logp - logp[0]) / self.t)
+            self.shared[seen] = (ids, place, -p[ids], logp[0], q, np.concatenate(([0.0], np.cumsum(q))))
+
+    def draw(self, words, probs, seen: bool, u: np.ndarray) -> np.ndarray:
+        """The token of each uniform in ``u``: the first one, by (probability desc, id), whose
+        cumulative share of the kept tokens exceeds it."""
+        ids, place, neg, peak, q, prefix = self.shared[seen]
+        words = np.asarray([] if words is None else words, dtype=np.int64)
+        probs = np.asarray([] if probs is None else probs, dtype=np.float64)
+        order = np.lexsort((words, -probs))
+        words, probs = words[order], probs[order]
+        m = words.shape[0]
+        # how many shared tokens rank before each continuation: by probability, then by id
+        before = np.searchsorted(neg, -probs, side="left")
+        for i in np.nonzero(before < np.searchsorted(neg, -probs, side="right"))[0]:
+            end = np.searchsorted(neg, -probs[i], side="right")
+            before[i] += np.searchsorted(ids[before[i]:end], words[i])
+        logs = np.log(probs)
+        top = max(peak, logs[0]) if m else peak
+        scale = np.exp((peak - top) / self.t)
+        own = np.concatenate(([0.0], np.cumsum(np.exp((logs - top) / self.t))))
+        gone = np.sort(place[words])
+        lost = np.concatenate(([0.0], np.cumsum(q[gone])))
+
+        def mass(at):
+            """Sum over the shared tokens before a place that are not continuations."""
+            return scale * (prefix[at] - lost[np.searchsorted(gone, at)])
+
+        def reach(bound, total, n_own, end):
+            """Continuations (at most n_own) and shared places (at most ``end``) of the longest
+            run from the top whose rounded share of ``total`` is at most each bound."""
+            shares = np.round((mass(before[:n_own]) + own[1:n_own + 1]) / total, PLACES)
+            k = np.searchsorted(shares, bound, side="right")
+            edges = np.concatenate(([0], before[:n_own], [end]))
+            lo, hi = edges[k], np.maximum(edges[k + 1], edges[k])
+            while np.any(lo < hi):
+                mid = (lo + hi + 1) // 2
+                fits = np.round((mass(mid) + own[k]) / total, PLACES) <= bound
+                lo, hi = np.where(fits, mid, lo), np.where(fits, hi, mid - 1)
+            return k, lo, edges[k + 1]
+
+        def rest(at):
+            """Shared tokens before a place that are not continuations: their number."""
+            return at - np.searchsorted(gone, at)
+
+        gaps = gone - np.arange(m)
+
+        def free(r):
+            """The shared token that is no continuation and has ``r`` such before it."""
+            return ids[r + np.searchsorted(gaps, r, side="right")]
+
+        size = ids.shape[0]
+        k, at, _ = reach(np.array([self.top_p]), mass(size) + own[m], m, size)
+        k, at = int(k[0]), int(at[0])
+        if k == 0 and rest(at) == 0:  # the first token is always kept
+            first = words[0] if m and rest(before[0]) == 0 else free(0)
+            return np.full(u.shape[0], first, dtype=np.int32)
+        n, got, stop = reach(u, mass(at) + own[k], k, at)
+        # u at or above the rounded total takes the last kept token
+        shared_left = rest(stop) > rest(got)
+        own_left = ~shared_left & (n < k)
+        beyond = ~shared_left & ~own_left
+        out = np.empty(u.shape[0], dtype=np.int32)
+        out[shared_left] = free(rest(got[shared_left]))
+        out[own_left] = words[n[own_left]] if m else 0
+        if beyond.any():
+            last_own = k > 0 and rest(at) == rest(before[k - 1])
+            out[beyond] = words[k - 1] if last_own else free(rest(at) - 1)
+        return out
+
+
+def _sampled_pick(model: NGramModel, act: DataFrame, rnd: int, seed: int, sampler) -> DataFrame:
+    """(_row, next). Rows meet their context's continuations in packs of one written partition,
+    so a list travels once a pack, and a hot context is spread over as many packs as partitions."""
     per_ctx = (score_candidates(model, act.select("ck").distinct(), None)
                .groupBy("ck").agg(F.collect_list(F.struct("w", "p")).alias("wp"), F.max("seen2").alias("seen2"))
                .select("ck", F.col("wp.w").alias("cw"), F.col("wp.p").alias("cp"), "seen2"))
-    rows = (act.select("_row", "ck", hash_uniform(seed, "_draw", F.lit(rnd)).alias("u"))
-            .join(per_ctx, on="ck", how="left"))
-    lam = list(model.lambdas)
+    packs = (act.select("_row", "ck", hash_uniform(seed, "_draw", F.lit(rnd)).alias("u"))
+             .groupBy("ck", F.shiftright("_row", 33).alias("part")).agg(F.collect_list(F.struct("_row", "u")).alias("rows"))
+             .select("ck", F.col("rows._row").alias("row"), F.col("rows.u").alias("u"))
+             .join(per_ctx, on="ck", how="left"))
 
     def draw(it):
-        vec = p1.value
+        shared = sampler.value
         for pdf in it:
-            if len(pdf):
-                yield pd.DataFrame({"_row": pdf["_row"].astype("int64"),
-                                    "next": _sample_rows(pdf, vec, lam, temperature, top_p)})
+            drawn = [shared.draw(p.cw, p.cp, p.seen2 is not None and bool(p.seen2), np.asarray(p.u))
+                     for p in pdf.itertuples(index=False)]
+            if drawn:
+                yield pd.DataFrame({"_row": np.concatenate([np.asarray(r, dtype=np.int64) for r in pdf["row"]]),
+                                    "next": np.concatenate(drawn)})
 
-    return rows.mapInPandas(draw, "_row long, next int")
+    return packs.select("row", "u", "cw", "cp", "seen2").mapInPandas(draw, "_row long, next int")
 
 
 def generate(model: NGramModel, prompts: DataFrame, max_new: int = MAX_GEN_LEN,
@@ -267,11 +328,12 @@ def _greedy_step(model: NGramModel, weights: list[list[float]] | None = None):
 
 
 def _sampled_step(model: NGramModel, seed: int, temperature: float, top_p: float):
-    # unigram vector: V doubles, bounded by the vocabulary cap; broadcast once per call
-    p1 = model.ngrams.sparkSession.sparkContext.broadcast(_background(model))
+    # two tables of V entries, bounded by the vocabulary cap; broadcast once per call
+    shared = SampledTokens(_background(model), list(model.lambdas), temperature, top_p)
+    sampler = model.ngrams.sparkSession.sparkContext.broadcast(shared)
 
     def step(active: DataFrame, rnd: int) -> DataFrame:
-        pick = _sampled_pick(model, active.select("_row", "_draw", "ck"), rnd, seed, temperature, top_p, p1)
+        pick = _sampled_pick(model, active.select("_row", "_draw", "ck"), rnd, seed, sampler)
         return active.join(pick, "_row", "left")
     return step
 

@@ -6,7 +6,7 @@ Position 0 of a sequence is never predicted. Contexts are ``ARRAY<INT>`` join ke
 
 Sums over positions (perplexity, EM) need no positions: equal windows of ``order`` tokens
 have equal scores, so windows are counted first, map-side, and each distinct one is scored
-once with its count. Model tables are written once, so the planner knows their true sizes
+once with its count; scores of positions are joined to their windows. Model tables are written once, so the planner knows their true sizes
 and broadcasts what is small (the unigrams are bounded by the vocabulary) by itself.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lexicorn.session import write_once
 
+END = -1  # takes the place of a next token in the key of a context's total
 
 def events(df: DataFrame, order: int, ids_col: str = "ids", keep: tuple[str, ...] = (),
            min_k: int = 1) -> DataFrame:
@@ -104,47 +105,53 @@ def unigram_total(model: NGramModel) -> int:
     return model.n_unigrams
 
 
+def suffix_table(model: NGramModel) -> DataFrame:
+    """(key, v): the levels >= 2 as one table, a trie laid out as rows. The key ``h + [w]`` of an
+    n-gram holds its count, the key ``h + [END]`` of a context its total; no id equals ``END``."""
+    grams = model.ngrams.filter(F.col("k") >= 2).select(
+        F.concat("ctx", F.array("w")).alias("key"), F.col("c").alias("v"))
+    totals = model.contexts.filter(F.col("k") >= 2).select(
+        F.concat("ctx", F.array(F.lit(END))).alias("key"), F.col("n").alias("v"))
+    return grams.unionByName(totals)
+
+
+def _windows(df: DataFrame, order: int, s: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep..., j, win): the last up to ``order`` tokens at each predicted position j >= 2."""
+    gen = F.expr(
+        f"explode(transform(filter(sequence(2, greatest(size({s}), 2)), j -> j <= size({s})),"
+        f" j -> named_struct('j', j, 'win', slice({s}, greatest(j - {order} + 1, 1), least(j, {order})))))")
+    return df.select(*keep, gen.alias("e")).select(*keep, "e.j", "e.win")
+
+
 def level_probabilities(model: NGramModel, df: DataFrame, ids_col: str = "ids",
                         key: str = "row_id") -> DataFrame:
-    """(key, j, w, p1..pN): per predicted position, each level with the back-off fill."""
-    N = model.order
-    if N >= 2:
-        pos = _looked_up(model, events(df, N, ids_col, keep=(key,), min_k=2), [key, "j"])
-    else:
-        pos = events(df, 1, ids_col, keep=(key,)).select(key, "j", "w")
-    return _with_levels(model, pos).select(key, "j", "w", *[f"p{k}" for k in range(1, N + 1)])
+    """(key, j, w, p1..pN): per predicted position, each level with the back-off fill.
+
+    The distinct windows are scored; the positions themselves are shuffled once, to their window."""
+    at = _windows(df, model.order, ids_col, (key,))
+    scored = window_levels(model, df, ids_col).drop("n")
+    return at.join(scored, "win").select(key, "j", "w", *[f"p{k}" for k in range(1, model.order + 1)])
 
 
 def window_levels(model: NGramModel, df: DataFrame, ids_col: str = "ids") -> DataFrame:
     """(win, w, n, p1..pN): each distinct window of up to ``order`` tokens that ends on a
-    predicted position, the number of its positions, and its level probabilities."""
-    N, s = model.order, ids_col
-    gen = F.expr(
-        f"explode(transform(filter(sequence(2, greatest(size({s}), 2)), j -> j <= size({s})),"
-        f" j -> slice({s}, greatest(j - {N} + 1, 1), least(j, {N}))))")
-    wins = df.select(gen.alias("win")).groupBy("win").agg(F.count("*").alias("n"))
-    if N >= 2:
-        level = F.expr(f"explode(sequence(2, least({N}, size(win))))")
-        ev = (wins.select("win", level.alias("k"))
-              .select("win", "k", F.expr("slice(win, size(win) - k + 1, k - 1)").alias("ctx"),
-                      F.element_at("win", -1).alias("w")))
-        pos = _looked_up(model, ev, ["win"]).join(wins, "win")
-    else:
-        pos = wins.select("win", "n", F.element_at("win", -1).alias("w"))
-    return _with_levels(model, pos).select("win", "w", "n", *[f"p{k}" for k in range(1, N + 1)])
-
-
-def _looked_up(model: NGramModel, ev: DataFrame, by: list[str]) -> DataFrame:
-    """Counts of context and n-gram at each level >= 2, one row per ``by``."""
+    predicted position, the number of its positions, and its level probabilities.
+
+    A window asks the suffix table for the counts of all its levels in one equi-join."""
     N = model.order
-    ctx = model.contexts.filter(F.col("k") >= 2)
-    ngr = model.ngrams.filter(F.col("k") >= 2)
-    joined = ev.join(ctx, on=["k", "ctx"], how="left").join(ngr, on=["k", "ctx", "w"], how="left")
-    aggs = [F.first("w").alias("w")]
-    for k in range(2, N + 1):
-        aggs.append(F.max(F.when(F.col("k") == k, F.col("n"))).alias(f"n{k}"))
-        aggs.append(F.max(F.when(F.col("k") == k, F.col("c"))).alias(f"c{k}"))
-    return joined.groupBy(*by).agg(*aggs)
+    wins = (_windows(df, N, ids_col).groupBy("win").agg(F.count("*").alias("n"))
+            .select("win", "n", F.element_at("win", -1).alias("w")))
+    if N >= 2:
+        asked = F.expr(
+            f"explode(flatten(transform(sequence(2, least({N}, size(win))), k -> array("
+            f"named_struct('k', k, 'total', true, 'key', concat(slice(win, size(win) - k + 1, k - 1), array({END}))),"
+            f"named_struct('k', k, 'total', false, 'key', slice(win, size(win) - k + 1, k))))))")
+        asked = wins.select("win", "n", "w", asked.alias("a")).select("win", "n", "w", "a.k", "a.total", "a.key")
+        answers = [F.max(F.when((F.col("k") == k) & (F.col("total") == total), F.col("v"))).alias(f"{name}{k}")
+                   for k in range(2, N + 1) for name, total in (("n", True), ("c", False))]
+        wins = (asked.join(suffix_table(model), "key", "left").groupBy("win")
+                .agg(F.first("n").alias("n"), F.first("w").alias("w"), *answers))
+    return _with_levels(model, wins).select("win", "w", "n", *[f"p{k}" for k in range(1, N + 1)])
 
 
 def _with_levels(model: NGramModel, pos: DataFrame) -> DataFrame:

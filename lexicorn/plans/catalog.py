@@ -367,16 +367,20 @@ def _model(spark, sf, min_count: int = 1, enc=None):
                   min_count=min_count, lambdas=LAMBDAS).materialize()
 
 
+def _train_counts(spark, sf):
+    """Counts straight from the encoded rows: nothing is written that is read once."""
+    train = PL.encoded_corpus(spark, sf).filter(F.col("split") == "train")
+    return NG.ngram_counts(train, CFG.order)
+
+
 @query("ngram_counts", f"SELECT k, {S.ctx_str()} AS ctx, w, c FROM {_TRAIN_NG}")
 def ngram_counts_q(spark, sf):
-    m = _model(spark, sf)
-    return m.ngrams.select("k", tk.ids_text("ctx").alias("ctx"), "w", "c")
+    return _train_counts(spark, sf).select("k", tk.ids_text("ctx").alias("ctx"), "w", "c")
 
 
 @query("context_totals", f"SELECT k, {S.ctx_str()} AS ctx, n FROM {S.contexts(_TRAIN_NG)}")
 def context_totals_q(spark, sf):
-    m = _model(spark, sf)
-    return m.contexts.select("k", tk.ids_text("ctx").alias("ctx"), "n")
+    return NG.context_totals(_train_counts(spark, sf)).select("k", tk.ids_text("ctx").alias("ctx"), "n")
 
 
 @query("prune_ngrams", f"""

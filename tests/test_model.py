@@ -284,3 +284,58 @@ def test_early_stop_table_equals_the_driver_rule(spark):
             if stop:
                 break
         assert got[r] == (best, len(hist))
+
+
+def test_shared_tables_draw_what_a_sort_of_all_tokens_draws():
+    """Ties, no continuations, only continuations, tiny temperatures, and uniforms at both ends."""
+    import numpy as np
+    from lexicorn.operators.distribution import PLACES
+    rng = np.random.default_rng(3)
+    lam, differ, drawn = [.1, .4, .3, .2], 0, 0
+    for _ in range(800):
+        size = int(rng.integers(1, 40))
+        p1 = rng.integers(0, 4, size) / max(size, 1)
+        m = int(rng.integers(0, size + 1))
+        words = rng.choice(size, m, replace=False)
+        probs = lam[0] / size + lam[1] * p1[words] + rng.random(m)
+        t, top_p = float(rng.choice([1e-9, .05, .5, 1, 2])), float(rng.choice([1e-9, .3, .9, 1.0]))
+        u = np.concatenate((rng.random(20), [0.0, 1 - 2 ** -53]))
+        got = GE.SampledTokens(p1, lam, t, top_p).draw(words, probs, m > 0, u)
+        p = lam[0] / size + (lam[1] if m else sum(lam[1:])) * p1
+        p[words] = probs
+        q = np.exp((np.log(p) - np.log(p).max()) / max(t, 1e-8))
+        by = np.lexsort((np.arange(size), -p))
+        kept = np.round(np.cumsum(q[by] / q.sum()), PLACES) <= top_p
+        kept[0] = True
+        ids, q = by[kept], q[by][kept]
+        cdf = np.round(np.cumsum(q / q.sum()), PLACES)
+        differ += int((got != ids[np.minimum(np.searchsorted(cdf, u, side="right"), len(ids) - 1)]).sum())
+        drawn += len(u)
+    assert (differ, drawn) == (0, 800 * 22)
+
+
+def test_windows_equal_counting_by_hand(spark):
+    """Level probabilities of positions and windows against dictionaries, contexts unseen included."""
+    import collections
+    train, test = [[3, 4, 5, 3, 4, 6], [4, 5, 3]], [[3, 4, 5, 9], [4, 6, 3, 4, 5], [7], [], [3, 4, 5, 9]]
+    m = NG.fit(spark.createDataFrame([(r,) for r in train], "ids array<int>"), 3, 12).materialize()
+    c, n = collections.Counter(), collections.Counter()
+    for r in train:
+        for j in range(1, len(r)):
+            for k in range(1, min(3, j + 1) + 1):
+                c[tuple(r[j - k + 1:j]), r[j]] += 1
+                n[tuple(r[j - k + 1:j])] += 1
+    want = []
+    for i, r in enumerate(test):
+        for j in range(1, len(r)):
+            p, ps = 0.0, []
+            for k in (1, 2, 3):
+                h = tuple(r[max(0, j - k + 1):j])
+                if len(h) == k - 1 and n[h]:
+                    p = c[h, r[j]] / n[h]
+                ps.append(p)
+            want.append((i, j + 1, r[j], *ps))
+    rows = spark.createDataFrame(list(enumerate(test)), "row_id long, ids array<int>")
+    got = sorted(tuple(r) for r in NG.level_probabilities(m, rows).collect())
+    assert got == [pytest.approx(w) for w in want]
+    assert sum(r.n for r in NG.window_levels(m, rows).collect()) == len(want)
