@@ -337,6 +337,8 @@ def shift_labels(spark, sf):
 
 # ---------------------------------------------------------------- 2.5 model
 from lexicorn.operators import ngram as NG  # noqa: E402
+from lexicorn.streaming import counts_stream as CS  # noqa: E402
+from lexicorn.streaming.clean_stream import cleaned_stream  # noqa: E402
 
 LAMBDAS = NG.uniform_lambdas(CFG.order)
 
@@ -378,6 +380,16 @@ def ngram_counts_q(spark, sf):
     return _train_counts(spark, sf).select("k", tk.ids_text("ctx").alias("ctx"), "w", "c")
 
 
+@query("stream_counts", f"SELECT k, {S.ctx_str()} AS ctx, w, c "
+       f"FROM {S.ngrams(f'SELECT row_id, ids FROM {S.encoded_conv(CFG)}', CFG.order)}")
+def stream_counts_q(spark, sf):
+    """The conversations as a stream of files, counted by micro-batch."""
+    count = CS.text_counter(PL.corpus_vocab(spark, sf), CFG.order, CFG.append_eos)
+    folder = shared_path(spark, "counts")
+    CS.start_counts(cleaned_stream(spark, f"{sf.rstrip('/')}/conversations.parquet"), folder, count).awaitTermination()
+    return CS.counts(spark, folder).select("k", tk.ids_text("ctx").alias("ctx"), "w", "c")
+
+
 @query("context_totals", f"SELECT k, {S.ctx_str()} AS ctx, n FROM {S.contexts(_TRAIN_NG)}")
 def context_totals_q(spark, sf):
     return NG.context_totals(_train_counts(spark, sf)).select("k", tk.ids_text("ctx").alias("ctx"), "n")

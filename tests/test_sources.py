@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from lexicorn.functions.text import clean_text
+from lexicorn.operators.ngram import ngram_counts
 from lexicorn.sources import csv_corpus, turn_key
 from lexicorn.sources import store as ST
+from lexicorn.streaming import counts_stream as CS
 from lexicorn.streaming.clean_stream import start_clean_sink
 
 
@@ -74,3 +76,54 @@ def test_streaming_cleaner_matches_batch(spark):
                      clean_text(F.nullif("text", F.lit("NO_QUERY"))).alias("text")))
     assert streamed.count() == batch.count()
     assert streamed.subtract(batch).count() == 0
+
+
+def _count_ids(batch):
+    return ngram_counts(batch, 3)
+
+
+def test_stream_counts_survive_crashes_and_count_once(spark):
+    """Files land one by one; writing a batch, its commit and a base each fail once."""
+    landing = tempfile.mkdtemp(prefix="lexicorn-landing-", dir="/tmp")
+    folder = tempfile.mkdtemp(prefix="lexicorn-counts-", dir="/tmp")
+    texts = [[[3, 4, 5], [3, 4]], [[3, 4, 5, 6]], [[]], [[3, 4, 5], [9]], [[4, 5]]]
+    crash = {"before write": 1, "after commit": 2, "before base": 3}
+
+    def fragile(batch, number):
+        if crash.get("before write") == number:
+            del crash["before write"]
+            raise RuntimeError("crash before the batch is written")
+        before_base = crash.get("before base") == number
+        CS.add_batch(batch, number, folder, _count_ids, compact_every=99 if before_base else 2)
+        if before_base or crash.get("after commit") == number:
+            del crash["before base" if before_base else "after commit"]
+            raise RuntimeError("crash after the batch is committed")
+
+    for i, rows in enumerate(texts):
+        (spark.createDataFrame([(r,) for r in rows], "ids array<int>").coalesce(1)
+         .write.mode("append").parquet(landing))
+        for attempt in range(2):
+            q = (spark.readStream.schema("ids array<int>").parquet(landing).writeStream
+                 .option("checkpointLocation", f"{folder}/_checkpoint").foreachBatch(fragile)
+                 .trigger(availableNow=True).start())
+            try:
+                q.awaitTermination(60)
+                break
+            except Exception as e:
+                assert "crash" in str(e) and attempt == 0
+    assert not crash
+    assert CS._committed(spark, folder, "base") == [1, 3]
+    whole = spark.createDataFrame([(r,) for rows in texts for r in rows], "ids array<int>")
+    want, got = ngram_counts(whole, 3).collect(), CS.counts(spark, folder).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_counts_of_nothing_and_of_an_uncommitted_batch(spark):
+    folder = tempfile.mkdtemp(prefix="lexicorn-counts-", dir="/tmp")
+    assert CS.counts(spark, folder).count() == 0
+    rows = spark.createDataFrame([([3, 4],)], "ids array<int>")
+    ngram_counts(rows, 3).write.parquet(f"{folder}/batch=0")  # written, but the commit never came
+    assert CS.counts(spark, folder).count() == 0
+    CS.add_batch(rows, 0, folder, _count_ids)
+    CS.add_batch(rows, 0, folder, _count_ids)
+    assert sorted((r.k, r.c) for r in CS.counts(spark, folder).collect()) == [(1, 1), (2, 1)]
