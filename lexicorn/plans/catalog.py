@@ -386,7 +386,9 @@ def stream_counts_q(spark, sf):
     """The conversations as a stream of files, counted by micro-batch."""
     count = CS.text_counter(PL.corpus_vocab(spark, sf), CFG.order, CFG.append_eos)
     folder = shared_path(spark, "counts")
-    CS.start_counts(cleaned_stream(spark, f"{sf.rstrip('/')}/conversations.parquet"), folder, count).awaitTermination()
+    # a pattern, since a stream takes a folder or a pattern, and the table may be a single file
+    landed = cleaned_stream(spark, f"{sf.rstrip('/')}/conversations*.parquet")
+    CS.start_counts(landed, folder, count).awaitTermination()
     return CS.counts(spark, folder).select("k", tk.ids_text("ctx").alias("ctx"), "w", "c")
 
 
