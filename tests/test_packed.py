@@ -95,3 +95,31 @@ def test_tokens_that_fit_no_key_are_joined(spark):
     assert PK.pack(m) is None and PK.window_levels(m, rows) is None
     got = GE.generate(m, spark.createDataFrame([(1, [-4])], "seq_id long, prompt_ids array<int>"), max_new=2).first()
     assert got.gen_ids == [-4, 3, -4] or len(got.gen_ids) == 3
+
+
+@pytest.mark.parametrize("order", [2, 4])
+def test_draws_of_buckets_equal_draws_from_joined_lists(spark, monkeypatch, order):
+    m, rng = _model(spark, order), random.Random(6)
+    prompts = [(i, [rng.randrange(0, 12) for _ in range(rng.randrange(0, 6))]) for i in range(80)] + [(3, [3, 4]), (90, None), (91, [11])]
+    df = spark.createDataFrame(prompts, "seq_id long, prompt_ids array<int>")
+
+    def made(t, p, eos):
+        return sorted(map(str, GE.generate(m, df, max_new=6, sampling=True, temperature=t, top_p=p, seed=7, eos_id=eos).collect()))
+    cases = ((.8, .9, 1), (1.5, 1.0, None))
+    got = [made(*x) for x in cases]
+    monkeypatch.setattr(PK, "pack", lambda model: None)
+    assert got == [made(*x) for x in cases]
+
+
+def test_comparison_scores_each_completion_once(spark, monkeypatch):
+    from conftest import SF001
+    from lexicorn.plans import experiment as XP
+    from lexicorn.plans import pipeline as PL
+    cleaned, plain = [], PL.clean_docs
+    monkeypatch.setattr(PL, "clean_docs", lambda *a: cleaned.append(1) or plain(*a))
+    scores, examples = XP.compare_models(spark, SF001, max_new=2, decoders=("greedy",))
+    assert cleaned == [1]
+    plans = examples._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plans and "ArrowEvalPython" not in plans  # examples are read, not made again
+    want = {r.model: r.m for r in examples.groupBy("model").agg(F.avg("rouge_l").alias("m")).collect()}
+    assert {r.model: r.avg_rouge_l for r in scores.collect()} == pytest.approx(want)
