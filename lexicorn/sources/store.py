@@ -42,7 +42,8 @@ def claim(spark: SparkSession, folder: str, first: int) -> int:
         fs.mkdirs(at.getParent())
         if not fs.exists(at):
             try:
-                if fs.createNewFile(at):
+                # Hadoop's local file system looks and then creates, which two writers can both pass
+                if fs.pathToFile(at).createNewFile() if fs.getScheme() == "file" else fs.createNewFile(at):
                     return number
             except Py4JJavaError:  # another writer was faster
                 if not fs.exists(at):
